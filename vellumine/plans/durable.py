@@ -24,14 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/vellumine/{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+#: Drops shuffle files at the end of an action, where Spark knows the setting.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, keep: list[str] | None = None, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     ``keep`` collects the paths, so that a caller can ``discard`` them later.
+    Nothing reads the shuffles of the write again, so their files go with it.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path, partitionBy=partition_by)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     if keep is not None:
         keep.append(path)
     return spark.read.schema(df.schema).parquet(path)
