@@ -16,14 +16,15 @@ Jaccard similarity of their sets reaches a threshold.  The steps:
    with the box's upper corner; both must reach ``t / (1 + t) * (n + m)``.
 4. *Verification*: surviving pairs are checked on their full sets.
 
-Only reachability is wanted, so step 3 runs twice: first it proposes a star and
-a chain per block; after these are verified, it proposes every surviving pair
-whose ends are not yet connected.  Boxes whose nodes all have the label of the
-query are skipped.  So a group of thousands of near copies costs about as many
-pairs as it has members, while no pair that could join two components is left
-out.  Blocks over ``BLOCK`` nodes are dealt out in chunks: chunk by chunk with a
-common pivot in the first pass, by pairs of chunks in the second, where only
-blocks with several labels are left.
+Only reachability is wanted, so steps 3 and 4 run in three passes.  The first
+proposes a chain and a star around the middle of each block, the second each
+node's best partner of another component, the last every surviving pair of two
+components.  Boxes whose nodes all have the label of the query are skipped, and
+so are blocks with one label.  So a group of thousands of near copies costs
+about as many pairs as it has members, while no pair that could join two
+components is left out.  Blocks over ``BLOCK`` nodes are dealt out in chunks:
+chunk by chunk with a common pivot in the first pass, by pairs of chunks in the
+others.  Blocks with the same members are one.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ from vellumine.operators.components import connected_components
 from vellumine.plans.durable import discard, materialise
 
 #: Coordinates of a count vector.
-GROUPS = 64
-#: Corpus-wide frequency buckets; their counts (2 MB) are the only broadcast.
+GROUPS = 256
+#: Corpus-wide frequency buckets; their counts (2 MB) are broadcast.
 BUCKET_BITS = 18
 #: Nodes of a block that one task takes at once.
 BLOCK = 2048
@@ -71,12 +72,16 @@ def _node(shingles: np.ndarray) -> int:
 
 def _vector(shingles: np.ndarray) -> bytes:
     counts = np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    return counts.astype("<u2" if counts.max(initial=0) < 65536 else "<u4").tobytes()
+    most = counts.max(initial=0)
+    return counts.astype("u1" if most < 256 else "<u2" if most < 65536 else "<u4").tobytes()
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    raw = column.to_pylist()
-    return np.stack([np.frombuffer(x, dtype="<u2" if len(x) == 2 * GROUPS else "<u4").astype(np.int64) for x in raw])
+    out = np.empty((len(column), GROUPS), dtype=np.int32)
+    for k, x in enumerate(column):
+        raw = x.as_buffer()
+        out[k] = np.frombuffer(raw, dtype={1: "u1", 2: "<u2", 4: "<u4"}[raw.size // GROUPS])
+    return out
 
 
 def _buckets(shingles: np.ndarray) -> np.ndarray:
@@ -152,12 +157,14 @@ def _route(text_column: str, width: int, t: Fraction, counts):
 class CountTree:
     """A static R-tree over count vectors, stored level by level.
 
-    Points are packed in the order of (label, size, first coordinates).  A box
+    Points are packed in the order of (label, size, first coordinates), by label
+    only where labels are shared.  A box
     keeps the upper corner, the range of sizes, and the label if it is one.
     """
 
     def __init__(self, sizes: np.ndarray, vectors: np.ndarray, labels: np.ndarray):
-        self.order = np.lexsort((vectors[:, 1], vectors[:, 0], sizes, labels))
+        few = len(np.unique(labels)) * 2 < len(labels)
+        self.order = np.lexsort((vectors[:, 1], vectors[:, 0], sizes, labels if few else sizes))
         top, low, high, label = vectors[self.order], sizes[self.order], sizes[self.order], labels[self.order]
         mixed = np.zeros(len(low), dtype=bool)
         self.levels = [(top, low, high, label, mixed)]
@@ -186,33 +193,39 @@ class CountTree:
         return self.order[found], bound
 
 
-def _propose(nodes, sizes, vectors, labels, t: Fraction, sparse: bool) -> list[tuple[int, int]]:
+def _propose(nodes, sizes, vectors, labels, t: Fraction, mode: str) -> list[tuple[int, int]]:
     """Pairs of one block that need a check, the smaller node first."""
     p, q = t.numerator, t.denominator
-    if sparse:
+    if mode == "star":
+        n = len(nodes)
         order = np.lexsort((nodes, sizes))
-        n = len(order)
-        left = np.concatenate([order[:-1], np.full(n - 1, int(np.argmin(nodes)))])
-        right = np.concatenate([order[1:], order[order != np.argmin(nodes)]])
+        middle = np.abs(vectors - np.median(vectors, axis=0)).sum(axis=1)
+        hubs = [int(np.lexsort((nodes, middle))[0]), int(np.argmin(nodes))]
+        left = np.concatenate([order[:-1], *(np.full(n, h) for h in hubs)])
+        right = np.concatenate([order[1:], *(np.arange(n) for _ in hubs)])
         bound = np.minimum(vectors[left], vectors[right]).sum(axis=1)
         keep = (bound * (p + q) >= p * (sizes[left] + sizes[right])) & (nodes[left] != nodes[right])
         a, b = nodes[left[keep]], nodes[right[keep]]
         return list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
     tree, out = CountTree(sizes, vectors, labels), []
     for i in range(len(nodes)):
-        found, _ = tree.search(int(sizes[i]), vectors[i], int(labels[i]), t)
-        out += [(int(nodes[i]), int(nodes[j])) for j in found if nodes[i] < nodes[j]]
+        found, bound = tree.search(int(sizes[i]), vectors[i], int(labels[i]), t)
+        if mode == "best" and len(found):
+            found = found[[np.argmax(bound / (sizes[i] + sizes[found] - bound))]]
+            out += [(int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))) for j in found]
+        else:
+            out += [(int(nodes[i]), int(nodes[j])) for j in found if nodes[i] < nodes[j]]
     return out
 
 
-def _block_pairs(t: Fraction, sparse: bool):
+def _block_pairs(t: Fraction, mode: str):
     """Over partitions sorted by block: propose pairs, each once per task."""
 
     def flush(held, out):
         nodes, first = np.unique(np.concatenate([h[0] for h in held]), return_index=True)
         if len(nodes) > 1:
             sizes, vectors, labels = (np.concatenate([h[k] for h in held])[first] for k in (1, 2, 3))
-            out.update(_propose(nodes, sizes, vectors, labels, t, sparse))
+            out.update(_propose(nodes, sizes, vectors, labels, t, mode))
 
     def run(batches):
         held, key, out = [], None, set()
@@ -279,12 +292,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_column:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_check(t), "a long, b long")
 
 
-def _blocks_of(blocks: DataFrame, t: Fraction, sparse: bool) -> DataFrame:
+def _blocks_of(blocks: DataFrame, t: Fraction, mode: str) -> DataFrame:
     """Deal blocks out by key; those over BLOCK nodes in chunks."""
     chunks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.hash("node"), F.col("chunks"))
     dealt = blocks.withColumn("chunks", chunks)
-    if sparse:
+    if mode == "star":
         spread = F.when((F.col("chunks") > 1) & (F.col("node") == F.col("pivot")), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
         dealt = dealt.withColumn("i", F.explode(spread)).withColumn("j", F.lit(0))
     else:
@@ -292,7 +305,7 @@ def _blocks_of(blocks: DataFrame, t: Fraction, sparse: bool) -> DataFrame:
         dealt = dealt.withColumn("own", own).withColumn("other", F.explode(spread)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     dealt = dealt.select("key", F.col("i").cast("int"), F.col("j").cast("int"), "node", "n", "vector", "label")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(_block_pairs(t, sparse), "a long, b long").distinct()
+    return dealt.mapInArrow(_block_pairs(t, mode), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -315,36 +328,42 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     sizes = signed.where("totals is null")
     nodes = materialise(sizes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vector").alias("vector")))
     keys = materialise(docs.select("text").mapInArrow(_route("text", width, t, counts), "key long, node long"), old)
-    shared = materialise(keys.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot != last").drop("last"), old)
+    members = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("pivot"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("all"))
+    shared = materialise(members.where("pivot != last").groupBy("members", "pivot", "last", "all").agg(F.min("key").alias("key")).select("key", "members", "pivot"), old)
     blocks = materialise(keys.join(shared, "key").join(nodes.drop("rep"), "node").select("key", "members", "pivot", "node", "n", "vector"))
     discard(spark, old)
 
-    first = materialise(_blocks_of(blocks.withColumn("label", F.col("node")), t, sparse=True))
-    links = materialise(_verified(first, nodes, docs, "text", width, t))
-    labels = connected_components(links)
-    labelled = blocks.join(labels.withColumnRenamed("component", "found"), "node", "left").withColumn("label", F.coalesce("found", "node")).drop("found")
-    labelled = materialise(labelled)
-    open_keys = materialise(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key"), old)
-    rest = _blocks_of(labelled.join(open_keys, "key"), t, sparse=False).join(first, ["a", "b"], "left_anti")
-    rest = materialise(rest)
-    more = materialise(_verified(rest, nodes, docs, "text", width, t))
-    # nodes joined by the first pass stand for each other, so only new links are walked again
-    ends = more.join(labels.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left")
-    again = connected_components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
-    base = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("one"))
-    joined = base.join(again.withColumnRenamed("node", "one"), "one", "left").select("node", "rep", F.coalesce("component", "one").alias("label"))
-    joined = materialise(joined)
-    lowest = materialise(joined.groupBy("label").agg(F.min("rep").alias("component_id")))
-    found = materialise(joined.join(lowest, "label").select("node", "component_id"))
-    discard(spark, old)
+    labels = nodes.select("node", F.col("node").alias("label"))
+    tried = None
+    for mode in ("star", "best", "all"):
+        labelled = materialise(blocks.join(labels, "node"), old)
+        open_keys = materialise(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key"), old)
+        pairs = _blocks_of(labelled.join(open_keys, "key"), t, mode)
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        discard(spark, old)
+        if not pairs.isEmpty():
+            links = materialise(_verified(pairs, nodes, docs, "text", width, t))
+            labels = materialise(_relabel(labels, links))
+        tried = pairs if tried is None else tried.union(pairs)
+    known = nodes.select("node", "rep").join(labels, "node")
+    lowest = materialise(known.groupBy("label").agg(F.min("rep").alias("component_id")))
+    found = materialise(known.join(lowest, "label").select("node", "component_id"))
     named = sizes.join(found, "node", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, label) after joining the components that links connect."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+    merged = connected_components(ends.select("x", "y"), "x", "y").select(F.col("node").alias("label"), "component")
+    return labels.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """Rows of docs without those whose component has a smaller doc_id.
 
     Of rows that repeat a doc_id, all or none stay.
     """
-    found = jaccard_components(docs, width=width, threshold=threshold).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(materialise(found), "doc_id", "left_anti").select(*docs.columns)
+    found = materialise(jaccard_components(docs, width=width, threshold=threshold).where("doc_id != component_id").select("doc_id").distinct())
+    small = found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(found) if small else found, "doc_id", "left_anti").select(*docs.columns)
