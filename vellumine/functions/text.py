@@ -33,7 +33,9 @@ def fingerprint(*parts: Column) -> Column:
 
 def strip_markup(html: Column) -> Column:
     """Text of a page by patterns: raw elements and comments first, then tags, references, white space."""
-    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>", " ")
+    out = F.coalesce(html, F.lit(""))
+    for tag in ("script", "style", "noscript", "template"):
+        out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?s)<[^>]+>", " ")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):

@@ -56,7 +56,7 @@ def matches(docs: DataFrame, query: str, fields: Fields = Fields()) -> DataFrame
     exact = F.coalesce(F.lower(F.col(fields.id).cast("string")).isin(terms), F.lit(False)) if terms else F.lit(False)
     text_hits = _count([F.contains(low, F.lit(t)) for t in terms])
     meta_hits = _count([F.lower(F.col(m).cast("string")) == t for t in terms for m in fields.metadata])
-    stale = F.col(fields.stale) if fields.stale in docs.columns else F.lit(False)
+    stale = F.coalesce(F.col(fields.stale), F.lit(False)) if fields.stale in docs.columns else F.lit(False)
     found = docs.select(F.col(fields.id), exact.alias("exact"), stale.alias("stale"), text_hits.alias("text_hits"), meta_hits.alias("meta_hits"))
     return found.where("exact or text_hits > 0 or meta_hits > 0")
 

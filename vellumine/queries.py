@@ -1,6 +1,335 @@
-"""Queries of the vault operators over the driver's tables, with their oracles."""
+"""Queries of the vault operators over the driver's tables, with their oracles.
+
+The driver's tables hold no vault, so tables stand in for its parts: documents
+for notes, labels for statuses (toxic is terminal), conversations for sessions,
+pages for pages, hrefs for links, orders for notes with a deadline.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellumine.functions.text import plain
+from vellumine.operators import capture, links, lint, pages, search
+from vellumine.operators.components import connected_components
+from vellumine.sources.tables import table
+from vellumine.streaming.capture import windowed_counts
+
+QUERY = "the EN src3 42 tion"
+_HREF = "regexp_extract_all(coalesce(html, ''), '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1)"
+
+
+def _fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.with_freshness(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", F.col("toxic") == 1)
+
+
+def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_fresh(spark, sf_dir), QUERY, 20)
+
+
+def search_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_fresh(spark, sf_dir), QUERY, 50, explain=True).select("doc_id", "rank", "reasons")
+
+
+def search_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.matches(_fresh(spark, sf_dir), QUERY)
+
+
+def search_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.as_json(search.search(_fresh(spark, sf_dir), QUERY, 20).select("doc_id", "rank"))
+
+
+def search_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _fresh(spark, sf_dir)
+    return search.originals(search.search(docs, QUERY, 20), docs).select("rank", "doc_id", "lang", "source", "n_chars", "text")
+
+
+def _page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.page_links(table(spark, sf_dir, "pages"))
+
+
+def link_indegree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.in_degree(_page_links(spark, sf_dir))
+
+
+def _page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1)
+    return table(spark, sf_dir, "pages").select(path.alias("path")).distinct()
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.resolve(_page_links(spark, sf_dir), _page_paths(spark, sf_dir)).withColumn("origin", F.lit("body"))
+
+
+def link_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.audit(_resolved(spark, sf_dir))
+
+
+def link_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lint.broken_links(_resolved(spark, sf_dir)).select("rule", "path", "detail", "severity")
+
+
+def link_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _page_links(spark, sf_dir).select(F.concat(F.lit("page:"), F.col("source").cast("string")).alias("a"), F.concat(F.lit("to:"), F.col("target")).alias("b"))
+    return connected_components(edges)
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("path"), pages.page_title(F.col("html")).alias("title"))
+    found = _page_links(spark, sf_dir).select(F.concat(F.lit("page:"), F.col("source").cast("string")).alias("source"), F.concat(F.lit("to:"), F.col("target")).alias("target"))
+    return p.unionByName(found.select(F.col("target").alias("path"), F.col("target").alias("title")).distinct()), found.distinct()
+
+
+def graph_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vertices, edges = _graph(spark, sf_dir)
+    return links.neighbourhood(vertices, edges, "thble", hops=2)
+
+
+def link_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path"))
+    edges = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("source"), (F.col("doc_id") - F.col("doc_id") % 7).cast("string").alias("target"))
+    known = edges.join(docs.select(F.col("path").alias("target")), "target", "left_semi").select("source", "target").where("source != target")
+    return links.connectivity(docs, known)
+
+
+def unlinked_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    title = pages.page_title(F.col("html"))
+    titles = table(spark, sf_dir, "pages").select(title.alias("name"), title.alias("title")).where("title is not null")
+    return links.unlinked_mentions(docs, titles)
+
+
+def lint_status_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path"), F.col("quality").cast("string").alias("type"), F.col("toxic").cast("string").alias("status"))
+    allowed = spark.sql("select * from values ('0', '0'), ('1', '0'), ('1', '1') as t(type, status)")
+    return lint.status_enum(notes, allowed)
+
+
+def _declared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    router = docs.select(F.col("source").alias("catalog")).distinct().withColumn("declared_rows", F.when(F.endswith("catalog", F.lit("7")), 40).otherwise(50).cast("long"))
+    return router, docs.select(F.col("source").alias("catalog"), F.col("doc_id").alias("link"))
+
+
+def lint_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lint.row_count_sync(*_declared(spark, sf_dir))
+
+
+def lint_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = table(spark, sf_dir, "documents").where("doc_id % 5 != 0").select(F.col("doc_id").cast("string").alias("path"), F.lit("active").alias("status"))
+    catalog = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("link"))
+    return lint.catalog_check(notes, catalog).select("path", "detail")
+
+
+def lint_archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("toxic") == 1, "archived").otherwise("active").alias("status"))
+    catalog = table(spark, sf_dir, "documents").select(F.col("source").alias("catalog"), F.col("doc_id").cast("string").alias("link"))
+    return lint.archived_in_catalog(catalog, notes).select("path", "detail")
+
+
+def lint_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("path"), F.col("o_orderdate").cast("date").alias("revisit"))
+    return lint.revisit_due(notes, F.lit("1996-01-01").cast("date")).select("rule", "path", "detail", "severity")
+
+
+def lint_beyond_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lint_status_enum(spark, sf_dir)
+    return lint.beyond_baseline(found, found.where(F.col("path").cast("long") % 3 == 0)).select("path", "fingerprint")
+
+
+def lint_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lint_status_enum(spark, sf_dir).unionByName(lint_row_count(spark, sf_dir))
+    return found.groupBy("severity").agg(F.count("*").alias("n"))
+
+
+def lint_canonical_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("fact_key"), F.col("doc_id").cast("string").alias("path"))
+    return lint.duplicate_facts(facts).select(F.col("path").alias("fact_key"), F.col("detail").alias("n_pages"))
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture.transcripts(table(spark, sf_dir, "conversations"))
+
+
+def qualifying_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture.qualifying(table(spark, sf_dir, "conversations"), min_turns=4)
+
+
+def pending_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = capture.qualifying(table(spark, sf_dir, "conversations"))
+    return capture.pending(sessions, sessions.where("session % 3 = 0"))
+
+
+def promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proposals = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("proposal_id"), "source")
+    approvals = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("proposal_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("approved"))
+    return capture.promote(proposals, approvals)
+
+
+def recent_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit("project").alias("type"), F.when(F.col("lang") == "en", "active").otherwise("closed").alias("status"), "n_chars")
+    return capture.recent_active(notes, F.col("n_chars")).select("path", "n_chars")
+
+
+def catalog_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("link"), F.col("lang").alias("summary"))
+    changed = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("link"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("summary"), F.when(F.col("toxic") == 1, "archived").otherwise("active").alias("status"))
+    return capture.refresh_catalog(catalog, changed)
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("event_date"), "event_type", F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("text"))
+    return capture.log_lines(events)
+
+
+def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowed_counts(table(spark, sf_dir, "events")).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", pages.page_title(F.col("html")).alias("title"))
+
+
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_text(table(spark, sf_dir, "pages"))
+
+
+FIELDS = {"heading": r"(?is)<h1[^>]*>(.*?)</h1", "language": r"""(?is)<html[^>]*\blang="([^"]*)\"""", "first_link": r"""(?is)\bhref="([^"]*)\""""}
+
+
+def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.collect_fields(table(spark, sf_dir, "pages"), FIELDS)
+
+
+def page_render_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.render_status(table(spark, sf_dir, "pages"), min_chars=600)
+
+
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.as_markdown(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def pending_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    return pages.pending_pages(p, p.where("page_id % 4 = 0"))
+
+
+def blocked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = spark.sql("select * from values ('License'), ('copyright'), ('ndwhst') as t(term)")
+    return pages.without_blocked(table(spark, sf_dir, "documents"), terms, "text").select("doc_id")
+
+
+def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per word: what an identifier or anchor word is chosen by."""
+    words = F.explode(F.array_distinct(F.split(F.trim(plain(F.lower("text"))), " "))).alias("word")
+    return table(spark, sf_dir, "documents").select(words).where("word != ''").groupBy("word").agg(F.count("*").alias("n_docs"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        search_topk, search_explain, search_matches, search_json, search_originals,
+        link_indegree, link_audit, link_unresolved, link_components, link_connectivity, graph_neighbourhood, unlinked_mentions,
+        lint_status_enum, lint_row_count, lint_catalog, lint_archived, lint_revisit, lint_beyond_baseline, lint_gate, lint_canonical_facts,
+        transcripts, qualifying_sessions, pending_sessions, promoted, recent_active, catalog_refresh, log_lines, events_hourly,
+        page_title, page_text, page_fields, page_render_status, page_markdown, pending_pages, blocked_terms, word_frequency,
+    )
+}
+
+_TERMS = list(search.terms_of(QUERY))
+_HITS = " + ".join(f"cast(contains(lower(text), '{t}') as bigint)" for t in _TERMS)
+_META = " + ".join(f"cast(lower({m}) = '{t}' as bigint)" for t in _TERMS for m in ("lang", "source"))
+_FOUND = f"""
+with status as (select doc_id, max(toxic) = 1 as stale from labels group by doc_id),
+scored as (
+  select d.doc_id, cast(d.doc_id as varchar) in ({", ".join(f"'{t}'" for t in _TERMS)}) as exact, coalesce(stale, false) as stale,
+    {_HITS} as text_hits, {_META} as meta_hits, d.lang, d.source, d.n_chars, d.text
+  from documents d left join status s on s.doc_id = d.doc_id
+), found as (select * from scored where exact or text_hits > 0 or meta_hits > 0),
+ranked as (select *, row_number() over (order by exact desc, stale, text_hits desc, meta_hits desc, doc_id) as rank from found)
+"""
+_LINKS = f"with links as (select page_id as source, unnest({_HREF}) as target from pages)"
+_TITLE = "nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\\s*>', 1), '\\s+', ' ', 'g')), '')"
+_STRIPPED = "coalesce(html, '')"
+for _tag in ("script", "style", "noscript", "template"):
+    _STRIPPED = f"regexp_replace({_STRIPPED}, '(?is)<{_tag}\\b.*?</{_tag}\\s*>', ' ', 'g')"
+_STRIPPED = f"regexp_replace(regexp_replace({_STRIPPED}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+for _name, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _STRIPPED = f"replace({_STRIPPED}, '{_name}', '{_char}')"
+_STRIPPED = f"trim(regexp_replace({_STRIPPED}, '\\s+', ' ', 'g'))"
+_RESOLVED = f"""{_LINKS}, names as (select distinct regexp_extract(url, '://[^/?#]*([^?#]*)', 1) as path from pages),
+keys as (select path, regexp_replace(lower(trim(path)), '\\.md$', '') as name from names),
+parts as (select path, string_split(name, '/') as seg from keys),
+ends as (select path, array_to_string(seg[i:], '/') as key from parts, unnest(range(1, len(seg) + 1)) as t(i)),
+best as (select key, first(path order by length(path), path) as resolved from ends group by key),
+resolved as (select links.*, resolved from links left join best on regexp_replace(lower(trim(target)), '\\.md$', '') = key)"""
+_ENUM = "select 'status-enum' as rule, cast(doc_id as varchar) as path, quality || '/' || toxic as detail, 'advisory' as severity from labels where quality = 0 and toxic = 1"
+_COUNTS = """select 'row-count' as rule, source as path, declared || ' of ' || n as detail, 'block' as severity
+  from (select source, case when suffix(source, '7') then 40 else 50 end as declared, count(*) as n from documents group by 1, 2) where declared <> n"""
+_PRINTED = "select *, sha256(rule || chr(31) || path || chr(31) || detail) as fingerprint from"
+_REACH = """, both_ways as (select a, b from edges union select b, a from edges),
+reach as (select a, a as b from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a)"""
+_FIELD = {"heading": "(?is)<h1[^>]*>(.*?)</h1", "language": '(?is)<html[^>]*\\blang="([^"]*)"', "first_link": '(?is)\\bhref="([^"]*)"'}
+
+ORACLE_SQL = {
+    "search_topk": f"{_FOUND} select doc_id, exact, stale, text_hits, meta_hits, rank from ranked where rank <= 20",
+    "search_explain": f"""{_FOUND} select doc_id, rank, concat_ws(',', case when exact then 'identifier' end, case when text_hits > 0 then 'text:' || text_hits end,
+      case when meta_hits > 0 then 'metadata:' || meta_hits end, case when stale then 'terminal-status' end) as reasons from ranked where rank <= 50""",
+    "search_matches": f"{_FOUND} select doc_id, exact, stale, text_hits, meta_hits from found",
+    "search_json": f"""{_FOUND} select '{{"doc_id":' || doc_id || ',"rank":' || rank || '}}' as value from ranked where rank <= 20""",
+    "search_originals": f"{_FOUND} select rank, doc_id, lang, source, n_chars, text from ranked where rank <= 20",
+    "link_indegree": f"{_LINKS} select target, count(*) as n_links, count(distinct source) as n_sources from links group by target",
+    "link_audit": f"""{_RESOLVED} select 'body' as origin, case when resolved is null then 'unresolved' else 'resolved' end as status, count(*) as n_links,
+      count(distinct target) as n_targets from resolved group by 2""",
+    "link_unresolved": f"{_RESOLVED} select distinct 'broken-link' as rule, cast(source as varchar) as path, target as detail, 'block' as severity from resolved where resolved is null",
+    "link_components": f"""with recursive links as (select page_id as source, unnest({_HREF}) as target from pages),
+      edges as (select distinct 'page:' || source as a, 'to:' || target as b from links) {_REACH}
+      select a as node, min(b) as component from reach group by a""",
+    "link_connectivity": f"""with recursive docs as (select cast(doc_id as varchar) as path, doc_id, quality from labels),
+      edges as (select path as a, cast(doc_id - doc_id % 7 as varchar) as b from docs where quality = 1 and doc_id % 7 <> 0 and cast(doc_id - doc_id % 7 as varchar) in (select path from docs)) {_REACH},
+      found as (select a, min(b) as component from reach group by a),
+      full_set as (select path, coalesce(component, path) as component, a is null as isolated from docs left join found on a = path)
+      select path, component, count(*) over (partition by component) as n_members, isolated from full_set""",
+    "graph_neighbourhood": f"""{_LINKS}, edges as (select distinct 'page:' || source as a, 'to:' || target as b from links),
+      both_ways as (select a, b from edges union select b, a from edges),
+      vertices as (select 'page:' || page_id as path, {_TITLE} as title from pages union all select distinct b, b from edges),
+      d0 as (select distinct path from vertices where contains(lower(concat_ws(' ', path, title)), 'thble')),
+      d1 as (select distinct b as path from both_ways where a in (from d0)),
+      d2 as (select distinct b as path from both_ways where a in (from d1))
+      select path, cast(min(distance) as int) as distance from (select path, 0 as distance from d0 union all select path, 1 from d1 union all select path, 2 from d2) group by path""",
+    "unlinked_mentions": f"""with titles as (select distinct {_TITLE} as name from pages), needles as (
+        select name, ' ' || trim(regexp_replace(name, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ' as needle from titles where name is not null),
+      hay as (select doc_id, ' ' || trim(regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ' as hay from documents)
+      select distinct doc_id as id, name from hay join needles on contains(hay, needle) where len(string_split(trim(needle), ' ')) >= 2""",
+    "lint_status_enum": f"{_PRINTED} ({_ENUM})",
+    "lint_row_count": f"{_PRINTED} ({_COUNTS})",
+    "lint_catalog": """select cast(coalesce(d.doc_id, l.doc_id) as varchar) as path, case when l.doc_id is null then 'not in a catalog' else 'no such page' end as detail
+      from (select doc_id from documents where doc_id % 5 <> 0) d full join (select distinct doc_id from labels) l on d.doc_id = l.doc_id where d.doc_id is null or l.doc_id is null""",
+    "lint_archived": "select cast(doc_id as varchar) as path, source as detail from documents where doc_id in (select doc_id from labels where toxic = 1)",
+    "lint_revisit": """select 'revisit-due' as rule, cast(o_orderkey as varchar) as path, strftime(o_orderdate, '%Y-%m-%d') as detail, 'advisory' as severity
+      from orders where o_orderstatus = 'O' and cast(o_orderdate as date) < date '1996-01-01'""",
+    "lint_beyond_baseline": f"select path, fingerprint from ({_PRINTED} ({_ENUM})) where cast(path as bigint) % 3 <> 0",
+    "lint_gate": f"select severity, count(*) as n from (({_ENUM}) union all ({_COUNTS})) group by severity",
+    "lint_canonical_facts": "select sha256(text) as fact_key, cast(count(*) as varchar) as n_pages from documents group by text having count(distinct doc_id) > 1",
+    "transcripts": """select conv_id as session, count(*) as n_turns, cast(length(string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) order by turn)) as bigint) as n_chars,
+      string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) order by turn) as transcript from conversations group by conv_id""",
+    "qualifying_sessions": "select conv_id as session, count(*) as n_turns from conversations group by 1 having count(*) >= 4 and bool_or(role = 'user') and bool_or(role = 'assistant')",
+    "pending_sessions": "select conv_id as session, count(*) as n_turns from conversations where conv_id % 3 <> 0 group by 1 having count(*) >= 2 and bool_or(role = 'user') and bool_or(role = 'assistant')",
+    "promoted": "select doc_id as proposal_id, source from documents where doc_id in (select doc_id from labels where quality = 1 and toxic = 0)",
+    "recent_active": "select doc_id as path, n_chars from documents where lang = 'en' order by n_chars desc, doc_id limit 3",
+    "catalog_refresh": """select doc_id as link, lang as summary from documents where doc_id not in (select doc_id from labels)
+      union all select doc_id, 'quality ' || quality from labels where toxic <> 1""",
+    "log_lines": "select '## [' || strftime(ts, '%Y-%m-%d') || '] ' || event_type || ' | event ' || event_id as value from events",
+    "events_hourly": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n from events group by 1, 2",
+    "page_title": f"select page_id, {_TITLE} as title from pages",
+    "page_text": f"select page_id, t as text, cast(length(t) as bigint) as n_chars from (select page_id, {_STRIPPED} as t from pages)",
+    "page_fields": "select page_id, url, " + ", ".join(f"nullif(trim(regexp_extract(coalesce(html, ''), '{p}', 1)), '') as {n}" for n, p in _FIELD.items()) + " from pages",
+    "page_render_status": f"""select page_id, case when s then 'render-unavailable' else 'ok' end as status, case when s then 3 else 0 end as exit_code
+      from (select page_id, regexp_matches(coalesce(html, ''), '(?i)<script\\b') and length({_STRIPPED}) < 600 as s from pages)""",
+    "page_markdown": "select '| ' || page_id || ' | ' || replace(regexp_replace(url, '\\s+', ' ', 'g'), '|', '\\|') || ' |' as value from pages",
+    "pending_pages": "select page_id, url from pages where url not in (select url from pages where page_id % 4 = 0)",
+    "blocked_terms": "select doc_id from documents where not contains(lower(text), 'license') and not contains(lower(text), 'copyright') and not contains(lower(text), 'ndwhst')",
+    "word_frequency": """select word, count(*) as n_docs from (
+      select unnest(list_distinct(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '))) as word from documents) where word <> '' group by word""",
+}
