@@ -1,0 +1,100 @@
+from __future__ import annotations
+
+import datetime
+
+from pyspark.sql import functions as F
+
+from vellumine.operators import capture, pages
+from vellumine.sources import vault
+from vellumine.streaming import capture as streaming
+
+
+def test_transcripts_order_turns_and_take_nulls(spark):
+    turns = spark.createDataFrame([(1, 1, "assistant", None), (1, 0, "user", "hi"), (2, 0, None, "x")], "conv_id long, turn long, role string, text string")
+    assert {r.session: r.transcript for r in capture.transcripts(turns).collect()} == {1: "user: hi\nassistant: ", 2: ": x"}
+    assert [r.session for r in capture.qualifying(turns).collect()] == [1]
+
+
+def test_promotion_needs_approval(spark):
+    proposals = spark.createDataFrame([(1,), (2,), (3,)], "proposal_id long")
+    approvals = spark.createDataFrame([(1, True), (2, False), (3, None)], "proposal_id long, approved boolean")
+    assert [r.proposal_id for r in capture.promote(proposals, approvals).collect()] == [1]
+
+
+def test_recent_active_takes_nulls_last(spark):
+    notes = spark.createDataFrame([("a", "project", "active", 1), ("b", "project", "active", None), ("c", "project", "closed", 9), ("d", "insight", "active", 9)], "path string, type string, status string, at int")
+    assert [r.path for r in capture.recent_active(notes, F.col("at")).collect()] == ["a", "b"]
+
+
+def test_routing_and_refresh(spark):
+    router = spark.createDataFrame([("P", "index-p"), ("Q", "index-q")], "category string, catalog string")
+    catalog = spark.createDataFrame([("index-p", "projects/a", "old"), ("index-p", "projects/b", "gone"), ("index-q", "x", "y")], "catalog string, link string, summary string")
+    notes = spark.createDataFrame([("projects/a.md", "body")], "path string, body string")
+    assert [(r.link, r.body) for r in capture.route(router, catalog, notes, "P").collect()] == [("projects/a", "body")]
+    changed = spark.createDataFrame([("index-p", "projects/a", "new", "active"), ("index-p", "projects/b", "gone", "archived"), ("index-p", "projects/c", "first", None)], "catalog string, link string, summary string, status string")
+    assert sorted((r.link, r.summary) for r in capture.refresh_catalog(catalog, changed).collect()) == [("projects/a", "new"), ("projects/c", "first"), ("x", "y")]
+
+
+def test_log_round_trip(spark, tmp_path):
+    events = spark.createDataFrame([(datetime.date(2025, 1, 2), "ingest", "two\nlines")], "event_date date, event_type string, text string")
+    capture.log_lines(events).write.mode("append").text(str(tmp_path / "log"))
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "log")).collect())
+    assert [tuple(r) for r in vault.parse_log(spark.createDataFrame([("log.md", text)], "path string, text string")).collect()] == [(datetime.date(2025, 1, 2), "ingest", "two lines")]
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def test_page_fields_and_status(spark):
+    html = "<html><head><title> A\n title </title><script>var x='</p>';</script></head><body><!-- no --><h1>Head</h1>a &amp; b<p>one | two</p></body></html>"
+    frame = spark.createDataFrame([(1, "u1", html), (2, "u2", "<html><script>app()</script></html>"), (3, "u3", None)], PAGES)
+    assert [r.t for r in frame.orderBy("page_id").select(pages.page_title(F.col("html")).alias("t")).collect()] == ["A title", None, None]
+    assert {r.page_id: r.text for r in pages.page_text(frame).collect()} == {1: "A title Head a & b one | two", 2: "", 3: ""}
+    assert {r.page_id: (r.status, r.exit_code) for r in pages.render_status(frame, min_chars=5).collect()} == {1: ("ok", 0), 2: ("render-unavailable", 3), 3: ("ok", 0)}
+    fields = pages.collect_fields(frame, {"heading": r"<h1>(.*?)</h1>"})
+    assert {r.page_id: r.heading for r in fields.collect()} == {1: "Head", 2: None, 3: None}
+
+
+def test_writers(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a|b\nc")], "id long, text string")
+    for form in ("json", "csv", "markdown"):
+        pages.write(rows, str(tmp_path / form), form)
+    assert spark.read.json(str(tmp_path / "json")).first().text == "a|b\nc"
+    assert [r.value for r in spark.read.text(str(tmp_path / "markdown")).collect()] == ["| 1 | a\\|b c |"]
+
+
+def test_blocked_terms_short_and_long_lists(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "has SECRET inside"), (2, "fine"), (3, None)], "id long, text string")
+    terms = spark.createDataFrame([("secret",), ("other",)], "term string")
+    assert sorted(r.id for r in pages.without_blocked(rows, terms, "text").collect()) == [2, 3]
+    monkeypatch.setattr(pages, "PREDICATE_CHARS", 1)
+    assert sorted(r.id for r in pages.without_blocked(rows, terms, "text").collect()) == [2, 3]
+
+
+def test_pending_pages(spark):
+    frame = spark.createDataFrame([(1, "u1", ""), (2, "u2", "")], PAGES)
+    assert [r.page_id for r in pages.pending_pages(frame, frame.where("page_id = 1")).collect()] == [2]
+
+
+def test_sessions_are_taken_once_over_restarts(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "session long, text string"
+
+    def run():
+        stream = streaming.file_stream(spark, source, schema)
+        query = streaming.take_once(stream, str(tmp_path / "ledger"), str(tmp_path / "ckpt"), "session", lambda rows: rows.write.mode("append").parquet(out))
+        query.awaitTermination(120)
+
+    spark.createDataFrame([(1, "a"), (2, "b")], schema).write.mode("append").parquet(source)
+    run()
+    spark.createDataFrame([(2, "again"), (3, "c")], schema).write.mode("append").parquet(source)
+    run()
+    run()
+    assert sorted((r.session, r.text) for r in spark.read.parquet(out).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_log_stream_appends(spark, tmp_path):
+    schema = "event_date date, event_type string, text string"
+    spark.createDataFrame([(datetime.date(2025, 1, 2), "lint", "ok")], schema).write.parquet(str(tmp_path / "in"))
+    streaming.append_log(streaming.file_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "log"), str(tmp_path / "ckpt")).awaitTermination(120)
+    assert [r.value for r in spark.read.text(str(tmp_path / "log")).collect()] == ["## [2025-01-02] lint | ok"]
