@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from vellumine.llm import tokens
 from vellumine.plans.durable import materialise
 
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_000_000
 #: Tokens per partition of the count tables.
-PART_TOKENS = 1_000_000
+PART_TOKENS = 2_000_000
 #: Counts above this are not discounted.
 DISCOUNTED = 5
 
@@ -58,7 +58,8 @@ def _dump(*arrays: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def _load(payload: bytes) -> list[np.ndarray]:
+def _load(payload: pa.Buffer | bytes) -> list[np.ndarray]:
+    payload = memoryview(payload)
     out, at = [], 1
     for _ in range(payload[0]):
         kind, n, size = struct.unpack_from("<3sQQ", payload, at)
@@ -70,6 +71,11 @@ def _load(payload: bytes) -> list[np.ndarray]:
     return out
 
 
+def _gaps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as the differences of neighbours, which compress better."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["kind", "part", "batch", "payload", "stats"])
@@ -88,7 +94,7 @@ class _Batch:
     train: np.ndarray
 
     @classmethod
-    def of(cls, payload: bytes) -> _Batch:
+    def of(cls, payload: pa.Buffer) -> _Batch:
         return cls(*_load(payload))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,9 +162,9 @@ def _tokenise(batches):
 def _ask_words(parts: int):
     def run(batches):
         for batch in batches:
-            for number, payload in zip(batch.column("batch").to_pylist(), batch.column("payload").to_pylist()):
-                b = _Batch.of(payload)
-                yield _rows([("ask", p, number, _dump(b.words[x], b.train[x]), None) for p, x in _deal(b.words, parts)[1]])
+            for number, payload in zip(batch.column("batch").to_pylist(), batch.column("payload")):
+                b = _Batch.of(payload.as_buffer())
+                yield _rows([("ask", p, number, _dump(_gaps(b.words[x]), b.train[x]), None) for p, x in _deal(b.words, parts)[1]])
 
     return run
 
@@ -166,11 +172,11 @@ def _ask_words(parts: int):
 def _ask_bigrams(parts: int):
     def run(batches):
         for batch in batches:
-            for number, payload in zip(batch.column("batch").to_pylist(), batch.column("payload").to_pylist()):
-                b = _Batch.of(payload)
+            for number, payload in zip(batch.column("batch").to_pylist(), batch.column("payload")):
+                b = _Batch.of(payload.as_buffer())
                 keys, _, train = b.pairs()
                 hashes = b.bigrams(keys)
-                yield _rows([("ask", p, number, _dump(hashes[x], train[x].astype(np.uint32)), None) for p, x in _deal(hashes, parts)[1]])
+                yield _rows([("ask", p, number, _dump(_gaps(hashes[x]), train[x].astype(np.uint32)), None) for p, x in _deal(hashes, parts)[1]])
 
     return run
 
@@ -178,8 +184,8 @@ def _ask_bigrams(parts: int):
 def _merged(table: pa.Table) -> tuple[np.ndarray, list[int], list[np.ndarray], list[list[np.ndarray]]]:
     """The distinct keys of a partition, and per asking batch the places of its keys."""
     table = table.sort_by("batch")
-    asked = [_load(p) for p in table.column("payload").to_pylist()]
-    keys = np.concatenate([a[0] for a in asked])
+    asked = [_load(p.as_buffer()) for p in table.column("payload")]
+    keys = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
     distinct, place = np.unique(keys, return_inverse=True)
     places = np.split(place, np.cumsum([len(a[0]) for a in asked])[:-1])
     return distinct, table.column("batch").to_pylist(), places, [a[1:] for a in asked]
@@ -203,7 +209,7 @@ def _answer(model: str):
             out.append(("answer", part, number, _dump(2 * total[place] + free[place]), None))
             free[place] = False
         seen = total > 0
-        out.append((model, part, -1, _dump(keys[seen], total[seen]), [int(total.sum()), int(seen.sum()), *_count_of_counts(total)]))
+        out.append((model, part, -1, _dump(_gaps(keys[seen]), total[seen]), [int(total.sum()), int(seen.sum()), *_count_of_counts(total)]))
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -270,9 +276,9 @@ def _collected(order: np.ndarray, answers: list[list[np.ndarray]]) -> list[np.nd
 
 def _of_batch(table: pa.Table, model: Model):
     table = table.sort_by("part")
-    by: dict[str, list[bytes]] = {}
-    for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist()):
-        by.setdefault(kind, []).append(payload)
+    by: dict[str, list[pa.Buffer]] = {}
+    for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload")):
+        by.setdefault(kind, []).append(payload.as_buffer())
     batch = _Batch.of(by["docs"][0])
     keys, place, _ = batch.pairs()
     counts = _collected(_deal(batch.words, model.parts)[0], [_load(p) for p in by["words"]])[0] >> 1
@@ -292,7 +298,7 @@ def _ask_contexts(model: Model):
         sums.append(np.bincount(context, weights=np.where(count > DISCOUNTED, count, 0), minlength=n).astype(np.int64))
         sums.append(np.bincount(context, weights=model.unigram(counts[(keys & 0xFFFFFFFF)[own]]), minlength=n))
         names = batch.contexts()
-        return pa.Table.from_batches([_rows([("ask", p, key[0].as_py(), _dump(names[x], *(s[x] for s in sums)), None) for p, x in _deal(names, model.parts)[1]])])
+        return pa.Table.from_batches([_rows([("ask", p, key[0].as_py(), _dump(_gaps(names[x]), *(s[x] for s in sums)), None) for p, x in _deal(names, model.parts)[1]])])
 
     return run
 
@@ -317,7 +323,7 @@ def _back_off(model: Model):
             alpha = np.where(seen > 0, np.where(extra, 1.0, left) / below / (1 - sums[DISCOUNTED + 1]), 1.0)
         part = key[0].as_py()
         out = [("answer", part, number, _dump(alpha[place], below[place]), None) for number, place in zip(numbers, places)]
-        out.append(("backoff", part, -1, _dump(keys[seen > 0], alpha[seen > 0], below[seen > 0]), None))
+        out.append(("backoff", part, -1, _dump(_gaps(keys[seen > 0]), alpha[seen > 0], below[seen > 0]), None))
         return pa.Table.from_batches([_rows(out)])
 
     return run
