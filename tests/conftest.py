@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 import sys
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -44,7 +45,7 @@ def duck():
 def rows_of(frame) -> list[tuple]:
     """Rows with columns by name, as sorted strings."""
     names = sorted(frame.columns)
-    return sorted(tuple(str(None if v is None or v != v else v) for v in row) for row in frame[names].astype(object).itertuples(index=False))
+    return sorted(tuple("null" if pd.api.types.is_scalar(v) and pd.isna(v) else str(v) for v in row) for row in frame[names].astype(object).itertuples(index=False))
 
 
 @pytest.fixture(scope="session")
