@@ -1,0 +1,102 @@
+from __future__ import annotations
+
+import random
+import re
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from vellumine.llm import ngram_join as J
+from vellumine.llm import queries, tokens
+
+UPPER = {c: c + 32 for c in range(65, 91)}
+
+
+def shingles(text, width):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(UPPER))
+    if len(w) < width:
+        return {tuple(w)} if w else set()
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
+
+
+def brute(rows, width, t):
+    sets = [shingles(x, width) for _, x in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and t.denominator * len(a & b) >= t.numerator * len(a | b):
+                up[find(i)] = find(j)
+    lowest = {}
+    for i, (doc_id, _) in enumerate(rows):
+        lowest[find(i)] = min(doc_id, lowest.get(find(i), doc_id))
+    return sorted((doc_id, len(sets[i]), lowest[find(i)]) for i, (doc_id, _) in enumerate(rows))
+
+
+def corpus(seed, families=12, copies=10, length=60):
+    """Families whose members differ a little, so that many pairs lie near the threshold."""
+    rng = random.Random(seed)
+    vocabulary = [f"W{i}" for i in range(300)]
+    rows, shared = [], rng.choices(vocabulary, k=30)
+    for _ in range(families):
+        base = rng.choices(vocabulary, k=rng.randrange(length // 2, length))
+        if rng.random() < 0.4:
+            base += shared
+        for _ in range(rng.randrange(1, copies)):
+            member = [rng.choice(vocabulary) if rng.random() < rng.choice((0, 0.01, 0.03)) else w for w in base]
+            rows.append((len(rows) * 7 % 1009, " ".join(member)))
+    rows += [(5000, None), (5001, ""), (5002, " \n"), (5003, "one"), (5004, "ONE"), (5005, "one two"), (5006, rows[0][1].lower()), (5007, "x " * 4000), (5008, "x " * 3000)]
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "width", "threshold", "block"), [(0, 3, 0.9, 2048), (1, 5, 0.8, 2048), (2, 2, 0.8, 6), (3, 3, 0.9, 4)])
+def test_against_brute_force(spark, monkeypatch, seed, width, threshold, block):
+    monkeypatch.setattr(J, "BLOCK", block)
+    rows = corpus(seed)
+    frame = spark.createDataFrame([(*r, 0, "k") for r in rows], "doc_id long, text string, n int, key string").repartition(3)
+    found = sorted(tuple(r) for r in J.jaccard_components(frame, width=width, threshold=threshold).collect())
+    assert found == brute(rows, width, Fraction(threshold).limit_denominator(1000))
+
+
+def test_repeated_rows_and_empty_tables(spark):
+    frame = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d")], "doc_id long, text string")
+    assert sorted(str(r.component_id) for r in J.jaccard_components(frame).collect()) == ["1", "1", "1", "1"]
+    assert J.jaccard_components(frame.where("false")).count() == 0
+    assert sorted(str(r.doc_id) for r in J.near_duplicates(frame).collect()) == ["1", "1", "None"]
+
+
+def test_tree_finds_what_a_scan_finds():
+    rng = np.random.default_rng(1)
+    t = Fraction(9, 10)
+    vectors = rng.poisson(2, (500, J.GROUPS)).astype(np.int32)
+    vectors[100:160] = vectors[100] + (rng.random((60, J.GROUPS)) < 0.02)
+    sizes, labels = vectors.sum(axis=1).astype(np.int64), rng.integers(0, 40, 500)
+    tree = J.CountTree(sizes, vectors, labels)
+    for i in range(0, 500, 7):
+        found, _ = tree.search(int(sizes[i]), vectors[i], int(labels[i]), t)
+        bound = np.minimum(vectors, vectors[i]).sum(axis=1)
+        wanted = np.flatnonzero((labels != labels[i]) & (bound * 19 >= 9 * (sizes + sizes[i])) & (10 * np.minimum(sizes, sizes[i]) >= 9 * np.maximum(sizes, sizes[i])))
+        assert sorted(found.tolist()) == wanted.tolist()
+
+
+def test_words_are_bytes_between_white_space():
+    import pyarrow as pa
+
+    texts = ["A b\tÉ\x00x", None, "", " lead", "tail ", " wide", "x" * 3000]
+    data, rows = tokens.utf8(pa.array(texts))
+    hashes, starts, ends, first = tokens.word_hashes(data, rows, tokens.SPACED)
+    got = [[bytes(data[a:b]).decode() for a, b in zip(starts[x:y], ends[x:y])] for x, y in zip(first, first[1:])]
+    assert got == [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    again = tokens.word_hashes(*tokens.utf8(pa.array(["b a", "lead A"])), tokens.SPACED)[0]
+    assert again.tolist() == [hashes[1], hashes[0], hashes[3], hashes[0]]
+
+
+def test_against_oracle(same):
+    same(queries.op2_ngram_jaccard, queries.ORACLE_SQL["op2_ngram_jaccard"])

@@ -28,6 +28,8 @@ from vellumine.plans.durable import materialise
 
 #: Pieces that are packed together, about.
 SHARD = 50_000
+#: Look-ups of the local search in a shard, each over its underfull bins.
+EFFORT = 20_000
 
 _encoders: dict[tuple[str, str], object] = {}
 
@@ -92,65 +94,94 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def least_bins(lengths: list[int], capacity: int) -> int:
+    """A lower bound: pieces over half the capacity share no bin, and the small ones must fill what is left.
+
+    For each threshold k, pieces over capacity - k stand alone, those over half
+    the capacity take a bin each, and pieces of k or more compete for the rest.
+    """
+    sizes = np.sort(np.asarray(lengths, dtype=np.int64))
+    ahead = np.concatenate([[0], np.cumsum(sizes)])
+    best = -(-int(ahead[-1]) // capacity)
+    half = int(np.searchsorted(sizes, capacity // 2, side="right"))
+    for k in np.unique(np.concatenate([[0], sizes[:half]])):
+        alone = int(np.searchsorted(sizes, capacity - k, side="right"))
+        small = int(np.searchsorted(sizes, k))
+        room = (alone - half) * capacity - (ahead[alone] - ahead[half])
+        rest = ahead[half] - ahead[min(small, half)] - room
+        best = max(best, len(sizes) - half + max(0, -(-int(rest) // capacity)))
+    return best
+
+
 class _Search:
     """Local search over the underfull bins."""
 
     def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
-        self.bins, self.lengths, self.capacity = bins, lengths, capacity
-        self.fill = [sum(lengths[i] for i in b) for b in bins]
+        self.bins, self.capacity = bins, capacity
+        self.length = np.asarray(lengths, dtype=np.int64)
+        self.bin_of = np.empty(len(lengths), dtype=np.int64)
+        for k, b in enumerate(bins):
+            self.bin_of[b] = k
+        self.fill = np.array([self.length[b].sum() for b in bins], dtype=np.int64)
+        self.looks = 0
 
     def _apply(self, a: int, b: int, gives: list[int], takes: list[int]) -> None:
-        for i in takes:
-            self.bins[a].remove(i)
-            self.bins[b].append(i)
-        for i in gives:
-            self.bins[b].remove(i)
-            self.bins[a].append(i)
-        moved = sum(self.lengths[i] for i in takes) - sum(self.lengths[i] for i in gives)
-        self.fill[a] -= moved
-        self.fill[b] += moved
-
-    def _best(self, a: int, b: int) -> tuple[int, list[int], list[int]] | None:
-        """The exchange that fills b most from the emptier a: (gain, b gives, b takes)."""
-        free = self.capacity - self.fill[b]
-        lengths = self.lengths
-        takes: dict[int, list[int]] = {}
+        """Bin b takes items of a and gives some back."""
+        for source, target, items in ((a, b, takes), (b, a, gives)):
+            for i in items:
+                self.bins[source].remove(i)
+                self.bins[target].append(i)
+                self.bin_of[i] = target
+                self.fill[source] -= self.length[i]
+                self.fill[target] += self.length[i]
+
+    def _offers(self, a: int) -> list[tuple[int, list[int]]]:
+        """What the bin can give: (size, items), one or two items, each size once, largest first."""
+        firsts: dict[int, list[int]] = {}
         for i in self.bins[a]:
-            takes.setdefault(lengths[i], [i])
-        sizes = sorted(takes)
-        pairs: dict[int, list[int]] = {}
-        own = sorted(self.bins[a], key=lengths.__getitem__)
-        for x in range(len(own)):
-            for y in range(x):
-                pairs.setdefault(lengths[own[x]] + lengths[own[y]], [own[x], own[y]])
-        pair_sizes = sorted(pairs)
-        best = None
-        gives: dict[int, list[int]] = {0: []}
-        for i in self.bins[b]:
-            gives.setdefault(lengths[i], [i])
-        for out, giving in gives.items():
-            for known, table in ((sizes, takes), (pair_sizes, pairs)):
-                at = bisect.bisect_right(known, out + free) - 1
-                if at >= 0 and known[at] > out and (best is None or known[at] - out > best[0]):
-                    best = (known[at] - out, giving, table[known[at]])
-        return best
+            firsts.setdefault(int(self.length[i]), []).append(i)
+        out = {size: [items[0]] for size, items in firsts.items()}
+        sizes = sorted(firsts)
+        for x, size in enumerate(sizes):
+            for other in sizes[x + (len(firsts[size]) < 2) :]:
+                out.setdefault(size + other, [firsts[size][0], firsts[other][1 if other == size else 0]])
+        return sorted(out.items(), reverse=True)
+
+    def _improve(self, a: int, pool: np.ndarray) -> bool:
+        """One exchange from bin a into a bin at least as full, the one that gains most."""
+        if not self.bins[a]:
+            return False
+        others = pool[self.bin_of[pool] != a]
+        others = others[self.fill[self.bin_of[others]] >= self.fill[a]]
+        low, free = self.length[others], self.capacity - self.fill[self.bin_of[others]]
+        bins = np.flatnonzero((self.fill < self.capacity) & (self.fill >= self.fill[a]))
+        bins = bins[bins != a]
+        for size, items in self._offers(a):
+            self.looks += 1
+            fits = bins[self.capacity - self.fill[bins] >= size]
+            if len(fits):
+                self._apply(a, int(fits[np.argmax(self.fill[fits])]), [], items)
+                return True
+            fits = np.flatnonzero((low < size) & (low + free >= size))
+            if len(fits):
+                i = int(others[fits[np.argmin(low[fits])]])
+                self._apply(a, int(self.bin_of[i]), [i], items)
+                return True
+        return False
 
     def run(self) -> list[list[int]]:
         """Empty bins from the least filled on, while an exchange raises the sum of squares."""
-        bound = -(-sum(self.fill) // self.capacity)
-        order = sorted((b for b in range(len(self.bins)) if self.fill[b] < self.capacity), key=self.fill.__getitem__)
-        filled = len(self.bins)
-        for k, a in enumerate(order):
-            if filled <= bound:
-                break
-            moved = True
-            while moved and self.bins[a]:
-                moved = False
-                for b in reversed(order[k + 1 :]):
-                    if self.bins[a] and self.fill[b] < self.capacity and self.fill[b] >= self.fill[a] and (found := self._best(a, b)):
-                        self._apply(a, b, found[1], found[2])
-                        moved = True
-            filled -= not self.bins[a]
+        bound = least_bins(self.length.tolist(), self.capacity)
+        moved = True
+        while moved and np.count_nonzero(self.fill) > bound and self.looks < EFFORT:
+            moved = False
+            under = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
+            pool = np.flatnonzero(np.isin(self.bin_of, under))
+            for a in under[np.argsort(self.fill[under], kind="stable")].tolist():
+                while self.looks < EFFORT and self._improve(a, pool):
+                    moved = True
+                if np.count_nonzero(self.fill) <= bound:
+                    break
         return [b for b in self.bins if b]
 
 
