@@ -80,3 +80,8 @@ def test_reading_files_and_terms(spark, tmp_path):
     (tmp_path / "terms").write_text("one\n\n one \ntwo\n")
     assert [r.text for r in vault.read_markdown(spark, str(tmp_path)).collect()] == ["# N\nline\n"]
     assert sorted(r.term for r in vault.read_terms(spark, str(tmp_path / "terms")).collect()) == ["one", "two"]
+
+
+def test_root_falls_through_empty_names():
+    assert vault.vault_root("", None, "b", default="d") == "b"
+    assert vault.vault_root(None, "", default="d") == "d"

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from vellumine.functions.text import strip_markup
 
 
+# What a page that needs a browser is answered with.
+RENDER_UNAVAILABLE, RENDER_EXIT = "render-unavailable", 3
+
+
 def page_title(html: Column) -> Column:
     """The content of the title element, white space folded; null if there is none."""
     title = F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title\s*>", 1), r"\s+", " "))
@@ -24,7 +28,7 @@ def render_status(pages: DataFrame, id_column: str = "page_id", html_column: str
     text = strip_markup(F.col(html_column))
     scripted = F.regexp_like(F.coalesce(html_column, F.lit("")), F.lit(r"(?i)<script\b"))
     unavailable = scripted & (F.length(text) < min_chars)
-    return pages.select(F.col(id_column), F.when(unavailable, "render-unavailable").otherwise("ok").alias("status"), F.when(unavailable, 3).otherwise(0).alias("exit_code"))
+    return pages.select(F.col(id_column), F.when(unavailable, RENDER_UNAVAILABLE).otherwise("ok").alias("status"), F.when(unavailable, RENDER_EXIT).otherwise(0).alias("exit_code"))
 
 
 def collect_fields(pages: DataFrame, fields: dict[str, str], keep: tuple[str, ...] = ("page_id", "url"), html_column: str = "html") -> DataFrame:

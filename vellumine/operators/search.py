@@ -86,6 +86,12 @@ def originals(found: DataFrame, docs: DataFrame, fields: Fields = Fields()) -> D
     return docs.join(F.broadcast(found.select(fields.id, "rank")), fields.id).orderBy("rank")
 
 
+# Modes, reasons and exit codes that callers of a search rely on.
+FILTERED_EMPTY = "filtered-empty"
+EMPTY_CORPUS, FILTERS_EXCLUDE_ALL = "empty-corpus", "filters-exclude-all"
+OK, USAGE, EMPTY, UNREADABLE, INTERNAL = 0, 1, 2, 3, 5
+
+
 @dataclass
 class Envelope:
     """What a search always answers with, as JSON."""
@@ -106,22 +112,23 @@ def run_search(load, query: str | None, limit: int = 20, fields: Fields = Fields
     filters that leave nothing; 3 a corpus that can't be read; 5 anything else.
     """
     if not query or not query.strip() or limit < 1:
-        return Envelope("usage", 1, "usage")
+        return Envelope("usage", USAGE, "usage")
     try:
         try:
             docs = load()
             if docs.isEmpty():
-                return Envelope("filtered-empty", 2, "empty-corpus")
+                return Envelope(FILTERED_EMPTY, EMPTY, EMPTY_CORPUS)
         except (AnalysisException, OSError):
-            return Envelope("unreadable", 3, "unreadable-corpus")
+            return Envelope("unreadable", UNREADABLE, "unreadable-corpus")
+        # the filters are looked at only where they were given
         if filters is not None:
             docs = docs.where(filters)
             if docs.isEmpty():
-                return Envelope("filtered-empty", 2, "filters-exclude-all")
+                return Envelope(FILTERED_EMPTY, EMPTY, FILTERS_EXCLUDE_ALL)
         rows = search(docs, query, limit, fields, explain).orderBy("rank").collect()
-        return Envelope("search", 0, None, [r.asDict() for r in rows])
+        return Envelope("search", OK, None, [r.asDict() for r in rows])
     except Exception as error:  # the envelope is the error channel
-        return Envelope("error", 5, str(error))
+        return Envelope("error", INTERNAL, str(error))
 
 
 def as_json(rows: DataFrame) -> DataFrame:

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from vellumine.functions.text import wikilinks
 
 
+def vault_root(*named: str | None, default: str) -> str:
+    """The first place that is named and not empty, else the default."""
+    return next(filter(None, named), default)
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Every Markdown file under path, whole: (path, text)."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
