@@ -134,7 +134,7 @@ def _route(text_column: str, width: int, t: Fraction, counts):
         weight = counts.value
         seen: set[int] = set()
         for batch in tokens.parts(batches, text_column):
-            keys, nodes = [], []
+            keys, nodes, sizes = [], [], []
             for s in _sets(batch, text_column, width):
                 n = len(s)
                 if not n or (node := _node(s)) in seen:
@@ -148,8 +148,9 @@ def _route(text_column: str, width: int, t: Fraction, counts):
                     s = s[near[np.lexsort((s[near], rare[near]))[:length]]]
                 keys.append(s.view(np.int64))
                 nodes.append(np.full(len(s), node, dtype=np.int64))
+                sizes.append(np.full(len(s), n, dtype=np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, sizes)], names=["key", "node", "n"])
 
     return run
 
@@ -327,22 +328,27 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     counts = spark.sparkContext.broadcast(_bucket_counts(signed.where("totals is not null").select("totals")))
     sizes = signed.where("totals is null")
     nodes = materialise(sizes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vector").alias("vector")))
-    keys = materialise(docs.select("text").mapInArrow(_route("text", width, t, counts), "key long, node long"), old)
-    members = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("pivot"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("all"))
-    shared = materialise(members.where("pivot != last").groupBy("members", "pivot", "last", "all").agg(F.min("key").alias("key")).select("key", "members", "pivot"), old)
-    blocks = materialise(keys.join(shared, "key").join(nodes.drop("rep"), "node").select("key", "members", "pivot", "node", "n", "vector"))
+    keys = materialise(docs.select("text").mapInArrow(_route("text", width, t, counts), "key long, node long, n long"), old)
+    # a sum over wide decimals tells member lists apart, copies from several tasks included
+    every = [F.count("*").alias("members"), F.min("node").alias("pivot"), F.max("node").alias("last"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("all"), F.min("n").alias("low"), F.max("n").alias("high")]
+    # two sets whose sizes alone rule a link out are most of what meets by chance
+    hopeful = (F.col("members") > 2) | (F.col("low") * t.denominator >= F.col("high") * t.numerator)
+    members = keys.groupBy("key").agg(*every).where((F.col("pivot") != F.col("last")) & hopeful)
+    shared = materialise(members.groupBy("members", "pivot", "last", "all").agg(F.min("key").alias("key")).select("key", "members", "pivot"), old)
+    blocks = materialise(keys.drop("n").join(shared, "key").select("key", "members", "pivot", "node"))
     discard(spark, old)
 
     labels = nodes.select("node", F.col("node").alias("label"))
-    tried = None
+    points, tried = nodes.select("node", "n", "vector"), None
     for mode in ("star", "best", "all"):
         labelled = materialise(blocks.join(labels, "node"), old)
-        open_keys = materialise(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key"), old)
-        pairs = _blocks_of(labelled.join(open_keys, "key"), t, mode)
+        open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+        live = labelled.join(materialise(open_keys, old), "key").join(points, "node")
+        pairs = _blocks_of(live, t, mode)
         pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         discard(spark, old)
         if not pairs.isEmpty():
-            links = materialise(_verified(pairs, nodes, docs, "text", width, t))
+            links = materialise(_verified(pairs, nodes, docs, "text", width, t), old)
             labels = materialise(_relabel(labels, links))
         tried = pairs if tried is None else tried.union(pairs)
     known = nodes.select("node", "rep").join(labels, "node")
