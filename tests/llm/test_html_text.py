@@ -46,6 +46,11 @@ def test_unclosed_and_misnested_markup():
     assert X.main_text(f"<article><p>{PARAGRAPH}</p><script>never closed <p>x</p>") == PARAGRAPH
 
 
+def test_odd_attributes():
+    assert X.main_text(f"<article><p data=it's>{PARAGRAPH}</p><p title='a > b' x = \"</p>\">two</p><p class=\"open>three</p></article>").startswith(f"{PARAGRAPH}\ntwo")
+    assert X.main_text(f"<p>{PARAGRAPH}</p><a " + 'x="y" ' * 5000) == PARAGRAPH
+
+
 @pytest.mark.parametrize(("raw", "text"), [("", ""), (" \n ", ""), ("plain words", "plain words"), ("a &lt; b &#233; &eacute;", "a < b é é"), ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"), ("<nav>only a menu</nav>", ""), ("<p></p>", ""), ("<div hidden>no</div>", "")])
 def test_small_pages(raw, text):
     assert X.main_text(raw) == text

@@ -39,7 +39,8 @@ LIKELY = frozenset("article articlebody post entry content story main body".spli
 # A name with one of these in front tells of the page's layout, not of the element.
 LAYOUT = ("has", "with", "no", "without")
 
-_TOKEN = re.compile(r"<!--(?:.*?(?:-->|--!>)|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--(?:.*?(?:-->|--!>)|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>", re.S)
+_OPEN = re.compile(r"</?[a-zA-Z]|<[!?]")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[\s\xa0]+")
 
@@ -165,8 +166,10 @@ def parse(page: str) -> _Page:
             at = end + 1 if end >= 0 else len(page)
             continue
         out.open(tag, m[3])
-    if at < len(page):
-        out.text(page[at:])
+    rest = page[at:]
+    # a tag that never ends is no text
+    cut = _OPEN.search(rest)
+    out.text(rest[: cut.start()] if cut else rest)
     out.end()
     return out
 
