@@ -46,7 +46,9 @@ def test_graph_and_connectivity(notes, resolved, tmp_path, spark):
     assert {r.path: r.distance for r in near.collect()} == {"projects/a.md": 0, "decisions/b.md": 1}
 
 
-def test_unlinked_mentions_are_whole_words_and_not_linked(spark):
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_unlinked_mentions_are_whole_words_and_not_linked(spark, monkeypatch, limit):
+    monkeypatch.setattr(links, "BROADCAST_TITLES", limit)
     texts = spark.createDataFrame([(1, "The Great Plan, of old"), (2, "the great plan"), (3, "A Great Planet"), (4, "Great-Plan!"), (5, None)], "id long, text string")
     titles = spark.createDataFrame([("t", "Great Plan"), ("u", "The"), ("v", None)], "name string, title string")
     assert {(r.id, r.name) for r in links.unlinked_mentions(texts, titles).collect()} == {(1, "t"), (4, "t")}

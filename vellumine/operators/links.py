@@ -11,6 +11,10 @@ from vellumine.operators.components import connected_components
 HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
 
 
+#: Titles that may be broadcast.
+BROADCAST_TITLES = 100_000
+
+
 def note_links(notes: DataFrame) -> DataFrame:
     """``(source, target, origin)``: a row per wikilink, from the body and from the frontmatter."""
     parts = [notes.select(F.col("path").alias("source"), F.explode(f"{origin}_links").alias("target"), F.lit(name).alias("origin")) for origin, name in (("body", "body"), ("front", "frontmatter"))]
@@ -85,10 +89,16 @@ def unlinked_mentions(texts: DataFrame, titles: DataFrame, links: DataFrame | No
     names = titles.select("name", plain(F.col("title")).alias("needle")).where(F.size(F.split(F.trim("needle"), " ")) >= min_words).distinct()
     rank = F.array_max(F.transform(F.split(F.trim("needle"), " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
     anchored = names.withColumn("anchor", rank["w"])
+    anchored = anchored.select("name", "needle", "anchor")
     hay = texts.select("id", plain(F.col("text")).alias("hay"))
-    words = hay.select("id", "hay", F.explode(F.array_distinct(F.split(F.trim("hay"), " "))).alias("anchor"))
-    # only anchors go on with their text
-    found = words.join(anchored, "anchor").where(F.contains("hay", "needle")).select("id", "name").distinct()
+    anchors = F.explode(F.array_distinct(F.split(F.trim("hay"), " "))).alias("anchor")
+    if anchored.limit(BROADCAST_TITLES + 1).count() <= BROADCAST_TITLES:
+        # texts stay where they are
+        met = hay.select("id", "hay", anchors).join(F.broadcast(anchored), "anchor")
+    else:
+        # words are shuffled alone, and texts once, to what they met
+        met = hay.select("id", anchors).join(anchored, "anchor").join(hay, "id")
+    found = met.where(F.contains("hay", "needle")).select("id", "name").distinct()
     return found if links is None else found.join(links.select("id", "name"), ["id", "name"], "left_anti")
 
 
