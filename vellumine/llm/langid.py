@@ -27,6 +27,9 @@ FILTERS = 12
 SAMPLE_ROWS = 400
 #: Windows of each language that the fit takes at most, spread over its texts.
 SAMPLE_WINDOWS = 3000
+#: Languages that are learned at most, those with the most rows.
+MOST_LANGUAGES = 500
+_RANGE = 1 << 40
 STEPS, BATCH, RATE = 500, 128, 0.02
 
 _LETTER = regex.compile(r"\p{L}")
@@ -162,12 +165,17 @@ def fit_language(docs: DataFrame) -> ByteNet | None:
     the whole table, and ``SAMPLE_WINDOWS`` of their windows.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_ROWS).select("doc_id", "lang")
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    if not counts:
+        return None
+    # a share of each language by a hash of the id, so that no task ranks a whole language
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(_RANGE, 4 * SAMPLE_ROWS * _RANGE // r["n"] + 1))])
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(_RANGE))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    few = usable.select("doc_id", "lang", place.alias("place")).where(F.col("place") < F.coalesce(share[F.col("lang")], F.lit(0)))
+    ids = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_ROWS).select("doc_id", "lang")
     sample = usable.join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).select("lang", "doc_id", "text").toPandas().sort_values(["lang", "doc_id", "text"])
     labels = sorted(sample["lang"].unique())
-    if not labels:
-        return None
     rng = np.random.default_rng(11)
     xs, ys = [], []
     for k, lang in enumerate(labels):
