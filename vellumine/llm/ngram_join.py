@@ -17,8 +17,8 @@ Jaccard similarity of their sets reaches a threshold.  The steps:
 4. *Verification*: surviving pairs are checked on their full sets.
 
 Only reachability is wanted, so steps 3 and 4 run in three passes.  The first
-proposes a chain and a star around the middle of each block, the second each
-node's best partner of another component, the last every surviving pair of two
+decides blocks of ``SMALL`` nodes whole, and proposes a chain and a star around
+the middle of the others; the second proposes each node's best partner of another component, the last every surviving pair of two
 components.  Boxes whose nodes all have the label of the query are skipped, and
 so are blocks with one label.  So a group of thousands of near copies costs
 about as many pairs as it has members, while no pair that could join two
@@ -48,6 +48,8 @@ GROUPS = 256
 BUCKET_BITS = 18
 #: Nodes of a block that one task takes at once.
 BLOCK = 2048
+#: Blocks of up to so many members are one leaf, decided whole in the first pass.
+SMALL = 8
 #: Children of a box.
 FANOUT = 16
 #: Ids that may be broadcast (8 bytes each); beyond, the join shuffles.
@@ -71,8 +73,11 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def _vector(shingles: np.ndarray) -> bytes:
+    """Counts per group, in the fewest bits that hold them all: 4, 8, 16 or 32."""
     counts = np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
     most = counts.max(initial=0)
+    if most < 16:
+        return (counts[0::2] << 4 | counts[1::2]).astype("u1").tobytes()
     return counts.astype("u1" if most < 256 else "<u2" if most < 65536 else "<u4").tobytes()
 
 
@@ -80,7 +85,11 @@ def _vectors(column: pa.Array) -> np.ndarray:
     out = np.empty((len(column), GROUPS), dtype=np.int32)
     for k, x in enumerate(column):
         raw = x.as_buffer()
-        out[k] = np.frombuffer(raw, dtype={1: "u1", 2: "<u2", 4: "<u4"}[raw.size // GROUPS])
+        if raw.size < GROUPS:
+            pairs = np.frombuffer(raw, dtype="u1")
+            out[k, 0::2], out[k, 1::2] = pairs >> 4, pairs & 15
+        else:
+            out[k] = np.frombuffer(raw, dtype={1: "u1", 2: "<u2", 4: "<u4"}[raw.size // GROUPS])
     return out
 
 
@@ -194,20 +203,28 @@ class CountTree:
         return self.order[found], bound
 
 
+def _surviving(nodes, sizes, vectors, left: np.ndarray, right: np.ndarray, t: Fraction) -> list[tuple[int, int]]:
+    """Pairs of places whose bound does not rule a link out."""
+    p, q = t.numerator, t.denominator
+    bound = np.minimum(vectors[left], vectors[right]).sum(axis=1)
+    keep = (bound * (p + q) >= p * (sizes[left] + sizes[right])) & (nodes[left] != nodes[right])
+    a, b = nodes[left[keep]], nodes[right[keep]]
+    return list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+
+
 def _propose(nodes, sizes, vectors, labels, t: Fraction, mode: str) -> list[tuple[int, int]]:
     """Pairs of one block that need a check, the smaller node first."""
-    p, q = t.numerator, t.denominator
     if mode == "star":
         n = len(nodes)
+        if n <= SMALL:
+            left, right = np.triu_indices(n, 1)
+            return _surviving(nodes, sizes, vectors, left, right, t)
         order = np.lexsort((nodes, sizes))
         middle = np.abs(vectors - np.median(vectors, axis=0)).sum(axis=1)
         hubs = [int(np.lexsort((nodes, middle))[0]), int(np.argmin(nodes))]
         left = np.concatenate([order[:-1], *(np.full(n, h) for h in hubs)])
         right = np.concatenate([order[1:], *(np.arange(n) for _ in hubs)])
-        bound = np.minimum(vectors[left], vectors[right]).sum(axis=1)
-        keep = (bound * (p + q) >= p * (sizes[left] + sizes[right])) & (nodes[left] != nodes[right])
-        a, b = nodes[left[keep]], nodes[right[keep]]
-        return list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+        return _surviving(nodes, sizes, vectors, left, right, t)
     tree, out = CountTree(sizes, vectors, labels), []
     for i in range(len(nodes)):
         found, bound = tree.search(int(sizes[i]), vectors[i], int(labels[i]), t)
@@ -282,12 +299,12 @@ def _check(t: Fraction):
     return run
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_column: str, width: int, t: Fraction) -> DataFrame:
-    """Pairs whose full sets link.  Only texts of nodes in pairs are moved."""
-    ends = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node"))
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_column: str, width: int, t: Fraction, keep: list[str]) -> DataFrame:
+    """Pairs whose full sets link.  Only texts of nodes in pairs are moved; keep gets the tables made on the way."""
+    ends = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node"), keep)
     small = ends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     picked = docs.join(F.broadcast(ends) if small else ends, docs["doc_id"] == ends["rep"]).select("node", text_column)
-    sets = materialise(picked.dropDuplicates(["node"]).mapInArrow(_full_sets(text_column, width), "node long, shingles binary"))
+    sets = materialise(picked.dropDuplicates(["node"]).mapInArrow(_full_sets(text_column, width), "node long, shingles binary"), keep)
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_check(t), "a long, b long")
@@ -317,45 +334,50 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     ``component_id`` is the smallest id that links reach, itself included.
 
     Null and empty texts, and those of white space alone, have no shingles and
-    link with nothing; rows with a null id are returned with a null component;
-    repeated rows are copies of one another; extra columns are ignored; an
+    link with nothing; rows with a null id link with nothing and have a null
+    component; repeated rows are copies of one another; extra columns are ignored; an
     empty table gives an empty one.  Texts of any length are taken whole.
     """
     t = Fraction(threshold).limit_denominator(1000)
-    spark, old = docs.sparkSession, []
+    spark, old, spent = docs.sparkSession, [], []
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     signed = materialise(docs.mapInArrow(_signatures("doc_id", "text", width), "doc_id long, n long, node long, vector binary, totals binary"))
     counts = spark.sparkContext.broadcast(_bucket_counts(signed.where("totals is not null").select("totals")))
     sizes = signed.where("totals is null")
-    nodes = materialise(sizes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vector").alias("vector")))
-    keys = materialise(docs.select("text").mapInArrow(_route("text", width, t, counts), "key long, node long, n long"), old)
-    # a sum over wide decimals tells member lists apart, copies from several tasks included
-    every = [F.count("*").alias("members"), F.min("node").alias("pivot"), F.max("node").alias("last"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("all"), F.min("n").alias("low"), F.max("n").alias("high")]
+    nodes = materialise(sizes.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vector").alias("vector")), spent)
+    keys = materialise(docs.where("doc_id is not null").select("text").mapInArrow(_route("text", width, t, counts), "key long, node long, n long"), old)
+    # sums tell member lists apart where copies from several tasks cancel out in the others; past their range a block stands for itself
+    total = F.coalesce(F.try_sum(F.shiftright("node", 16)), F.col("key"))
+    every = [F.count("*").alias("members"), F.min("node").alias("pivot"), F.max("node").alias("last"), F.bit_xor("node").alias("all"), total.alias("total"), F.min("n").alias("low"), F.max("n").alias("high")]
     # two sets whose sizes alone rule a link out are most of what meets by chance
     hopeful = (F.col("members") > 2) | (F.col("low") * t.denominator >= F.col("high") * t.numerator)
     members = keys.groupBy("key").agg(*every).where((F.col("pivot") != F.col("last")) & hopeful)
-    shared = materialise(members.groupBy("members", "pivot", "last", "all").agg(F.min("key").alias("key")).select("key", "members", "pivot"), old)
-    blocks = materialise(keys.drop("n").join(shared, "key").select("key", "members", "pivot", "node"))
+    shared = materialise(members.groupBy("members", "pivot", "last", "all", "total").agg(F.min("key").alias("key")).select("key", "members", "pivot"), old)
+    blocks = materialise(keys.drop("n").join(shared, "key").select("key", "members", "pivot", "node"), spent)
     discard(spark, old)
 
     labels = nodes.select("node", F.col("node").alias("label"))
     points, tried = nodes.select("node", "n", "vector"), None
     for mode in ("star", "best", "all"):
-        labelled = materialise(blocks.join(labels, "node"), old)
+        rest = blocks if mode == "star" else blocks.where(F.col("members") > SMALL)
+        labelled = materialise(rest.join(labels, "node"), old)
         open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
         live = labelled.join(materialise(open_keys, old), "key").join(points, "node")
         pairs = _blocks_of(live, t, mode)
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), spent)
         discard(spark, old)
         if not pairs.isEmpty():
-            links = materialise(_verified(pairs, nodes, docs, "text", width, t), old)
-            labels = materialise(_relabel(labels, links))
+            links = materialise(_verified(pairs, nodes, docs, "text", width, t, old), old)
+            labels = materialise(_relabel(labels, links), spent)
+            discard(spark, old)
         tried = pairs if tried is None else tried.union(pairs)
     known = nodes.select("node", "rep").join(labels, "node")
-    lowest = materialise(known.groupBy("label").agg(F.min("rep").alias("component_id")))
+    lowest = materialise(known.groupBy("label").agg(F.min("rep").alias("component_id")), spent)
     found = materialise(known.join(lowest, "label").select("node", "component_id"))
+    discard(spark, spent)
     named = sizes.join(found, "node", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
