@@ -20,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         app = spark.sparkContext.applicationId
-        root = _own.setdefault(app, _own.get(app) or "file://" + tempfile.mkdtemp(prefix="vellumine-"))
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="vellumine-")
+        root = _own[app]
     return f"{root.rstrip('/')}/vellumine/{uuid.uuid4().hex}"
 
 
