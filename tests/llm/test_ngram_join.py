@@ -56,9 +56,11 @@ def corpus(seed, families=12, copies=10, length=60):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "width", "threshold", "block"), [(0, 3, 0.9, 2048), (1, 5, 0.8, 2048), (2, 2, 0.8, 6), (3, 3, 0.9, 4)])
-def test_against_brute_force(spark, monkeypatch, seed, width, threshold, block):
+@pytest.mark.parametrize(("seed", "width", "threshold", "block", "few"), [(0, 3, 0.9, 2048, 4), (1, 5, 0.8, 2048, 0), (2, 2, 0.8, 6, 0), (3, 3, 0.9, 4, 1)])
+def test_against_brute_force(spark, monkeypatch, seed, width, threshold, block, few):
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "FEW", few)
+    monkeypatch.setattr(J, "SMALL", 8 if few else 2)
     rows = corpus(seed)
     frame = spark.createDataFrame([(*r, 0, "k") for r in rows], "doc_id long, text string, n int, key string").repartition(3)
     found = sorted(tuple(r) for r in J.jaccard_components(frame, width=width, threshold=threshold).collect())

@@ -17,8 +17,8 @@ Jaccard similarity of their sets reaches a threshold.  The steps:
 4. *Verification*: surviving pairs are checked on their full sets.
 
 Only reachability is wanted, so steps 3 and 4 run in three passes.  The first
-decides blocks of ``SMALL`` nodes whole, and proposes a chain and a star around
-the middle of the others; the second proposes each node's best partner of another component, the last every surviving pair of two
+decides every block with few surviving pairs whole, and proposes a chain and a
+star around the middle of the dense ones; for these the second proposes each node's best partner of another component, the last every surviving pair of two
 components.  Boxes whose nodes all have the label of the query are skipped, and
 so are blocks with one label.  So a group of thousands of near copies costs
 about as many pairs as it has members, while no pair that could join two
@@ -44,12 +44,14 @@ from vellumine.plans.durable import discard, materialise
 
 #: Coordinates of a count vector.
 GROUPS = 256
-#: Corpus-wide frequency buckets; their counts (2 MB) are broadcast.
-BUCKET_BITS = 18
+#: Corpus-wide frequency buckets; their counts (8 MB) are broadcast.
+BUCKET_BITS = 20
 #: Nodes of a block that one task takes at once.
 BLOCK = 2048
 #: Blocks of up to so many members are one leaf, decided whole in the first pass.
 SMALL = 8
+#: Surviving pairs per member up to which a larger block is decided in the first pass too.
+FEW = 4
 #: Children of a box.
 FANOUT = 16
 #: Ids that may be broadcast (8 bytes each); beyond, the join shuffles.
@@ -212,19 +214,32 @@ def _surviving(nodes, sizes, vectors, left: np.ndarray, right: np.ndarray, t: Fr
     return list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
 
 
-def _propose(nodes, sizes, vectors, labels, t: Fraction, mode: str) -> list[tuple[int, int]]:
-    """Pairs of one block that need a check, the smaller node first."""
+def _sparse(nodes, sizes, vectors, t: Fraction, few: int) -> list[tuple[int, int]] | None:
+    """All surviving pairs of a block that has few for its size, as most have; None for a dense one."""
+    tree, out = CountTree(sizes, vectors, np.arange(len(nodes))), []
+    for i in range(len(nodes)):
+        found, _ = tree.search(int(sizes[i]), vectors[i], i, t)
+        out += [(int(nodes[i]), int(nodes[j])) for j in found if nodes[i] < nodes[j]]
+        if len(out) > few * len(nodes):
+            return None
+    return out
+
+
+def _propose(nodes, sizes, vectors, labels, t: Fraction, mode: str, small: int, few: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of one block that need a check, the smaller node first, and whether these are all."""
     if mode == "star":
         n = len(nodes)
-        if n <= SMALL:
+        if n <= small:
             left, right = np.triu_indices(n, 1)
-            return _surviving(nodes, sizes, vectors, left, right, t)
+            return _surviving(nodes, sizes, vectors, left, right, t), True
+        if (sparse := _sparse(nodes, sizes, vectors, t, few)) is not None:
+            return sparse, True
         order = np.lexsort((nodes, sizes))
         middle = np.abs(vectors - np.median(vectors, axis=0)).sum(axis=1)
         hubs = [int(np.lexsort((nodes, middle))[0]), int(np.argmin(nodes))]
         left = np.concatenate([order[:-1], *(np.full(n, h) for h in hubs)])
         right = np.concatenate([order[1:], *(np.arange(n) for _ in hubs)])
-        return _surviving(nodes, sizes, vectors, left, right, t)
+        return _surviving(nodes, sizes, vectors, left, right, t), False
     tree, out = CountTree(sizes, vectors, labels), []
     for i in range(len(nodes)):
         found, bound = tree.search(int(sizes[i]), vectors[i], int(labels[i]), t)
@@ -233,38 +248,44 @@ def _propose(nodes, sizes, vectors, labels, t: Fraction, mode: str) -> list[tupl
             out += [(int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))) for j in found]
         else:
             out += [(int(nodes[i]), int(nodes[j])) for j in found if nodes[i] < nodes[j]]
-    return out
+    return out, mode == "all"
+
 
+def _block_pairs(t: Fraction, mode: str, small: int, few: int):
+    """Over partitions sorted by block: propose pairs, each once per task.
 
-def _block_pairs(t: Fraction, mode: str):
-    """Over partitions sorted by block: propose pairs, each once per task."""
+    In the first pass, (key, null) tells that a block is not decided yet.
+    """
 
-    def flush(held, out):
+    def flush(key, whole, held, out):
         nodes, first = np.unique(np.concatenate([h[0] for h in held]), return_index=True)
         if len(nodes) > 1:
             sizes, vectors, labels = (np.concatenate([h[k] for h in held])[first] for k in (1, 2, 3))
-            out.update(_propose(nodes, sizes, vectors, labels, t, mode))
+            pairs, all_of_them = _propose(nodes, sizes, vectors, labels, t, mode, small, few)
+            out.update(pairs)
+            if mode == "star" and not (whole and all_of_them):
+                out.add((int(key[0]), None))
 
     def run(batches):
-        held, key, out = [], None, set()
+        held, key, whole, out = [], None, True, set()
         for batch in batches:
             if not batch.num_rows:
                 continue
             block = np.stack([np.asarray(batch.column(c)) for c in ("key", "i", "j")])
-            nodes, sizes, labels = (np.asarray(batch.column(c)) for c in ("node", "n", "label"))
+            chunks, nodes, sizes, labels = (np.asarray(batch.column(c)) for c in ("chunks", "node", "n", "label"))
             vectors = _vectors(batch.column("vector"))
             cuts = [0, *(np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
                 if held and key != tuple(block[:, a]):
-                    flush(held, out)
+                    flush(key, whole, held, out)
                     held = []
-                key = tuple(block[:, a])
+                key, whole = tuple(block[:, a]), bool(chunks[a] == 1)
                 held.append((nodes[a:b], sizes[a:b], vectors[a:b], labels[a:b]))
             if len(out) > 100_000:
                 yield _pairs(out)
                 out = set()
         if held:
-            flush(held, out)
+            flush(key, whole, held, out)
         yield _pairs(out)
 
     return run
@@ -321,9 +342,9 @@ def _blocks_of(blocks: DataFrame, t: Fraction, mode: str) -> DataFrame:
     else:
         spread = F.when(F.col("chunks") > 1, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(0)))
         dealt = dealt.withColumn("own", own).withColumn("other", F.explode(spread)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    dealt = dealt.select("key", F.col("i").cast("int"), F.col("j").cast("int"), "node", "n", "vector", "label")
+    dealt = dealt.select("key", F.col("i").cast("int"), F.col("j").cast("int"), "chunks", "node", "n", "vector", "label")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(_block_pairs(t, mode), "a long, b long").distinct()
+    return dealt.mapInArrow(_block_pairs(t, mode, SMALL, FEW), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -359,13 +380,16 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     labels = nodes.select("node", F.col("node").alias("label"))
     points, tried = nodes.select("node", "n", "vector"), None
     for mode in ("star", "best", "all"):
-        rest = blocks if mode == "star" else blocks.where(F.col("members") > SMALL)
-        labelled = materialise(rest.join(labels, "node"), old)
+        labelled = materialise(blocks.join(labels, "node"), old)
         open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
         live = labelled.join(materialise(open_keys, old), "key").join(points, "node")
         pairs = _blocks_of(live, t, mode)
         pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), spent)
         discard(spark, old)
+        if mode == "star":
+            undecided = pairs.where("b is null").select(F.col("a").alias("key"))
+            blocks = materialise(blocks.join(undecided, "key"), spent)
+            pairs = pairs.where("b is not null")
         if not pairs.isEmpty():
             links = materialise(_verified(pairs, nodes, docs, "text", width, t, old), old)
             labels = materialise(_relabel(labels, links), spent)
