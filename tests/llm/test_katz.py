@@ -129,3 +129,75 @@ def test_it_beats_unigrams_on_held_out_texts(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     row = katz.katz_scores(docs, langid.held_out(F.col("doc_id"), 10)).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert row[0] > row[1]
+
+
+class BruteOrder:
+    """The model of any order with dictionaries and recursion."""
+
+    def __init__(self, training, order):
+        self.order, self.plain = order, Brute(training)
+        self.counts = {}
+        for text in training:
+            t = tokens(text)
+            for level in range(2, order + 1):
+                padded = [*["<s>"] * (level - 1), *t]
+                self.counts.setdefault(level, Counter()).update(zip(*(padded[i:] for i in range(level))))
+        self.d = {level: discounts(c) for level, c in self.counts.items()}
+        self.followers = {}
+        for c in self.counts.values():
+            for (*h, w), n in c.items():
+                self.followers.setdefault(tuple(h), {})[w] = n
+
+    def p(self, h, w):
+        if not h:
+            return self.plain.unigram(w)
+        seen, d = self.followers.get(h), self.d.get(len(h) + 1)
+        if not seen:
+            return self.p(h[1:], w)
+        total = sum(seen.values())
+        left = sum(c * (1 - d(c)) for c in seen.values())
+        if left <= 0:
+            total, left = total + 1, 1.0
+        if w in seen:
+            return d(seen[w]) * seen[w] / total
+        return left / total / (1 - sum(self.p(h[1:], x) for x in seen)) * self.p(h[1:], w)
+
+    def score(self, text):
+        t = tokens(text)
+        padded = [*["<s>"] * (self.order - 1), *t]
+        return sum(math.log10(self.p(tuple(padded[i : i + self.order - 1]), w)) for i, w in enumerate(t))
+
+
+@pytest.mark.parametrize(("order", "batch", "part"), [(1, 300, 500), (3, 1_000_000, 2_000_000), (3, 100, 150), (4, 300, 500)])
+def test_orders_against_brute_force(spark, monkeypatch, order, batch, part):
+    monkeypatch.setattr(katz, "PART_TOKENS", part)
+    monkeypatch.setattr(katz, "BATCH_TOKENS", batch)
+    rows = corpus(order)
+    model = BruteOrder([t for i, t in rows if not held(i)], order)
+    by_id = dict(rows)
+    found = katz.katz_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), langid.held_out(F.col("doc_id"), 10), order=order).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r.score == pytest.approx(model.score(by_id[r.doc_id]), rel=1e-9)
+
+
+def test_contexts_of_two_words_sum_to_one():
+    model = BruteOrder([t for _, t in corpus(3)], 3)
+    for h in [h for h in model.followers if len(h) == 2][:20]:
+        assert sum(model.p(h, w) for w in model.plain.words) + model.p(h, "unknown") == pytest.approx(1)
+
+
+def test_the_query_scores_more_than_one_word_of_context(spark):
+    from tests.conftest import DATA
+    from vellumine.llm.queries import op6_katz_score
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    held_out = langid.held_out(F.col("doc_id"), 10)
+    found = {r.doc_id: r.score for r in op6_katz_score(spark, DATA).collect()}
+    assert found == pytest.approx({r.doc_id: r.score for r in katz.katz_scores(docs, held_out, order=3).collect()})
+    assert found != pytest.approx({r.doc_id: r.score for r in katz.katz_scores(docs, held_out).collect()})
+
+
+def test_order_is_checked(spark):
+    with pytest.raises(ValueError):
+        katz.katz_scores(spark.createDataFrame([(1, "a")], "doc_id long, text string"), F.lit(False), order=0)

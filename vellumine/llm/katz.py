@@ -1,24 +1,28 @@
-"""Scoring with a Katz backoff bigram model.
+"""Scoring with a Katz backoff n-gram model of any order.
 
     P(w | h) = d(c) c(h w) / c(h)      if h w was seen in training
-             = alpha(h) P(w)           else
+             = alpha(h) P(w | h')      else, where h' is h without its first word
 
-d are Good-Turing discounts, alpha(h) makes each context sum to exactly one over
-the vocabulary and one class for all unknown words.  P(w) is the Good-Turing
-discounted unigram distribution, whose missing mass is that class.
+d are the Good-Turing discounts of the level (its number of words), alpha(h)
+makes each context sum to exactly one over the vocabulary and one class for all
+unknown words.  P(w) without a context is the Good-Turing discounted unigram
+distribution, whose missing mass is that class.  Contexts reach over the start
+of a text as start tokens, so every token has an n-gram at every level.
 
 Nothing of the model is broadcast, for it grows with the corpus.  Documents are
 gathered in batches of about ``BATCH_TOKENS`` tokens, and each batch asks the
-partitions of the count tables once for each distinct word or bigram it holds:
+partitions of the count tables once for each distinct word or n-gram it holds:
 sorted 64-bit hashes go out in one row per batch and partition, along with the
 batch's own training counts, and counts come back in the same order.  So
 training and look-up share one exchange, and words as frequent as may be cost a
-batch one entry.  Four exchanges in all:
+batch one entry.  Twice the order exchanges in all:
 
 1. words to partitions; total counts back
-2. bigrams to partitions; total counts back, and to one batch the task of adding
-   the bigram to its context
-3. sums per context to partitions; backoff weights back
+2. for each level from two, n-grams to partitions; total counts back, and to one
+   batch the task of adding the n-gram to its context
+3. for each level from two, answers to their batches and sums per context to
+   partitions; backoff weights back.  The sums hold probabilities of the level
+   below, whose backoff weights come first
 4. answers to their batches, which add up the scores of their documents
 
 The count tables and backoff weights stay in the shared folder, partitioned.
@@ -97,25 +101,49 @@ class _Batch:
     def of(cls, payload: pa.Buffer) -> _Batch:
         return cls(*_load(payload))
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (context, word) indices, each token's place among them, training counts.
-
-        The context of a first word has the index after the last word.
-        """
+    def levels(self, order: int) -> list[_Level]:
+        """The n-grams of levels 2 to order, shortest first."""
         first = np.cumsum(self.sizes) - self.sizes
-        before = np.empty(len(self.tokens), dtype=np.int64)
-        before[1:] = self.tokens[:-1]
-        before[first] = len(self.words)
-        keys, place = np.unique(before << 32 | self.tokens, return_inverse=True)
-        train = np.bincount(place, weights=np.repeat(self.held == 0, self.sizes), minlength=len(keys)).astype(np.int64)
-        return keys, place, train
+        names, place = self.words, self.tokens.astype(np.int64)
+        out = []
+        for _ in range(2, order + 1):
+            contexts = np.concatenate([names, _START])
+            context = np.empty(len(place), dtype=np.int64)
+            context[1:] = place[:-1]
+            context[first] = len(names)
+            keys, above = np.unique(context << 32 | self.tokens, return_inverse=True)
+            lower = np.empty(len(keys), dtype=np.int64)
+            lower[above] = place
+            with np.errstate(over="ignore"):
+                names = tokens.mix(contexts[keys >> 32] * np.uint64(0x9E3779B97F4A7C15) + self.words[keys & 0xFFFFFFFF])
+            place = above
+            out.append(_Level(contexts, keys, names, place, lower))
+        return out
+
+    def trained(self, place: np.ndarray, n: int) -> np.ndarray:
+        """Training counts of n-grams, from each token's place among them."""
+        return np.bincount(place, weights=np.repeat(self.held == 0, self.sizes), minlength=n).astype(np.int64)
+
+
+@dataclass
+class _Level:
+    """The distinct n-grams of one length in a batch.
+
+    ``contexts`` are the hashes of the n-grams one word shorter, with that of the
+    start of a text last; ``keys`` are (context, word) indices, ``names`` the
+    hashes of the n-grams, ``place`` that of each token among them, and ``lower``
+    that of each without its first word among those of the level below.
+    """
 
-    def contexts(self) -> np.ndarray:
-        return np.concatenate([self.words, _START])
+    contexts: np.ndarray
+    keys: np.ndarray
+    names: np.ndarray
+    place: np.ndarray
+    lower: np.ndarray
 
-    def bigrams(self, keys: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return tokens.mix(self.contexts()[keys >> 32] * np.uint64(0x9E3779B97F4A7C15) + self.words[keys & 0xFFFFFFFF])
+    @property
+    def context(self) -> np.ndarray:
+        return self.keys >> 32
 
 
 def _deal(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -169,14 +197,14 @@ def _ask_words(parts: int):
     return run
 
 
-def _ask_bigrams(parts: int):
+def _ask_grams(parts: int, level: int):
     def run(batches):
         for batch in batches:
             for number, payload in zip(batch.column("batch").to_pylist(), batch.column("payload")):
                 b = _Batch.of(payload.as_buffer())
-                keys, _, train = b.pairs()
-                hashes = b.bigrams(keys)
-                yield _rows([("ask", p, number, _dump(_gaps(hashes[x]), train[x].astype(np.uint32)), None) for p, x in _deal(hashes, parts)[1]])
+                grams = b.levels(level)[-1]
+                train = b.trained(grams.place, len(grams.keys))
+                yield _rows([("ask", p, number, _dump(_gaps(grams.names[x]), train[x].astype(np.uint32)), None) for p, x in _deal(grams.names, parts)[1]])
 
     return run
 
@@ -240,23 +268,23 @@ class Discounts:
 
 @dataclass
 class Model:
-    """What all batches need to know: a few numbers."""
+    """What all batches need to know: a few numbers; discounts of levels from two."""
 
     parts: int
     total: int
     distinct: int
     word_discounts: Discounts
-    bigram_discounts: Discounts
+    discounts: list[Discounts]
     unknown: float
     scale: float
 
     @classmethod
-    def of(cls, parts: int, words: list[int], bigrams: list[int]) -> Model:
+    def of(cls, parts: int, words: list[int], grams: list[list[int]]) -> Model:
         total, distinct, *n = words
         d = Discounts.of(n)
         left = sum(r * n[r - 1] * (1 - d.ratios[r]) for r in range(1, DISCOUNTED + 1))
         scale = 1 / total if left and total else 1 / (total + 1)
-        return cls(parts, total, distinct, d, Discounts.of(bigrams[2:]), left / total if left and total else 1 / (total + 1), scale)
+        return cls(parts, total, distinct, d, [Discounts.of(n[2:]) for n in grams], left / total if left and total else 1 / (total + 1), scale)
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         """P(w), of unknown words that of their class."""
@@ -274,39 +302,49 @@ def _collected(order: np.ndarray, answers: list[list[np.ndarray]]) -> list[np.nd
     return out
 
 
-def _of_batch(table: pa.Table, model: Model):
+def _of_batch(table: pa.Table) -> tuple[_Batch, dict[str, list[pa.Buffer]]]:
+    """The documents of a batch, and the answers to it by kind, in order of partitions."""
     table = table.sort_by("part")
     by: dict[str, list[pa.Buffer]] = {}
     for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload")):
         by.setdefault(kind, []).append(payload.as_buffer())
-    batch = _Batch.of(by["docs"][0])
-    keys, place, _ = batch.pairs()
-    counts = _collected(_deal(batch.words, model.parts)[0], [_load(p) for p in by["words"]])[0] >> 1
-    pairs = _collected(_deal(batch.bigrams(keys), model.parts)[0], [_load(p) for p in by["bigrams"]])[0]
-    return batch, keys, place, counts, pairs, by.get("contexts", [])
+    return _Batch.of(by.pop("docs")[0]), by
 
 
-def _ask_contexts(model: Model):
-    """Per context the sums over those bigrams that this batch is to add."""
+def _answered(names: np.ndarray, answers: list[pa.Buffer], model: Model) -> list[np.ndarray]:
+    return _collected(_deal(names, model.parts)[0], [_load(p) for p in answers])
+
+
+def _ask_contexts(model: Model, level: int):
+    """Per context the sums over those n-grams that this batch is to add."""
 
     def run(key, table):
-        batch, keys, _, counts, pairs, _ = _of_batch(table, model)
-        own = (pairs & 1) == 1
-        context, count = (keys >> 32)[own], (pairs >> 1)[own]
-        n = len(batch.words) + 1
+        batch, by = _of_batch(table)
+        *below, grams = batch.levels(level)
+        totals = _answered(grams.names, by[f"grams{level}"], model)[0]
+        own = (totals & 1) == 1
+        context, count, lower = grams.context[own], (totals >> 1)[own], grams.lower[own]
+        if below:
+            # an n-gram that was seen was seen without its first word, so nothing backs off here
+            under = below[-1]
+            c = (_answered(under.names, by[f"grams{level - 1}"], model)[0] >> 1)[lower]
+            seen = _answered(under.contexts, by[f"contexts{level - 1}"], model)[1]
+            p = model.discounts[level - 3](c) * c / seen[under.context[lower]]
+        else:
+            p = model.unigram((_answered(batch.words, by["words"], model)[0] >> 1)[lower])
+        n, names = len(grams.contexts), grams.contexts
         sums = [np.bincount(context[count == r], minlength=n).astype(np.uint32) for r in range(1, DISCOUNTED + 1)]
         sums.append(np.bincount(context, weights=np.where(count > DISCOUNTED, count, 0), minlength=n).astype(np.int64))
-        sums.append(np.bincount(context, weights=model.unigram(counts[(keys & 0xFFFFFFFF)[own]]), minlength=n))
-        names = batch.contexts()
+        sums.append(np.bincount(context, weights=p, minlength=n))
         return pa.Table.from_batches([_rows([("ask", p, key[0].as_py(), _dump(_gaps(names[x]), *(s[x] for s in sums)), None) for p, x in _deal(names, model.parts)[1]])])
 
     return run
 
 
-def _back_off(model: Model):
+def _back_off(model: Model, level: int):
     """Backoff weight and denominator of each context; a context never seen has the denominator 0."""
     r = np.arange(1, DISCOUNTED + 1)
-    ratios = model.bigram_discounts.ratios[1:]
+    ratios = model.discounts[level - 2].ratios[1:]
 
     def run(key, table):
         keys, numbers, places, asked = _merged(table)
@@ -334,12 +372,15 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 def _score(model: Model):
     def run(key, table):
-        batch, keys, place, counts, pairs, answers = _of_batch(table, model)
-        alpha, below = _collected(_deal(batch.contexts(), model.parts)[0], [_load(p) for p in answers])
-        context, word, count = keys >> 32, keys & 0xFFFFFFFF, pairs >> 1
-        lower = model.unigram(counts)[word]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(count > 0, model.bigram_discounts(count) * count / below[context], alpha[context] * lower)
+        batch, by = _of_batch(table)
+        counts = _answered(batch.words, by.pop("words"), model)[0] >> 1
+        p, place = model.unigram(counts), batch.tokens
+        for level, grams in enumerate(batch.levels(len(model.discounts) + 1), 2):
+            count = _answered(grams.names, by.pop(f"grams{level}"), model)[0] >> 1
+            alpha, below = _answered(grams.contexts, by.pop(f"contexts{level}"), model)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                p = np.where(count > 0, model.discounts[level - 2](count) * count / below[grams.context], alpha[grams.context] * p[grams.lower])
+            place = grams.place
         first = np.cumsum(batch.sizes) - batch.sizes
         base = np.log10((counts + 0.1) / (model.total + 0.1 * (model.distinct + 1)))
         sums = [np.add.reduceat(x, first) for x in ((counts > 0).astype(np.int64)[batch.tokens], base[batch.tokens], np.log10(p)[place])]
@@ -355,9 +396,11 @@ def _totals(answers: DataFrame) -> list[int]:
     return [r["n"] for r in rows] or [0] * (DISCOUNTED + 3)
 
 
-def katz_scores(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def katz_scores(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text", order: int = 2) -> DataFrame:
     """Log10 probabilities of whole texts; learns from rows where held_out is false.
 
+    ``order`` is the length of the longest n-grams; of one, nothing has a context.
+
     ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``,
     one row per row of docs.  Words are runs of anything but white space, A-Z
     lowered; every text ends with one end token.  ``base_score`` is that of
@@ -368,19 +411,33 @@ def katz_scores(docs: DataFrame, held_out: Column, id_column: str = "doc_id", te
     are ignored; an empty table gives an empty one.  Without training rows every
     token is of the unknown class, whose probability is then one.
     """
+    if order < 1:
+        raise ValueError(f"order is {order}, not one or more")
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_column).alias("text"))
     batches = materialise(rows.mapInArrow(_tokenise, _ROW), partition_by=["kind"])
     n_tokens = batches.agg(F.sum(F.element_at("stats", 1))).first()[0] or 0
     parts = max(1, -(-n_tokens // PART_TOKENS))
     docs_of = batches.select(F.lit("docs").alias("kind"), "part", "batch", "payload")
 
-    words = materialise(docs_of.mapInArrow(_ask_words(parts), _ROW).groupBy("part").applyInArrow(_answer("unigram"), _ROW), partition_by=["kind"])
-    bigrams = materialise(docs_of.mapInArrow(_ask_bigrams(parts), _ROW).groupBy("part").applyInArrow(_answer("bigram"), _ROW), partition_by=["kind"])
-    model = Model.of(parts, _totals(words.where("kind = 'unigram'")), _totals(bigrams.where("kind = 'bigram'")))
-
     def answers(table: DataFrame, kind: str) -> DataFrame:
         return table.where("kind = 'answer'").select(F.lit(kind).alias("kind"), "part", "batch", "payload")
 
-    known = docs_of.union(answers(words, "words")).union(answers(bigrams, "bigrams"))
-    contexts = materialise(known.groupBy("batch").applyInArrow(_ask_contexts(model), _ROW).groupBy("part").applyInArrow(_back_off(model), _ROW), partition_by=["kind"])
-    return known.union(answers(contexts, "contexts")).groupBy("batch").applyInArrow(_score(model), _SCORES)
+    words = materialise(docs_of.mapInArrow(_ask_words(parts), _ROW).groupBy("part").applyInArrow(_answer("counts"), _ROW), partition_by=["kind"])
+    known, counted = {"words": answers(words, "words")}, []
+    for level in range(2, order + 1):
+        grams = materialise(docs_of.mapInArrow(_ask_grams(parts, level), _ROW).groupBy("part").applyInArrow(_answer("counts"), _ROW), partition_by=["kind"])
+        known[f"grams{level}"] = answers(grams, f"grams{level}")
+        counted.append(_totals(grams.where("kind = 'counts'")))
+    model = Model.of(parts, _totals(words.where("kind = 'counts'")), counted)
+
+    def gathered(*kinds: str):
+        rows = docs_of
+        for kind in kinds:
+            rows = rows.union(known[kind])
+        return rows.groupBy("batch")
+
+    for level in range(2, order + 1):
+        needed = ["words"] if level == 2 else [f"grams{level - 1}", f"contexts{level - 1}"]
+        asked = gathered(f"grams{level}", *needed).applyInArrow(_ask_contexts(model, level), _ROW)
+        known[f"contexts{level}"] = answers(materialise(asked.groupBy("part").applyInArrow(_back_off(model, level), _ROW), partition_by=["kind"]), f"contexts{level}")
+    return gathered(*known).applyInArrow(_score(model), _SCORES)

@@ -46,7 +46,7 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.katz_scores(table(spark, sf_dir, "documents"), langid.held_out(F.col("doc_id"), 10))
+    return katz.katz_scores(table(spark, sf_dir, "documents"), langid.held_out(F.col("doc_id"), 10), order=3)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
