@@ -86,3 +86,16 @@ def test_shards_and_empty_tables(spark, monkeypatch):
     found = P.pack_documents(frame, capacity=64).toPandas()
     assert len(found) == 150 and (found.groupby("sequence_id").length.sum() <= 64).all()
     assert P.pack_documents(frame.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(("low", "high"), [(150, 450), (256, 512)])
+def test_search_runs_until_no_exchange_helps(low, high):
+    rng = random.Random(1)
+    lengths = [rng.randrange(low, high + 1) for _ in range(16000)]
+    bins = P.pack(lengths, 1024)
+    assert sorted(i for b in bins for i in b) == list(range(16000)) and all(sum(lengths[i] for i in b) <= 1024 for b in bins)
+    assert P.least_bins(lengths, 1024) < len(bins) < len(P.best_fit(lengths, 1024))
+    left = P._Search(bins, lengths, 1024)
+    under = np.flatnonzero(left.fill < 1024)
+    pool = np.flatnonzero(np.isin(left.bin_of, under))
+    assert not any(left._improve(a, pool) for a in under.tolist())

@@ -28,8 +28,6 @@ from vellumine.plans.durable import materialise
 
 #: Pieces that are packed together, about.
 SHARD = 50_000
-#: Look-ups of the local search in a shard, each over its underfull bins.
-EFFORT = 20_000
 
 _encoders: dict[tuple[str, str], object] = {}
 
@@ -173,12 +171,12 @@ class _Search:
         """Empty bins from the least filled on, while an exchange raises the sum of squares."""
         bound = least_bins(self.length.tolist(), self.capacity)
         moved = True
-        while moved and np.count_nonzero(self.fill) > bound and self.looks < EFFORT:
+        while moved and np.count_nonzero(self.fill) > bound :
             moved = False
             under = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
             pool = np.flatnonzero(np.isin(self.bin_of, under))
             for a in under[np.argsort(self.fill[under], kind="stable")].tolist():
-                while self.looks < EFFORT and self._improve(a, pool):
+                while self._improve(a, pool):
                     moved = True
                 if np.count_nonzero(self.fill) <= bound:
                     break
