@@ -77,3 +77,44 @@ def test_anisotropic_codes_lose_less_along_the_vector():
 
     plain = ((N._split(x)[:, :, None, :] - book.centres) ** 2).sum(axis=3).argmin(axis=2)
     assert along(book.encode(x)) < along(plain)
+
+
+def recall(spark, x, step, k=20):
+    """Share of the exact neighbours, by id, that are found for every step-th vector."""
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA).coalesce(1)
+    wanted = exact(np.arange(len(x)), x.astype(float), range(0, len(x), step), k)
+    found = {}
+    for r in N.nearest(frame, F.col("vec_id") % step == 0, k).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    return np.mean([len(found[q] & {v for v, _ in w}) / k for q, w in wanted.items()])
+
+
+def test_large_groups_of_copies(spark):
+    """Small integers, so that sums are exact and ties are ties."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.repeat(rng.integers(-9, 10, (4, 12)), 600, axis=0), rng.integers(-9, 10, (600, 12))]).astype(np.float32)
+    assert recall(spark, x[rng.permutation(len(x))], 30) == 1
+
+
+def test_groups_that_the_code_cannot_tell_apart(spark):
+    rng = np.random.default_rng(7)
+    near = np.repeat(rng.standard_normal((1, 8)), 500, axis=0)
+    near[:, 7] = 1e-3 + 1e-9 * np.arange(500)
+    x = np.concatenate([near, rng.standard_normal((300, 8))]).astype(np.float32)
+    assert len(np.unique(x, axis=0)) > 400
+    assert recall(spark, x[rng.permutation(len(x))], 20) >= 0.98
+
+
+def test_a_full_block(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((10, 32)) * 2
+    x = (centres[rng.integers(0, 10, 17000)] + rng.standard_normal((17000, 32))).astype(np.float32)
+    assert recall(spark, x, 200) >= 0.95
+
+
+def test_copies_with_repeated_ids_and_the_query_among_them():
+    ids = np.array([5, 3, 3, 9, 1, 7, 2])
+    x = np.array([[1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [1.0, -0.0], [2.0, 0.0], [1.0, 0.0], [2.0, 0.0]])
+    kept, copies, rows = N._distinct(ids, x, 3)
+    by = {tuple(r): g.tolist() for r, g in zip(rows, np.split(kept, np.cumsum(copies)[:-1]))}
+    assert by == {(1.0, 0.0): [3, 5, 7], (2.0, 0.0): [1, 2]}

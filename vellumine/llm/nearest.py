@@ -10,7 +10,9 @@ is the part of the residual that is parallel to the vector; the loss weighs it
 Codes minimise it by coordinate descent over the subspaces, centres by least
 squares.  A query makes a table of its inner products with all centres; two
 subspaces' tables are added up to one over byte values, so a candidate costs one
-look-up per four dimensions.  The best of a block are ranked again exactly.
+look-up per four dimensions.  The best of a block are ranked again exactly, with
+all whose rough scores tie with theirs.  A block holds each distinct vector once, with
+the smallest ids that have it, so copies take no places from other vectors.
 
 Queries and candidates both come in blocks; every query block meets every
 candidate block once.
@@ -31,8 +33,8 @@ from vellumine.plans.durable import materialise
 SAMPLE = 10_000
 #: Vectors of a candidate block, and queries of a query block.
 CANDIDATES, QUERIES = 16_384, 512
-#: Candidates of a block that are ranked exactly, for each neighbour wanted.
-RERANK = 6
+#: Distinct vectors of a block that are ranked exactly, for each neighbour wanted.
+RERANK = 16
 ROUNDS, SWEEPS, THRESHOLD = 8, 2, 0.2
 
 
@@ -117,11 +119,25 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda v: v != 0)
 
 
-_BLOCK = "block long, ids binary, scale binary, vectors binary, codes binary"
+_BLOCK = "block long, ids binary, copies binary, scale binary, vectors binary, codes binary"
 
 
-def _blocks(book, limit: int):
-    """Blocks of up to limit vectors; with codes, if there is a codebook."""
+def _distinct(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids by distinct vector, at most so many and the smallest of each; how many ids each has; the vectors."""
+    rows = np.ascontiguousarray(x + 0.0)
+    _, first, group = np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    order = np.lexsort((ids, group))
+    ids, group = ids[order], group[order]
+    again = (ids[1:] == ids[:-1]) & (group[1:] == group[:-1])
+    once = np.concatenate([[True], ~again])
+    ids, group = ids[once], group[once]
+    place = np.arange(len(group)) - np.searchsorted(group, group)
+    ids, group = ids[place < most], group[place < most]
+    return ids, np.bincount(group, minlength=len(first)), rows[first]
+
+
+def _blocks(book, limit: int, most: int = 0):
+    """Blocks of up to limit vectors; with codes and distinct vectors, if there is a codebook."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -131,9 +147,10 @@ def _blocks(book, limit: int):
         def block():
             ids = np.concatenate([h[0] for h in held])
             x = np.concatenate([h[1] for h in held])
+            ids, copies, x = _distinct(ids, x, most) if book else (ids, np.ones(len(ids), dtype=np.int64), x)
             codes = _pack(book.value.encode(x)).tobytes() if book else b""
             scale = np.linalg.norm(x, axis=1)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([v], pa.binary()) for v in (ids.tobytes(), scale.tobytes(), x.tobytes(), codes))], names=["block", "ids", "scale", "vectors", "codes"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([v], pa.binary()) for v in (ids.tobytes(), copies.tobytes(), scale.tobytes(), x.tobytes(), codes))], names=["block", "ids", "copies", "scale", "vectors", "codes"])
 
         for batch in batches:
             ids = np.asarray(batch.column("vec_id"))
@@ -150,14 +167,26 @@ def _blocks(book, limit: int):
     return run
 
 
+def _leading(rough: np.ndarray, n: int) -> np.ndarray:
+    """Places of at least n different values, the largest, and of all that tie with them."""
+    want = n
+    while want < len(rough):
+        best = np.flatnonzero(rough >= np.partition(rough, -want)[-want])
+        if len(np.unique(rough[best])) >= n:
+            return best
+        want = 2 * max(want, len(best))
+    return np.arange(len(rough))
+
+
 def _search(book, k: int):
     def run(batches):
         known: Codebook = book.value
         for batch in batches:
             for row in range(batch.num_rows):
-                q_ids, q, ids, scale, x, codes = (np.frombuffer(batch.column(c)[row].as_buffer(), dtype=kind) for c, kind in (("q_ids", "i8"), ("q_vectors", "f8"), ("ids", "i8"), ("scale", "f8"), ("vectors", "f8"), ("codes", "u1")))
-                q, x = q.reshape(len(q_ids), -1), x.reshape(len(ids), -1)
-                codes = codes.reshape(-1, len(ids)).astype(np.intp)
+                q_ids, q, ids, copies, scale, x, codes = (np.frombuffer(batch.column(c)[row].as_buffer(), dtype=kind) for c, kind in (("q_ids", "i8"), ("q_vectors", "f8"), ("ids", "i8"), ("copies", "i8"), ("scale", "f8"), ("vectors", "f8"), ("codes", "u1")))
+                q, x = q.reshape(len(q_ids), -1), x.reshape(len(scale), -1)
+                codes = codes.reshape(-1, len(scale)).astype(np.intp)
+                first = np.cumsum(copies) - copies
                 out = ([], [], [])
                 tables = np.einsum("qmd,mkd->qmk", _split(q), known.centres).astype(np.float32)
                 tables = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(q), -1, 256)
@@ -167,15 +196,16 @@ def _search(book, k: int):
                     for j in range(1, len(codes)):
                         rough += np.take(tables[i, j], codes[j])
                     rough *= size
-                    own = ids == q_id
-                    rough[own] = -np.inf
-                    want = min(len(ids), RERANK * k)
-                    best = np.argpartition(-rough, want - 1)[:want] if want < len(ids) else np.arange(len(ids))
-                    best = best[~own[best]]
-                    exact = x[best] @ q[i]
-                    order = np.lexsort((ids[best], -exact))[:k]
+                    best = _leading(rough, RERANK * k + 1)
+                    # sums by row, the same for the same vector wherever it lies
+                    exact, n = (x[best] * q[i]).sum(axis=1), copies[best]
+                    at = np.repeat(first[best] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    exact, known_ids = np.repeat(exact, n), ids[at]
+                    other = known_ids != q_id
+                    exact, known_ids = exact[other], known_ids[other]
+                    order = np.lexsort((known_ids, -exact))[:k]
                     out[0].append(np.full(len(order), q_id))
-                    out[1].append(ids[best[order]])
+                    out[1].append(known_ids[order])
                     out[2].append(exact[order])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
 
@@ -204,13 +234,13 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow().column("vector").combine_chunks()
     book = spark.sparkContext.broadcast(Codebook.fit(np.asarray(sample.flatten()).reshape(len(sample), -1)))
 
-    candidates = materialise(rows.select("vec_id", "vector").mapInArrow(_blocks(book, CANDIDATES), _BLOCK))
+    candidates = materialise(rows.select("vec_id", "vector").mapInArrow(_blocks(book, CANDIDATES, k + 1), _BLOCK))
     asked = rows.where("is_query").select("vec_id", "vector").mapInArrow(_blocks(None, QUERIES), _BLOCK)
     n = max(1, candidates.count())
     # each query block goes to every bucket, each candidate block to one
     left = asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bucket"))
     right = candidates.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(n)).cast("int"))
-    found = left.join(right.hint("shuffle_hash"), "bucket").select("q_ids", "q_vectors", "ids", "scale", "vectors", "codes").mapInArrow(_search(book, k), "query_id long, vec_id long, score double")
+    found = left.join(right.hint("shuffle_hash"), "bucket").select("q_ids", "q_vectors", "ids", "copies", "scale", "vectors", "codes").mapInArrow(_search(book, k), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
