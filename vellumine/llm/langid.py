@@ -29,6 +29,10 @@ SAMPLE_ROWS = 400
 SAMPLE_WINDOWS = 3000
 #: Languages that are learned at most, those with the most rows.
 MOST_LANGUAGES = 500
+#: Held-out labelled rows that the score limit is set from, about, by a hash of their id.
+LIMIT_ROWS = 4000
+#: Share of these that may score less, and how far from chance to their score the limit lies.
+LIMIT_SHARE, LIMIT_PART = 0.001, 0.75
 _RANGE = 1 << 40
 STEPS, BATCH, RATE = 500, 128, 0.02
 
@@ -226,6 +230,33 @@ def _keep(net, least: float):
     return run
 
 
+def _right(net):
+    def run(batches):
+        predictor = Predictor(net.value)
+        for batch in tokens.parts(batches, "text", 1 << 20):
+            names, scores = _named(predictor, batch.column("text"))
+            right = [n == lang for n, lang in zip(names, batch.column("lang").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(scores[np.array(right, dtype=bool)], pa.float64())], names=["score"])
+
+    return run
+
+
+def least_score(docs: DataFrame, net: ByteNet) -> float:
+    """A limit under the scores of nearly all held-out labelled rows that are named rightly.
+
+    It lies between chance and the score that all but ``LIMIT_SHARE`` of them
+    reach, so that few rows set it safely; zero if there are none of them.
+    """
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & held_out(F.col("doc_id")))
+    share = min(_RANGE, LIMIT_ROWS * _RANGE // max(1, usable.count()) + 1)
+    some = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(_RANGE)) < share).select("lang", "text")
+    scores = some.mapInArrow(_right(docs.sparkSession.sparkContext.broadcast(net)), "score double").toPandas()["score"].to_numpy()
+    chance = 1 / len(net.labels)
+    if len(net.labels) < 2 or not len(scores):
+        return 0.0
+    return float(chance + LIMIT_PART * max(0.0, np.quantile(scores, LIMIT_SHARE) - chance))
+
+
 def keep_languages(docs: DataFrame, net: ByteNet | None, least: float) -> DataFrame:
     """Rows of docs, with all their columns, whose language is known with a score of least or more."""
     return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(net), least), docs.schema)
