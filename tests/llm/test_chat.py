@@ -77,3 +77,14 @@ def test_against_oracle(same):
 def test_no_control_string_survives_escaping(spark, text):
     row = chat.format_chats(spark.createDataFrame([(1, 0, "user", text)], SCHEMA)).first()
     assert row.formatted.count("<|im_end|>") == 1 and row.formatted.count("<|im_start|>") == 1
+
+
+def test_digest_of_the_loss_follows_the_mask(spark):
+    rows = [(1, 0, "user", "é<|u"), (1, 1, "assistant", "🙂<"), (1, 2, "assistant", "||x"), (1, 3, "assistant", ""), (1, 4, "user", "")]
+    chats = chat.format_chats(spark.createDataFrame(rows, SCHEMA))
+    row = chat.digest(chats).first()
+    assert (row.loss_chars, row.loss_sha256) == (5, hashlib.sha256("🙂<||x".encode()).hexdigest())
+    other = chats.withColumn("mask", F.transform("mask", lambda m: F.struct(m["chars"].alias("chars"), F.lit(False).alias("loss"))))
+    assert chat.digest(other).first().loss_chars == 0
+    turns = chat.format_chats(spark.createDataFrame(rows, SCHEMA), loss_roles=("user",))
+    assert chat.digest(turns).first().loss_sha256 == hashlib.sha256("é<|u".encode()).hexdigest()

@@ -98,10 +98,19 @@ def read_chats(chats: DataFrame, formatted: str = "formatted") -> DataFrame:
     return chats.withColumn("turns", F.flatten(F.transform(F.slice(raw, F.lit(2), F.size(raw) - 1), block)))
 
 
-def digest(chats: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Digests of what ``read_chats`` gives back."""
+def _loss_text(formatted: Column, mask: Column) -> Column:
+    """The texts that the loss is on: the string cut by the mask's runs, each unescaped and then joined."""
+    # for each character whether it counts, and two more where a run starts
+    flags = F.flatten(F.transform(mask, lambda m: F.when(m["chars"] > 0, F.concat(F.array(m["loss"].cast("int") + 2), F.array_repeat(m["loss"].cast("int"), (m["chars"] - 1).cast("int")))).otherwise(F.array().cast("array<int>"))))
+    marked = F.transform(F.arrays_zip(F.split(formatted, "").alias("char"), flags.alias("flag")), lambda x: F.concat(F.when(x["flag"] >= 2, END).otherwise(""), F.when(x["flag"] % 2 == 1, x["char"]).otherwise("")))
+    # no run of loss holds an end mark, which parts the runs here
+    return F.array_join(F.transform(F.split(F.array_join(marked, ""), _quoted(END)), _unescape), "")
+
+
+def digest(chats: DataFrame) -> DataFrame:
+    """Digests of what ``read_chats`` gives back, and of the texts that the mask marks."""
     lines = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda x: x["role"].isin(list(loss_roles))), lambda x: x["text"]), "")
+    loss = _loss_text(F.col("formatted"), F.col("mask"))
     wide = read_chats(chats).select("conv_id", "formatted", "n_blocks", F.size("turns").cast("long").alias("n_turns"), lines.alias("lines"), loss.alias("loss"))
     return wide.select(
         "conv_id",
