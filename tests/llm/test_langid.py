@@ -72,3 +72,10 @@ def test_keep_languages_keeps_columns_and_clean_rows(spark):
     assert kept.columns == docs.columns
     assert kept.count() == docs.count()
     assert kept.where(F.col("doc_id") < 0).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"word{i % 520} ", f"l{i % 520:03d}") for i in range(520 * 6) if i % 520 or i < 3000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trained = {r.lang for r in docs.where(~langid.held_out(F.col("doc_id"))).select("lang").distinct().collect()}
+    assert len(trained) > 500 and set(langid.fit_language(docs).labels) == trained

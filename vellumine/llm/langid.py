@@ -27,8 +27,6 @@ FILTERS = 12
 SAMPLE_ROWS = 400
 #: Windows of each language that the fit takes at most, spread over its texts.
 SAMPLE_WINDOWS = 3000
-#: Languages that are learned at most, those with the most rows.
-MOST_LANGUAGES = 500
 #: Held-out labelled rows that the score limit is set from, about, by a hash of their id.
 LIMIT_ROWS = 4000
 #: Share of these that may score less, and how far from chance to their score the limit lies.
@@ -165,20 +163,22 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 def fit_language(docs: DataFrame) -> ByteNet | None:
     """Fit on a bounded sample of labelled rows; None if no row is labelled.
 
+    Every lang value is learned, however rare.
+
     At most ``SAMPLE_ROWS`` rows of a language, chosen by a hash of the id over
     the whole table, and ``SAMPLE_WINDOWS`` of their windows.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return None
     # a share of each language by a hash of the id, so that no task ranks a whole language
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(_RANGE, 4 * SAMPLE_ROWS * _RANGE // r["n"] + 1))])
+    share = F.least(F.lit(_RANGE), F.floor(F.lit(4 * SAMPLE_ROWS) * F.lit(float(_RANGE)) / F.count("*")).cast("long") + 1)
+    shares = usable.groupBy("lang").agg(share.alias("share"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(_RANGE))
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
-    few = usable.select("doc_id", "lang", place.alias("place")).where(F.col("place") < F.coalesce(share[F.col("lang")], F.lit(0)))
+    few = usable.select("doc_id", "lang", place.alias("place")).join(F.broadcast(shares), "lang").where(F.col("place") < F.col("share"))
     ids = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_ROWS).select("doc_id", "lang")
     sample = usable.join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).select("lang", "doc_id", "text").toPandas().sort_values(["lang", "doc_id", "text"])
+    if sample.empty:
+        return None
     labels = sorted(sample["lang"].unique())
     rng = np.random.default_rng(11)
     xs, ys = [], []
