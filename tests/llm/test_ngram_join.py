@@ -56,22 +56,49 @@ def corpus(seed, families=12, copies=10, length=60):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "width", "threshold", "block", "few"), [(0, 3, 0.9, 2048, 4), (1, 5, 0.8, 2048, 0), (2, 2, 0.8, 6, 0), (3, 3, 0.9, 4, 1)])
-def test_against_brute_force(spark, monkeypatch, seed, width, threshold, block, few):
-    monkeypatch.setattr(J, "BLOCK", block)
-    monkeypatch.setattr(J, "FEW", few)
-    monkeypatch.setattr(J, "SMALL", 8 if few else 2)
+def frame_of(spark, rows):
+    return spark.createDataFrame([(*r, 0, "k") for r in rows], "doc_id long, text string, n int, key string").repartition(3)
+
+
+@pytest.mark.parametrize(("seed", "width", "threshold", "changes"), [(0, 3, 0.9, {}), (1, 5, 0.8, {"FEW": 0}), (2, 2, 0.8, {"BLOCK": 6, "FEW": 0, "SMALL": 1}), (3, 3, 0.9, {"BLOCK": 4, "FEW": 1, "SMALL": 2, "PART_KEYS": 100}), (4, 3, 0.8, {"HOT": -(10**9), "BLOCK": 8, "FEW": 0}), (5, 2, 0.8, {"HOT": 20, "SMALL": 3})])
+def test_against_brute_force(spark, monkeypatch, seed, width, threshold, changes):
+    for name, value in changes.items():
+        monkeypatch.setattr(J, name, value)
     rows = corpus(seed)
-    frame = spark.createDataFrame([(*r, 0, "k") for r in rows], "doc_id long, text string, n int, key string").repartition(3)
-    found = sorted(tuple(r) for r in J.jaccard_components(frame, width=width, threshold=threshold).collect())
+    found = sorted(tuple(r) for r in J.jaccard_components(frame_of(spark, rows), width=width, threshold=threshold).collect())
     assert found == brute(rows, width, Fraction(threshold).limit_denominator(1000))
 
 
+@pytest.mark.parametrize("changes", [{}, {"BLOCK": 5, "SMALL": 1}, {"HOT": -(10**9), "BLOCK": 7}])
+def test_every_link(spark, monkeypatch, changes):
+    for name, value in changes.items():
+        monkeypatch.setattr(J, name, value)
+    rows = corpus(6)
+    links, per_row = J.jaccard_links(frame_of(spark, rows), width=3, threshold=0.8)
+    sets = [(doc_id, frozenset(shingles(x, 3))) for doc_id, x in rows]
+    linked = {s: sum(5 * len(s & o) >= 4 * len(s | o) for _, o in sets if o) - 1 for _, s in sets if s}
+    assert sorted((r.doc_id, r.n_links) for r in per_row.collect()) == sorted((doc_id, linked.get(s, 0)) for doc_id, s in sets)
+    different = {s for _, s in sets if s}
+    assert links.count() == sum(a != b and 5 * len(a & b) >= 4 * len(a | b) for a in different for b in different) // 2
+
+
 def test_repeated_rows_and_empty_tables(spark):
     frame = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d")], "doc_id long, text string")
     assert sorted(str(r.component_id) for r in J.jaccard_components(frame).collect()) == ["1", "1", "1", "None"]
     assert J.jaccard_components(frame.where("false")).count() == 0
     assert sorted(str(r.doc_id) for r in J.near_duplicates(frame).collect()) == ["1", "1", "None"]
+    links, per_row = J.jaccard_links(frame.where("false"))
+    assert links.count() == per_row.count() == 0
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_an_id_on_two_texts(spark, swap):
+    words = [f"w{i}" for i in range(40)]
+    near, other = " ".join([*words[:39], "x"]), " ".join(f"v{i}" for i in range(30))
+    rows = [(1, " ".join(words)), (1, other), (2, near), (3, other)]
+    frame = spark.createDataFrame(rows[::-1] if swap else rows, "doc_id long, text string").coalesce(1)
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(frame, width=2, threshold=0.8).collect())
+    assert found == [(1, 29, 1), (1, 39, 1), (2, 39, 1), (3, 29, 1)]
 
 
 def test_tree_finds_what_a_scan_finds():

@@ -8,23 +8,29 @@ Jaccard similarity of their sets reaches a threshold.  The steps:
 2. *Routing*: two sets over the threshold share one of their first
    ``n - ceil(t n) + 1`` shingles in any common order.  The order is rarest
    bucket first, over bucket counts of the whole corpus, so that passages that
-   many documents share route next to nothing.  Nodes that share such a shingle
-   form a block.
-3. *R-tree*: each block is bulk-loaded into a tree of bounding boxes over the
+   many documents share route next to nothing.  Routing shingles travel packed,
+   as sorted gaps per task and partition.  Nodes that share one form a block; a
+   pair whose sizes and places in the order leave too few shingles in common is
+   none.  Shingles of buckets far over the usual are dealt out by node instead,
+   so no task ever holds a block of unbounded size.
+3. *R-tree*: larger blocks are bulk-loaded into a tree of bounding boxes over the
    count vectors.  The overlap of two sets is at most the sum of coordinate
    minima, and that of a set with all below a box at most the sum of minima
    with the box's upper corner; both must reach ``t / (1 + t) * (n + m)``.
 4. *Verification*: surviving pairs are checked on their full sets.
 
-Only reachability is wanted, so steps 3 and 4 run in three passes.  The first
-decides every block with few surviving pairs whole, and proposes a chain and a
-star around the middle of the dense ones; for these the second proposes each node's best partner of another component, the last every surviving pair of two
-components.  Boxes whose nodes all have the label of the query are skipped, and
-so are blocks with one label.  So a group of thousands of near copies costs
-about as many pairs as it has members, while no pair that could join two
-components is left out.  Blocks over ``BLOCK`` nodes are dealt out in chunks:
-chunk by chunk with a common pivot in the first pass, by pairs of chunks in the
-others.  Blocks with the same members are one.
+Where only reachability is wanted, steps 3 and 4 run in three passes.  The first
+takes all pairs of blocks of up to ``SMALL`` nodes, and of larger ones a chain
+and two stars, by the bound of single pairs.  The second loads blocks that still
+hold several components into trees; it takes all surviving pairs of different
+components of blocks with few, and of the others each node's best.  The last
+takes all surviving pairs of different components of what is left.  Boxes whose
+nodes all have the label of the query are skipped, and so are blocks with one
+label.  So a group of thousands of near copies costs about as many pairs as it
+has members, while no pair that could join two components is left out.
+
+Blocks over ``BLOCK`` nodes are dealt out in chunks.  Nodes of the block's
+largest component stand in their own chunk alone, the others in all chunks.
 """
 
 from __future__ import annotations
@@ -38,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm import tokens
+from vellumine.llm import packed, tokens
 from vellumine.operators.components import connected_components
 from vellumine.plans.durable import discard, materialise
 
@@ -46,12 +52,18 @@ from vellumine.plans.durable import discard, materialise
 GROUPS = 256
 #: Corpus-wide frequency buckets; their counts (8 MB) are broadcast.
 BUCKET_BITS = 20
+#: Routing shingles per partition, about, and those that a task packs at once.
+PART_KEYS, FLUSH_KEYS = 500_000, 1_000_000
+#: Documents over a bucket's usual count from which its shingles are dealt out by node.
+HOT = 50_000
 #: Nodes of a block that one task takes at once.
 BLOCK = 2048
-#: Blocks of up to so many members are one leaf, decided whole in the first pass.
-SMALL = 8
-#: Surviving pairs per member up to which a larger block is decided in the first pass too.
+#: Blocks of up to so many members give all their pairs at once.
+SMALL = 4
+#: Surviving pairs per member up to which a larger block is decided in the first tree pass.
 FEW = 4
+#: Pairs that a task gathers before it passes them on.
+PAIRS = 100_000
 #: Children of a box.
 FANOUT = 16
 #: Ids that may be broadcast (8 bytes each); beyond, the join shuffles.
@@ -140,12 +152,33 @@ def _bucket_counts(totals: DataFrame) -> np.ndarray:
     return np.frombuffer(rows[0][0], dtype="<i8") if rows else np.zeros(1 << BUCKET_BITS, dtype=np.int64)
 
 
-def _route(text_column: str, width: int, t: Fraction, counts):
+def _route(text_column: str, width: int, t: Fraction, counts, bits: int, parts: int, excess: int):
+    """Routing shingles as rows (part, payload): keys, nodes, sizes, and places in the common order.
+
+    Keys are cut to ``bits`` bits, so rarely two shingles share one; that adds
+    to blocks and takes nothing from them.  Parts from ``parts`` on are those of
+    hot shingles, dealt by node.
+    """
+
     def run(batches):
         weight = counts.value
+        hot = np.median(weight) + excess
         seen: set[int] = set()
+        held: list[tuple] = []
+        size = 0
+
+        def flush():
+            keys, warm, lengths = (np.concatenate([h[k] for h in held]) if k < 2 else np.array([len(h[0]) for h in held]) for k in range(3))
+            nodes = np.repeat(np.array([h[2] for h in held], dtype=np.int64), lengths)
+            sizes = np.repeat(np.array([h[3] for h in held], dtype=np.uint32), lengths)
+            places = (np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.uint32)
+            part = np.where(warm, parts + (tokens.mix(nodes.view(np.uint64)) % np.uint64(parts)).astype(np.int64), (keys % np.uint64(parts)).astype(np.int64))
+            order = np.lexsort((keys, part))
+            cuts = np.flatnonzero(np.diff(part[order])) + 1
+            rows = [(int(part[x[0]]), packed.dump(packed.gaps(keys[x]), nodes[x], sizes[x], places[x])) for x in np.split(order, cuts)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "payload"])
+
         for batch in tokens.parts(batches, text_column):
-            keys, nodes, sizes = [], [], []
             for s in _sets(batch, text_column, width):
                 n = len(s)
                 if not n or (node := _node(s)) in seen:
@@ -153,19 +186,96 @@ def _route(text_column: str, width: int, t: Fraction, counts):
                 seen.add(node)
                 length = n - _needed(n, t) + 1
                 rare = weight[_buckets(s)]
-                if length < n:
-                    cut = np.partition(rare, length - 1)[length - 1]
-                    near = np.flatnonzero(rare <= cut)
-                    s = s[near[np.lexsort((s[near], rare[near]))[:length]]]
-                keys.append(s.view(np.int64))
-                nodes.append(np.full(len(s), node, dtype=np.int64))
-                sizes.append(np.full(len(s), n, dtype=np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, sizes)], names=["key", "node", "n"])
+                near = np.flatnonzero(rare <= np.partition(rare, length - 1)[length - 1]) if length < n else np.arange(n)
+                first = near[np.lexsort((s[near], rare[near]))[:length]]
+                held.append((tokens.mix(s[first] ^ np.uint64(0x3C6EF372FE94F82B)) >> np.uint64(64 - bits), rare[first] > hot, node, n))
+                size += length
+                if size >= FLUSH_KEYS:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+_MET = "kind string, a long, b long, key long, nodes array<long>"
+
+
+def _met(kind: str, n: int, **columns) -> pa.Table:
+    kinds = {"a": pa.int64(), "b": pa.int64(), "key": pa.int64(), "nodes": pa.list_(pa.int64())}
+    return pa.table({"kind": pa.array([kind] * n, pa.string())} | {c: pa.array(columns[c], x) if c in columns else pa.nulls(n, x) for c, x in kinds.items()})
+
+
+def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs, the smaller node first, each once."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    new = np.ones(len(low), dtype=bool)
+    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    return low[new], high[new]
+
+
+def _meet(t: Fraction, parts: int, small: int):
+    """Over the routing shingles of one part: pairs to check, and blocks of more than small nodes."""
+    p, q = t.numerator, t.denominator
+
+    def run(key, table):
+        loaded = [packed.load(x.as_buffer()) for x in table.column("payload")]
+        keys = np.concatenate([packed.keys(x[0]) for x in loaded])
+        nodes, sizes, places = (np.concatenate([x[k] for x in loaded]) for k in (1, 2, 3))
+        if key[0].as_py() >= parts:
+            return _met("hot", len(keys), key=keys.view(np.int64), a=nodes)
+        order = np.lexsort((places, nodes, keys))
+        keys, nodes = keys[order], nodes[order]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+        order = order[new]
+        keys, nodes, sizes, places = keys[new], nodes[new], sizes[order].astype(np.int64), places[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        members = np.diff(np.append(first, len(keys)))
+        left, right = [], []
+        for m in range(2, small + 1):
+            at = first[members == m]
+            for i in range(m):
+                for j in range(i + 1, m):
+                    # all shingles in common stand at these places or after them, if this is the first
+                    both = -(-p * (sizes[at + i] + sizes[at + j]) // (p + q))
+                    ok = (sizes[at + i] - places[at + i] >= both) & (sizes[at + j] - places[at + j] >= both)
+                    left.append(nodes[at + i][ok])
+                    right.append(nodes[at + j][ok])
+        blocks: dict[bytes, tuple[int, np.ndarray]] = {}
+        for at, m in zip(first[members > small].tolist(), members[members > small].tolist()):
+            own, n = nodes[at : at + m], sizes[at : at + m]
+            if (raw := own.tobytes()) in blocks:
+                continue
+            blocks[raw] = int(keys[at]), own
+            chain = np.lexsort((own, n))
+            for hub in (0, int(chain[m // 2])):
+                left.append(np.full(m, own[hub]))
+                right.append(own)
+            left.append(own[chain[:-1]])
+            right.append(own[chain[1:]])
+        a, b = _once(np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+        a, b = a[a != b], b[a != b]
+        lists = list(blocks.values())
+        names = [int(tokens.mix(_signature(x)).view(np.int64)[0]) for _, x in lists]
+        ends = np.cumsum([0, *(len(x) for _, x in lists)])
+        flat = np.concatenate([x for _, x in lists]) if lists else np.zeros(0, np.int64)
+        out = _met("block", len(lists), key=names, nodes=pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())))
+        return pa.concat_tables([_met("pair", len(a), a=a, b=b), out])
 
     return run
 
 
+def _signature(nodes: np.ndarray) -> np.ndarray:
+    """A hash of a sorted list of nodes: blocks with the same members have one name."""
+    with np.errstate(over="ignore"):
+        x = tokens.mix(nodes.view(np.uint64) + np.arange(len(nodes), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return np.array([x.sum() ^ np.uint64(len(nodes))], dtype=np.uint64)
+
+
 class CountTree:
     """A static R-tree over count vectors, stored level by level.
 
@@ -205,101 +315,106 @@ class CountTree:
         return self.order[found], bound
 
 
-def _surviving(nodes, sizes, vectors, left: np.ndarray, right: np.ndarray, t: Fraction) -> list[tuple[int, int]]:
-    """Pairs of places whose bound does not rule a link out."""
+def _within_bound(t: Fraction):
+    """Of pairs with both sizes and vectors, those whose bound does not rule a link out."""
     p, q = t.numerator, t.denominator
-    bound = np.minimum(vectors[left], vectors[right]).sum(axis=1)
-    keep = (bound * (p + q) >= p * (sizes[left] + sizes[right])) & (nodes[left] != nodes[right])
-    a, b = nodes[left[keep]], nodes[right[keep]]
-    return list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
-
-
-def _sparse(nodes, sizes, vectors, t: Fraction, few: int) -> list[tuple[int, int]] | None:
-    """All surviving pairs of a block that has few for its size, as most have; None for a dense one."""
-    tree, out = CountTree(sizes, vectors, np.arange(len(nodes))), []
-    for i in range(len(nodes)):
-        found, _ = tree.search(int(sizes[i]), vectors[i], i, t)
-        out += [(int(nodes[i]), int(nodes[j])) for j in found if nodes[i] < nodes[j]]
-        if len(out) > few * len(nodes):
-            return None
-    return out
 
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                some = batch.slice(i, 4096)
+                bound = np.minimum(_vectors(some.column("left")), _vectors(some.column("right"))).sum(axis=1)
+                n, m = np.asarray(some.column("n")), np.asarray(some.column("m"))
+                yield some.select(["a", "b"]).filter(pa.array(bound * (p + q) >= p * (n + m)))
+
+    return run
 
-def _propose(nodes, sizes, vectors, labels, t: Fraction, mode: str, small: int, few: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of one block that need a check, the smaller node first, and whether these are all."""
-    if mode == "star":
-        n = len(nodes)
-        if n <= small:
-            left, right = np.triu_indices(n, 1)
-            return _surviving(nodes, sizes, vectors, left, right, t), True
-        if (sparse := _sparse(nodes, sizes, vectors, t, few)) is not None:
-            return sparse, True
-        order = np.lexsort((nodes, sizes))
-        middle = np.abs(vectors - np.median(vectors, axis=0)).sum(axis=1)
-        hubs = [int(np.lexsort((nodes, middle))[0]), int(np.argmin(nodes))]
-        left = np.concatenate([order[:-1], *(np.full(n, h) for h in hubs)])
-        right = np.concatenate([order[1:], *(np.arange(n) for _ in hubs)])
-        return _surviving(nodes, sizes, vectors, left, right, t), False
-    tree, out = CountTree(sizes, vectors, labels), []
-    for i in range(len(nodes)):
-        found, bound = tree.search(int(sizes[i]), vectors[i], int(labels[i]), t)
-        if mode == "best" and len(found):
-            found = found[[np.argmax(bound / (sizes[i] + sizes[found] - bound))]]
-            out += [(int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))) for j in found]
-        else:
-            out += [(int(nodes[i]), int(nodes[j])) for j in found if nodes[i] < nodes[j]]
-    return out, mode == "all"
 
+def _propose(own, nodes, sizes, vectors, labels, t: Fraction, mode: str, few: int) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    """Pairs of one chunk that need a check, of an own node and one of another label; None if these are not all."""
+    tree, mine = CountTree(sizes, vectors, labels), np.flatnonzero(own)
 
-def _block_pairs(t: Fraction, mode: str, small: int, few: int):
-    """Over partitions sorted by block: propose pairs, each once per task.
+    def search(i):
+        found, bound = tree.search(int(sizes[i]), vectors[i], int(labels[i]), t)
+        # two own nodes find each other
+        keep = ~own[found] | (nodes[found] > nodes[i])
+        return found, bound, found[keep]
+
+    if mode == "best":
+        held, best, total = [], [], 0
+        for i in mine:
+            found, bound, kept = search(i)
+            total += len(kept)
+            if total <= few * len(nodes):
+                held.append((np.full(len(kept), nodes[i]), nodes[kept]))
+            if len(found):
+                best.append((nodes[i], nodes[found[np.argmax(bound / (sizes[i] + sizes[found] - bound))]]))
+        if total <= few * len(nodes):
+            yield from held
+        else:
+            yield tuple(np.array(best, dtype=np.int64).T)
+            yield None
+    else:
+        for i in mine:
+            kept = search(i)[2]
+            yield np.full(len(kept), nodes[i]), nodes[kept]
 
-    In the first pass, (key, null) tells that a block is not decided yet.
-    """
 
-    def flush(key, whole, held, out):
-        nodes, first = np.unique(np.concatenate([h[0] for h in held]), return_index=True)
-        if len(nodes) > 1:
-            sizes, vectors, labels = (np.concatenate([h[k] for h in held])[first] for k in (1, 2, 3))
-            pairs, all_of_them = _propose(nodes, sizes, vectors, labels, t, mode, small, few)
-            out.update(pairs)
-            if mode == "star" and not (whole and all_of_them):
-                out.add((int(key[0]), None))
+def _chunk_pairs(t: Fraction, mode: str, few: int):
+    """Over partitions sorted by (key, chunk): propose pairs; (key, null) tells that a block is not decided."""
 
     def run(batches):
-        held, key, whole, out = [], None, True, set()
+        held, name, out, size = [], None, [], 0
+
+        def flush():
+            own, nodes, sizes, vectors, labels = (np.concatenate([h[k] for h in held]) for k in range(5))
+            for found in _propose(own, nodes, sizes, vectors, labels, t, mode, few):
+                yield found or (np.array([name[0]]), None)
+
+        def done():
+            pairs = _once(*(np.concatenate([x[k] for x in out]) for k in (0, 1))) if out else (np.zeros(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], names=["a", "b"])
+
+        def gathered(found):
+            nonlocal out, size
+            for a, b in found:
+                if b is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(1, pa.int64())], names=["a", "b"])
+                    continue
+                out.append((a, b))
+                size += len(a)
+                if size >= PAIRS:
+                    yield done()
+                    out, size = [], 0
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            block = np.stack([np.asarray(batch.column(c)) for c in ("key", "i", "j")])
-            chunks, nodes, sizes, labels = (np.asarray(batch.column(c)) for c in ("chunks", "node", "n", "label"))
+            place = np.stack([np.asarray(batch.column(c)) for c in ("key", "chunk")])
+            own, nodes, sizes, labels = (np.asarray(batch.column(c)) for c in ("own", "node", "n", "label"))
             vectors = _vectors(batch.column("vector"))
-            cuts = [0, *(np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+            cuts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
-                if held and key != tuple(block[:, a]):
-                    flush(key, whole, held, out)
+                if held and name != tuple(place[:, a]):
+                    yield from gathered(flush())
                     held = []
-                key, whole = tuple(block[:, a]), bool(chunks[a] == 1)
-                held.append((nodes[a:b], sizes[a:b], vectors[a:b], labels[a:b]))
-            if len(out) > 100_000:
-                yield _pairs(out)
-                out = set()
+                name = tuple(place[:, a])
+                held.append((own[a:b] == 1, nodes[a:b], sizes[a:b], vectors[a:b], labels[a:b]))
         if held:
-            flush(key, whole, held, out)
-        yield _pairs(out)
+            yield from gathered(flush())
+        yield done()
 
     return run
 
 
-def _pairs(out: set) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-
 def _full_sets(text_column: str, width: int):
+    """The sets of rows that are the node that is wanted; an id may stand on other texts too."""
+
     def run(batches):
         for batch in tokens.parts(batches, text_column):
-            sets = [s.tobytes() for s in _sets(batch, text_column, width)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            sets = list(_sets(batch, text_column, width))
+            right = pa.array([len(s) > 0 and _node(s) == node for s, node in zip(sets, batch.column("node").to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"]).filter(right)
 
     return run
 
@@ -320,31 +435,67 @@ def _check(t: Fraction):
     return run
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_column: str, width: int, t: Fraction, keep: list[str]) -> DataFrame:
-    """Pairs whose full sets link.  Only texts of nodes in pairs are moved; keep gets the tables made on the way."""
-    ends = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node"), keep)
-    small = ends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    picked = docs.join(F.broadcast(ends) if small else ends, docs["doc_id"] == ends["rep"]).select("node", text_column)
-    sets = materialise(picked.dropDuplicates(["node"]).mapInArrow(_full_sets(text_column, width), "node long, shingles binary"), keep)
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_check(t), "a long, b long")
-
-
-def _blocks_of(blocks: DataFrame, t: Fraction, mode: str) -> DataFrame:
-    """Deal blocks out by key; those over BLOCK nodes in chunks."""
-    chunks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.hash("node"), F.col("chunks"))
-    dealt = blocks.withColumn("chunks", chunks)
-    if mode == "star":
-        spread = F.when((F.col("chunks") > 1) & (F.col("node") == F.col("pivot")), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
-        dealt = dealt.withColumn("i", F.explode(spread)).withColumn("j", F.lit(0))
-    else:
-        spread = F.when(F.col("chunks") > 1, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(0)))
-        dealt = dealt.withColumn("own", own).withColumn("other", F.explode(spread)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    dealt = dealt.select("key", F.col("i").cast("int"), F.col("j").cast("int"), "chunks", "node", "n", "vector", "label")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(_block_pairs(t, mode, SMALL, FEW), "a long, b long").distinct()
+class _Join:
+    """The nodes of a table of documents, and what may link them."""
+
+    def __init__(self, docs: DataFrame, id_column: str, text_column: str, width: int, threshold: float):
+        self.t, self.width, self.spark = Fraction(threshold).limit_denominator(1000), width, docs.sparkSession
+        self.docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+        #: Tables to discard at the end.
+        self.spent: list[str] = []
+        signed = materialise(self.docs.mapInArrow(_signatures("doc_id", "text", width), "doc_id long, n long, node long, vector binary, totals binary"))
+        self.totals = signed.where("totals is not null").select("totals")
+        self.sizes = signed.where("totals is null")
+        usable = self.sizes.where("node is not null and doc_id is not null")
+        self.nodes = materialise(usable.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("vector").alias("vector")), self.spent)
+
+    def candidates(self, small: int) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b) within the bound, and blocks (key, node): all that may link, and is no such pair, shares a block."""
+        t, spark, old = self.t, self.spark, []
+        counts = spark.sparkContext.broadcast(_bucket_counts(self.totals))
+        length = F.col("n") - F.floor((F.col("n") * t.numerator + t.denominator - 1) / t.denominator).cast("long") + 1
+        total = self.nodes.agg(F.sum(length)).first()[0] or 0
+        parts, bits = max(1, -(-total // PART_KEYS)), min(64, total.bit_length() + 16)
+        routed = self.docs.where("doc_id is not null").select("text").mapInArrow(_route("text", self.width, t, counts, bits, parts, HOT), "part long, payload binary")
+        met = materialise(routed.groupBy("part").applyInArrow(_meet(t, parts, small), _MET), old, partition_by=["kind"])
+        lists = met.where("kind = 'block'").select("key", "nodes").dropDuplicates(["key"])
+        hot = met.where("kind = 'hot'").select("key", F.col("a").alias("node")).distinct()
+        blocks = materialise(lists.select("key", F.explode("nodes").alias("node")).union(hot), self.spent)
+        hubs = hot.groupBy("key").agg(F.min("node").alias("a"))
+        stars = hot.join(hubs, "key").where("a != node").select("a", F.col("node").alias("b"))
+        pairs = self.bounded(met.where("kind = 'pair'").select("a", "b").union(stars).distinct())
+        discard(spark, old)
+        return pairs, blocks
+
+    def bounded(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose count vectors do not rule a link out."""
+        left = self.nodes.select(F.col("node").alias("a"), F.col("n"), F.col("vector").alias("left"))
+        right = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("vector").alias("right"))
+        return materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right").mapInArrow(_within_bound(self.t), "a long, b long"), self.spent)
+
+    def surviving(self, live: DataFrame, mode: str) -> DataFrame:
+        """Pairs of different labels of blocks (key, members, largest, node, label), by trees over chunks."""
+        chunks = F.ceil(F.col("members") / BLOCK).cast("int")
+        home = F.pmod(F.hash("node"), F.col("chunks"))
+        everywhere = (F.col("chunks") > 1) & ~F.col("label").eqNullSafe(F.col("largest"))
+        dealt = live.withColumn("chunks", chunks).withColumn("home", home)
+        dealt = dealt.withColumn("chunk", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("home"))))
+        dealt = dealt.join(self.nodes.select("node", "n", "vector"), "node").select("key", "chunk", (F.col("chunk") == F.col("home")).cast("int").alias("own"), "node", "n", "vector", "label")
+        dealt = dealt.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+        return materialise(dealt.mapInArrow(_chunk_pairs(self.t, mode, FEW), "a long, b long").distinct(), self.spent)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose full sets link.  Only texts of nodes in pairs are moved."""
+        old: list[str] = []
+        ends = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.nodes.select("node", "rep"), "node"), old)
+        small = ends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        picked = self.docs.join(F.broadcast(ends) if small else ends, self.docs["doc_id"] == ends["rep"]).select("node", "text")
+        sets = materialise(picked.mapInArrow(_full_sets("text", self.width), "node long, shingles binary").dropDuplicates(["node"]), old)
+        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
+        links = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_check(self.t), "a long, b long"), self.spent)
+        discard(self.spark, old)
+        return links
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -356,54 +507,70 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     Null and empty texts, and those of white space alone, have no shingles and
     link with nothing; rows with a null id link with nothing and have a null
-    component; repeated rows are copies of one another; extra columns are ignored; an
-    empty table gives an empty one.  Texts of any length are taken whole.
+    component.  Repeated rows are copies of one another; an id on several texts
+    is each of them, and each row has the component of its own text.  Extra
+    columns are ignored; an empty table gives an empty one.  Texts of any length
+    are taken whole.
     """
-    t = Fraction(threshold).limit_denominator(1000)
-    spark, old, spent = docs.sparkSession, [], []
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    signed = materialise(docs.mapInArrow(_signatures("doc_id", "text", width), "doc_id long, n long, node long, vector binary, totals binary"))
-    counts = spark.sparkContext.broadcast(_bucket_counts(signed.where("totals is not null").select("totals")))
-    sizes = signed.where("totals is null")
-    nodes = materialise(sizes.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vector").alias("vector")), spent)
-    keys = materialise(docs.where("doc_id is not null").select("text").mapInArrow(_route("text", width, t, counts), "key long, node long, n long"), old)
-    # sums tell member lists apart where copies from several tasks cancel out in the others; past their range a block stands for itself
-    total = F.coalesce(F.try_sum(F.shiftright("node", 16)), F.col("key"))
-    every = [F.count("*").alias("members"), F.min("node").alias("pivot"), F.max("node").alias("last"), F.bit_xor("node").alias("all"), total.alias("total"), F.min("n").alias("low"), F.max("n").alias("high")]
-    # two sets whose sizes alone rule a link out are most of what meets by chance
-    hopeful = (F.col("members") > 2) | (F.col("low") * t.denominator >= F.col("high") * t.numerator)
-    members = keys.groupBy("key").agg(*every).where((F.col("pivot") != F.col("last")) & hopeful)
-    shared = materialise(members.groupBy("members", "pivot", "last", "all", "total").agg(F.min("key").alias("key")).select("key", "members", "pivot"), old)
-    blocks = materialise(keys.drop("n").join(shared, "key").select("key", "members", "pivot", "node"), spent)
-    discard(spark, old)
-
+    join = _Join(docs, id_column, text_column, width, threshold)
+    spark, nodes = join.spark, join.nodes
     labels = nodes.select("node", F.col("node").alias("label"))
-    points, tried = nodes.select("node", "n", "vector"), None
-    for mode in ("star", "best", "all"):
-        labelled = materialise(blocks.join(labels, "node"), old)
-        open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-        live = labelled.join(materialise(open_keys, old), "key").join(points, "node")
-        pairs = _blocks_of(live, t, mode)
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), spent)
-        discard(spark, old)
-        if mode == "star":
-            undecided = pairs.where("b is null").select(F.col("a").alias("key"))
-            blocks = materialise(blocks.join(undecided, "key"), spent)
-            pairs = pairs.where("b is not null")
-        if not pairs.isEmpty():
-            links = materialise(_verified(pairs, nodes, docs, "text", width, t, old), old)
-            labels = materialise(_relabel(labels, links), spent)
+    pairs, blocks = join.candidates(SMALL)
+    tried = pairs
+    for mode in ("", "best", "all"):
+        if mode:
+            old: list[str] = []
+            labelled = materialise(blocks.join(labels, "node"), old)
+            held = labelled.groupBy("key", "label").agg(F.count("*").alias("k"))
+            opened = held.groupBy("key").agg(F.sum("k").alias("members"), F.count("*").alias("labels"), F.max_by("label", "k").alias("largest")).where("labels > 1")
+            live = materialise(labelled.join(opened.drop("labels"), "key"), old)
+            if live.isEmpty():
+                discard(spark, old)
+                break
+            found = join.surviving(live, mode)
             discard(spark, old)
-        tried = pairs if tried is None else tried.union(pairs)
+            if mode == "best":
+                blocks = materialise(blocks.join(found.where("b is null").select(F.col("a").alias("key")), "key"), join.spent)
+            pairs = materialise(found.where("b is not null").join(tried, ["a", "b"], "left_anti"), join.spent)
+            tried = tried.union(pairs)
+        if not pairs.isEmpty():
+            labels = materialise(_relabel(labels, join.verified(pairs)), join.spent)
     known = nodes.select("node", "rep").join(labels, "node")
-    lowest = materialise(known.groupBy("label").agg(F.min("rep").alias("component_id")), spent)
+    lowest = materialise(known.groupBy("label").agg(F.min("rep").alias("component_id")), join.spent)
     found = materialise(known.join(lowest, "label").select("node", "component_id"))
-    discard(spark, spent)
-    named = sizes.join(found, "node", "left")
+    discard(spark, join.spent)
+    named = join.sizes.join(found, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Every link: pairs ``(a, b)`` of classes, and ``(doc_id, class_id, n_links)`` per row of docs.
+
+    A class holds the documents of one shingle set, and its id is a number of
+    its own, as a smallest doc_id may stand on several texts.  ``n_links`` counts
+    the other rows that a row links with, those of its own class included.
+    Copies are not expanded into pairs; links between different sets are all
+    found, so a group of n near copies gives up to n (n - 1) / 2 of them.
+
+    Rows without shingles or with a null id have a null class and no links;
+    the rest is as in ``jaccard_components``.
+    """
+    join = _Join(docs, id_column, text_column, width, threshold)
+    pairs, blocks = join.candidates(SMALL)
+    members = blocks.groupBy("key").agg(F.count("*").alias("members"))
+    alone = blocks.join(members, "key").withColumn("label", F.col("node")).withColumn("largest", F.lit(None).cast("long"))
+    found = join.surviving(alone, "all")
+    links = join.verified(materialise(pairs.union(found).distinct(), join.spent))
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sizes = join.nodes.select(F.col("node").alias("b"), "copies")
+    reach = both.join(sizes, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+    classes = materialise(join.nodes.select("node", "copies").join(reach, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    named = join.sizes.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("node")))
+    per_row = named.join(classes.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return links, per_row
+
+
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (node, label) after joining the components that links connect."""
     ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
