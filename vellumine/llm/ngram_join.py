@@ -490,7 +490,8 @@ class _Join:
         ends = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.nodes.select("node", "rep"), "node"), old)
         small = ends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         picked = self.docs.join(F.broadcast(ends) if small else ends, self.docs["doc_id"] == ends["rep"]).select("node", "text")
-        sets = materialise(picked.mapInArrow(_full_sets("text", self.width), "node long, shingles binary").dropDuplicates(["node"]), old)
+        # dealt by node once, for the rows that repeat an id and for both ends of the pairs
+        sets = picked.mapInArrow(_full_sets("text", self.width), "node long, shingles binary").dropDuplicates(["node"])
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
         links = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_check(self.t), "a long, b long"), self.spent)
