@@ -25,21 +25,27 @@ batch one entry.  Twice the order exchanges in all:
    below, whose backoff weights come first
 4. answers to their batches, which add up the scores of their documents
 
+How often a context was seen is the count of its own words, so the third step is
+about two kinds of contexts alone: those that stand in a text that is held out,
+for a text of the training never backs off, and those seen over ``DISCOUNTED``
+times, which may lack a discount.  The answers to the n-grams tell which
+contexts held-out texts have.
+
+A partition is a range of hashes, so what a batch sorts is dealt as it stands.
 The count tables and backoff weights stay in the shared folder, partitioned.
 """
 
 from __future__ import annotations
 
-import struct
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm import tokens
+from vellumine.llm.packed import dump, gaps, keys, load
 from vellumine.plans.durable import materialise
 
 BATCH_TOKENS = 1_000_000
@@ -52,34 +58,6 @@ _END, _START = (tokens.mix(np.array([x], dtype=np.uint64)) for x in (0xE0D0F5E2,
 _ROW = "kind string, part long, batch long, payload binary, stats array<long>"
 
 
-def _dump(*arrays: np.ndarray) -> bytes:
-    """Arrays as one binary: like bytes side by side, compressed."""
-    out = [struct.pack("<B", len(arrays))]
-    for a in arrays:
-        raw = np.ascontiguousarray(a)
-        body = zstandard.compress(raw.view(np.uint8).reshape(-1, raw.itemsize).T.tobytes() if len(raw) else b"", 1)
-        out += [struct.pack("<3sQQ", raw.dtype.str.encode(), len(raw), len(body)), body]
-    return b"".join(out)
-
-
-def _load(payload: pa.Buffer | bytes) -> list[np.ndarray]:
-    payload = memoryview(payload)
-    out, at = [], 1
-    for _ in range(payload[0]):
-        kind, n, size = struct.unpack_from("<3sQQ", payload, at)
-        at += struct.calcsize("<3sQQ")
-        dtype = np.dtype(kind.decode())
-        raw = np.frombuffer(zstandard.decompress(payload[at : at + size]), dtype=np.uint8)
-        out.append(np.ascontiguousarray(raw.reshape(dtype.itemsize, n).T).view(dtype).ravel() if n else np.zeros(0, dtype))
-        at += size
-    return out
-
-
-def _gaps(keys: np.ndarray) -> np.ndarray:
-    """Sorted keys as the differences of neighbours, which compress better."""
-    return np.diff(keys, prepend=np.uint64(0))
-
-
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["kind", "part", "batch", "payload", "stats"])
@@ -99,7 +77,7 @@ class _Batch:
 
     @classmethod
     def of(cls, payload: pa.Buffer) -> _Batch:
-        return cls(*_load(payload))
+        return cls(*load(payload))
 
     def levels(self, order: int) -> list[_Level]:
         """The n-grams of levels 2 to order, shortest first."""
@@ -117,12 +95,18 @@ class _Batch:
             with np.errstate(over="ignore"):
                 names = tokens.mix(contexts[keys >> 32] * np.uint64(0x9E3779B97F4A7C15) + self.words[keys & 0xFFFFFFFF])
             place = above
-            out.append(_Level(contexts, keys, names, place, lower))
+            out.append(_Level(contexts, keys, names, place, lower, np.argsort(names)))
         return out
 
     def trained(self, place: np.ndarray, n: int) -> np.ndarray:
         """Training counts of n-grams, from each token's place among them."""
-        return np.bincount(place, weights=np.repeat(self.held == 0, self.sizes), minlength=n).astype(np.int64)
+        return np.bincount(place, weights=np.repeat(self.held == 0, self.sizes), minlength=n).astype(np.uint32)
+
+    def outside(self, place: np.ndarray, n: int) -> np.ndarray:
+        """Which n-grams stand in a text that is held out."""
+        out = np.zeros(n, dtype=np.uint8)
+        out[place[np.repeat(self.held != 0, self.sizes)]] = 1
+        return out
 
 
 @dataclass
@@ -131,8 +115,9 @@ class _Level:
 
     ``contexts`` are the hashes of the n-grams one word shorter, with that of the
     start of a text last; ``keys`` are (context, word) indices, ``names`` the
-    hashes of the n-grams, ``place`` that of each token among them, and ``lower``
-    that of each without its first word among those of the level below.
+    hashes of the n-grams, ``place`` that of each token among them, ``lower``
+    that of each without its first word among those of the level below, and
+    ``order`` sorts the names.
     """
 
     contexts: np.ndarray
@@ -140,18 +125,19 @@ class _Level:
     names: np.ndarray
     place: np.ndarray
     lower: np.ndarray
+    order: np.ndarray
 
     @property
     def context(self) -> np.ndarray:
         return self.keys >> 32
 
 
-def _deal(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Places by (partition, hash), whole and per partition."""
-    part = (tokens.mix(hashes ^ np.uint64(0x1234567)) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((hashes, part))
-    cuts = np.flatnonzero(np.diff(part[order])) + 1
-    return order, [(int(part[x[0]]), x) for x in np.split(order, cuts) if len(x)]
+def _deal(hashes: np.ndarray, parts: int) -> list[tuple[int, slice]]:
+    """The runs of sorted hashes that belong to each partition."""
+    # the upper halves are enough to part by, and products of halves fit
+    part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    return [(int(part[a]), slice(a, b)) for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
 def _tokenise(batches):
@@ -168,7 +154,7 @@ def _tokenise(batches):
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(order), dtype=np.uint32)
         rank[order] = np.arange(len(order))
-        return _rows([("docs", -1, base + number, _dump(doc_ids, known, out, sizes, rank[inverse], words[order], train[order]), [len(hashes)])])
+        return _rows([("docs", -1, base + number, dump(doc_ids, known, out, sizes, rank[inverse], words[order], train[order]), [len(hashes)])])
 
     for batch in tokens.parts(batches, "text"):
         data, rows = tokens.utf8(batch.column("text"))
@@ -192,7 +178,9 @@ def _ask_words(parts: int):
         for batch in batches:
             for number, payload in zip(batch.column("batch").to_pylist(), batch.column("payload")):
                 b = _Batch.of(payload.as_buffer())
-                yield _rows([("ask", p, number, _dump(_gaps(b.words[x]), b.train[x]), None) for p, x in _deal(b.words, parts)[1]])
+                order = np.argsort(b.words)
+                names, train, outside = b.words[order], b.train[order].astype(np.uint32), b.outside(b.tokens, len(order))[order]
+                yield _rows([("ask", p, number, dump(gaps(names[x]), train[x], outside[x]), None) for p, x in _deal(names, parts)])
 
     return run
 
@@ -203,8 +191,9 @@ def _ask_grams(parts: int, level: int):
             for number, payload in zip(batch.column("batch").to_pylist(), batch.column("payload")):
                 b = _Batch.of(payload.as_buffer())
                 grams = b.levels(level)[-1]
-                train = b.trained(grams.place, len(grams.keys))
-                yield _rows([("ask", p, number, _dump(_gaps(grams.names[x]), train[x].astype(np.uint32)), None) for p, x in _deal(grams.names, parts)[1]])
+                n = len(grams.keys)
+                names, train, outside = grams.names[grams.order], b.trained(grams.place, n)[grams.order], b.outside(grams.place, n)[grams.order]
+                yield _rows([("ask", p, number, dump(gaps(names[x]), train[x], outside[x]), None) for p, x in _deal(names, parts)])
 
     return run
 
@@ -212,9 +201,8 @@ def _ask_grams(parts: int, level: int):
 def _merged(table: pa.Table) -> tuple[np.ndarray, list[int], list[np.ndarray], list[list[np.ndarray]]]:
     """The distinct keys of a partition, and per asking batch the places of its keys."""
     table = table.sort_by("batch")
-    asked = [_load(p.as_buffer()) for p in table.column("payload")]
-    keys = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
-    distinct, place = np.unique(keys, return_inverse=True)
+    asked = [load(p.as_buffer()) for p in table.column("payload")]
+    distinct, place = np.unique(np.concatenate([keys(a[0]) for a in asked]), return_inverse=True)
     places = np.split(place, np.cumsum([len(a[0]) for a in asked])[:-1])
     return distinct, table.column("batch").to_pylist(), places, [a[1:] for a in asked]
 
@@ -223,21 +211,28 @@ def _count_of_counts(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2].tolist()
 
 
+#: Bits of an answer beside the count: the batch is to add the key to its context; a held-out text has the key.
+_OWN, _OUTSIDE, _BITS = 1, 2, 2
+
+
 def _answer(model: str):
-    """Sum counts per key; answer 2 * count, plus 1 to the first batch that trained on the key."""
+    """Sum counts per key; answer with counts and the two bits, the first of them to the first batch that trained on the key."""
 
     def run(key, table):
-        keys, numbers, places, asked = _merged(table)
-        total = np.zeros(len(keys), dtype=np.int64)
-        for place, (train, *_) in zip(places, asked):
-            total[place] += train.astype(np.int64)
+        names, numbers, places, asked = _merged(table)
+        total, outside = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=bool)
+        for place, (train, held) in zip(places, asked):
+            total[place] += train
+            outside[place] |= held > 0
         free, out = total > 0, []
         part = key[0].as_py()
-        for number, place in zip(numbers, places):
-            out.append(("answer", part, number, _dump(2 * total[place] + free[place]), None))
-            free[place] = False
+        both = total << _BITS | outside * _OUTSIDE
+        for number, place, (train, _) in zip(numbers, places, asked):
+            own = free[place] & (train > 0)
+            out.append(("answer", part, number, dump(both[place] | own * _OWN), None))
+            free[place[own]] = False
         seen = total > 0
-        out.append((model, part, -1, _dump(_gaps(keys[seen]), total[seen]), [int(total.sum()), int(seen.sum()), *_count_of_counts(total)]))
+        out.append((model, part, -1, dump(gaps(names[seen]), total[seen]), [int(total.sum()), int(seen.sum()), *_count_of_counts(total)]))
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -291,17 +286,6 @@ class Model:
         return np.where(counts > 0, self.word_discounts(counts) * counts * self.scale, self.unknown)
 
 
-def _collected(order: np.ndarray, answers: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """Answers of all partitions, in the order of what was asked."""
-    out = []
-    for columns in zip(*answers):
-        joined = np.concatenate(columns)
-        column = np.empty(len(joined), dtype=joined.dtype)
-        column[order] = joined
-        out.append(column)
-    return out
-
-
 def _of_batch(table: pa.Table) -> tuple[_Batch, dict[str, list[pa.Buffer]]]:
     """The documents of a batch, and the answers to it by kind, in order of partitions."""
     table = table.sort_by("part")
@@ -311,44 +295,93 @@ def _of_batch(table: pa.Table) -> tuple[_Batch, dict[str, list[pa.Buffer]]]:
     return _Batch.of(by.pop("docs")[0]), by
 
 
-def _answered(names: np.ndarray, answers: list[pa.Buffer], model: Model) -> list[np.ndarray]:
-    return _collected(_deal(names, model.parts)[0], [_load(p) for p in answers])
+def _answered(order: np.ndarray, answers: list[pa.Buffer]) -> list[np.ndarray]:
+    """Answers of all partitions to sorted names, in the names' own order."""
+    out = []
+    for columns in zip(*map(load, answers)):
+        joined = np.concatenate(columns)
+        column = np.empty(len(joined), dtype=joined.dtype)
+        column[order] = joined
+        out.append(column)
+    return out
+
+
+class _Known:
+    """What a batch knows of its words and n-grams so far."""
+
+    def __init__(self, batch: _Batch, by: dict[str, list[pa.Buffer]], levels: int):
+        self.batch, self.by = batch, by
+        self.levels = batch.levels(levels)
+        #: Per level, from one on, the answers to its n-grams.
+        self.answers = [_answered(np.argsort(batch.words), by.pop("words"))[0]]
+        for level, grams in enumerate(self.levels, 2):
+            if f"grams{level}" in by:
+                self.answers.append(_answered(grams.order, by.pop(f"grams{level}"))[0])
+
+    def seen(self, level: int) -> np.ndarray:
+        """How often the contexts of a level were followed: the counts of their words; of the start, those of the end."""
+        last = self.batch.words == _END
+        return np.append(self.answers[level - 2] >> _BITS, self.answers[0][last] >> _BITS)
+
+    def asked(self, level: int) -> np.ndarray:
+        """Sorted places of the contexts of a level that are dealt with; the others back off nowhere and have discounts."""
+        start = self.answers[0][self.batch.words == _END] | _OUTSIDE
+        bits = np.append(self.answers[level - 2], start)
+        grams = self.levels[level - 2]
+        some = np.flatnonzero((bits & _OUTSIDE > 0) | (bits >> _BITS > DISCOUNTED))
+        return some[np.argsort(grams.contexts[some])]
+
+    def weights(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Backoff weight, where one is needed, and denominator of each context."""
+        places, below = self.asked(level), self.seen(level)
+        alpha = np.ones(len(below))
+        found, extra = _answered(np.arange(len(places)), self.by.pop(f"contexts{level}"))
+        alpha[places] = found
+        below[places] += extra
+        return alpha, below
+
+    def probabilities(self, model: Model, level: int, weights: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of the n-grams of a level, each given its context."""
+        p = model.unigram(self.answers[0] >> _BITS)
+        for k in range(2, level + 1):
+            grams, (alpha, below) = self.levels[k - 2], weights[k]
+            count = self.answers[k - 1] >> _BITS
+            with np.errstate(divide="ignore", invalid="ignore"):
+                p = np.where(count > 0, model.discounts[k - 2](count) * count / below[grams.context], alpha[grams.context] * p[grams.lower])
+        return p
 
 
 def _ask_contexts(model: Model, level: int):
-    """Per context the sums over those n-grams that this batch is to add."""
+    """Per context the sums over those n-grams that this batch is to add, and whether it backs off there."""
 
     def run(key, table):
         batch, by = _of_batch(table)
-        *below, grams = batch.levels(level)
-        totals = _answered(grams.names, by[f"grams{level}"], model)[0]
-        own = (totals & 1) == 1
-        context, count, lower = grams.context[own], (totals >> 1)[own], grams.lower[own]
-        if below:
-            # an n-gram that was seen was seen without its first word, so nothing backs off here
-            under = below[-1]
-            c = (_answered(under.names, by[f"grams{level - 1}"], model)[0] >> 1)[lower]
-            seen = _answered(under.contexts, by[f"contexts{level - 1}"], model)[1]
-            p = model.discounts[level - 3](c) * c / seen[under.context[lower]]
-        else:
-            p = model.unigram((_answered(batch.words, by["words"], model)[0] >> 1)[lower])
-        n, names = len(grams.contexts), grams.contexts
+        known = _Known(batch, by, level)
+        grams, answer = known.levels[-1], known.answers[-1]
+        lower = known.probabilities(model, level - 1, {k: known.weights(k) for k in range(2, level)})
+        own = answer & _OWN > 0
+        context, count, p = grams.context[own], (answer >> _BITS)[own], lower[grams.lower[own]]
+        n = len(grams.contexts)
         sums = [np.bincount(context[count == r], minlength=n).astype(np.uint32) for r in range(1, DISCOUNTED + 1)]
         sums.append(np.bincount(context, weights=np.where(count > DISCOUNTED, count, 0), minlength=n).astype(np.int64))
         sums.append(np.bincount(context, weights=p, minlength=n))
-        return pa.Table.from_batches([_rows([("ask", p, key[0].as_py(), _dump(_gaps(names[x]), *(s[x] for s in sums)), None) for p, x in _deal(names, model.parts)[1]])])
+        backs = np.zeros(n, dtype=np.uint8)
+        backs[grams.context[answer >> _BITS == 0]] = 1
+        places = known.asked(level)
+        names, columns = grams.contexts[places], [x[places] for x in (*sums, backs)]
+        return pa.Table.from_batches([_rows([("ask", p, key[0].as_py(), dump(gaps(names[x]), *(c[x] for c in columns)), None) for p, x in _deal(names, model.parts)])])
 
     return run
 
 
 def _back_off(model: Model, level: int):
-    """Backoff weight and denominator of each context; a context never seen has the denominator 0."""
+    """Backoff weight of each context, to the batches that back off there, and whether one more count is set aside."""
     r = np.arange(1, DISCOUNTED + 1)
     ratios = model.discounts[level - 2].ratios[1:]
 
     def run(key, table):
-        keys, numbers, places, asked = _merged(table)
-        sums = np.zeros((DISCOUNTED + 2, len(keys)))
+        names, numbers, places, asked = _merged(table)
+        sums = np.zeros((DISCOUNTED + 2, len(names)))
         for place, columns in zip(places, asked):
             for s, column in zip(sums, columns):
                 s[place] += column
@@ -360,8 +393,8 @@ def _back_off(model: Model, level: int):
         with np.errstate(divide="ignore", invalid="ignore"):
             alpha = np.where(seen > 0, np.where(extra, 1.0, left) / below / (1 - sums[DISCOUNTED + 1]), 1.0)
         part = key[0].as_py()
-        out = [("answer", part, number, _dump(alpha[place], below[place]), None) for number, place in zip(numbers, places)]
-        out.append(("backoff", part, -1, _dump(_gaps(keys[seen > 0]), alpha[seen > 0], below[seen > 0]), None))
+        out = [("answer", part, number, dump(np.where(columns[-1] > 0, alpha[place], 1.0), extra[place].astype(np.uint8)), None) for number, place, columns in zip(numbers, places, asked)]
+        out.append(("backoff", part, -1, dump(gaps(names[seen > 0]), alpha[seen > 0], below[seen > 0]), None))
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -371,16 +404,14 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 
 def _score(model: Model):
+    order = len(model.discounts) + 1
+
     def run(key, table):
         batch, by = _of_batch(table)
-        counts = _answered(batch.words, by.pop("words"), model)[0] >> 1
-        p, place = model.unigram(counts), batch.tokens
-        for level, grams in enumerate(batch.levels(len(model.discounts) + 1), 2):
-            count = _answered(grams.names, by.pop(f"grams{level}"), model)[0] >> 1
-            alpha, below = _answered(grams.contexts, by.pop(f"contexts{level}"), model)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                p = np.where(count > 0, model.discounts[level - 2](count) * count / below[grams.context], alpha[grams.context] * p[grams.lower])
-            place = grams.place
+        known = _Known(batch, by, order)
+        p = known.probabilities(model, order, {k: known.weights(k) for k in range(2, order + 1)})
+        place = known.levels[-1].place if known.levels else batch.tokens
+        counts = known.answers[0] >> _BITS
         first = np.cumsum(batch.sizes) - batch.sizes
         base = np.log10((counts + 0.1) / (model.total + 0.1 * (model.distinct + 1)))
         sums = [np.add.reduceat(x, first) for x in ((counts > 0).astype(np.int64)[batch.tokens], base[batch.tokens], np.log10(p)[place])]
@@ -437,7 +468,7 @@ def katz_scores(docs: DataFrame, held_out: Column, id_column: str = "doc_id", te
         return rows.groupBy("batch")
 
     for level in range(2, order + 1):
-        needed = ["words"] if level == 2 else [f"grams{level - 1}", f"contexts{level - 1}"]
-        asked = gathered(f"grams{level}", *needed).applyInArrow(_ask_contexts(model, level), _ROW)
+        needed = [x for k in range(2, level) for x in (f"grams{k}", f"contexts{k}")]
+        asked = gathered("words", *needed, f"grams{level}").applyInArrow(_ask_contexts(model, level), _ROW)
         known[f"contexts{level}"] = answers(materialise(asked.groupBy("part").applyInArrow(_back_off(model, level), _ROW), partition_by=["kind"]), f"contexts{level}")
     return gathered(*known).applyInArrow(_score(model), _SCORES)
