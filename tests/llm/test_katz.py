@@ -201,3 +201,17 @@ def test_the_query_scores_more_than_one_word_of_context(spark):
 def test_order_is_checked(spark):
     with pytest.raises(ValueError):
         katz.katz_scores(spark.createDataFrame([(1, "a")], "doc_id long, text string"), F.lit(False), order=0)
+
+
+def test_the_model_is_kept_on_demand(spark, tmp_path):
+    from vellumine.llm.packed import load
+
+    rows = corpus(5)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    katz.katz_scores(frame, langid.held_out(F.col("doc_id"), 10), order=3, model=str(tmp_path)).collect()
+    kept = spark.read.parquet(f"{tmp_path}/counts").collect()
+    brute = BruteOrder([t for i, t in rows if not held(i)], 3)
+    for level in (1, 2, 3):
+        counts = sorted(c for r in kept if r.level == level for c in load(r.payload)[1].tolist())
+        assert counts == sorted((brute.counts[level] if level > 1 else brute.plain.words).values())
+    assert {r.level for r in spark.read.parquet(f"{tmp_path}/backoff").collect()} == {2, 3}

@@ -32,7 +32,8 @@ times, which may lack a discount.  The answers to the n-grams tell which
 contexts held-out texts have.
 
 A partition is a range of hashes, so what a batch sorts is dealt as it stands.
-The count tables and backoff weights stay in the shared folder, partitioned.
+Counts and backoff weights are written to the shared folder by partition and
+batch, which is how the batches read them; tables by n-gram are kept on demand.
 """
 
 from __future__ import annotations
@@ -140,37 +141,40 @@ def _deal(hashes: np.ndarray, parts: int) -> list[tuple[int, slice]]:
     return [(int(part[a]), slice(a, b)) for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
-def _tokenise(batches):
-    from pyspark import TaskContext
-
-    base, number = TaskContext.get().partitionId() << 24, 0
-    held: list[tuple] = []
-    size = 0
-
-    def flush():
-        doc_ids, known, out, sizes, hashes = (np.concatenate(x) for x in zip(*held))
-        words, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        train = np.bincount(inverse, weights=np.repeat(out == 0, sizes), minlength=len(words)).astype(np.int64)
-        order = np.argsort(-counts, kind="stable")
-        rank = np.empty(len(order), dtype=np.uint32)
-        rank[order] = np.arange(len(order))
-        return _rows([("docs", -1, base + number, dump(doc_ids, known, out, sizes, rank[inverse], words[order], train[order]), [len(hashes)])])
-
-    for batch in tokens.parts(batches, "text"):
-        data, rows = tokens.utf8(batch.column("text"))
-        words, _, _, first = tokens.word_hashes(data, rows, tokens.SPACED)
-        sizes = np.diff(first)
-        hashes = np.empty(len(words) + len(sizes), dtype=np.uint64)
-        hashes[np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)] = words
-        hashes[first[1:] + np.arange(len(sizes))] = _END
-        ids = batch.column("doc_id")
-        held.append((np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid()).astype(np.uint8), np.asarray(batch.column("held_out")).astype(np.uint8), sizes + 1, hashes))
-        size += len(hashes)
-        if size >= BATCH_TOKENS:
+def _tokenise(size_of_batch: int):
+    def run(batches):
+        from pyspark import TaskContext
+
+        base, number = TaskContext.get().partitionId() << 24, 0
+        held: list[tuple] = []
+        size = 0
+
+        def flush():
+            doc_ids, known, out, sizes, hashes = (np.concatenate(x) for x in zip(*held))
+            words, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+            train = np.bincount(inverse, weights=np.repeat(out == 0, sizes), minlength=len(words)).astype(np.int64)
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(order), dtype=np.uint32)
+            rank[order] = np.arange(len(order))
+            return _rows([("docs", -1, base + number, dump(doc_ids, known, out, sizes, rank[inverse], words[order], train[order]), [len(hashes)])])
+
+        for batch in tokens.parts(batches, "text"):
+            data, rows = tokens.utf8(batch.column("text"))
+            words, _, _, first = tokens.word_hashes(data, rows, tokens.SPACED)
+            sizes = np.diff(first)
+            hashes = np.empty(len(words) + len(sizes), dtype=np.uint64)
+            hashes[np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)] = words
+            hashes[first[1:] + np.arange(len(sizes))] = _END
+            ids = batch.column("doc_id")
+            held.append((np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid()).astype(np.uint8), np.asarray(batch.column("held_out")).astype(np.uint8), sizes + 1, hashes))
+            size += len(hashes)
+            if size >= size_of_batch:
+                yield flush()
+                held, size, number = [], 0, number + 1
+        if held:
             yield flush()
-            held, size, number = [], 0, number + 1
-    if held:
-        yield flush()
+
+    return run
 
 
 def _ask_words(parts: int):
@@ -215,7 +219,7 @@ def _count_of_counts(counts: np.ndarray) -> list[int]:
 _OWN, _OUTSIDE, _BITS = 1, 2, 2
 
 
-def _answer(model: str):
+def _answer(keep: bool):
     """Sum counts per key; answer with counts and the two bits, the first of them to the first batch that trained on the key."""
 
     def run(key, table):
@@ -232,7 +236,7 @@ def _answer(model: str):
             out.append(("answer", part, number, dump(both[place] | own * _OWN), None))
             free[place[own]] = False
         seen = total > 0
-        out.append((model, part, -1, dump(gaps(names[seen]), total[seen]), [int(total.sum()), int(seen.sum()), *_count_of_counts(total)]))
+        out.append(("counts", part, -1, dump(gaps(names[seen]), total[seen]) if keep else None, [int(total.sum()), int(seen.sum()), *_count_of_counts(total)]))
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -323,13 +327,14 @@ class _Known:
         last = self.batch.words == _END
         return np.append(self.answers[level - 2] >> _BITS, self.answers[0][last] >> _BITS)
 
+    def outside(self, level: int) -> np.ndarray:
+        """Which contexts of a level a held-out text may have."""
+        return np.append(self.answers[level - 2] & _OUTSIDE > 0, True)
+
     def asked(self, level: int) -> np.ndarray:
         """Sorted places of the contexts of a level that are dealt with; the others back off nowhere and have discounts."""
-        start = self.answers[0][self.batch.words == _END] | _OUTSIDE
-        bits = np.append(self.answers[level - 2], start)
-        grams = self.levels[level - 2]
-        some = np.flatnonzero((bits & _OUTSIDE > 0) | (bits >> _BITS > DISCOUNTED))
-        return some[np.argsort(grams.contexts[some])]
+        some = np.flatnonzero(self.outside(level) | (self.seen(level) > DISCOUNTED))
+        return some[np.argsort(self.levels[level - 2].contexts[some])]
 
     def weights(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Backoff weight, where one is needed, and denominator of each context."""
@@ -352,7 +357,10 @@ class _Known:
 
 
 def _ask_contexts(model: Model, level: int):
-    """Per context the sums over those n-grams that this batch is to add, and whether it backs off there."""
+    """Per context the sums over those n-grams that this batch is to add, and whether it backs off there.
+
+    Of contexts that no held-out text has, only whether a count is low.
+    """
 
     def run(key, table):
         batch, by = _of_batch(table)
@@ -365,36 +373,40 @@ def _ask_contexts(model: Model, level: int):
         sums = [np.bincount(context[count == r], minlength=n).astype(np.uint32) for r in range(1, DISCOUNTED + 1)]
         sums.append(np.bincount(context, weights=np.where(count > DISCOUNTED, count, 0), minlength=n).astype(np.int64))
         sums.append(np.bincount(context, weights=p, minlength=n))
+        low = (sum(sums[:DISCOUNTED]) > 0).astype(np.uint8)
         backs = np.zeros(n, dtype=np.uint8)
         backs[grams.context[answer >> _BITS == 0]] = 1
         places = known.asked(level)
-        names, columns = grams.contexts[places], [x[places] for x in (*sums, backs)]
+        outside = known.outside(level)[places]
+        names, columns = grams.contexts[places], [*(np.where(outside, x[places], x.dtype.type(0)) for x in sums), low[places], backs[places]]
         return pa.Table.from_batches([_rows([("ask", p, key[0].as_py(), dump(gaps(names[x]), *(c[x] for c in columns)), None) for p, x in _deal(names, model.parts)])])
 
     return run
 
 
-def _back_off(model: Model, level: int):
+def _back_off(model: Model, level: int, keep: bool):
     """Backoff weight of each context, to the batches that back off there, and whether one more count is set aside."""
     r = np.arange(1, DISCOUNTED + 1)
     ratios = model.discounts[level - 2].ratios[1:]
 
     def run(key, table):
         names, numbers, places, asked = _merged(table)
-        sums = np.zeros((DISCOUNTED + 2, len(names)))
-        for place, columns in zip(places, asked):
+        sums, low = np.zeros((DISCOUNTED + 2, len(names))), np.zeros(len(names), dtype=bool)
+        for place, (*columns, some, _) in zip(places, asked):
             for s, column in zip(sums, columns):
                 s[place] += column
+            low[place] |= some > 0
         seen = (sums[:DISCOUNTED] * r[:, None]).sum(axis=0) + sums[DISCOUNTED]
         left = (sums[:DISCOUNTED] * (r * (1 - ratios))[:, None]).sum(axis=0)
         # a context of high counts alone has no discount: one more count is set aside
-        extra = (left <= 0) & (seen > 0)
+        extra = ~low
         below = seen + extra
         with np.errstate(divide="ignore", invalid="ignore"):
             alpha = np.where(seen > 0, np.where(extra, 1.0, left) / below / (1 - sums[DISCOUNTED + 1]), 1.0)
         part = key[0].as_py()
         out = [("answer", part, number, dump(np.where(columns[-1] > 0, alpha[place], 1.0), extra[place].astype(np.uint8)), None) for number, place, columns in zip(numbers, places, asked)]
-        out.append(("backoff", part, -1, dump(gaps(names[seen > 0]), alpha[seen > 0], below[seen > 0]), None))
+        if keep:
+            out.append(("backoff", part, -1, dump(gaps(names[seen > 0]), alpha[seen > 0], below[seen > 0]), None))
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -423,14 +435,19 @@ def _score(model: Model):
 
 
 def _totals(answers: DataFrame) -> list[int]:
-    rows = answers.where("stats is not null").select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("n")).orderBy("pos").collect()
+    rows = answers.where("kind = 'counts'").select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("n")).orderBy("pos").collect()
     return [r["n"] for r in rows] or [0] * (DISCOUNTED + 3)
 
 
-def katz_scores(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text", order: int = 2) -> DataFrame:
+def katz_scores(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text", order: int = 2, model: str | None = None) -> DataFrame:
     """Log10 probabilities of whole texts; learns from rows where held_out is false.
 
     ``order`` is the length of the longest n-grams; of one, nothing has a context.
+    Counts and backoff weights stand in tables by partition and batch while the
+    texts are scored.  Where ``model`` names a folder, tables of the whole model
+    are kept there besides, by level and partition: sorted n-gram hashes with
+    their counts (``counts``), and the backoff weights and denominators of all
+    contexts that a held-out text has (``backoff``).
 
     ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``,
     one row per row of docs.  Words are runs of anything but white space, A-Z
@@ -444,22 +461,29 @@ def katz_scores(docs: DataFrame, held_out: Column, id_column: str = "doc_id", te
     """
     if order < 1:
         raise ValueError(f"order is {order}, not one or more")
+    keep = model is not None
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_column).alias("text"))
-    batches = materialise(rows.mapInArrow(_tokenise, _ROW), partition_by=["kind"])
+    batches = materialise(rows.mapInArrow(_tokenise(BATCH_TOKENS), _ROW), partition_by=["kind"])
     n_tokens = batches.agg(F.sum(F.element_at("stats", 1))).first()[0] or 0
     parts = max(1, -(-n_tokens // PART_TOKENS))
     docs_of = batches.select(F.lit("docs").alias("kind"), "part", "batch", "payload")
-
-    def answers(table: DataFrame, kind: str) -> DataFrame:
-        return table.where("kind = 'answer'").select(F.lit(kind).alias("kind"), "part", "batch", "payload")
-
-    words = materialise(docs_of.mapInArrow(_ask_words(parts), _ROW).groupBy("part").applyInArrow(_answer("counts"), _ROW), partition_by=["kind"])
-    known, counted = {"words": answers(words, "words")}, []
+    known: dict[str, DataFrame] = {}
+
+    def answered(table: DataFrame, kind: str, level: int) -> DataFrame:
+        """Writes a table, and keeps its answers as those of a kind."""
+        table = materialise(table, partition_by=["kind"])
+        known[kind] = table.where("kind = 'answer'").select(F.lit(kind).alias("kind"), "part", "batch", "payload")
+        if keep:
+            for name in ("counts", "backoff"):
+                if not (part := table.where(F.col("kind") == name).select("part", "payload")).isEmpty():
+                    part.write.parquet(f"{model}/{name}/level={level}")
+        return table
+
+    words = answered(docs_of.mapInArrow(_ask_words(parts), _ROW).groupBy("part").applyInArrow(_answer(keep), _ROW), "words", 1)
+    counted = []
     for level in range(2, order + 1):
-        grams = materialise(docs_of.mapInArrow(_ask_grams(parts, level), _ROW).groupBy("part").applyInArrow(_answer("counts"), _ROW), partition_by=["kind"])
-        known[f"grams{level}"] = answers(grams, f"grams{level}")
-        counted.append(_totals(grams.where("kind = 'counts'")))
-    model = Model.of(parts, _totals(words.where("kind = 'counts'")), counted)
+        counted.append(_totals(answered(docs_of.mapInArrow(_ask_grams(parts, level), _ROW).groupBy("part").applyInArrow(_answer(keep), _ROW), f"grams{level}", level)))
+    numbers = Model.of(parts, _totals(words), counted)
 
     def gathered(*kinds: str):
         rows = docs_of
@@ -469,6 +493,6 @@ def katz_scores(docs: DataFrame, held_out: Column, id_column: str = "doc_id", te
 
     for level in range(2, order + 1):
         needed = [x for k in range(2, level) for x in (f"grams{k}", f"contexts{k}")]
-        asked = gathered("words", *needed, f"grams{level}").applyInArrow(_ask_contexts(model, level), _ROW)
-        known[f"contexts{level}"] = answers(materialise(asked.groupBy("part").applyInArrow(_back_off(model, level), _ROW), partition_by=["kind"]), f"contexts{level}")
-    return gathered(*known).applyInArrow(_score(model), _SCORES)
+        asked = gathered("words", *needed, f"grams{level}").applyInArrow(_ask_contexts(numbers, level), _ROW)
+        answered(asked.groupBy("part").applyInArrow(_back_off(numbers, level, keep), _ROW), f"contexts{level}", level)
+    return gathered(*known).applyInArrow(_score(numbers), _SCORES)
