@@ -2,11 +2,14 @@
 
 A written table survives the loss of executors, and ends the lineage of loops.
 The folder is the one that ``spark.checkpoint.dir`` names, which every executor
-sees; only where that is unset (tests, a laptop) a temporary one is made.
+sees.  Where it is unset, a master on one machine (tests, a laptop) gets a
+temporary folder, which goes when Python ends; a cluster gets an error.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,11 +20,15 @@ _own: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path under the shared folder; nothing is created there yet."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="vellumine-")
+            folder = tempfile.mkdtemp(prefix="vellumine-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own[app] = "file://" + folder
         root = _own[app]
     return f"{root.rstrip('/')}/vellumine/{uuid.uuid4().hex}"
 
