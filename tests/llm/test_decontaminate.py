@@ -90,3 +90,25 @@ def test_empty_tables(spark):
 
 def test_against_oracle(same):
     same(queries.op3_decontaminate, queries.ORACLE_SQL["op3_decontaminate"])
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_shards_drop_the_same_rows(spark, monkeypatch, few):
+    docs, items = cases(4)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    wanted = sorted((str(i), str(t)) for i, t in docs if not brute(t, items, 5)[1])
+    assert sorted((str(r.doc_id), str(r.text)) for r in D.uncontaminated(frame, bench, window=5).collect()) == wanted
+    monkeypatch.setattr(D, "SHARD_BYTES", 30)
+    monkeypatch.setattr(D, "BROADCAST_HITS", few)
+    found = D.uncontaminated(frame, bench, window=5)
+    assert found.columns == frame.columns and sorted((str(r.doc_id), str(r.text)) for r in found.collect()) == wanted
+    assert sum(1 for _ in D._shards(bench, 5)) > 5
+
+
+def test_texts_on_demand(spark):
+    docs, items = cases(5)
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = D.scan_contamination(frame, bench, window=5, texts=False)
+    assert found.columns == ["doc_id", "n_words", "n_hit", "items", "dropped"]
+    assert sorted(map(str, D.digest(found).collect())) == sorted(map(str, D.digest(D.scan_contamination(frame, bench, window=5)).collect()))

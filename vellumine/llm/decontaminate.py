@@ -5,9 +5,11 @@ words are streamed through it; at each word the length of the longest run that
 ends there and occurs in an item is known.  A window of ``window`` words occurs
 at a word if and only if that length reaches ``window``.
 
-The automaton is built on the driver from at most ``SHARD_BYTES`` of benchmark
-text and broadcast; a larger benchmark is dealt into shards by item, and the
-documents pass one automaton after the other in the same stage.
+The automaton is built on the driver from about ``SHARD_BYTES`` of benchmark text
+and broadcast.  A larger benchmark is dealt into shards by item, of which one at a
+time is on the driver and on the executors: the documents are scanned against
+each, hits are written by the SHA-256 of their text, and at the end meet the
+documents again.  So what is held is bounded, and each shard costs a scan.
 """
 
 from __future__ import annotations
@@ -18,9 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm import tokens
+from vellumine.plans.durable import materialise
 
-#: Benchmark text of one automaton.
+#: Benchmark text of one automaton, about.
 SHARD_BYTES = 4 << 20
+#: Texts with hits that may be broadcast; beyond, the join shuffles.
+BROADCAST_HITS = 20_000
 
 
 class SuffixAutomaton:
@@ -146,14 +151,20 @@ def _merge(spans: list[list[int]]) -> list[list[int]]:
 class _Scan:
     """Hits in a batch: row by row (first word, end) intervals and items."""
 
-    def __init__(self, automata: list[SuffixAutomaton], column: pa.Array):
+    def __init__(self, column: pa.Array, automaton: SuffixAutomaton | None):
         self.data, self.rows = tokens.utf8(column)
         hashes, self.starts, self.ends, self.first = tokens.word_hashes(self.data, self.rows, tokens.ALNUM)
         self.spans: list[list[list[int]]] = [[] for _ in range(len(column))]
         self.items: list[set[str]] = [set() for _ in range(len(column))]
-        for automaton in automata:
+        if automaton:
             self._run(automaton, automaton.ids(hashes))
-        self.spans = [_merge(s) for s in self.spans]
+            self.spans = [_merge(s) for s in self.spans]
+
+    def add(self, row: int, spans: list[tuple[int, int]], items: list[str]) -> None:
+        """Hits of a row that are known, by words of the row."""
+        at = int(self.first[row])
+        self.spans[row] = _merge([[a + at, b + at] for a, b in spans])
+        self.items[row].update(items)
 
     def _run(self, automaton: SuffixAutomaton, ids: np.ndarray) -> None:
         known = ids >= 0
@@ -186,53 +197,103 @@ class _Scan:
         return text[keep].tobytes()
 
 
-def _scanner(automata, span_limit: int, coverage_limit: float):
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _scans(batches, automaton, column: str = "text"):
+    """Batches with their hits: of the automaton, or those that come along in columns."""
+    for batch in tokens.parts(batches, column):
+        scan = _Scan(batch.column(column), automaton.value if automaton else None)
+        if not automaton:
+            for row, (spans, items) in enumerate(zip(batch.column("known_spans"), batch.column("known_items"))):
+                if spans.is_valid:
+                    scan.add(row, [(x["start"], x["end"]) for x in spans.as_py()], items.as_py())
+        yield batch, scan
+
+
+def _span_rows(scan: _Scan) -> pa.Array:
+    return pa.array([[{"start": int(a - scan.first[r]), "end": int(b - scan.first[r])} for a, b in spans] for r, spans in enumerate(scan.spans)], _SPANS)
+
+
+def _found(automaton):
+    """Texts with hits alone, by their key."""
+
+    def run(batches):
+        for batch, scan in _scans(batches, automaton):
+            columns = [batch.column("key"), _span_rows(scan), pa.array([sorted(x) for x in scan.items], pa.list_(pa.string()))]
+            rows = pa.RecordBatch.from_arrays(columns, names=["key", "spans", "items"])
+            yield rows.filter(pa.array([bool(x) for x in scan.spans], pa.bool_()))
+
+    return run
+
+
+def _scanner(automaton, span_limit: int, coverage_limit: float, texts: bool):
     def run(batches):
-        for batch in tokens.parts(batches, "text"):
-            scan = _Scan(automata.value, batch.column("text"))
+        for batch, scan in _scans(batches, automaton):
             rows = range(batch.num_rows)
             words = np.diff(scan.first)
             hits = np.array([scan.hit(r) for r in rows], dtype=np.int64)
-            spans = [[{"start": int(a - scan.first[r]), "end": int(b - scan.first[r])} for a, b in scan.spans[r]] for r in rows]
-            columns = [
-                batch.column("doc_id"),
-                pa.array(words, pa.int64()),
-                pa.array(hits),
-                pa.array([sorted(scan.items[r]) for r in rows], pa.list_(pa.string())),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                pa.array([scan.clean(r, span_limit) for r in rows], pa.binary()).cast(pa.string()),
-                pa.array(hits > coverage_limit * np.maximum(words, 1)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "items", "spans", "clean_text", "dropped"])
+            out = {
+                "doc_id": batch.column("doc_id"),
+                "n_words": pa.array(words, pa.int64()),
+                "n_hit": pa.array(hits),
+                "items": pa.array([sorted(scan.items[r]) for r in rows], pa.list_(pa.string())),
+                "dropped": pa.array(hits > coverage_limit * np.maximum(words, 1)),
+            }
+            if texts:
+                out |= {"spans": _span_rows(scan), "clean_text": pa.array([scan.clean(r, span_limit) for r in rows], pa.binary()).cast(pa.string())}
+            yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
-def _clean_rows(automata):
+def _clean_rows(automaton):
     def run(batches):
-        for batch in tokens.parts(batches, "text"):
-            scan = _Scan(automata.value, batch.column("text"))
+        for batch, scan in _scans(batches, automaton):
             yield batch.filter(pa.array([not s for s in scan.spans], pa.bool_()))
 
     return run
 
 
-def _automata(benchmark: DataFrame, window: int) -> list[SuffixAutomaton]:
+def _shards(benchmark: DataFrame, window: int):
+    """An automaton for each shard, one after the other; one at least."""
     benchmark = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    out = []
     for k in range(shards):
         part = benchmark if shards == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
         rows = part.collect()
         data, at = tokens.utf8(pa.array([r["text"] for r in rows], pa.string()))
         hashes, _, _, first = tokens.word_hashes(data, at, tokens.ALNUM)
-        out.append(SuffixAutomaton([(str(r["item_id"]), hashes[first[i] : first[i + 1]]) for i, r in enumerate(rows)], window))
-    return out
+        yield shards, SuffixAutomaton([(str(r["item_id"]), hashes[first[i] : first[i + 1]]) for i, r in enumerate(rows)], window)
+
 
+def _by_shards(texts: DataFrame, benchmark: DataFrame, window: int):
+    """A broadcast automaton and no hits, where one holds the benchmark; else none, and the hits (key, spans, items) of texts."""
+    context = texts.sparkSession.sparkContext
+    keyed, parts = texts.select(F.sha2("text", 256).alias("key"), "text").where("text is not null"), []
+    for shards, automaton in _shards(benchmark, window):
+        known = context.broadcast(automaton)
+        if shards == 1:
+            return known, None
+        parts.append(materialise(keyed.mapInArrow(_found(known), "key string, spans array<struct<start: long, end: long>>, items array<string>").dropDuplicates(["key"])))
+        known.unpersist()
+    hits = parts[0]
+    for part in parts[1:]:
+        hits = hits.union(part)
+    return None, materialise(hits.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("known_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("known_items")))
 
-def scan_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 10, span_limit: int = 10, coverage_limit: float = 0.5) -> DataFrame:
-    """``(doc_id, n_words, n_hit, items, spans, clean_text, dropped)``, one row per row of docs.
+
+def _with_hits(rows: DataFrame, text_column: str, hits: DataFrame) -> DataFrame:
+    """Rows with the columns ``known_spans`` and ``known_items``, null where a text has no hits."""
+    key = F.sha2(F.col(text_column), 256)
+    if hits.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS:
+        hits = F.broadcast(hits)
+    return rows.join(hits.withColumnRenamed("key", "known_key"), key == F.col("known_key"), "left").drop("known_key")
+
+
+def scan_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 10, span_limit: int = 10, coverage_limit: float = 0.5, texts: bool = True) -> DataFrame:
+    """``(doc_id, n_words, n_hit, items, dropped, spans, clean_text)``, one row per row of docs.
 
     Words are runs of letters, digits and everything outside ASCII, A-Z
     lowered.  A window is ``window`` consecutive words of an item, or a whole
@@ -240,6 +301,7 @@ def scan_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "
     ``items`` are the item ids that occur, sorted; ``spans`` are word intervals.
     ``clean_text`` is the text without hit spans of ``span_limit`` words or
     more; ``dropped`` says that over ``coverage_limit`` of the words were hit.
+    Without ``texts`` the last two columns are left out.
 
     Null, empty and wordless texts have no words and no hits; items with no
     words have no window; a null item id is named ``None``; repeated rows and
@@ -247,10 +309,10 @@ def scan_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "
     an empty one, an empty benchmark no hits.  Documents of any length are
     scanned whole.
     """
-    spark = docs.sparkSession
-    run = _scanner(spark.sparkContext.broadcast(_automata(benchmark, window)), span_limit, coverage_limit)
-    out = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>, clean_text string, dropped boolean"
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, out)
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    automaton, hits = _by_shards(rows, benchmark, window)
+    out = "doc_id long, n_words long, n_hit long, items array<string>, dropped boolean" + ", spans array<struct<start: long, end: long>>, clean_text string" * texts
+    return (rows if hits is None else _with_hits(rows, "text", hits)).mapInArrow(_scanner(automaton, span_limit, coverage_limit, texts), out)
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -258,6 +320,15 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Rows of docs, with all their columns, in whose ``text`` no window occurs."""
-    automata = docs.sparkSession.sparkContext.broadcast(_automata(benchmark, window))
-    return docs.mapInArrow(_clean_rows(automata), docs.schema)
+    """Rows of docs, with all their columns, in whose ``text`` no window occurs.
+
+    Null, empty and wordless texts stay, and so do all rows where the benchmark
+    is empty; rows that repeat stay or go alike; an empty table gives an empty one.
+    """
+    automaton, hits = _by_shards(docs, benchmark, window)
+    if hits is None:
+        return docs.mapInArrow(_clean_rows(automaton), docs.schema)
+    dirty = hits.select("key")
+    if dirty.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS:
+        dirty = F.broadcast(dirty)
+    return docs.join(dirty, F.sha2(docs["text"], 256) == F.col("key"), "left_anti")

@@ -33,7 +33,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.digest(decontaminate.scan_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
+    return decontaminate.digest(decontaminate.scan_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, texts=False))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
