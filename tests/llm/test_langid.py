@@ -79,3 +79,29 @@ def test_every_language_is_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     trained = {r.lang for r in docs.where(~langid.held_out(F.col("doc_id"))).select("lang").distinct().collect()}
     assert len(trained) > 500 and set(langid.fit_language(docs).labels) == trained
+
+
+def test_whole_texts_against_a_plain_forward_pass(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    net = langid.fit_language(docs)
+    rows = [*((r.doc_id, r.text) for r in docs.orderBy(F.length("text")).limit(8).collect()), (9000, "É"), (9001, docs.first().text * 3)]
+    found = {r.doc_id: r for r in langid.predict_language(spark.createDataFrame(rows, "doc_id long, text string"), net).collect()}
+    for doc_id, text in rows:
+        raw = text.encode()
+        total = np.zeros(len(net.labels))
+        for at in range(0, len(raw), langid.WINDOW):
+            part = raw[at : at + langid.WINDOW]
+            window = part + b" " * (langid.WINDOW - len(part))
+            pooled = [max(sum(net.filters[w][j][window[i + j]][f] for j in range(w)) for i in range(langid.WINDOW - w + 1)) + net.bias[w][f] for w in langid.WIDTHS for f in range(langid.FILTERS)]
+            e = np.exp((logits := np.tanh(pooled) @ net.out + net.out_bias) - logits.max())
+            total += len(part) * e / e.sum()
+        assert found[doc_id].lang_pred == net.labels[int(total.argmax())]
+        assert abs(found[doc_id].score - total.max() / len(raw)) < 1e-4
+
+
+def test_the_fit_takes_a_bounded_number_of_windows(spark, monkeypatch):
+    rows = [(i, f"{i} " + "abc " * 50_000, "A") for i in range(1, 4)] + [(i, "xyz", "B") for i in range(4, 8)]
+    seen = []
+    monkeypatch.setattr(langid.ByteNet, "fit", lambda self, x, y: seen.append((x.shape, np.bincount(y).tolist())))
+    net = langid.fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert net.labels == ["A", "B"] and seen == [((2 * langid.SAMPLE_WINDOWS, langid.WINDOW), [langid.SAMPLE_WINDOWS] * 2)]

@@ -160,13 +160,34 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+def _cut(batches):
+    """Windows of labelled texts: of each language and task those with the smallest marks, up to the sample's number."""
+    best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in tokens.parts(batches, "text", 1 << 20):
+        x, row, weight = windows(*tokens.utf8(batch.column("text")))
+        # a mark is a hash of the row's and of the place of the window in it
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        with np.errstate(over="ignore"):
+            mark = tokens.mix(np.asarray(batch.column("mark")).astype(np.int64).view(np.uint64)[row] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        langs = np.array(batch.column("lang").to_pylist(), dtype=object)[row]
+        for lang in set(langs[weight > 0]):
+            own = (langs == lang) & (weight > 0)
+            marks, bytes_ = (np.concatenate(c) for c in zip(best.get(lang, (mark[:0], x[:0])), (mark[own], x[own])))
+            few = np.argsort(marks, kind="stable")[:SAMPLE_WINDOWS]
+            best[lang] = marks[few], bytes_[few]
+    for lang, (marks, bytes_) in best.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(marks)), pa.array(marks.view(np.int64)), pa.array([b.tobytes() for b in bytes_], pa.binary())], names=["lang", "mark", "bytes"])
+
+
 def fit_language(docs: DataFrame) -> ByteNet | None:
     """Fit on a bounded sample of labelled rows; None if no row is labelled.
 
     Every lang value is learned, however rare.
 
     At most ``SAMPLE_ROWS`` rows of a language, chosen by a hash of the id over
-    the whole table, and ``SAMPLE_WINDOWS`` of their windows.
+    the whole table, and ``SAMPLE_WINDOWS`` of their windows, chosen by a hash too.
+    Windows are cut in tasks, so the driver gets at most ``SAMPLE_WINDOWS`` times
+    ``WINDOW`` bytes of a language, however long its texts are.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     # a share of each language by a hash of the id, so that no task ranks a whole language
@@ -176,20 +197,19 @@ def fit_language(docs: DataFrame) -> ByteNet | None:
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
     few = usable.select("doc_id", "lang", place.alias("place")).join(F.broadcast(shares), "lang").where(F.col("place") < F.col("share"))
     ids = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_ROWS).select("doc_id", "lang")
-    sample = usable.join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).select("lang", "doc_id", "text").toPandas().sort_values(["lang", "doc_id", "text"])
-    if sample.empty:
+    rows = usable.join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).select("lang", F.xxhash64("doc_id", "text").alias("mark"), "text")
+    cut = rows.mapInArrow(_cut, "lang string, mark long, bytes binary")
+    ranked = cut.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "bytes"))).where(F.col("k") <= SAMPLE_WINDOWS)
+    sample = ranked.select("lang", "mark", "bytes").toPandas().sort_values(["lang", "mark", "bytes"])
+    labels = sorted(r["lang"] for r in shares.select("lang").collect())
+    if not labels:
         return None
-    labels = sorted(sample["lang"].unique())
-    rng = np.random.default_rng(11)
     xs, ys = [], []
     for k, lang in enumerate(labels):
-        data, rows = tokens.utf8(pa.array(sample.loc[sample["lang"] == lang, "text"].tolist(), pa.large_string()))
-        x, _, weight = windows(data, rows)
-        x = x[weight > 0]
-        if len(x):
-            picked = x[rng.permutation(len(x))[:SAMPLE_WINDOWS]]
-            xs.append(picked)
-            ys.append(np.full(len(picked), k))
+        own = sample.loc[sample["lang"] == lang, "bytes"]
+        if len(own):
+            xs.append(np.frombuffer(b"".join(own), dtype=np.uint8).reshape(-1, WINDOW))
+            ys.append(np.full(len(own), k))
     net = ByteNet(labels)
     if xs:
         # languages count alike: each is drawn up to the same number of windows
@@ -245,7 +265,9 @@ def least_score(docs: DataFrame, net: ByteNet) -> float:
     """A limit under the scores of nearly all held-out labelled rows that are named rightly.
 
     It lies between chance and the score that all but ``LIMIT_SHARE`` of them
-    reach, so that few rows set it safely; zero if there are none of them.
+    reach, so that few rows set it safely; zero if there are none of them.  Where
+    they are too few to show that share, the gap to a score of one is carried on
+    as that of an exponential tail, which grows with the logarithm of the number.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & held_out(F.col("doc_id")))
     share = min(_RANGE, LIMIT_ROWS * _RANGE // max(1, usable.count()) + 1)
@@ -254,11 +276,17 @@ def least_score(docs: DataFrame, net: ByteNet) -> float:
     chance = 1 / len(net.labels)
     if len(net.labels) < 2 or not len(scores):
         return 0.0
-    return float(chance + LIMIT_PART * max(0.0, np.quantile(scores, LIMIT_SHARE) - chance))
+    tail = max(1.0, np.log(1 / LIMIT_SHARE) / np.log(1 + len(scores)))
+    reached = 1 - tail * (1 - np.quantile(scores, LIMIT_SHARE))
+    return float(chance + LIMIT_PART * max(0.0, reached - chance))
 
 
 def keep_languages(docs: DataFrame, net: ByteNet | None, least: float) -> DataFrame:
-    """Rows of docs, with all their columns, whose language is known with a score of least or more."""
+    """Rows of docs, with all their columns, whose language is known with a score of least or more.
+
+    Null, empty and letterless texts go; a score of exactly least stays; rows
+    that repeat stay or go alike; an empty table gives an empty one.
+    """
     return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(net), least), docs.schema)
 
 
@@ -266,7 +294,8 @@ def predict_language(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)``, one row per row of docs.
 
     The whole text is read.  ``und`` with score 0 stands for texts that are null,
-    empty or without a letter, and for all where nothing was labelled.  A null
+    empty or without a letter, and for all where nothing was labelled.  Of
+    languages equally likely the first by name is told.  A null
     id is not held out; repeated rows are predicted alike; extra columns are
     ignored; an empty table gives an empty one.
     """
