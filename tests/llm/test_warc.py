@@ -103,3 +103,48 @@ def test_empty_table(spark):
 
 def test_against_oracle(same):
     same(queries.op8_warc, queries.ORACLE_SQL["op8_warc"])
+
+
+def test_a_task_that_runs_twice_leaves_another_file(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyspark
+
+    class Attempt:
+        number = 0
+
+        @classmethod
+        def get(cls):
+            return cls
+
+        @staticmethod
+        def partitionId():
+            return 3
+
+        @classmethod
+        def taskAttemptId(cls):
+            return cls.number
+
+    monkeypatch.setattr(pyspark, "TaskContext", Attempt)
+    folder = f"file://{tmp_path}/archives"
+    (tmp_path / "archives").mkdir()
+    batch = pa.RecordBatch.from_pydict({"page_id": [1], "url": ["u"], "payload": [b"p"], "digest": [hashlib.sha1(b"p").digest()], "first": pa.nulls(1, pa.int64()), "response": [True]})
+    named = []
+    for Attempt.number in (10, 11):
+        named += [row["path"] for out in warc._write(folder)([batch]) for row in out.to_pylist()]
+    assert len(set(named)) == 2
+    archives = spark.createDataFrame([(named[1], 1)], "path string, records long")
+    assert [r.record_id for r in warc.read_warc(archives, folder).collect()] == ["<urn:page:1>"]
+
+
+def test_each_archive_has_a_task(spark, tmp_path):
+    frame = spark.createDataFrame([(i, "u", "x" * i) for i in range(40)], SCHEMA).repartition(7)
+    written = warc.write_warc(frame, f"file://{tmp_path}/archives")
+    read = warc.read_warc(written, f"file://{tmp_path}/archives")
+    assert read.rdd.getNumPartitions() == written.where("records > 0").count() == 7
+
+
+def test_many_copies_are_joined_and_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_REPEATS", 1)
+    rows = [(i, "u", f"text {i % 3}") for i in range(30)]
+    found = rows_of(warc.round_trip(spark.createDataFrame(rows, SCHEMA)))
+    assert sorted((r[0], r[3], r[4]) for r in found) == [(i, "response", None) if i < 3 else (i, "revisit", i % 3) for i in range(30)]

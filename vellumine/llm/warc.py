@@ -13,19 +13,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.plans.durable import materialise, shared_dir
 
 #: Bytes of a payload that a chunk row holds.
 CHUNK = 1 << 20
+#: Copies that may be broadcast (about 50 bytes each); beyond, the join shuffles pages.
+BROADCAST_REPEATS = 500_000
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -64,24 +67,27 @@ def _record(page_id, url, payload: pa.Buffer, digest: str, first, response: bool
     yield b"\r\n\r\n"
 
 
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, and its path there."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
+
+
 def _write(folder: str):
     def run(batches):
         from pyspark import TaskContext
 
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = _store(folder)
         task = TaskContext.get()
-        name = f"{root}/part-{task.partitionId():06d}.warc.gz"
-        # attempts write files of their own; the last rename wins, and all are alike
-        draft = f"{name}.{task.taskAttemptId()}"
+        # attempts write files of their own, and only those in the returned table count
+        name = f"{root}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         records = 0
-        with store.open_output_stream(draft, compression=None) as out:
+        with store.open_output_stream(name, compression=None) as out:
             for batch in batches:
                 columns = [batch.column(c) for c in ("page_id", "url", "payload", "digest", "first", "response")]
                 for page_id, url, payload, digest, first, response in zip(*columns):
                     for part in _gzip(_record(page_id.as_py(), url.as_py(), payload.as_buffer(), base64.b32encode(digest.as_py()).decode(), first.as_py(), response.as_py())):
                         out.write(part)
                     records += 1
-        store.move(draft, name)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64())], names=["path", "records"])
 
     return run
@@ -94,19 +100,24 @@ def write_warc(pages: DataFrame, folder: str, dedupe_bytes: int = 0) -> DataFram
     smallest page_id are responses and the others revisits of it.  A null html
     is the empty payload.  A null page_id counts as the largest; rows that
     repeat the smallest page_id and its payload are responses each.
+
+    ``folder`` lies in a store that pyarrow can open.  A task that is run again
+    writes another file; those that the table does not name are left-overs.
     """
-    spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     digests = materialise(pages.select("page_id", F.octet_length(payload).alias("bytes"), F.unhex(F.sha1(payload)).alias("sha1")))
     counted = digests.where(F.col("bytes") >= dedupe_bytes).groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     firsts = materialise(counted)
-    # only groups with copies are joined; the rest needs no partner, and no payload is shuffled
+    # only copies are joined; no payload is shuffled while they are few enough to broadcast
     repeats = materialise(digests.join(firsts, ["sha1", "bytes"]).where("page_id is null or page_id != first").select("page_id", "sha1", "first").distinct())
     rows = pages.select("page_id", "url", payload.alias("payload"), F.unhex(F.sha1(payload)).alias("sha1"))
-    marked = rows.join(repeats.withColumnRenamed("page_id", "own").withColumnRenamed("sha1", "same"), F.col("page_id").eqNullSafe(F.col("own")) & (F.col("sha1") == F.col("same")), "left")
+    repeats = repeats.withColumnRenamed("page_id", "own").withColumnRenamed("sha1", "same")
+    if repeats.limit(BROADCAST_REPEATS + 1).count() <= BROADCAST_REPEATS:
+        repeats = F.broadcast(repeats)
+    marked = rows.join(repeats, F.col("page_id").eqNullSafe(F.col("own")) & (F.col("sha1") == F.col("same")), "left")
     out = marked.select("page_id", "url", "payload", F.col("sha1").alias("digest"), "first", F.col("first").isNull().alias("response"))
-    path = fs.FileSystem.from_uri(folder)
-    path[0].create_dir(path[1], recursive=True)
+    store, root = _store(folder)
+    store.create_dir(root, recursive=True)
     return materialise(out.mapInArrow(_write(folder), "path string, records long"))
 
 
@@ -192,7 +203,7 @@ _CHUNKS = "record_id string, chunk int, data binary, payload_bytes long, payload
 
 def _read(folder: str, keep_data: bool):
     def run(batches):
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, _ = _store(folder)
         rows, held = [], 0
 
         def batch():
@@ -218,11 +229,12 @@ def _read(folder: str, keep_data: bool):
 def read_warc(archives: DataFrame, folder: str, keep_data: bool = True) -> DataFrame:
     """Chunk rows of the archives: record id, chunk number, bytes, and digest and length so far.
 
-    The row with ``last`` has those of the full payload; a revisit's are the
+    Each archive is read by a task of its own.  The row with ``last`` has those of the full payload; a revisit's are the
     ones that it states for the record it refers to.
     """
     files = archives.where("records > 0").select("path")
-    return files.repartition(F.col("path")).mapInArrow(_read(folder, keep_data), _CHUNKS)
+    # a stated number of partitions is one that adaptive execution leaves alone
+    return files.repartition(max(1, files.count())).mapInArrow(_read(folder, keep_data), _CHUNKS)
 
 
 def round_trip(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", dedupe_bytes: int = 0) -> DataFrame:
