@@ -99,3 +99,8 @@ def test_search_runs_until_no_exchange_helps(low, high):
     under = np.flatnonzero(left.fill < 1024)
     pool = np.flatnonzero(np.isin(left.bin_of, under))
     assert not any(left._improve(a, pool) for a in under.tolist())
+
+
+@pytest.mark.parametrize("text", [" " * 3_000_000 + "a", "\n" * 1_000_000, "\t \r\n" * 500_000 + "b c", "x" * 300_000, " " * (P.FAST_CHARS - 1) + "a"], ids=["spaces", "newlines", "mixed", "letters", "below"])
+def test_very_long_runs(tokenizer, text):
+    assert list(P.encoder("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")(text)) == tokenizer.encode(text, add_special_tokens=False).ids

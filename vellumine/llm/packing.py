@@ -29,6 +29,9 @@ from vellumine.plans.durable import materialise
 #: Pieces that are packed together, about.
 SHARD = 50_000
 
+#: Longer texts (in characters) go to the ``tokenizers`` file itself.
+FAST_CHARS = 50_000
+
 _encoders: dict[tuple[str, str], object] = {}
 
 
@@ -36,18 +39,27 @@ def encoder(vocabulary: str, ranks: str):
     """A function from texts to lists of ids, the ids of the ``tokenizers`` file.
 
     The rank file holds the same vocabulary and merges; its library is about
-    four times as fast.  The one special token is matched inside texts, as the
-    ``tokenizers`` file does by default.
+    four times as fast, but its stack does not hold very long white space, so
+    long texts go to the ``tokenizers`` file.  The one special token is matched
+    inside texts, as that file does by default.
     """
     if (vocabulary, ranks) not in _encoders:
         import public_tokenizers
         import tiktoken
+        import tokenizers
 
         with open(public_tokenizers.path(ranks), "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         special = {"<|endoftext|>": len(table)}
         known = tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
-        _encoders[vocabulary, ranks] = lambda text: known.encode(text, allowed_special="all") if "<|" in text else known.encode_ordinary(text)
+        slow = tokenizers.Tokenizer.from_file(str(public_tokenizers.path(vocabulary)))
+
+        def encode(text: str) -> list[int]:
+            if len(text) > FAST_CHARS:
+                return slow.encode(text, add_special_tokens=False).ids
+            return known.encode(text, allowed_special="all") if "<|" in text else known.encode_ordinary(text)
+
+        _encoders[vocabulary, ranks] = encode
     return _encoders[vocabulary, ranks]
 
 
@@ -121,7 +133,6 @@ class _Search:
         for k, b in enumerate(bins):
             self.bin_of[b] = k
         self.fill = np.array([self.length[b].sum() for b in bins], dtype=np.int64)
-        self.looks = 0
 
     def _apply(self, a: int, b: int, gives: list[int], takes: list[int]) -> None:
         """Bin b takes items of a and gives some back."""
@@ -155,7 +166,6 @@ class _Search:
         bins = np.flatnonzero((self.fill < self.capacity) & (self.fill >= self.fill[a]))
         bins = bins[bins != a]
         for size, items in self._offers(a):
-            self.looks += 1
             fits = bins[self.capacity - self.fill[bins] >= size]
             if len(fits):
                 self._apply(a, int(fits[np.argmax(self.fill[fits])]), [], items)
@@ -171,7 +181,7 @@ class _Search:
         """Empty bins from the least filled on, while an exchange raises the sum of squares."""
         bound = least_bins(self.length.tolist(), self.capacity)
         moved = True
-        while moved and np.count_nonzero(self.fill) > bound :
+        while moved and np.count_nonzero(self.fill) > bound:
             moved = False
             under = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
             pool = np.flatnonzero(np.isin(self.bin_of, under))
