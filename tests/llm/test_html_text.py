@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import pytest
 
@@ -82,3 +83,36 @@ def test_nulls_repeats_and_clashing_columns(spark):
     frame = spark.createDataFrame([(1, None, None, "t"), (1, None, None, "t"), (None, "u", "🙂", "t")], "page_id long, url string, html string, text string")
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in X.extract_pages(frame).collect()) == [("1", "", 0), ("1", "", 0), ("None", "🙂", 1)]
     assert X.extract_pages(frame.where("false")).count() == 0
+
+
+HUGE = {
+    "nested": "<div>some text, with commas, that is long enough to count " * 15_000,
+    "unfinished": "<a " * 300_000,
+    "quotes": '<a =">"' * 120_000,
+    "cdata": "<![CDATA[" * 100_000,
+    "declarations": "<!x " * 250_000,
+    "closed in vain": "<div>" * 80_000 + "</x>" * 100_000,
+    "items": "<span>" * 50_000 + "<li>a" * 50_000,
+    "brackets": "<" * 900_000,
+    "siblings": "<div>" + f"<p>{PARAGRAPH}</p>" * 10_000,
+}
+
+
+@pytest.mark.parametrize("name", HUGE)
+def test_time_grows_with_the_page(name):
+    began = time.process_time()
+    X.main_text(HUGE[name])
+    assert time.process_time() - began < 5
+
+
+def test_what_an_article_keeps():
+    body = f"""<header>Site</header><article><header class="header"><h1>Title</h1></header><p>{PARAGRAPH}</p><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>
+    <section id="discussion"><h2>Discussion</h2><p>{PARAGRAPH}</p></section><footer>Filed under</footer><div id="comments"><p>{PARAGRAPH} {PARAGRAPH}</p></div></article>"""
+    assert X.main_text(page(body)) == f"Title\n{PARAGRAPH}\nWhere x=2 holds.\nDiscussion\n{PARAGRAPH}"
+    # without an article, the same names are boilerplate
+    assert X.main_text(page(f'<div><p>{PARAGRAPH}</p><section id="discussion"><p>{PARAGRAPH}</p></section></div>')) == PARAGRAPH
+
+
+def test_brackets_and_broken_quotes_lose_no_text():
+    assert X.main_text("a < b and 1<2 <3 </ x <p>next") == "a < b and 1<2 <3 </ x\nnext"
+    assert X.main_text('<p class="x>one</p><p>two</p>') == X.main_text("<p>one</p><p>two</p>")

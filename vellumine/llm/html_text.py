@@ -12,14 +12,18 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.llm import tokens
+
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object select".split())
 NEVER = frozenset("head nav aside header footer form button dialog menu".split())
 BLOCK = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html legend li main ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -35,31 +39,43 @@ UNLIKELY = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget toolbar masthead header footer copyright comment comments commentlist disqus respond reply replies discussion "
     "related recommended share sharing social tags pagination pager skip hidden search complementary contentinfo dialog form".split()
 )
+# Those of them that also name a part of an article; there a section of that name is content.
+AMBIGUOUS = frozenset("discussion notice notices alert alerts search share sharing social tags related recommended copyright promotion menu widget toolbar".split())
 LIKELY = frozenset("article articlebody post entry content story main body".split())
 # A name with one of these in front tells of the page's layout, not of the element.
 LAYOUT = ("has", "with", "no", "without")
 
-_TOKEN = re.compile(r"<!--(?:.*?(?:-->|--!>)|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>", re.S)
-_OPEN = re.compile(r"</?[a-zA-Z]|<[!?]")
+_COMMENT = re.compile(r"<!--(?:.*?(?:-->|--!>)|.*\Z)", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>", re.S)
+# Where quotes don't pair up, a tag ends at the next bracket.
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[\s\xa0]+")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "dead", "score", "chars", "link_chars", "first", "last", "depth", "likely")
+    __slots__ = ("tag", "parent", "dead", "score", "chars", "link_chars", "first", "last", "depth", "likely", "inside", "fresh", "passed")
 
     def __init__(self, tag: str, parent: _Element | None, dead: bool, first: int, likely: bool = False):
         self.tag, self.parent, self.dead, self.likely = tag, parent, dead, likely
         self.score = 0.0
+        #: Whether it is an article or main, or inside one.
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        #: Points that no container has had yet, and those that come from one.
+        self.fresh = self.passed = 0.0
         self.chars = self.link_chars = 0
         #: Blocks from first up to last are inside.
         self.first = self.last = first
         self.depth = parent.depth + 1 if parent else 0
 
 
-def _dead(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is boilerplate, and whether its name speaks for content."""
-    if tag in NEVER:
+def _dead(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is boilerplate, and whether its name speaks for content.
+
+    Inside an article its own header is content, and so is a section whose name
+    has another meaning there.
+    """
+    if tag in NEVER and not (inside and tag == "header"):
         return True, False
     if not attributes or tag in ("html", "body", "main", "article"):
         return False, tag in ("main", "article")
@@ -73,7 +89,12 @@ def _dead(tag: str, attributes: str) -> tuple[bool, bool]:
             hidden = True
     words = [re.split(r"[_-]+", x) for x in " ".join(names).split()]
     words = [w for w in words if w[0] not in LAYOUT]
-    return hidden or any(not UNLIKELY.isdisjoint(w) for w in words), any(not LIKELY.isdisjoint(w) for w in words)
+    bad = UNLIKELY.intersection(x for w in words for x in w)
+    if inside and tag == "section":
+        bad -= AMBIGUOUS
+    elif inside and tag == "header":
+        bad -= {"header", "masthead"}
+    return hidden or bool(bad), any(not LIKELY.isdisjoint(w) for w in words)
 
 
 class _Page:
@@ -84,6 +105,8 @@ class _Page:
         self.blocks: list[tuple[str, int, _Element]] = []
         self.held: list[tuple[str, bool]] = []
         self.links = 0
+        #: How many elements of each kind are open.
+        self.opened: Counter[str] = Counter()
 
     def text(self, raw: str) -> None:
         if raw and not self.stack[-1].dead:
@@ -112,28 +135,30 @@ class _Page:
             return
         if tag == "a":
             self.links += 1
-        dead, likely = _dead(tag, attributes)
         parent = self.stack[-1]
+        dead, likely = _dead(tag, attributes, parent.inside)
         element = _Element(tag, parent, parent.dead or dead, len(self.blocks), likely)
         self.elements.append(element)
         self.stack.append(element)
+        self.opened[tag] += 1
 
     def close(self, tag: str, implied: bool = False) -> None:
+        if not self.opened[tag]:
+            if tag == "p" and not implied:
+                self.flush()
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag == tag:
                 break
             if implied and self.stack[k].tag in SCOPES:
                 return
-        else:
-            if tag == "p" and not implied:
-                self.flush()
-            return
         for element in reversed(self.stack[k:]):
             if element.tag in BLOCK:
                 self.flush()
             if element.tag == "a":
                 self.links = max(0, self.links - 1)
             self.stack.pop()
+            self.opened[element.tag] -= 1
             element.last = len(self.blocks)
 
     def end(self) -> None:
@@ -143,50 +168,81 @@ class _Page:
 
 
 def parse(page: str) -> _Page:
+    """The page's blocks and elements, in one pass over the text."""
     out = _Page()
     at = 0
     low = None
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            out.text(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                out.text(m[0][9:-3])
+    last = page.rfind(">")
+    tag_of, plain = _TAG, False
+    cdata = page.rfind("]]>")
+    while (start := page.find("<", at)) >= 0:
+        head = page[start + 1 : start + 3]
+        if not (head[:1] in "!?" or head.lstrip("/")[:1].isascii() and head.lstrip("/")[:1].isalpha()) or head == "//" or not head:
+            # no markup, but a bracket in the text
+            out.text(page[at : start + 1])
+            at = start + 1
             continue
+        out.text(page[at:start])
+        if page.startswith("<!--", start):
+            at = _COMMENT.match(page, start).end()
+            continue
+        if start > last:
+            # a tag that never ends is no text
+            at = len(page)
+            break
+        if head[0] in "!?":
+            if page.startswith("<![CDATA[", start) and start < cdata:
+                at = page.find("]]>", start)
+                out.text(page[start + 9 : at])
+                at += 3
+            else:
+                at = page.find(">", start) + 1
+            continue
+        m = tag_of.match(page, start)
+        if m is None and not plain:
+            tag_of, plain = _PLAIN_TAG, True
+            m = tag_of.match(page, start)
+        at = m.end()
         tag = m[2].lower()
         if m[1]:
             out.close(tag)
-            continue
-        if tag in RAW and not m[3].endswith("/"):
+        elif tag in RAW and not m[3].endswith("/"):
             if low is None:
                 low = page.lower()
+                if len(low) != len(page):
+                    low = page.translate(_ASCII_LOWER)
             stop = low.find(f"</{tag}", at)
             end = page.find(">", stop) if stop >= 0 else -1
             at = end + 1 if end >= 0 else len(page)
-            continue
-        out.open(tag, m[3])
-    rest = page[at:]
-    # a tag that never ends is no text
-    cut = _OPEN.search(rest)
-    out.text(rest[: cut.start()] if cut else rest)
+        else:
+            out.open(tag, m[3])
+    out.text(page[at:])
     out.end()
     return out
 
 
+_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
 def _score(page: _Page) -> None:
+    """Points go to the nearest container whole, and half as many to each element above.
+
+    Elements stand behind those they are in, so one pass from the last to the first hands all of them up.
+    """
     for text, linked, element in page.blocks:
-        points = 1 + text.count(",") + min(len(text) / 100, 3) if len(text) >= 25 else 0
-        up, share, passed = element, 1.0, False
-        while up:
-            up.chars += len(text)
-            up.link_chars += linked
-            if passed or up.tag in BOXES or up is page.root:
-                up.score += points * share
-                share /= 2
-                passed = True
-            up = up.parent
-    for e in page.elements:
+        element.chars += len(text)
+        element.link_chars += linked
+        if len(text) >= 25:
+            element.fresh += 1 + text.count(",") + min(len(text) / 100, 3)
+    for e in reversed(page.elements):
+        if e.tag in BOXES or e is page.root:
+            e.passed, e.fresh = e.passed + e.fresh, 0.0
+        e.score = e.passed
+        if e.parent:
+            e.parent.chars += e.chars
+            e.parent.link_chars += e.link_chars
+            e.parent.fresh += e.fresh
+            e.parent.passed += e.passed / 2
         if e.chars:
             e.score *= (1 - e.link_chars / e.chars) * (1.5 if e.likely else 1)
 
@@ -211,15 +267,15 @@ def main_text(page: str) -> str:
                 prose = e.tag == "p" and e.chars > 80 and e.link_chars < 0.25 * e.chars
                 if e.score >= limit or prose:
                     keep.add((e.first, e.last))
-    out = []
-    for k, (text, _, _) in enumerate(tree.blocks):
-        if any(a <= k < b for a, b in keep):
-            out.append(text)
-    return "\n".join(out)
+    change = [0] * (len(tree.blocks) + 1)
+    for a, b in keep:
+        change[a] += 1
+        change[b] -= 1
+    return "\n".join(text for (text, _, _), n in zip(tree.blocks, accumulate(change)) if n)
 
 
 def _run(batches):
-    for batch in batches:
+    for batch in tokens.parts(batches, "html"):
         texts = [main_text(x or "") for x in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
