@@ -51,7 +51,7 @@ class Codebook:
         dim = x.shape[1]
         eta = max(1.0, (dim - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
         rng = np.random.default_rng(seed)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        x = _unit(x)
         parts = _split(x)
         start = parts[np.resize(rng.permutation(len(x)), 16)].transpose(1, 0, 2)
         book = cls(dim, start + rng.standard_normal(start.shape) * 1e-3, eta)
@@ -84,8 +84,7 @@ class Codebook:
         return np.concatenate([self._encode(x[i : i + 2048]) for i in range(0, len(x), 2048)])
 
     def _encode(self, x: np.ndarray) -> np.ndarray:
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        parts = _split(x / norm)
+        parts = _split(_unit(x))
         residual = parts[:, :, None, :] - self.centres
         across = (residual**2).sum(axis=3)
         along = (residual * parts[:, :, None, :]).sum(axis=3)
@@ -101,6 +100,17 @@ class Codebook:
         return codes
 
 
+def _norm(x: np.ndarray) -> np.ndarray:
+    """Lengths of vectors that are not zero, (vectors, 1); squares neither vanish nor overflow."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    return np.linalg.norm(x / most, axis=1, keepdims=True) * most
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _split(x: np.ndarray) -> np.ndarray:
     """(vectors, subspaces, 2); an odd dimension is filled with zero."""
     if x.shape[1] % 4:
@@ -149,7 +159,7 @@ def _blocks(book, limit: int, most: int = 0):
             x = np.concatenate([h[1] for h in held])
             ids, copies, x = _distinct(ids, x, most) if book else (ids, np.ones(len(ids), dtype=np.int64), x)
             codes = _pack(book.value.encode(x)).tobytes() if book else b""
-            scale = np.linalg.norm(x, axis=1)
+            scale = _norm(x).ravel()
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([v], pa.binary()) for v in (ids.tobytes(), copies.tobytes(), scale.tobytes(), x.tobytes(), codes))], names=["block", "ids", "copies", "scale", "vectors", "codes"])
 
         for batch in batches:
