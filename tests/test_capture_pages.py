@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from vellumine.operators import capture, pages
@@ -98,3 +99,20 @@ def test_log_stream_appends(spark, tmp_path):
     spark.createDataFrame([(datetime.date(2025, 1, 2), "lint", "ok")], schema).write.parquet(str(tmp_path / "in"))
     streaming.append_log(streaming.file_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "log"), str(tmp_path / "ckpt")).awaitTermination(120)
     assert [r.value for r in spark.read.text(str(tmp_path / "log")).collect()] == ["## [2025-01-02] lint | ok"]
+
+
+@pytest.mark.parametrize("chars", [64_000, 0])
+def test_blocked_terms_that_are_null_empty_or_in_other_case(spark, monkeypatch, chars):
+    monkeypatch.setattr(pages, "PREDICATE_CHARS", chars)
+    monkeypatch.setattr(pages, "AUTOMATON_CHARS", 4)
+    terms = spark.createDataFrame([(None,), ("",), ("BaD",), ("İx",), ("worse",)], "term string")
+    rows = spark.createDataFrame([(1, "so bad it is"), (2, None), (3, ""), (4, "good"), (5, "AİXb"), (6, "wors e")], "id int, text string")
+    found = pages.without_blocked(rows, terms, "text")
+    assert found.columns == ["id", "text"] and sorted(r.id for r in found.collect()) == [2, 3, 4, 6]
+
+
+def test_context_of_a_session(spark):
+    router = spark.createDataFrame([("B", "index-b"), ("A", "index-a")], "category string, catalog string")
+    notes = spark.createDataFrame([("p1", "One", "project", "active", 1), ("p2", "Two", "project", "active", 2), ("p3", "Three", "project", "closed", 3), ("i", "I", "insight", "active", None)], "path string, title string, type string, status string, seen int")
+    found = sorted(tuple(r) for r in capture.session_context(router, notes, F.col("seen"), 1).collect())
+    assert found == [("active-now", 1, "insight", "1"), ("active-now", 2, "project", "2"), ("recent", 1, "p2", "Two"), ("router", 1, "A", "index-a"), ("router", 2, "B", "index-b")]

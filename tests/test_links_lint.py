@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -107,7 +108,7 @@ def test_link_and_date_rules(spark, notes, resolved):
     assert ("projects/a.md", "missing") in found(lint.broken_links(resolved))
     assert found(lint.revisit_due(notes, F.lit("2021-01-01").cast("date"))) == [("decisions/b.md", "2020-01-01")]
     assert found(lint.unsourced(notes, spark.createDataFrame([("raw/two",)], "path string"))) == [("projects/a.md", "raw/one")]
-    assert found(lint.supersedes_cycles(notes, spark.createDataFrame([("x", "projects/a.md")], "source string, target string"))) == [("projects/a.md", "active")]
+    assert found(lint.superseded_active(notes, spark.createDataFrame([("x", "projects/a.md")], "source string, target string"))) == [("projects/a.md", "active")]
     day = F.lit("2026-10-03").cast("date")
     assert found(lint.changelog_sync(F.lit(None).cast("date"), day, spark)) == [("CHANGELOG", "none / 2026-10-03")]
     assert found(lint.changelog_sync(day, day, spark)) == []
@@ -123,3 +124,18 @@ def test_fixtures_facts_baseline_and_gate(spark, resolved):
     assert lint.gate(broken) == lint.Gate(False, 2, 0)
     assert lint.gate(lint.beyond_baseline(broken, broken)) == lint.Gate(True, 0, 0)
     assert lint.changed_only(broken, spark.createDataFrame([("other",)], "path string")).count() == 0
+
+
+def test_loops_of_superseding_notes(spark):
+    steps = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "d"), ("f", "f"), ("g", "gone"), ("h", None), (None, "a"), *((f"n{i}", f"n{i + 1}") for i in range(50))]
+    frame = spark.createDataFrame(steps, "path string, next string")
+    assert found(lint.supersedes_loops(frame)) == [("a", "b"), ("b", "c"), ("c", "a"), ("f", "f")]
+    assert found(lint.supersedes_loops(frame.where("false"))) == []
+
+
+def test_drift_as_a_report(spark, notes):
+    catalog = spark.createDataFrame([("cat", "projects/a")], "catalog string, link string")
+    none = spark.createDataFrame([], "source string, target string")
+    steps = spark.createDataFrame([("x", "x")], "path string, next string")
+    lines = [json.loads(r.value) for r in lint.as_report(lint.drift(notes, catalog, none, steps)).collect()]
+    assert {(r["rule"], r["path"]) for r in lines} == {("catalog", "insights/c"), ("supersedes-loop", "x")}

@@ -85,3 +85,21 @@ def test_reading_files_and_terms(spark, tmp_path):
 def test_root_falls_through_empty_names():
     assert vault.vault_root("", None, "b", default="d") == "b"
     assert vault.vault_root(None, "", default="d") == "d"
+
+
+def test_the_root_is_kept_in_the_session(spark):
+    spark.conf.unset(vault.ROOT_CONF)
+    assert vault.use_vault(spark, "", default="d") == "d"
+    assert vault.use_vault(spark, "e") == "e" and vault.use_vault(spark) == "e"
+    spark.conf.unset(vault.ROOT_CONF)
+
+
+def test_dates_of_index_and_changelog(spark):
+    texts = {"index": "# I\n\nLast updated: 2026-10-03 - refresh. See [[CHANGELOG]].\n", "CHANGELOG": "# C\n\n## 2026-01-02\n- a\n\n## [2026-03-04] b\n", "empty": "# C\n\n## (none)\n", "odd": "Last updated: 2026-99-99"}
+    rows = {r.path: r.updated for r in vault.parse_updated(files(spark, **texts)).collect()}
+    assert rows == {"index.md": datetime.date(2026, 10, 3), "CHANGELOG.md": datetime.date(2026, 3, 4), "empty.md": None, "odd.md": None}
+
+
+def test_links_keep_digits_at_their_ends(spark):
+    row = vault.parse_notes(files(spark, a="---\nx: [[150]] [[ 11 ]]\n---\n[[0a0]] [[1b1]] [[222]]")).first()
+    assert row.front_links == ["150", "11"] and row.body_links == ["0a0", "1b1", "222"]

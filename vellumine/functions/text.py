@@ -23,7 +23,7 @@ def plain(text: Column) -> Column:
 
 def wikilinks(text: Column) -> Column:
     """Targets of all ``[[path/name]]``, ``[[path/name|alias]]`` and ``[[path/name#heading]]``."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WIKILINK), 1), F.trim)
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WIKILINK), 1), lambda x: F.trim(x))
 
 
 def fingerprint(*parts: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,23 @@ def recent_active(notes: DataFrame, recency: Column, limit: int = 3) -> DataFram
     return notes.where("type = 'project' and status = 'active'").orderBy(recency.desc_nulls_last(), "path").limit(limit)
 
 
+def session_context(router: DataFrame, notes: DataFrame, recency: Column, limit: int = 3) -> DataFrame:
+    """What a session starts with, as ``(part, rank, name, detail)``.
+
+    ``router``: categories and their catalogs, by name; ``recent``: the most
+    recent active projects, path and title; ``active-now``: how many notes of
+    each type are active.  The last is this engine's own reading.
+    """
+    def ranked(rows: DataFrame, part: str, *order: Column) -> DataFrame:
+        return rows.select(F.lit(part).alias("part"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), F.col("name").cast("string").alias("name"), F.col("detail").cast("string").alias("detail"))
+
+    categories = router.select(F.col("category").alias("name"), F.col("catalog").alias("detail"))
+    recent = recent_active(notes.withColumn("_recency", recency), F.col("_recency"), limit).select(F.col("path").alias("name"), F.col("title").alias("detail"), "_recency")
+    now = notes.where("status = 'active'").groupBy(F.col("type").alias("name")).agg(F.count("*").alias("detail"))
+    parts = [ranked(categories, "router", F.col("name"), F.col("detail")), ranked(recent, "recent", F.col("_recency").desc_nulls_last(), F.col("name")), ranked(now, "active-now", F.col("name"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def route(router: DataFrame, catalog: DataFrame, notes: DataFrame, category: str) -> DataFrame:
     """From a category to its catalog's rows to their pages: two selective joins."""
     rows = router.where(F.col("category") == category).select("catalog").join(catalog, "catalog")

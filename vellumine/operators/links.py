@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.functions.text import plain
 from vellumine.operators.components import connected_components
+from vellumine.plans.durable import materialise
 
 HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
 
 
-#: Titles that may be broadcast.
+#: Titles, and pairs of a text and a title, that may be broadcast.
 BROADCAST_TITLES = 100_000
 
 
@@ -66,6 +67,11 @@ def build_graph(links: DataFrame, notes: DataFrame, cache: str | None = None) ->
     return vertices, edges
 
 
+def read_graph(spark: SparkSession, cache: str) -> tuple[DataFrame, DataFrame]:
+    """Vertices and edges that ``build_graph`` wrote."""
+    return spark.read.parquet(f"{cache}/vertices"), spark.read.parquet(f"{cache}/edges")
+
+
 def connectivity(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``(path, component, n_members, isolated)``; isolated notes have no link at all."""
     found = connected_components(edges, "source", "target")
@@ -82,8 +88,9 @@ def connectivity_exit_code(found: DataFrame) -> int:
 def unlinked_mentions(texts: DataFrame, titles: DataFrame, links: DataFrame | None = None, min_words: int = 2) -> DataFrame:
     """``(id, name)``: texts (id, text) with a title (name, title) in them, as whole words, but no link to it.
 
-    Texts meet titles on the title's longest word only, which each text holds
-    once; the words are then compared in full.  Titles under ``min_words`` are
+    Words of texts meet titles on the title's longest word only, which each text
+    holds once; what met is then compared in full with its text, which is never
+    carried along with its words.  Titles under ``min_words`` are
     too common to tell.  Links (id, name) are taken out by an anti join.
     """
     names = titles.select("name", plain(F.col("title")).alias("needle")).where(F.size(F.split(F.trim("needle"), " ")) >= min_words).distinct()
@@ -92,12 +99,11 @@ def unlinked_mentions(texts: DataFrame, titles: DataFrame, links: DataFrame | No
     anchored = anchored.select("name", "needle", "anchor")
     hay = texts.select("id", plain(F.col("text")).alias("hay"))
     anchors = F.explode(F.array_distinct(F.split(F.trim("hay"), " "))).alias("anchor")
-    if anchored.limit(BROADCAST_TITLES + 1).count() <= BROADCAST_TITLES:
-        # texts stay where they are
-        met = hay.select("id", "hay", anchors).join(F.broadcast(anchored), "anchor")
-    else:
-        # words are shuffled alone, and texts once, to what they met
-        met = hay.select("id", anchors).join(anchored, "anchor").join(hay, "id")
+    few = anchored.limit(BROADCAST_TITLES + 1).count() <= BROADCAST_TITLES
+    pairs = materialise(hay.select("id", anchors).join(F.broadcast(anchored) if few else anchored, "anchor").select("id", "name", "needle").distinct())
+    few = pairs.limit(BROADCAST_TITLES + 1).count() <= BROADCAST_TITLES
+    # texts stay where they are, unless very many have a title's word
+    met = hay.join(F.broadcast(pairs) if few else pairs, "id")
     found = met.where(F.contains("hay", "needle")).select("id", "name").distinct()
     return found if links is None else found.join(links.select("id", "name"), ["id", "name"], "left_anti")
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.functions.text import fingerprint
+from vellumine.plans.durable import materialise
 
 ADVISORY, BLOCK = "advisory", "block"
 
@@ -66,12 +67,42 @@ def unsourced(notes: DataFrame, sources: DataFrame) -> DataFrame:
     return violations(named.join(sources.select(F.col("path").alias("source")), "source", "left_anti"), "source-binding", F.col("path"), F.col("source"), ADVISORY)
 
 
-def supersedes_cycles(notes: DataFrame, superseded: DataFrame) -> DataFrame:
+def superseded_active(notes: DataFrame, superseded: DataFrame) -> DataFrame:
     """Notes that are superseded by (source, target) yet still active."""
     active = notes.where("status = 'active'")
     return violations(active.join(superseded.select(F.col("target").alias("path")), "path", "left_semi"), "superseded-active", F.col("path"), F.col("status"), ADVISORY)
 
 
+def supersedes_loops(successors: DataFrame) -> DataFrame:
+    """Notes on a loop of (path, next), where each path has at most one next; itself counts as a loop.
+
+    Steps are doubled each round.  After as many steps as there are notes only
+    loops are left, and every note of a loop is where one of them leads.  A next
+    that has no row of its own ends its chain.
+    """
+    steps = successors.select("path", "next").where("path is not null and next is not null").dropDuplicates(["path"])
+    known, old = steps.select(F.col("path").alias("next")), []
+    first = steps = materialise(steps.join(known, "next", "left_semi").select("path", "next"), old)
+    n, reach = steps.count(), 1
+    while reach < n:
+        far = steps.select(F.col("path").alias("mid"), F.col("next").alias("far"))
+        steps = materialise(steps.join(far, F.col("next") == F.col("mid")).select("path", F.col("far").alias("next")), old)
+        reach *= 2
+    looped = first.join(steps.select(F.col("next").alias("path")).distinct(), "path", "left_semi")
+    return violations(looped, "supersedes-loop", F.col("path"), F.col("next"), ADVISORY)
+
+
+def drift(notes: DataFrame, catalog: DataFrame, superseded: DataFrame, successors: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """All drift detectors: the index against the pages, superseded notes, loops of them, and facts once some are registered."""
+    found = catalog_check(notes, catalog).unionByName(superseded_active(notes, superseded)).unionByName(supersedes_loops(successors))
+    return found if facts is None else found.unionByName(duplicate_facts(facts))
+
+
+def as_report(found: DataFrame) -> DataFrame:
+    """Each violation as a JSON object, a line each."""
+    return found.select(F.to_json(F.struct("rule", "path", "detail", "severity")).alias("value"))
+
+
 def duplicate_facts(facts: DataFrame) -> DataFrame:
     """Facts (fact_key, path) that more than one page holds: each should have one canonical page."""
     many = facts.groupBy("fact_key").agg(F.countDistinct("path").alias("n"), F.min("path").alias("path")).where("n > 1")

@@ -40,24 +40,50 @@ def collect_fields(pages: DataFrame, fields: dict[str, str], keep: tuple[str, ..
     return pages.select(*keep, *out)
 
 
-#: Characters of blocked terms that make one predicate; a longer list is joined.
-PREDICATE_CHARS = 64_000
+#: Characters of blocked terms that make one predicate, and that one automaton holds.
+PREDICATE_CHARS, AUTOMATON_CHARS = 64_000, 4_000_000
+
+
+def _holds_none(terms: list[str], column: str):
+    """Rows without any of the terms, by an automaton over all of them that each worker builds once."""
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        for term in terms:
+            automaton.add_word(term, 1)
+        automaton.make_automaton()
+        for batch in batches:
+            texts = batch.column(column).to_pylist()
+            yield batch.filter(pa.array([next(automaton.iter(x), None) is None for x in texts], pa.bool_()))
+
+    return run
 
 
 def without_blocked(rows: DataFrame, terms: DataFrame, text_column: str) -> DataFrame:
     """Rows whose text holds none of the terms, in any case.
 
-    A short list becomes one predicate in the scan.  A longer one is met by a
-    nested-loop anti join, for a term may start and end inside words.
+    A short list becomes one predicate in the scan; a longer one an automaton
+    that reads each text once, several in turn if the list is very long.  Null
+    and empty terms are none; a null text holds none.
     """
     low = F.lower(F.coalesce(text_column, F.lit("")))
+    terms = terms.select(F.lower("term").alias("term")).where("term != ''").distinct()
     size = terms.agg(F.sum(F.length("term"))).first()[0] or 0
-    if size > PREDICATE_CHARS:
-        return rows.join(terms, F.contains(low, F.lower("term")), "left_anti")
-    hit = F.lit(False)
-    for row in terms.collect():
-        hit = hit | F.contains(low, F.lit(row["term"].lower()))
-    return rows.where(~hit)
+    if size <= PREDICATE_CHARS:
+        hit = F.lit(False)
+        for row in terms.collect():
+            hit = hit | F.contains(low, F.lit(row["term"]))
+        return rows.where(~hit)
+    shards, names = -(-size // AUTOMATON_CHARS), rows.columns
+    rows = rows.withColumn("_lower", low)
+    for k in range(shards):
+        part = [r["term"] for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(shards)) == k).collect()]
+        if part:
+            rows = rows.mapInArrow(_holds_none(part, "_lower"), rows.schema)
+    return rows.select(*names)
 
 
 def pending_pages(pages: DataFrame, done: DataFrame, key: str = "url") -> DataFrame:

@@ -34,8 +34,12 @@ def terms_of(query: str) -> list[str]:
 
 def with_freshness(docs: DataFrame, statuses: DataFrame, id_column: str, terminal: Column, stale: str = "stale") -> DataFrame:
     """Adds whether any status row of an entry is terminal; entries without one are fresh."""
-    flags = statuses.groupBy(id_column).agg(F.max(terminal).alias(stale))
-    return docs.join(flags, id_column, "left").withColumn(stale, F.coalesce(stale, F.lit(False)))
+    return docs.join(freshness(statuses, id_column, terminal, stale), id_column, "left").withColumn(stale, F.coalesce(stale, F.lit(False)))
+
+
+def freshness(statuses: DataFrame, id_column: str, terminal: Column, stale: str = "stale") -> DataFrame:
+    """``(id, stale)``: whether any status row of an entry is terminal."""
+    return statuses.groupBy(id_column).agg(F.max(terminal).alias(stale))
 
 
 def _count(conditions: list[Column]) -> Column:
@@ -45,11 +49,12 @@ def _count(conditions: list[Column]) -> Column:
     return out.cast("long")
 
 
-def matches(docs: DataFrame, query: str, fields: Fields = Fields()) -> DataFrame:
+def matches(docs: DataFrame, query: str, fields: Fields = Fields(), flags: DataFrame | None = None) -> DataFrame:
     """All entries that a query finds: (id, exact, stale, text_hits, meta_hits).
 
     A term hits a text that contains it in lower case, and a metadata field that
-    equals it; an identifier is exact if a term equals it.  One scan, no shuffle.
+    equals it; an identifier is exact if a term equals it.  One scan, no shuffle
+    of texts: ``flags``, as ``freshness`` gives them, are joined to what was found.
     """
     terms = terms_of(query)
     low = F.lower(fields.text)
@@ -58,17 +63,21 @@ def matches(docs: DataFrame, query: str, fields: Fields = Fields()) -> DataFrame
     meta_hits = _count([F.lower(F.col(m).cast("string")) == t for t in terms for m in fields.metadata])
     stale = F.coalesce(F.col(fields.stale), F.lit(False)) if fields.stale in docs.columns else F.lit(False)
     found = docs.select(F.col(fields.id), exact.alias("exact"), stale.alias("stale"), text_hits.alias("text_hits"), meta_hits.alias("meta_hits"))
-    return found.where("exact or text_hits > 0 or meta_hits > 0")
+    found = found.where("exact or text_hits > 0 or meta_hits > 0")
+    if flags is None:
+        return found
+    named = flags.select(fields.id, F.col(fields.stale).alias("_stale"))
+    return found.join(named, fields.id, "left").select(fields.id, "exact", F.coalesce("_stale", F.lit(False)).alias("stale"), "text_hits", "meta_hits")
 
 
-def search(docs: DataFrame, query: str, limit: int = 20, fields: Fields = Fields(), explain: bool = False) -> DataFrame:
+def search(docs: DataFrame, query: str, limit: int = 20, fields: Fields = Fields(), explain: bool = False, flags: DataFrame | None = None) -> DataFrame:
     """The best ``limit`` entries with their rank; with ``explain`` an array of reasons.
 
     The limit is taken per partition before rows meet, so only ``limit`` rows of
     each are moved.
     """
     order = [F.desc("exact"), F.asc("stale"), F.desc("text_hits"), F.desc("meta_hits"), F.asc(fields.id)]
-    top = matches(docs, query, fields).orderBy(*order).limit(limit)
+    top = matches(docs, query, fields, flags).orderBy(*order).limit(limit)
     out = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
     if explain:
         reasons = [

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from vellumine.functions.text import plain
 from vellumine.operators import capture, links, lint, pages, search
 from vellumine.operators.components import connected_components
+from vellumine.plans.durable import shared_dir
+from vellumine.sources import vault
 from vellumine.sources.tables import table
 from vellumine.streaming.capture import windowed_counts
 
@@ -20,29 +22,47 @@ QUERY = "the EN src3 42 tion"
 _HREF = "regexp_extract_all(coalesce(html, ''), '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1)"
 
 
-def _fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.with_freshness(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", F.col("toxic") == 1)
+def _found(spark: SparkSession, sf_dir: str, limit: int, explain: bool = False) -> DataFrame:
+    flags = search.freshness(table(spark, sf_dir, "labels"), "doc_id", F.col("toxic") == 1)
+    return search.search(table(spark, sf_dir, "documents"), QUERY, limit, explain=explain, flags=flags)
 
 
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_fresh(spark, sf_dir), QUERY, 20)
+    return _found(spark, sf_dir, 20)
 
 
 def search_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_fresh(spark, sf_dir), QUERY, 50, explain=True).select("doc_id", "rank", "reasons")
+    return _found(spark, sf_dir, 50, explain=True).select("doc_id", "rank", "reasons")
 
 
 def search_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.matches(_fresh(spark, sf_dir), QUERY)
+    docs = search.with_freshness(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", F.col("toxic") == 1)
+    return search.matches(docs, QUERY)
 
 
 def search_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.as_json(search.search(_fresh(spark, sf_dir), QUERY, 20).select("doc_id", "rank"))
+    return search.as_json(_found(spark, sf_dir, 20).select("doc_id", "rank"))
 
 
 def search_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _fresh(spark, sf_dir)
-    return search.originals(search.search(docs, QUERY, 20), docs).select("rank", "doc_id", "lang", "source", "n_chars", "text")
+    return search.originals(_found(spark, sf_dir, 20), table(spark, sf_dir, "documents")).select("rank", "doc_id", "lang", "source", "n_chars", "text")
+
+
+def search_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The envelope of every way that a search can end."""
+
+    def docs():
+        return table(spark, sf_dir, "documents")
+
+    def broken():
+        raise RuntimeError("no reader")
+
+    cases = {
+        "found": (docs, QUERY, 20, None), "nothing found": (docs, "qqzzqq", 20, None), "empty corpus": (lambda: docs().where("false"), QUERY, 20, None), "filters leave nothing": (docs, QUERY, 20, F.col("lang") == "xx"),
+        "no query": (docs, " ", 20, None), "bad limit": (docs, QUERY, 0, None), "unreadable": (lambda: spark.read.parquet(f"{sf_dir}/no_such_corpus"), QUERY, 20, None), "internal": (broken, QUERY, 20, None),
+    }
+    ended = [(name, search.run_search(load, query, limit, filters=kept)) for name, (load, query, limit, kept) in cases.items()]
+    return spark.createDataFrame([(name, e.mode, e.reason, e.exit_code, len(e.results)) for name, e in ended], "name string, mode string, reason string, exit_code int, n_results long")
 
 
 def _page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +108,7 @@ def graph_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path"))
-    edges = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("source"), (F.col("doc_id") - F.col("doc_id") % 7).cast("string").alias("target"))
+    edges = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("source"), (F.col("doc_id") - F.col("doc_id") % 7).cast("string").alias("target"))
     known = edges.join(docs.select(F.col("path").alias("target")), "target", "left_semi").select("source", "target").where("source != target")
     return links.connectivity(docs, known)
 
@@ -117,8 +137,8 @@ def lint_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lint_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = table(spark, sf_dir, "documents").where("doc_id % 5 != 0").select(F.col("doc_id").cast("string").alias("path"), F.lit("active").alias("status"))
-    catalog = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("link"))
+    notes = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("active").alias("status"))
+    catalog = table(spark, sf_dir, "labels").select((F.col("doc_id") * 2).cast("string").alias("link"))
     return lint.catalog_check(notes, catalog).select("path", "detail")
 
 
@@ -129,7 +149,7 @@ def lint_archived(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lint_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("path"), F.col("o_orderdate").cast("date").alias("revisit"))
+    notes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderdate").cast("date").alias("revisit"))
     return lint.revisit_due(notes, F.lit("1996-01-01").cast("date")).select("rule", "path", "detail", "severity")
 
 
@@ -138,9 +158,54 @@ def lint_beyond_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.beyond_baseline(found, found.where(F.col("path").cast("long") % 3 == 0)).select("path", "fingerprint")
 
 
+def lint_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A write touched the notes whose ids are pages too."""
+    changed = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"))
+    return lint.changed_only(lint_status_enum(spark, sf_dir), changed).select("path", "detail")
+
+
+def lint_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = table(spark, sf_dir, "conversations").select(F.concat(F.lit("raw/"), F.col("conv_id").cast("string")).alias("path")).distinct()
+    named = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.array(F.concat(F.lit("raw/"), F.col("doc_id").cast("string")), F.lit("people/ann")).alias("front_links"))
+    return lint.unsourced(named, sources)
+
+
+def lint_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expected hashes are those of texts without their last character, where the quality is 0."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    quality = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path"), "quality")
+    kept = F.when(F.col("quality") == 0, F.substr("text", F.lit(1), F.length("text") - 1)).otherwise(F.col("text"))
+    expected = docs.join(quality, "path").select("path", F.sha2(kept, 256).alias("sha256")).union(spark.sql("select '-1', 'none'"))
+    return lint.fixture_integrity(docs, expected).select("path", "detail", "severity")
+
+
+def lint_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index dated by the last event, a changelog by the first; the dates are read from their texts."""
+    events = table(spark, sf_dir, "events").agg(*[F.date_format(f("ts"), "yyyy-MM-dd").alias(n) for f, n in ((F.max, "last"), (F.min, "first"))])
+    index = events.select(F.lit("index").alias("path"), F.concat(F.lit("# Index\n\nLast updated: "), F.col("last"), F.lit(" - all of it\n")).alias("text"))
+    log = events.select(F.lit("CHANGELOG").alias("path"), F.concat(F.lit("# CHANGELOG\n\n## "), F.col("first"), F.lit("\n- an entry\n")).alias("text"))
+    dates = {r["path"]: r["updated"] for r in vault.parse_updated(index.union(log)).collect()}
+    return lint.changelog_sync(F.lit(dates["CHANGELOG"]).cast("date"), F.lit(dates["index"]).cast("date"), spark).select("rule", "path", "detail", "severity")
+
+
+def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    notes = docs.select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("lang") == "en", "active").otherwise("closed").alias("status"))
+    catalog = labels.select((F.col("doc_id") * 2).cast("string").alias("link"))
+    superseded = labels.where("quality = 1").select(F.lit("x").alias("source"), F.col("doc_id").cast("string").alias("target"))
+    successors = docs.select(F.col("doc_id").cast("string").alias("path"), ((F.col("doc_id") * F.col("doc_id") + 1) % 1009).cast("string").alias("next"))
+    return lint.drift(notes, catalog, superseded, successors)
+
+
+def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lint.as_report(_drift(spark, sf_dir))
+
+
 def lint_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lint_status_enum(spark, sf_dir).unionByName(lint_row_count(spark, sf_dir))
-    return found.groupBy("severity").agg(F.count("*").alias("n"))
+    """The gate over all rules whose findings have fingerprints here."""
+    found = lint_status_enum(spark, sf_dir).unionByName(lint_row_count(spark, sf_dir)).unionByName(lint_sources(spark, sf_dir)).unionByName(_drift(spark, sf_dir))
+    gate = lint.gate(found)
+    return spark.createDataFrame([(gate.passed, gate.blocking, gate.advisory)], "passed boolean, blocking long, advisory long")
 
 
 def lint_canonical_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +243,71 @@ def catalog_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.refresh_catalog(catalog, changed)
 
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Markdown notes (path, text), with frontmatter and links."""
+    doc_id = F.col("doc_id").cast("string")
+    status = F.element_at(F.array(F.lit("active"), F.lit("closed"), F.lit("archived")), (F.col("doc_id") % 3 + 1).cast("int"))
+    kind = F.when(F.col("lang") == "en", "project").otherwise("insight")
+    front = F.concat(F.lit("---\ntitle: Doc "), doc_id, F.lit("\ntype: "), kind, F.lit("\nstatus: "), status, F.lit("\nrelated: [["), (F.col("doc_id") + 7).cast("string"), F.lit("]]\n---\n# Heading\n"))
+    links = F.concat(F.lit("See [["), F.col("source"), F.lit("/"), (F.col("doc_id") + 1).cast("string"), F.lit("#part]] and [["), (F.col("doc_id") * 2).cast("string"), F.lit("|that]].\n"))
+    return table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), doc_id, F.lit(".md")).alias("path"), F.concat(front, links, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def parsed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vault.parse_notes(_files(spark, sf_dir)).select("path", "title", "type", "status", F.size("body_links").cast("long").alias("n_body"), F.element_at("front_links", 1).alias("related"), F.length("body").cast("long").alias("n_chars"))
+
+
+def _note_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    notes = vault.parse_notes(_files(spark, sf_dir))
+    return notes, links.resolve(links.note_links(notes), notes)
+
+
+def link_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.audit(_note_links(spark, sf_dir)[1])
+
+
+def graph_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph is built, written to a cache, and asked from there."""
+    notes, found = _note_links(spark, sf_dir)
+    cache = shared_dir(spark)
+    links.build_graph(found, notes, cache)
+    return links.neighbourhood(*links.read_graph(spark, cache), "doc 11", hops=1)
+
+
+def _router_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    line = F.concat(F.lit("| "), F.col("source"), F.lit(" | "), F.col("n").cast("string"), F.lit(" | [[index-"), F.col("source"), F.lit("]] | documents of "), F.col("source"), F.lit(" |"))
+    lines = counts.select(line.alias("line")).agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("lines"))
+    return lines.select(F.lit("index.md").alias("path"), F.concat(F.lit("# Index\n\n| category | rows | catalog | text |\n|---|---|---|---|\n"), F.col("lines"), F.lit("\n\n## Use\n")).alias("text"))
+
+
+def parsed_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vault.parse_router(_router_file(spark, sf_dir))
+
+
+def parsed_research(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog file for each document, with a placeholder beside its row."""
+    doc_id = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("# Catalog\n\n> rows are | [[path/name]] | text |\n\n## Live\n\n| page | summary |\n|---|---|\n| [["), F.col("source"), F.lit("/"), doc_id, F.lit("]] | "), F.col("lang"), F.lit(" — of "), F.col("n_chars").cast("string"), F.lit(" |\n\n## Old\n\n| _none yet_ | |\n"))
+    return vault.parse_research(table(spark, sf_dir, "documents").select(F.concat(F.lit("wiki/index-"), doc_id, F.lit(".md")).alias("path"), text.alias("text")))
+
+
+def parsed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    text = F.concat(F.lit("# Activity Log\n\n> one line each: `## [YYYY-MM-DD] type | text`\n## ["), F.date_format("ts", "yyyy-MM-dd"), F.lit("] "), F.col("event_type"), F.lit(" | event "), F.col("event_id").cast("string"), F.lit("  \n"))
+    return vault.parse_log(events.select(F.lit("log.md").alias("path"), text.alias("text"))).withColumn("event_date", F.date_format("event_date", "yyyy-MM-dd"))
+
+
+def session_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = vault.parse_notes(_files(spark, sf_dir))
+    return capture.session_context(parsed_router(spark, sf_dir), notes, F.length("body"))
+
+
+def category_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = table(spark, sf_dir, "documents").select(F.concat(F.lit("index-"), F.col("source")).alias("catalog"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("link"))
+    return capture.route(parsed_router(spark, sf_dir), catalog, vault.parse_notes(_files(spark, sf_dir)), "src3").select("catalog", "path", "title", "status")
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("event_date"), "event_type", F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("text"))
     return capture.log_lines(events)
@@ -229,9 +359,10 @@ def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        search_topk, search_explain, search_matches, search_json, search_originals,
-        link_indegree, link_audit, link_unresolved, link_components, link_connectivity, graph_neighbourhood, unlinked_mentions,
-        lint_status_enum, lint_row_count, lint_catalog, lint_archived, lint_revisit, lint_beyond_baseline, lint_gate, lint_canonical_facts,
+        search_topk, search_explain, search_matches, search_json, search_originals, search_envelopes,
+        link_indegree, link_audit, link_unresolved, link_components, link_connectivity, graph_neighbourhood, graph_cached, link_origins, unlinked_mentions,
+        lint_status_enum, lint_row_count, lint_catalog, lint_archived, lint_revisit, lint_beyond_baseline, lint_gate, lint_canonical_facts, lint_changed, lint_sources, lint_fixtures, lint_changelog, drift_report,
+        parsed_notes, parsed_router, parsed_research, parsed_log, session_context, category_pages,
         transcripts, qualifying_sessions, pending_sessions, promoted, recent_active, catalog_refresh, log_lines, events_hourly,
         page_title, page_text, page_fields, page_render_status, page_markdown, pending_pages, blocked_terms, word_frequency,
     )
@@ -268,6 +399,26 @@ _ENUM = "select 'status-enum' as rule, cast(doc_id as varchar) as path, quality
 _COUNTS = """select 'row-count' as rule, source as path, declared || ' of ' || n as detail, 'block' as severity
   from (select source, case when suffix(source, '7') then 40 else 50 end as declared, count(*) as n from documents group by 1, 2) where declared <> n"""
 _PRINTED = "select *, sha256(rule || chr(31) || path || chr(31) || detail) as fingerprint from"
+_SOURCES = """select 'source-binding' as rule, cast(doc_id as varchar) as path, 'raw/' || doc_id as detail, 'advisory' as severity
+  from documents where doc_id not in (select conv_id from conversations where conv_id is not null)"""
+_CATALOG = """select cast(coalesce(d.doc_id, l.link) as varchar) as path, case when l.link is null then 'not in a catalog' else 'no such page' end as detail
+  from documents d full join (select distinct doc_id * 2 as link from labels) l on d.doc_id = l.link where d.doc_id is null or l.link is null"""
+_DRIFT = f"""with recursive steps as (select doc_id as a, (doc_id * doc_id + 1) % 1009 as b from documents where (doc_id * doc_id + 1) % 1009 in (select doc_id from documents)),
+walk as (select a, b from steps union select walk.a, steps.b from walk join steps on walk.b = steps.a),
+found as (
+  select 'catalog' as rule, path, detail, 'block' as severity from ({_CATALOG})
+  union all select 'superseded-active', cast(doc_id as varchar), 'active', 'advisory' from documents where lang = 'en' and doc_id in (select doc_id from labels where quality = 1)
+  union all select 'supersedes-loop', cast(a as varchar), cast((a * a + 1) % 1009 as varchar), 'advisory' from walk where a = b
+)"""
+_NOTES = """with notes as (select doc_id, source, source || '/' || doc_id || '.md' as path, 'Doc ' || doc_id as title, case when lang = 'en' then 'project' else 'insight' end as type,
+  case doc_id % 3 when 0 then 'active' when 1 then 'closed' else 'archived' end as status,
+  '# Heading' || chr(10) || 'See [[' || source || '/' || (doc_id + 1) || '#part]] and [[' || doc_id * 2 || '|that]].' || chr(10) || coalesce(text, '') as body from documents)"""
+_LINKED = f"""{_NOTES}, written as (
+  select path, 'body' as origin, source || '/' || (doc_id + 1) as target from notes union all select path, 'body', cast(doc_id * 2 as varchar) from notes
+  union all select path, 'frontmatter', cast(doc_id + 7 as varchar) from notes
+), names as (select path, lower(source) || '/' || doc_id as key from notes union all select path, cast(doc_id as varchar) from notes),
+best as (select key, first(path order by length(path), path) as resolved from names group by key),
+found as (select written.*, resolved from written left join best on lower(target) = key)"""
 _REACH = """, both_ways as (select a, b from edges union select b, a from edges),
 reach as (select a, a as b from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a)"""
 _FIELD = {"heading": "(?is)<h1[^>]*>(.*?)</h1", "language": '(?is)<html[^>]*\\blang="([^"]*)"', "first_link": '(?is)\\bhref="([^"]*)"'}
@@ -287,7 +438,7 @@ ORACLE_SQL = {
       edges as (select distinct 'page:' || source as a, 'to:' || target as b from links) {_REACH}
       select a as node, min(b) as component from reach group by a""",
     "link_connectivity": f"""with recursive docs as (select cast(doc_id as varchar) as path, doc_id, quality from labels),
-      edges as (select path as a, cast(doc_id - doc_id % 7 as varchar) as b from docs where quality = 1 and doc_id % 7 <> 0 and cast(doc_id - doc_id % 7 as varchar) in (select path from docs)) {_REACH},
+      edges as (select path as a, cast(doc_id - doc_id % 7 as varchar) as b from docs where doc_id % 7 <> 0 and cast(doc_id - doc_id % 7 as varchar) in (select path from docs)) {_REACH},
       found as (select a, min(b) as component from reach group by a),
       full_set as (select path, coalesce(component, path) as component, a is null as isolated from docs left join found on a = path)
       select path, component, count(*) over (partition by component) as n_members, isolated from full_set""",
@@ -304,13 +455,35 @@ ORACLE_SQL = {
       select distinct doc_id as id, name from hay join needles on contains(hay, needle) where len(string_split(trim(needle), ' ')) >= 2""",
     "lint_status_enum": f"{_PRINTED} ({_ENUM})",
     "lint_row_count": f"{_PRINTED} ({_COUNTS})",
-    "lint_catalog": """select cast(coalesce(d.doc_id, l.doc_id) as varchar) as path, case when l.doc_id is null then 'not in a catalog' else 'no such page' end as detail
-      from (select doc_id from documents where doc_id % 5 <> 0) d full join (select distinct doc_id from labels) l on d.doc_id = l.doc_id where d.doc_id is null or l.doc_id is null""",
+    "lint_catalog": _CATALOG,
     "lint_archived": "select cast(doc_id as varchar) as path, source as detail from documents where doc_id in (select doc_id from labels where toxic = 1)",
     "lint_revisit": """select 'revisit-due' as rule, cast(o_orderkey as varchar) as path, strftime(o_orderdate, '%Y-%m-%d') as detail, 'advisory' as severity
-      from orders where o_orderstatus = 'O' and cast(o_orderdate as date) < date '1996-01-01'""",
+      from orders where cast(o_orderdate as date) < date '1996-01-01'""",
     "lint_beyond_baseline": f"select path, fingerprint from ({_PRINTED} ({_ENUM})) where cast(path as bigint) % 3 <> 0",
-    "lint_gate": f"select severity, count(*) as n from (({_ENUM}) union all ({_COUNTS})) group by severity",
+    "lint_gate": f"""{_DRIFT}, every as (select severity from ({_ENUM}) union all select severity from ({_COUNTS}) union all select severity from ({_SOURCES}) union all select severity from found)
+      select count(*) filter (where severity = 'block') = 0 as passed, count(*) filter (where severity = 'block') as blocking, count(*) filter (where severity <> 'block') as advisory from every""",
+    "lint_changed": f"select path, detail from ({_ENUM}) where path in (select cast(page_id as varchar) from pages)",
+    "lint_sources": f"{_PRINTED} ({_SOURCES})",
+    "lint_fixtures": """select cast(d.doc_id as varchar) as path, sha256(text) as detail, 'block' as severity from documents d join labels l on l.doc_id = d.doc_id where quality = 0 and length(text) > 0
+      union all select '-1', 'missing', 'block'""",
+    "lint_changelog": """select 'changelog-sync' as rule, 'CHANGELOG' as path, strftime(min(ts), '%Y-%m-%d') || ' / ' || strftime(max(ts), '%Y-%m-%d') as detail, 'advisory' as severity
+      from events having strftime(min(ts), '%Y-%m-%d') <> strftime(max(ts), '%Y-%m-%d')""",
+    "drift_report": f"""{_DRIFT} select '{{"rule":"' || rule || '","path":"' || path || '","detail":"' || detail || '","severity":"' || severity || '"}}' as value from found""",
+    "search_envelopes": f"""{_FOUND} select 'found' as name, 'search' as mode, null as reason, 0 as exit_code, (select count(*) from ranked where rank <= 20) as n_results
+      union all from (values ('nothing found', 'search', null, 0, 0), ('empty corpus', 'filtered-empty', 'empty-corpus', 2, 0), ('filters leave nothing', 'filtered-empty', 'filters-exclude-all', 2, 0),
+      ('no query', 'usage', 'usage', 1, 0), ('bad limit', 'usage', 'usage', 1, 0), ('unreadable', 'unreadable', 'unreadable-corpus', 3, 0), ('internal', 'error', 'no reader', 5, 0))""",
+    "link_origins": f"""{_LINKED} select origin, case when resolved is null then 'unresolved' else 'resolved' end as status, count(*) as n_links, count(distinct target) as n_targets from found group by 1, 2""",
+    "graph_cached": f"""{_LINKED}, edges as (select path as a, resolved as b from found where resolved <> path union select resolved, path from found where resolved <> path),
+      d0 as (select path from notes where contains(lower(path || ' ' || title), 'doc 11'))
+      select path, cast(min(distance) as int) as distance from (select path, 0 as distance from d0 union all select b, 1 from edges where a in (from d0)) group by path""",
+    "parsed_notes": f"{_NOTES} select path, title, type, status, 2 as n_body, cast(doc_id + 7 as varchar) as related, cast(length(body) as bigint) as n_chars from notes",
+    "parsed_router": "select source as category, count(*) as declared_rows, 'index-' || source as catalog, 'documents of ' || source as descr from documents group by source",
+    "parsed_research": "select 'index-' || doc_id as catalog, 'Live' as section, source || '/' || doc_id as link, lang as kind, 'of ' || n_chars as summary from documents",
+    "parsed_log": "select strftime(ts, '%Y-%m-%d') as event_date, event_type, 'event ' || event_id as text from events",
+    "session_context": f"""{_NOTES} select 'router' as part, row_number() over (order by source) as rank, source as name, 'index-' || source as detail from (select distinct source from notes)
+      union all select * from (select 'recent', row_number() over (order by length(body) desc, path) as k, path, title from notes where type = 'project' and status = 'active') where k <= 3
+      union all select 'active-now', row_number() over (order by type), type, cast(count(*) as varchar) from notes where status = 'active' group by type""",
+    "category_pages": f"{_NOTES} select 'index-src3' as catalog, path, title, status from notes where source = 'src3'",
     "lint_canonical_facts": "select sha256(text) as fact_key, cast(count(*) as varchar) as n_pages from documents group by text having count(distinct doc_id) > 1",
     "transcripts": """select conv_id as session, count(*) as n_turns, cast(length(string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) order by turn)) as bigint) as n_chars,
       string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) order by turn) as transcript from conversations group by conv_id""",

@@ -17,6 +17,17 @@ def vault_root(*named: str | None, default: str) -> str:
     return next(filter(None, named), default)
 
 
+#: Session setting that holds the vault's root for all that read it later.
+ROOT_CONF = "spark.vellumine.vault"
+
+
+def use_vault(spark: SparkSession, named: str | None = None, default: str = ".") -> str:
+    """Settles the vault's root: as named, else as the session has it, else the default; kept in the session."""
+    root = vault_root(named, spark.conf.get(ROOT_CONF, None), default=default)
+    spark.conf.set(ROOT_CONF, root)
+    return root
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Every Markdown file under path, whole: (path, text)."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
@@ -87,6 +98,14 @@ def parse_router(files: DataFrame) -> DataFrame:
     return rows.select(F.regexp_extract("line", pattern, 1).alias("category"), F.regexp_extract("line", pattern, 2).cast("long").alias("declared_rows"), F.regexp_extract("line", pattern, 3).alias("catalog"), F.regexp_extract("line", pattern, 4).alias("descr"))
 
 
+def parse_updated(files: DataFrame) -> DataFrame:
+    """``(path, updated)``: the date of a line ``Last updated: YYYY-MM-DD``, or the latest one that heads a section ``## YYYY-MM-DD``; else null."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    stated = F.regexp_extract(text, r"(?m)^Last updated:\s*(\d{4}-\d{2}-\d{2})", 1)
+    heads = F.array_max(F.regexp_extract_all(text, F.lit(r"(?m)^##\s+\[?(\d{4}-\d{2}-\d{2})"), 1))
+    return files.select("path", F.try_to_date(F.when(stated != "", stated).otherwise(heads), "yyyy-MM-dd").alias("updated"))
+
+
 def parse_log(files: DataFrame) -> DataFrame:
     """``(event_date, event_type, text)`` of lines ``## [YYYY-MM-DD] type | text``."""
     pattern = r"^## \[(\d{4}-\d{2}-\d{2})\]\s+([^|]+?)\s*\|\s*(.*?)\s*$"
