@@ -118,3 +118,47 @@ def test_copies_with_repeated_ids_and_the_query_among_them():
     kept, copies, rows = N._distinct(ids, x, 3)
     by = {tuple(r): g.tolist() for r, g in zip(rows, np.split(kept, np.cumsum(copies)[:-1]))}
     assert by == {(1.0, 0.0): [3, 5, 7], (2.0, 0.0): [1, 2]}
+
+
+def test_probed_cells_hold_the_neighbours(spark, monkeypatch):
+    """Many small cells; fewer of them than all are asked."""
+    monkeypatch.setattr(N, "CANDIDATES", 250)
+    rng = np.random.default_rng(10)
+    centres = rng.standard_normal((40, 16)) * 3
+    x = (centres[rng.integers(0, 40, 10_000)] * rng.uniform(0.5, 2, (10_000, 1)) + rng.standard_normal((10_000, 16))).astype(np.float32)
+    cells = N.Cells.fit(x.astype(float), len(x), 500, 20, N.TARGET)
+    assert len(cells.means) == 40 and cells.probes < 30
+    assert recall(spark, x, 20) >= 0.97
+
+
+def test_a_cell_with_a_third_of_all_vectors_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(N, "CANDIDATES", 200)
+    monkeypatch.setattr(N, "ASKED", 30)
+    rng = np.random.default_rng(11)
+    hot = rng.standard_normal((1, 8)) * 4 + rng.standard_normal((1500, 8)) * 0.01
+    x = np.concatenate([hot, rng.standard_normal((3000, 8))])[rng.permutation(4500)].astype(np.float32)
+    cells = N.Cells.fit(x.astype(float), len(x), 225, 20, N.TARGET)
+    assert cells.parts.max() >= 5 and cells.query_parts.max() >= 2
+    assert recall(spark, x, 20) >= 0.97
+
+
+def test_exact(spark, monkeypatch):
+    monkeypatch.setattr(N, "CANDIDATES", 150)
+    monkeypatch.setattr(N, "RERANK", 1)
+    x = np.random.default_rng(12).standard_normal((1200, 10))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    wanted = exact(np.arange(len(x)), x, range(0, 1200, 40), 7)
+    found = {}
+    for r in N.nearest(frame, F.col("vec_id") % 40 == 0, 7, exact=True).orderBy("rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found == {q: [v for v, _ in w] for q, w in wanted.items()}
+
+
+def test_tiny_and_huge_vectors(spark):
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((300, 6))
+    x[:100] *= 1e-200
+    x[100:150] *= 1e150
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = N.nearest(frame, F.col("vec_id") % 30 == 0, 5).collect()
+    assert len(found) == 50 and all(np.isfinite(r.score) and r.score == pytest.approx(float((x[r.query_id] * x[r.vec_id]).sum()), rel=1e-9, abs=0) for r in found)

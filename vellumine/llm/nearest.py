@@ -14,8 +14,11 @@ look-up per four dimensions.  The best of a block are ranked again exactly, with
 all whose rough scores tie with theirs.  A block holds each distinct vector once, with
 the smallest ids that have it, so copies take no places from other vectors.
 
-Queries and candidates both come in blocks; every query block meets every
-candidate block once.
+Vectors lie in cells around coarse centres, and a query asks only the cells whose
+mean has the largest inner products with it.  How many is measured: as many as
+hold ``TARGET`` of the exact neighbours of sampled vectors within the sample.
+Large cells are dealt into parts, and the queries of a cell too, so that no task
+gets more than some blocks of either, whatever share of all vectors a cell has.
 """
 
 from __future__ import annotations
@@ -27,12 +30,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumine.llm import tokens
 from vellumine.plans.durable import materialise
 
 #: Vectors of the fit, at most, by a hash of their ids; every vector is indexed.
 SAMPLE = 10_000
 #: Vectors of a candidate block, and queries of a query block.
-CANDIDATES, QUERIES = 16_384, 512
+CANDIDATES, QUERIES = 8_192, 512
+#: Queries of a cell that one part of it is asked by, about.
+ASKED = 64 * QUERIES
+#: Cells at most: so many vectors of the sample stand for each.
+CELL_SAMPLE = 20
+#: Vectors of the sample that the number of probed cells is measured with, and the share of their neighbours that these hold.
+MEASURED, TARGET = 400, 0.995
 #: Distinct vectors of a block that are ranked exactly, for each neighbour wanted.
 RERANK = 16
 ROUNDS, SWEEPS, THRESHOLD = 8, 2, 0.2
@@ -118,6 +128,65 @@ def _split(x: np.ndarray) -> np.ndarray:
     return x.reshape(len(x), -1, 2)
 
 
+@dataclass
+class Cells:
+    """Coarse cells: directions that vectors are put by, means that queries choose by, and how cells are dealt."""
+
+    directions: np.ndarray
+    means: np.ndarray
+    probes: int
+    parts: np.ndarray
+    query_parts: np.ndarray
+
+    @classmethod
+    def fit(cls, x: np.ndarray, n: int, asked: int, k: int, target: float, seed: int = 3) -> Cells:
+        """Spherical k-means over a sample x of n vectors, of which so many are asked."""
+        count = max(1, min(-(-n // CANDIDATES), len(x) // CELL_SAMPLE))
+        unit = _unit(x)
+        directions = unit[np.random.default_rng(seed).permutation(len(x))[:count]]
+        for _ in range(10 if count > 1 else 0):
+            home = _best(unit, directions)
+            sums = np.zeros_like(directions)
+            np.add.at(sums, home, unit)
+            directions = np.where(np.abs(sums).max(axis=1, keepdims=True) > 0, sums, directions)
+            directions = _unit(directions)
+        home = _best(unit, directions)
+        scale = np.abs(x).max()
+        means = np.zeros_like(directions)
+        np.add.at(means, home, x / scale)
+        sizes = np.bincount(home, minlength=count)
+        means /= np.maximum(sizes, 1)[:, None]
+        cells = cls(directions, means, count, np.ones(count, np.int64), np.ones(count, np.int64))
+        chosen = cells.order(x[:MEASURED])
+        if count > 1 and target < 1:
+            cells.probes = _probes(x / scale, home, chosen, k, target)
+        cells.parts = np.maximum(1, -(-sizes * n // (len(x) * CANDIDATES)))
+        reach = np.bincount(chosen[:, : cells.probes].ravel(), minlength=count)
+        cells.query_parts = np.maximum(1, -(-reach * asked // (len(chosen) * ASKED)))
+        return cells
+
+    def put(self, x: np.ndarray) -> np.ndarray:
+        return _best(_unit(x), self.directions)
+
+    def order(self, x: np.ndarray) -> np.ndarray:
+        """The cells of each query, best first."""
+        return np.argsort(-(_unit(x) @ self.means.T), axis=1, kind="stable")
+
+
+def _best(unit: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    return np.concatenate([(unit[i : i + 4096] @ directions.T).argmax(axis=1) for i in range(0, len(unit), 4096)])
+
+
+def _probes(x: np.ndarray, home: np.ndarray, chosen: np.ndarray, k: int, target: float) -> int:
+    """How many of their cells hold the target share of the neighbours of the first vectors."""
+    scores = x[: len(chosen)] @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    near = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    place = np.argsort(chosen, axis=1)
+    found = np.bincount(np.take_along_axis(place, home[near], axis=1).ravel(), minlength=chosen.shape[1])
+    return int(np.searchsorted(np.cumsum(found) / found.sum(), target)) + 1
+
+
 def _pack(codes: np.ndarray) -> np.ndarray:
     """Two four-bit codes a byte, (bytes, vectors)."""
     return np.ascontiguousarray((codes[:, 0::2] << 4 | codes[:, 1::2]).astype(np.uint8).T)
@@ -129,7 +198,31 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda v: v != 0)
 
 
-_BLOCK = "block long, ids binary, copies binary, scale binary, vectors binary, codes binary"
+_DEALT = "cell int, part int, vec_id long, vector binary"
+_BLOCK = "cell int, part int, ids binary, copies binary, scale binary, vectors binary, codes binary"
+
+
+def _deal(cells, asks: bool):
+    """Vectors by cell and part: the cell of each, or for queries those that they ask."""
+
+    def run(batches):
+        known: Cells = cells.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.asarray(batch.column("vec_id"))
+            x = np.asarray(batch.column("vector").flatten(), dtype=np.float64).reshape(len(ids), -1)
+            if asks:
+                cell = known.order(x)[:, : known.probes]
+                row = np.repeat(np.arange(len(ids)), cell.shape[1])
+                cell, parts = cell.ravel(), known.query_parts
+            else:
+                cell, row, parts = known.put(x), np.arange(len(ids)), known.parts
+            part = (tokens.mix(ids.view(np.uint64))[row] % parts[cell].astype(np.uint64)).astype(np.int32)
+            raw = [v.tobytes() for v in x]
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(part), pa.array(ids[row]), pa.array([raw[r] for r in row], pa.binary())], names=["cell", "part", "vec_id", "vector"])
+
+    return run
 
 
 def _distinct(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,12 +240,10 @@ def _distinct(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np
 
 
 def _blocks(book, limit: int, most: int = 0):
-    """Blocks of up to limit vectors; with codes and distinct vectors, if there is a codebook."""
+    """Blocks of up to limit vectors of one part, over partitions sorted by (cell, part); with codes and distinct vectors, if there is a codebook."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        number, held, size = TaskContext.get().partitionId() << 24, [], 0
+        name, held, size = None, [], 0
 
         def block():
             ids = np.concatenate([h[0] for h in held])
@@ -160,17 +251,26 @@ def _blocks(book, limit: int, most: int = 0):
             ids, copies, x = _distinct(ids, x, most) if book else (ids, np.ones(len(ids), dtype=np.int64), x)
             codes = _pack(book.value.encode(x)).tobytes() if book else b""
             scale = _norm(x).ravel()
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([v], pa.binary()) for v in (ids.tobytes(), copies.tobytes(), scale.tobytes(), x.tobytes(), codes))], names=["block", "ids", "copies", "scale", "vectors", "codes"])
+            return pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in name), *(pa.array([v], pa.binary()) for v in (ids.tobytes(), copies.tobytes(), scale.tobytes(), x.tobytes(), codes))], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            where = np.stack([np.asarray(batch.column(c)) for c in ("cell", "part")])
             ids = np.asarray(batch.column("vec_id"))
-            x = np.asarray(batch.column("vector").flatten(), dtype=np.float64).reshape(len(ids), -1)
-            for i in range(0, len(ids), limit):
-                held.append((ids[i : i + limit], x[i : i + limit]))
-                size += len(held[-1][0])
-                if size >= limit:
+            x = np.frombuffer(b"".join(batch.column("vector").to_pylist()), dtype=np.float64).reshape(len(ids), -1)
+            cuts = [0, *(np.flatnonzero((where[:, 1:] != where[:, :-1]).any(axis=0)) + 1).tolist(), len(ids)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and (name != tuple(where[:, a].tolist())):
                     yield block()
-                    held, size, number = [], 0, number + 1
+                    held, size = [], 0
+                name = tuple(where[:, a].tolist())
+                for i in range(a, b, limit):
+                    held.append((ids[i : min(b, i + limit)], x[i : min(b, i + limit)]))
+                    size += len(held[-1][0])
+                    if size >= limit:
+                        yield block()
+                        held, size = [], 0
         if held:
             yield block()
 
@@ -188,7 +288,7 @@ def _leading(rough: np.ndarray, n: int) -> np.ndarray:
     return np.arange(len(rough))
 
 
-def _search(book, k: int):
+def _search(book, k: int, exact_only: bool):
     def run(batches):
         known: Codebook = book.value
         for batch in batches:
@@ -202,11 +302,14 @@ def _search(book, k: int):
                 tables = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(q), -1, 256)
                 size = scale.astype(np.float32)
                 for i, q_id in enumerate(q_ids):
-                    rough = np.take(tables[i, 0], codes[0])
-                    for j in range(1, len(codes)):
-                        rough += np.take(tables[i, j], codes[j])
-                    rough *= size
-                    best = _leading(rough, RERANK * k + 1)
+                    if exact_only:
+                        best = np.arange(len(scale))
+                    else:
+                        rough = np.take(tables[i, 0], codes[0])
+                        for j in range(1, len(codes)):
+                            rough += np.take(tables[i, j], codes[j])
+                        rough *= size
+                        best = _leading(rough, RERANK * k + 1)
                     # sums by row, the same for the same vector wherever it lies
                     exact, n = (x[best] * q[i]).sum(axis=1), copies[best]
                     at = np.repeat(first[best] - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -222,9 +325,11 @@ def _search(book, k: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", exact: bool = False) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k largest inner products per query.
 
+    With ``exact`` every cell is asked and every vector ranked exactly.
+
     Queries are the rows where ``queries`` is true; candidates are all rows but
     those with the query's id.  Scores are in double precision over the given
     components; ties go to the smaller id.
@@ -242,15 +347,29 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("vector") == dims[0]["d"])
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow().column("vector").combine_chunks()
-    book = spark.sparkContext.broadcast(Codebook.fit(np.asarray(sample.flatten()).reshape(len(sample), -1)))
-
-    candidates = materialise(rows.select("vec_id", "vector").mapInArrow(_blocks(book, CANDIDATES, k + 1), _BLOCK))
-    asked = rows.where("is_query").select("vec_id", "vector").mapInArrow(_blocks(None, QUERIES), _BLOCK)
-    n = max(1, candidates.count())
-    # each query block goes to every bucket, each candidate block to one
-    left = asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bucket"))
-    right = candidates.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(n)).cast("int"))
-    found = left.join(right.hint("shuffle_hash"), "bucket").select("q_ids", "q_vectors", "ids", "copies", "scale", "vectors", "codes").mapInArrow(_search(book, k), "query_id long, vec_id long, score double")
+    x = np.asarray(sample.flatten(), dtype=np.float64).reshape(len(sample), -1)
+    count = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("asked")).first()
+    cells = Cells.fit(x, count["n"], count["asked"], k, 1.0 if exact else TARGET)
+    book, dealing = spark.sparkContext.broadcast(Codebook.fit(x)), spark.sparkContext.broadcast(cells)
+
+    def blocks(some: DataFrame, asks: bool, book, limit: int, most: int = 0) -> DataFrame:
+        """Vectors or queries as blocks of one part each."""
+        dealt = some.select("vec_id", "vector").mapInArrow(_deal(dealing, asks), _DEALT)
+        tasks = int((cells.query_parts if asks else cells.parts).sum())
+        return materialise(dealt.repartition(tasks, "cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_blocks(book, limit, most), _BLOCK))
+
+    candidates = blocks(rows, False, book, CANDIDATES, k + 1)
+    asked = blocks(rows.where("is_query"), True, None, QUERIES)
+
+    def each(parts: np.ndarray) -> Column:
+        """The numbers of a cell's parts of the other side."""
+        return F.explode(F.sequence(F.lit(0), F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("cell") + 1) - 1))
+
+    left = asked.select("cell", F.col("part").alias("query_part"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), each(cells.parts).alias("part"))
+    right = candidates.withColumn("query_part", each(cells.query_parts))
+    keys, tasks = ["cell", "part", "query_part"], int((cells.parts * cells.query_parts).sum())
+    met = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys).hint("shuffle_hash"), keys)
+    found = met.select("q_ids", "q_vectors", "ids", "copies", "scale", "vectors", "codes").mapInArrow(_search(book, k, exact), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
