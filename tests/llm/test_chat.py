@@ -88,3 +88,13 @@ def test_digest_of_the_loss_follows_the_mask(spark):
     assert chat.digest(other).first().loss_chars == 0
     turns = chat.format_chats(spark.createDataFrame(rows, SCHEMA), loss_roles=("user",))
     assert chat.digest(turns).first().loss_sha256 == hashlib.sha256("é<|u".encode()).hexdigest()
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_both_ways_of_cutting_agree(spark, monkeypatch, few):
+    monkeypatch.setattr(chat, "FEW_RUNS", few)
+    rows = [(c, t, ("user", "assistant", "system")[(c * t + t) % 3], ["a<|b", "", "🙂é", None, "<|im_end|>x", "y\nz"][(c + t) % 6]) for c in range(12) for t in range(c * 3 + 1)]
+    found = {r.conv_id: r for r in chat.digest(chat.format_chats(spark.createDataFrame(rows, SCHEMA))).collect()}
+    for c in range(12):
+        loss = "".join(x or "" for k, _, role, x in rows if k == c and role == "assistant")
+        assert (found[c].loss_chars, found[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())

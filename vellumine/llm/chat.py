@@ -98,8 +98,32 @@ def read_chats(chats: DataFrame, formatted: str = "formatted") -> DataFrame:
     return chats.withColumn("turns", F.flatten(F.transform(F.slice(raw, F.lit(2), F.size(raw) - 1), block)))
 
 
+#: Runs of a mask up to which they are cut out one by one; a longer mask is laid over the characters.
+FEW_RUNS = 100
+
+
 def _loss_text(formatted: Column, mask: Column) -> Column:
-    """The texts that the loss is on: the string cut by the mask's runs, each unescaped and then joined."""
+    """The texts that the loss is on: the string cut by the mask's runs, each unescaped and then joined.
+
+    A cut counts characters from the start of the string, so many cuts would
+    take the square of its length; those are made in one pass over all characters.
+    """
+    return F.when(F.size(mask) <= FEW_RUNS, _cut(formatted, mask)).otherwise(_overlaid(formatted, mask))
+
+
+def _cut(formatted: Column, mask: Column) -> Column:
+    empty = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at: int, chars: int>>").alias("runs"))
+
+    def add(done: Column, m: Column) -> Column:
+        chars = m["chars"].cast("int")
+        run = F.struct(done["at"].alias("at"), chars.alias("chars"))
+        return F.struct((done["at"] + chars).alias("at"), F.when(m["loss"], F.concat(done["runs"], F.array(run))).otherwise(done["runs"]).alias("runs"))
+
+    runs = F.aggregate(mask, empty, add, lambda done: done["runs"])
+    return F.array_join(F.transform(runs, lambda r: _unescape(F.substr(formatted, r["at"], r["chars"]))), "")
+
+
+def _overlaid(formatted: Column, mask: Column) -> Column:
     # for each character whether it counts, and two more where a run starts
     flags = F.flatten(F.transform(mask, lambda m: F.when(m["chars"] > 0, F.concat(F.array(m["loss"].cast("int") + 2), F.array_repeat(m["loss"].cast("int"), (m["chars"] - 1).cast("int")))).otherwise(F.array().cast("array<int>"))))
     marked = F.transform(F.arrays_zip(F.split(formatted, "").alias("char"), flags.alias("flag")), lambda x: F.concat(F.when(x["flag"] >= 2, END).otherwise(""), F.when(x["flag"] % 2 == 1, x["char"]).otherwise("")))
