@@ -441,9 +441,10 @@ class _Join:
     def __init__(self, docs: DataFrame, id_column: str, text_column: str, width: int, threshold: float):
         self.t, self.width, self.spark = Fraction(threshold).limit_denominator(1000), width, docs.sparkSession
         self.docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-        #: Tables to discard at the end.
+        #: Tables to discard at the end, and those that results read.
         self.spent: list[str] = []
-        signed = materialise(self.docs.mapInArrow(_signatures("doc_id", "text", width), "doc_id long, n long, node long, vector binary, totals binary"))
+        self.read: list[str] = []
+        signed = materialise(self.docs.mapInArrow(_signatures("doc_id", "text", width), "doc_id long, n long, node long, vector binary, totals binary"), self.read)
         self.totals = signed.where("totals is not null").select("totals")
         self.sizes = signed.where("totals is null")
         usable = self.sizes.where("node is not null and doc_id is not null")
@@ -499,9 +500,11 @@ class _Join:
         return links
 
 
-def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, threshold: float = 0.8, keep: list[str] | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row of docs.
 
+    ``keep`` collects the paths of the tables that the result reads, for a caller to discard.
+
     Words are runs of anything but white space, A-Z lowered; shingles are
     ``width`` consecutive words, or the whole sequence where it is shorter.
     ``component_id`` is the smallest id that links reach, itself included.
@@ -538,8 +541,10 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
             labels = materialise(_relabel(labels, join.verified(pairs)), join.spent)
     known = nodes.select("node", "rep").join(labels, "node")
     lowest = materialise(known.groupBy("label").agg(F.min("rep").alias("component_id")), join.spent)
-    found = materialise(known.join(lowest, "label").select("node", "component_id"))
+    found = materialise(known.join(lowest, "label").select("node", "component_id"), join.read)
     discard(spark, join.spent)
+    if keep is not None:
+        keep += join.read
     named = join.sizes.join(found, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
@@ -584,6 +589,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
 
     Of rows that repeat a doc_id, all or none stay.
     """
-    found = materialise(jaccard_components(docs, width=width, threshold=threshold).where("doc_id != component_id").select("doc_id").distinct())
+    old: list[str] = []
+    found = materialise(jaccard_components(docs, width=width, threshold=threshold, keep=old).where("doc_id != component_id").select("doc_id").distinct())
+    discard(docs.sparkSession, old)
     small = found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(found) if small else found, "doc_id", "left_anti").select(*docs.columns)

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.plans.durable import materialise, shared_dir
+from vellumine.plans.durable import discard, materialise, shared_dir
 
 #: Bytes of a payload that a chunk row holds.
 CHUNK = 1 << 20
@@ -105,11 +105,12 @@ def write_warc(pages: DataFrame, folder: str, dedupe_bytes: int = 0) -> DataFram
     writes another file; those that the table does not name are left-overs.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    digests = materialise(pages.select("page_id", F.octet_length(payload).alias("bytes"), F.unhex(F.sha1(payload)).alias("sha1")))
+    spent: list[str] = []
+    digests = materialise(pages.select("page_id", F.octet_length(payload).alias("bytes"), F.unhex(F.sha1(payload)).alias("sha1")), spent)
     counted = digests.where(F.col("bytes") >= dedupe_bytes).groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    firsts = materialise(counted)
+    firsts = materialise(counted, spent)
     # only copies are joined; no payload is shuffled while they are few enough to broadcast
-    repeats = materialise(digests.join(firsts, ["sha1", "bytes"]).where("page_id is null or page_id != first").select("page_id", "sha1", "first").distinct())
+    repeats = materialise(digests.join(firsts, ["sha1", "bytes"]).where("page_id is null or page_id != first").select("page_id", "sha1", "first").distinct(), spent)
     rows = pages.select("page_id", "url", payload.alias("payload"), F.unhex(F.sha1(payload)).alias("sha1"))
     repeats = repeats.withColumnRenamed("page_id", "own").withColumnRenamed("sha1", "same")
     if repeats.limit(BROADCAST_REPEATS + 1).count() <= BROADCAST_REPEATS:
@@ -118,7 +119,9 @@ def write_warc(pages: DataFrame, folder: str, dedupe_bytes: int = 0) -> DataFram
     out = marked.select("page_id", "url", "payload", F.col("sha1").alias("digest"), "first", F.col("first").isNull().alias("response"))
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
-    return materialise(out.mapInArrow(_write(folder), "path string, records long"))
+    written = materialise(out.mapInArrow(_write(folder), "path string, records long"))
+    discard(pages.sparkSession, spent)
+    return written
 
 
 def _reads(stream) -> Iterator[bytes]:
