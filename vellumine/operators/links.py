@@ -100,7 +100,7 @@ def unlinked_mentions(texts: DataFrame, titles: DataFrame, links: DataFrame | No
     hay = texts.select("id", plain(F.col("text")).alias("hay"))
     anchors = F.explode(F.array_distinct(F.split(F.trim("hay"), " "))).alias("anchor")
     few = anchored.limit(BROADCAST_TITLES + 1).count() <= BROADCAST_TITLES
-    pairs = materialise(hay.select("id", anchors).join(F.broadcast(anchored) if few else anchored, "anchor").select("id", "name", "needle").distinct())
+    pairs = materialise(hay.select("id", anchors).join(F.broadcast(anchored) if few else anchored, "anchor").select("id", "name", "needle"))
     few = pairs.limit(BROADCAST_TITLES + 1).count() <= BROADCAST_TITLES
     # texts stay where they are, unless very many have a title's word
     met = hay.join(F.broadcast(pairs) if few else pairs, "id")
