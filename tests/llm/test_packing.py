@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -88,6 +89,16 @@ def test_shards_and_empty_tables(spark, monkeypatch):
     assert P.pack_documents(frame.where("false")).count() == 0
 
 
+def test_rows_that_repeat_are_dealt_over_the_shards(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD", 20)
+    docs = spark.createDataFrame([(None, "")] * 400, "doc_id long, text string").repartition(4)
+    rows = P.pack_documents(docs, capacity=8).collect()
+    held = Counter(r["sequence_id"] >> 32 for r in rows)
+    assert sum(held.values()) == 400 and max(held.values()) <= 60
+    places = Counter((r["sequence_id"], r["offset"]) for r in rows)
+    assert max(places.values()) == 1 and max(o for _, o in places) < 8
+
+
 @pytest.mark.parametrize(("low", "high"), [(150, 450), (256, 512)])
 def test_search_runs_until_no_exchange_helps(low, high):
     rng = random.Random(1)

@@ -2,8 +2,8 @@
 
 Documents become ids of a public byte-level BPE; those over the capacity are
 cut into pieces of exactly that many ids, of which only the first is shorter.
-Pieces are dealt into shards of bounded size by a hash, and each shard is packed
-on its own: best fit over decreasing lengths first, then a local search that
+Pieces are dealt into shards of bounded size by their number, so that no shard
+grows with rows that repeat, and each shard is packed on its own: best fit over decreasing lengths first, then a local search that
 moves pieces between underfull bins (one for none, one for one, two for one),
 each time raising the sum of squared fills, until the emptiest bins run dry or
 no exchange helps.  A shard costs at most a bin or so against packing all at
@@ -65,7 +65,9 @@ def encoder(vocabulary: str, ranks: str):
 
 def _tokenise(vocabulary: str, ranks: str, end: int, capacity: int):
     def run(batches):
-        encode = encoder(vocabulary, ranks)
+        from pyspark import TaskContext
+
+        encode, number = encoder(vocabulary, ranks), TaskContext.get().partitionId() << 40
         for batch in tokens.parts(batches, "text"):
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), "").to_pylist()):
@@ -73,8 +75,9 @@ def _tokenise(vocabulary: str, ranks: str, end: int, capacity: int):
                 first = len(ids) % capacity or capacity
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    out.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    out.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), number))
+                    number += 1
+            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out), (pa.int64(), pa.int32(), *[pa.int64()] * 4))], names=["doc_id", "piece", "start", "length", "ids_crc32", "number"])
 
     return run
 
@@ -229,8 +232,8 @@ def pack_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     extra columns are ignored; an empty table gives an empty one.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    pieces = materialise(rows.mapInArrow(_tokenise(vocabulary, ranks, end, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    pieces = materialise(rows.mapInArrow(_tokenise(vocabulary, ranks, end, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, number long"))
     shards = max(1, -(-pieces.count() // SHARD))
-    # a number spread over the shards, one shard to a partition or several whole ones
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    # numbers are written, so a task that runs again deals alike; one shard to a partition or several whole ones
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("number"), F.lit(shards))).drop("number")
     return dealt.repartition(shards, "shard").mapInArrow(_pack_shards(capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
