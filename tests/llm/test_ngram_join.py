@@ -101,6 +101,27 @@ def test_an_id_on_two_texts(spark, swap):
     assert found == [(1, 29, 1), (1, 39, 1), (2, 39, 1), (3, 29, 1)]
 
 
+def test_no_cell_grows_with_the_block(spark, monkeypatch):
+    import pyarrow as pa
+
+    def sizes(*_):
+        def run(batches):
+            cells = pa.Table.from_batches(batches).group_by(["chunk", "lane"]).aggregate([("node", "count")])
+            yield pa.RecordBatch.from_arrays([cells["node_count"].combine_chunks(), cells["chunk"].combine_chunks().cast("int64")], names=["a", "b"])
+
+        return run
+
+    monkeypatch.setattr(J, "BLOCK", 50)
+    monkeypatch.setattr(J, "_chunk_pairs", sizes)
+    join = object.__new__(J._Join)
+    join.t, join.spent = Fraction(9, 10), []
+    join.nodes = spark.range(2000).selectExpr("id AS node", "4L AS n", "CAST(NULL AS binary) AS vector")
+    blocks = join.nodes.selectExpr("1L AS key", "node", "node AS label", "2000L AS members", "2000L AS others", "CAST(NULL AS long) AS largest")
+    assert max(r["a"] for r in join.surviving(blocks, "all").collect()) < 200
+    one = join.nodes.selectExpr("1L AS key", "node", "IF(node < 1961, 0L, node) AS label", "2000L AS members", "39L AS others", "0L AS largest")
+    assert max(r["a"] for r in join.surviving(one, "all").collect()) < 200
+
+
 def test_tree_finds_what_a_scan_finds():
     rng = np.random.default_rng(1)
     t = Fraction(9, 10)

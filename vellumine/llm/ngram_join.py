@@ -56,7 +56,7 @@ BUCKET_BITS = 20
 PART_KEYS, FLUSH_KEYS = 500_000, 1_000_000
 #: Documents over a bucket's usual count from which its shingles are dealt out by node.
 HOT = 50_000
-#: Nodes of a block that one task takes at once.
+#: Nodes of a chunk of a block, about; a task takes two chunks at once.
 BLOCK = 2048
 #: Blocks of up to so many members give all their pairs at once.
 SMALL = 4
@@ -330,12 +330,19 @@ def _within_bound(t: Fraction):
     return run
 
 
-def _propose(own, nodes, sizes, vectors, labels, t: Fraction, mode: str, few: int) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
-    """Pairs of one chunk that need a check, of an own node and one of another label; None if these are not all."""
-    tree, mine = CountTree(sizes, vectors, labels), np.flatnonzero(own)
+def _propose(own, nodes, sizes, vectors, labels, first: bool, t: Fraction, mode: str, few: int) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    """Pairs of one cell that need a check, of an own node and one of another label; None if these are not all.
+
+    Pairs of two own nodes are those of the chunk's first cell alone.
+    """
+    mine, pool = np.flatnonzero(own), np.arange(len(nodes)) if first else np.flatnonzero(~own)
+    if not len(mine) or not len(pool):
+        return
+    tree = CountTree(sizes[pool], vectors[pool], labels[pool])
 
     def search(i):
         found, bound = tree.search(int(sizes[i]), vectors[i], int(labels[i]), t)
+        found = pool[found]
         # two own nodes find each other
         keep = ~own[found] | (nodes[found] > nodes[i])
         return found, bound, found[keep]
@@ -361,14 +368,14 @@ def _propose(own, nodes, sizes, vectors, labels, t: Fraction, mode: str, few: in
 
 
 def _chunk_pairs(t: Fraction, mode: str, few: int):
-    """Over partitions sorted by (key, chunk): propose pairs; (key, null) tells that a block is not decided."""
+    """Over partitions sorted by (key, chunk, lane): propose pairs; (key, null) tells that a block is not decided."""
 
     def run(batches):
         held, name, out, size = [], None, [], 0
 
         def flush():
             own, nodes, sizes, vectors, labels = (np.concatenate([h[k] for h in held]) for k in range(5))
-            for found in _propose(own, nodes, sizes, vectors, labels, t, mode, few):
+            for found in _propose(own, nodes, sizes, vectors, labels, name[2] == 0, t, mode, few):
                 yield found or (np.array([name[0]]), None)
 
         def done():
@@ -390,7 +397,7 @@ def _chunk_pairs(t: Fraction, mode: str, few: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            place = np.stack([np.asarray(batch.column(c)) for c in ("key", "chunk")])
+            place = np.stack([np.asarray(batch.column(c)) for c in ("key", "chunk", "lane")])
             own, nodes, sizes, labels = (np.asarray(batch.column(c)) for c in ("own", "node", "n", "label"))
             vectors = _vectors(batch.column("vector"))
             cuts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1), batch.num_rows]
@@ -475,14 +482,22 @@ class _Join:
         return materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right").mapInArrow(_within_bound(self.t), "a long, b long"), self.spent)
 
     def surviving(self, live: DataFrame, mode: str) -> DataFrame:
-        """Pairs of different labels of blocks (key, members, largest, node, label), by trees over chunks."""
-        chunks = F.ceil(F.col("members") / BLOCK).cast("int")
-        home = F.pmod(F.hash("node"), F.col("chunks"))
-        everywhere = (F.col("chunks") > 1) & ~F.col("label").eqNullSafe(F.col("largest"))
-        dealt = live.withColumn("chunks", chunks).withColumn("home", home)
-        dealt = dealt.withColumn("chunk", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("home"))))
-        dealt = dealt.join(self.nodes.select("node", "n", "vector"), "node").select("key", "chunk", (F.col("chunk") == F.col("home")).cast("int").alias("own"), "node", "n", "vector", "label")
-        dealt = dealt.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+        """Pairs of different labels of blocks (key, members, others, largest, node, label), by trees over cells.
+
+        All nodes of a block are dealt into chunks, and those outside its largest
+        component into lanes too.  A cell is a chunk and a lane, so it holds a
+        bounded number of nodes whatever the size of the block, and every pair of
+        different components meets in one.
+        """
+        chunks, lanes = (F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int") for c in ("members", "others"))
+        dealt = live.withColumn("chunks", chunks).withColumn("lanes", lanes)
+        dealt = dealt.withColumn("home", F.pmod(F.hash("node"), F.col("chunks"))).withColumn("side", F.pmod(F.xxhash64("node"), F.col("lanes")).cast("int"))
+        own = F.transform(F.sequence(F.lit(0), F.col("lanes") - 1), lambda x: F.struct(F.col("home").alias("chunk"), x.alias("lane")))
+        other = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(x.alias("chunk"), F.col("side").alias("lane")))
+        cells = F.when(F.col("label").eqNullSafe(F.col("largest")), own).otherwise(F.array_union(own, other))
+        dealt = dealt.select("key", "node", "label", "home", F.inline(cells))
+        dealt = dealt.join(self.nodes.select("node", "n", "vector"), "node").select("key", "chunk", "lane", (F.col("chunk") == F.col("home")).cast("int").alias("own"), "node", "n", "vector", "label")
+        dealt = dealt.repartition("key", "chunk", "lane").sortWithinPartitions("key", "chunk", "lane")
         return materialise(dealt.mapInArrow(_chunk_pairs(self.t, mode, FEW), "a long, b long").distinct(), self.spent)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -526,7 +541,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
             old: list[str] = []
             labelled = materialise(blocks.join(labels, "node"), old)
             held = labelled.groupBy("key", "label").agg(F.count("*").alias("k"))
-            opened = held.groupBy("key").agg(F.sum("k").alias("members"), F.count("*").alias("labels"), F.max_by("label", "k").alias("largest")).where("labels > 1")
+            opened = held.groupBy("key").agg(F.sum("k").alias("members"), F.count("*").alias("labels"), (F.sum("k") - F.max("k")).alias("others"), F.max_by("label", "k").alias("largest")).where("labels > 1")
             live = materialise(labelled.join(opened.drop("labels"), "key"), old)
             if live.isEmpty():
                 discard(spark, old)
@@ -564,7 +579,7 @@ def jaccard_links(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     join = _Join(docs, id_column, text_column, width, threshold)
     pairs, blocks = join.candidates(SMALL)
-    members = blocks.groupBy("key").agg(F.count("*").alias("members"))
+    members = blocks.groupBy("key").agg(F.count("*").alias("members"), F.count("*").alias("others"))
     alone = blocks.join(members, "key").withColumn("label", F.col("node")).withColumn("largest", F.lit(None).cast("long"))
     found = join.surviving(alone, "all")
     links = join.verified(materialise(pairs.union(found).distinct(), join.spent))
