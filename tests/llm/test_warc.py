@@ -97,6 +97,22 @@ def memory(raw):
     return pa.py_buffer(raw)
 
 
+def test_well_packed_archives_come_in_bounded_pieces(monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 1 << 12)
+    parts = [b"a" * 3_000_000, b"", bytes(range(256)) * 300, b"b"]
+    packed = b"".join(gzip.compress(p) for p in parts)
+    pieces = list(warc._reads(io.BytesIO(packed)))
+    assert b"".join(pieces) == b"".join(parts) and max(map(len, pieces)) <= 1 << 12
+    assert b"".join(warc._reads(Slow(packed))) == b"".join(parts)
+
+
+class Slow(io.BytesIO):
+    """Gives few bytes at a time."""
+
+    def read(self, n=-1):
+        return super().read(7)
+
+
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -125,14 +125,15 @@ def write_warc(pages: DataFrame, folder: str, dedupe_bytes: int = 0) -> DataFram
 
 
 def _reads(stream) -> Iterator[bytes]:
-    """The decompressed bytes of a stream of gzip members."""
+    """The decompressed bytes of a stream of gzip members, in pieces of CHUNK at most however well they were packed."""
     unpack = zlib.decompressobj(31)
     while raw := stream.read(1 << 18):
         while raw:
-            yield unpack.decompress(raw)
-            raw = unpack.unused_data
+            yield unpack.decompress(raw, CHUNK)
             if unpack.eof:
-                unpack = zlib.decompressobj(31)
+                raw, unpack = unpack.unused_data, zlib.decompressobj(31)
+            else:
+                raw = unpack.unconsumed_tail
 
 
 class _Lines:
