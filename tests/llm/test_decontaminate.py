@@ -101,8 +101,9 @@ def test_shards_drop_the_same_rows(spark, monkeypatch, few):
     assert sorted((str(r.doc_id), str(r.text)) for r in D.uncontaminated(frame, bench, window=5).collect()) == wanted
     monkeypatch.setattr(D, "SHARD_BYTES", 30)
     monkeypatch.setattr(D, "BROADCAST_HITS", few)
-    found = D.uncontaminated(frame, bench, window=5)
-    assert found.columns == frame.columns and sorted((str(r.doc_id), str(r.text)) for r in found.collect()) == wanted
+    named = frame.selectExpr("*", "1 AS key", "'x' AS items", "2 AS known_key")
+    found = D.uncontaminated(named, bench, window=5)
+    assert found.columns == named.columns and sorted((str(r.doc_id), str(r.text)) for r in found.collect()) == wanted
     assert sum(1 for _ in D._shards(bench, 5)) > 5
 
 

@@ -331,4 +331,5 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> D
     dirty = hits.select("key")
     if dirty.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS:
         dirty = F.broadcast(dirty)
-    return docs.join(dirty, F.sha2(docs["text"], 256) == F.col("key"), "left_anti")
+    # docs may have a column of that name
+    return docs.join(dirty, F.sha2(docs["text"], 256) == dirty["key"], "left_anti")
