@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import chat, decontaminate, html_text, katz, langid, nearest, packing, url_filter, warc
+from vellumine.llm import chat, decontaminate, fim, html_text, katz, langid, nearest, packing, url_filter, warc
 from vellumine.llm.ngram_join import jaccard_components
 from vellumine.sources.tables import table
 
@@ -65,9 +65,13 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_ngram_jaccard, op3_decontaminate, op4_language_id, op5_nearest, op6_katz_score, op7_url_filter, op8_warc, op9_pack, op10_html_text)
+    for f in (op1_chat_format, op2_ngram_jaccard, op3_decontaminate, op4_language_id, op5_nearest, op6_katz_score, op7_url_filter, op8_warc, op9_pack, op10_html_text, op11_fim)
 }
 
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -158,5 +162,16 @@ select page_id, payload_bytes, payload_digest, case when page_id = lowest then '
   case when page_id <> lowest then lowest end as refers_to from digests
 """
 
+_OP11 = """
+with texts as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || doc_id) as h from documents),
+draws as (select *, cast('0x' || substr(h, 1, 8) as bigint) % (n + 1) as a, cast('0x' || substr(h, 9, 8) as bigint) % (n + 1) as b,
+  cast('0x' || substr(h, 17, 8) as bigint) % 100 as c, cast('0x' || substr(h, 25, 8) as bigint) % 100 as d from texts),
+forms as (select *, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or c >= 90 then 'plain' when d < 20 then 'spm' else 'psm' end as form from draws),
+cut as (select *, substr(t, 1, least(a, b)) as p, substr(t, least(a, b) + 1, greatest(a, b) - least(a, b)) as m, substr(t, greatest(a, b) + 1) as s from forms)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(t) as restored_sha256 from cut
+"""
+
 #: op4, op5, op6, op9 and op10 can't be said in SQL; their tests compare with brute force.
-ORACLE_SQL = {"op1_chat_format": _OP1, "op2_ngram_jaccard": _OP2, "op3_decontaminate": _OP3, "op7_url_filter": _OP7, "op8_warc": _OP8}
+ORACLE_SQL = {"op1_chat_format": _OP1, "op2_ngram_jaccard": _OP2, "op3_decontaminate": _OP3, "op7_url_filter": _OP7, "op8_warc": _OP8, "op11_fim": _OP11}
