@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import chat, decontaminate, fim, html_text, katz, langid, nearest, packing, url_filter, warc
+from vellumine.llm import chat, debruijn, decontaminate, fim, html_text, katz, langid, lloyd, nearest, packing, url_filter, warc
 from vellumine.llm.ngram_join import jaccard_components
 from vellumine.sources.tables import table
 
@@ -69,9 +69,17 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.digest(lloyd.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.digest(debruijn.remove_repeats(table(spark, sf_dir, "documents"), k=20))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_ngram_jaccard, op3_decontaminate, op4_language_id, op5_nearest, op6_katz_score, op7_url_filter, op8_warc, op9_pack, op10_html_text, op11_fim)
+    for f in (op1_chat_format, op2_ngram_jaccard, op3_decontaminate, op4_language_id, op5_nearest, op6_katz_score, op7_url_filter, op8_warc, op9_pack, op10_html_text, op11_fim, op12_vector_codes, op13_substring_dedup)
 }
 
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -173,5 +181,46 @@ select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_c
   sha256(t) as restored_sha256 from cut
 """
 
+_PER_PART = "cast(len(v) / 16 as bigint)"
+
+
+def _assigned(name: str, book: str) -> str:
+    """A table of every part with its nearest entry and the squared distance."""
+    square = "list_sum(list_transform(list_zip(s.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    return f"""{name} as (select s.vec_id, s.p, s.x, cast(min({square} * 64 + b.e) as bigint) as best from slices s join {book} b on s.p = b.p group by s.vec_id, s.p, s.x)"""
+
+
+def _moved(name: str, assigned: str, book: str) -> str:
+    """A codebook at the floored means of what was assigned to it."""
+    return f"""{name}_sums as (
+  select p, best % 64 as e, k, cast(floor(sum(c) / count(*)) as bigint) as c from (select p, best, unnest(x) as c, unnest(range(len(x))) as k from {assigned}) group by 1, 2, 3
+), {name} as (
+  select b.p, b.e, coalesce(m.x, b.x) as x from {book} b left join (select p, e, list(c order by k) as x from {name}_sums group by p, e) m on m.p = b.p and m.e = b.e
+)"""
+
+
+_OP12 = f"""
+with kept as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), slices as (
+  select vec_id, p, v[p * {_PER_PART} + 1 : (p + 1) * {_PER_PART}] as x from kept, unnest(range(16)) as t(p)
+), book0 as (select p, x, row_number() over (partition by p order by vec_id) - 1 as e from slices qualify e < 64),
+{_assigned("first", "book0")}, {_moved("book1", "first", "book0")}, {_assigned("second", "book1")}, {_moved("book2", "second", "book1")}, {_assigned("final", "book2")},
+said as (select sha256(string_agg(array_to_string(x, ','), ',' order by p, e)) as codebooks_sha256 from book2),
+coded as (select vec_id, string_agg(printf('%02x', best % 64), '' order by p) as code, cast(sum(best // 64) as bigint) as error from final group by vec_id)
+select c.vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from coded c join kept on kept.vec_id = c.vec_id, said
+"""
+
+_OP13 = """
+with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+places as (select doc_id, i, sha256(array_to_string(w[i : i + 19], ' ')) as x from texts, unnest(range(1, len(w) - 18)) as t(i)),
+later as (select doc_id, i from places qualify row_number() over (partition by x order by doc_id, i) > 1),
+gone as (select doc_id, list(distinct j) as js from (select doc_id, unnest(range(i, i + 20)) as j from later) group by doc_id)
+select t.doc_id, len(w) as n_words, coalesce(len(js), 0) as n_removed,
+  sha256(case when js is null then array_to_string(w, ' ') else array_to_string(list_filter(w, lambda x, i: not list_contains(js, i)), ' ') end) as kept_sha256
+from texts t left join gone on gone.doc_id = t.doc_id
+"""
+
 #: op4, op5, op6, op9 and op10 can't be said in SQL; their tests compare with brute force.
-ORACLE_SQL = {"op1_chat_format": _OP1, "op2_ngram_jaccard": _OP2, "op3_decontaminate": _OP3, "op7_url_filter": _OP7, "op8_warc": _OP8, "op11_fim": _OP11}
+ORACLE_SQL = {"op1_chat_format": _OP1, "op2_ngram_jaccard": _OP2, "op3_decontaminate": _OP3, "op7_url_filter": _OP7, "op8_warc": _OP8, "op11_fim": _OP11, "op12_vector_codes": _OP12, "op13_substring_dedup": _OP13}

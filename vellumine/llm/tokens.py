@@ -2,7 +2,7 @@
 
 Every routine works on the raw UTF-8 bytes of many documents at once.  A word
 is a maximal run of bytes that an alphabet calls word bytes; A-Z is lowered,
-nothing else is folded.  Words become 64-bit polynomial hashes, so no Python
+if asked for, nothing else is folded.  Words become 64-bit polynomial hashes, so no Python
 object is made per word.  Work memory is bounded by ``SEGMENT`` bytes of text
 (or by the longest single word), however long a document is.
 """
@@ -79,28 +79,29 @@ def _spans(data: np.ndarray, rows: np.ndarray, alphabet: np.ndarray) -> tuple[np
     return starts, np.flatnonzero(inside & ~after) + 1
 
 
-def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
     lengths = ends - starts
     total = int(lengths.sum())
     first = np.cumsum(lengths) - lengths
     within = np.arange(total) - np.repeat(first, lengths)
     at = within + np.repeat(starts, lengths)
     with np.errstate(over="ignore"):
-        terms = _TABLE[_LOWER[data[at]]] * _power(int(lengths.max()))[within]
+        terms = table[data[at]] * _power(int(lengths.max()))[within]
         return mix(np.add.reduceat(terms, first) ^ lengths.astype(np.uint64))
 
 
-def word_hashes(data: np.ndarray, rows: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, rows: np.ndarray, alphabet: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of all rows: hashes, starts, ends, and each row's first word.
 
-    ``first[i]:first[i + 1]`` are the words of row i.
+    ``first[i]:first[i + 1]`` are the words of row i.  Without ``fold`` A-Z differ from a-z.
     """
     starts, ends = _spans(data, rows, alphabet)
+    table = _TABLE[_LOWER] if fold else _TABLE
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + SEGMENT)))
-        out[i:j] = _hash(data, starts[i:j], ends[i:j])
+        out[i:j] = _hash(data, starts[i:j], ends[i:j], table)
         i = j
     return out, starts, ends, np.searchsorted(starts, rows)
 
