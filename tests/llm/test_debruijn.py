@@ -115,5 +115,14 @@ def test_paths_hold_every_window_once_and_are_few():
     assert sum(p in known for p in zip(*(x.tolist() for x in (anchor, again.hashes(start, start + n + 19))))) > 0.99 * len(start)
 
 
+def test_equal_hashes_of_other_words_remove_nothing(spark, monkeypatch):
+    texts = [(1, " ".join(f"a{i}" for i in range(30))), (2, " ".join(f"b{i}" for i in range(30)))]
+    frame = B._texts(spark.createDataFrame(texts, SCHEMA), "doc_id", "text")[1]
+    spans = spark.createDataFrame([(2, 0, 3, 25, 1, 0, 3), (2, 0, 0, 20, 2, 0, 0)], "doc long, tag long, start int, n_words int, of_doc long, of_tag long, of_start int")
+    for most in (10_000, 1):
+        monkeypatch.setattr(B, "SPANS", most)
+        assert [r.n_words for r in B._verified(frame, spans).collect()] == [20]
+
+
 def test_query(same):
     assert same(queries.op13_substring_dedup, queries.ORACLE_SQL["op13_substring_dedup"]) == 200

@@ -18,16 +18,19 @@ more than once is a repeat.  Repeats are found without a row per edge:
 4. Copies are joined with their source.  What copies one source at one distance
    without a gap is a single span, whose coordinates, in the document and in the
    source, advance together.
+5. The words at both coordinates of a span are compared, so that equal hashes of
+   different words remove nothing.
 
 Everything is grouped by hashes with partial sums, so one passage in a third of
 all documents costs a task a row.  Joins on such keys broadcast the most
 frequent of them, of which there are boundedly many; all other keys hold a small
-share of the rows.  A path is known by three hashes of 64 bits: its anchor's, its
-own and its length's; ``verify`` compares the words themselves.
+share of the rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -40,6 +43,8 @@ from vellumine.plans.durable import discard, materialise
 INNER = 6
 #: The most frequent keys, which joins broadcast; a row each.
 FREQUENT = 2_000
+#: Spans of a document that are compared together.
+SPANS = 10_000
 
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = np.uint64(pow(_BASE, -1, 2**64))
@@ -173,7 +178,7 @@ def _copies(rows: DataFrame, firsts: DataFrame, key: list[str]) -> DataFrame:
     return met.where(_place() != F.col("first")).select(*_PLACE, "n", F.col("first.doc").alias("of_doc"), F.col("first.tag").alias("of_tag"), F.col("first.start").alias("of_start"))
 
 
-def _spans(texts: DataFrame, k: int) -> DataFrame:
+def _copied(texts: DataFrame, k: int) -> DataFrame:
     """``(doc, tag, start, n, of_doc, of_tag, of_start)``: runs of n k-mers that stand earlier too; a row per path or edge."""
     spark = texts.sparkSession
     old: list[str] = []
@@ -196,6 +201,51 @@ def _spans(texts: DataFrame, k: int) -> DataFrame:
     return found
 
 
+def _glued(copies: DataFrame, k: int) -> DataFrame:
+    """``(doc, tag, start, n_words, of_doc, of_tag, of_start)``: copies of one source at one distance, end to end, as one span."""
+    ends = ("doc", "tag", "of_doc", "of_tag", "shift")
+    along = Window.partitionBy(*ends).orderBy("start")
+    opens = F.coalesce(F.lag(F.col("start") + F.col("n")).over(along) != F.col("start"), F.lit(True)).cast("int")
+    runs = copies.withColumn("shift", F.col("start") - F.col("of_start")).withColumn("opens", opens).withColumn("run", F.sum("opens").over(along))
+    spans = runs.groupBy(*ends, "run").agg(F.min("start").alias("start"), (F.sum("n") + k - 1).cast("int").alias("n_words"))
+    return spans.select("doc", "tag", "start", "n_words", "of_doc", "of_tag", (F.col("start") - F.col("shift")).alias("of_start"))
+
+
+def _digests(batches):
+    """A digest of the words of each span that stands beside a document as ``picked``."""
+    for batch in tokens.parts(batches, "text"):
+        out = []
+        for row, (text, picked) in enumerate(zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("picked").to_pylist())):
+            words = text.split()
+            out += [(row, x["start"], x["n_words"], hashlib.blake2b(b" ".join(words[x["start"] : x["start"] + x["n_words"]]), digest_size=16).digest()) for x in picked]
+        at = pa.array([x[0] for x in out], pa.int64())
+        columns = [batch.column("doc").take(at), batch.column("tag").take(at), *(pa.array([x[c] for x in out], kind) for c, kind in ((1, pa.int32()), (2, pa.int32()), (3, pa.binary())))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc", "tag", "start", "n_words", "words"])
+
+
+def _verified(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """The spans whose words are those at their source's coordinates.
+
+    Both ends are read once for each document, in lists of ``SPANS`` at most, and
+    their digests are joined back; many spans may have one source.
+    """
+    at = ("doc", "tag", "start", "n_words")
+    of = ("of_doc", "of_tag", "of_start", "n_words")
+    source = spans.select(*[F.col(c).alias(d) for c, d in zip(of, at)])
+    ends = spans.select(*at).union(source).distinct()
+    lists = ends.join(ends.groupBy("doc", "tag").agg(F.count("*").alias("many")), ["doc", "tag"])
+    lists = lists.withColumn("part", F.pmod(F.xxhash64("start", "n_words"), F.ceil(F.col("many") / SPANS)))
+    lists = lists.groupBy("doc", "tag", "part").agg(F.collect_list(F.struct("start", "n_words")).alias("picked"))
+    read = materialise(texts.join(lists.drop("part"), ["doc", "tag"]).mapInArrow(_digests, "doc long, tag long, start int, n_words int, words binary"))
+    own = spans.join(read.withColumnRenamed("words", "own"), list(at))
+    sources = source.groupBy(*at).agg(F.count("*").alias("n_rows")).join(read, list(at)).select(*[F.col(d).alias(c) for c, d in zip(of, at)], "n_rows", "words")
+    return _meet(own, sources, list(of)).where("own = words").select(*spans.columns)
+
+
+def _found(texts: DataFrame, k: int) -> DataFrame:
+    return _verified(texts, materialise(_glued(_copied(texts, k), k)))
+
+
 def repeated_spans(docs: DataFrame, k: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, start, n_words, of_doc_id, of_start)``: spans of k words and more that stand earlier too.
 
@@ -206,36 +256,27 @@ def repeated_spans(docs: DataFrame, k: int = 20, id_column: str = "doc_id", text
     Nulls, repeats and empty tables: see ``remove_repeats``.
     """
     _, texts = _texts(docs, id_column, text_column)
-    ends = ("doc", "tag", "of_doc", "of_tag")
-    shift = F.col("start") - F.col("of_start")
-    along = Window.partitionBy(*ends, "shift").orderBy("start")
-    cut = _spans(texts, k).withColumn("shift", shift).withColumn("new", F.coalesce(F.lag(F.col("start") + F.col("n")).over(along) != F.col("start"), F.lit(True)).cast("int"))
-    runs = cut.withColumn("run", F.sum("new").over(along)).groupBy(*ends, "shift", "run").agg(F.min("start").alias("start"), (F.sum("n") + k - 1).alias("n_words"))
     named = [F.when(F.col(c) != -(2**63), F.col(c)).alias(f"{c}_id") for c in ("doc", "of_doc")]
-    return runs.select(named[0], "start", "n_words", named[1], (F.col("start") - F.col("shift")).alias("of_start"))
+    return _found(texts, k).select(named[0], "start", "n_words", named[1], "of_start")
 
 
-def _removed(k: int):
+def _removed(batches):
     """Texts without the words of their spans."""
-
-    def run(batches):
-        for batch in tokens.parts(batches, "text"):
-            out = []
-            for text, spans in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("spans")):
-                # bytes split at the space and the controls 9 to 13
-                words = text.split()
-                n = len(words)
-                if spans.is_valid:
-                    change = np.zeros(n + 1, dtype=np.int64)
-                    start, many = (spans.values.field(f).to_numpy(zero_copy_only=False) for f in ("start", "n"))
-                    np.add.at(change, start, 1)
-                    np.add.at(change, start + many + k - 1, -1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(change[:n]) == 0)]
-                out.append((n, n - len(words), b" ".join(words).decode()))
-            columns = [batch.column("doc"), *(pa.array([x[c] for x in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.string())))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_words", "n_removed", "kept"])
-
-    return run
+    for batch in tokens.parts(batches, "text"):
+        out = []
+        for text, spans in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("spans")):
+            # bytes split at the space and the controls 9 to 13
+            words = text.split()
+            n = len(words)
+            if spans.is_valid:
+                change = np.zeros(n + 1, dtype=np.int64)
+                start, many = (spans.values.field(f).to_numpy(zero_copy_only=False) for f in ("start", "n_words"))
+                np.add.at(change, start, 1)
+                np.add.at(change, start + many, -1)
+                words = [words[i] for i in np.flatnonzero(np.cumsum(change[:n]) == 0)]
+            out.append((n, n - len(words), b" ".join(words).decode()))
+        columns = [batch.column("doc"), *(pa.array([x[c] for x in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.string())))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_words", "n_removed", "kept"])
 
 
 def remove_repeats(docs: DataFrame, k: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -253,8 +294,8 @@ def remove_repeats(docs: DataFrame, k: int = 20, id_column: str = "doc_id", text
     words, however often they stand elsewhere.
     """
     rows, texts = _texts(docs, id_column, text_column)
-    spans = _spans(texts, k).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    made = rows.join(spans, ["doc", "tag"], "left").mapInArrow(_removed(k), "doc long, n_words long, n_removed long, kept string")
+    spans = _found(texts, k).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
+    made = rows.join(spans, ["doc", "tag"], "left").mapInArrow(_removed, "doc long, n_words long, n_removed long, kept string")
     return made.select(F.when(F.col("doc") != -(2**63), F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
 
 
