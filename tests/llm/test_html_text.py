@@ -116,3 +116,73 @@ def test_what_an_article_keeps():
 def test_brackets_and_broken_quotes_lose_no_text():
     assert X.main_text("a < b and 1<2 <3 </ x <p>next") == "a < b and 1<2 <3 </ x\nnext"
     assert X.main_text('<p class="x>one</p><p>two</p>') == X.main_text("<p>one</p><p>two</p>")
+
+
+COMMENT = "A comment of a reader, which is rather long, with many, many commas, and words, and opinions, on everything, all of it."
+
+
+@pytest.mark.parametrize("name", ["notice", "menu", "promotion", "related", "share social", "alert", "recommended"])
+def test_sections_of_an_article_that_never_are_content(name):
+    body = f'<article><h1>T</h1><p>{PARAGRAPH}</p><section class="{name}"><h2>x</h2><p>{COMMENT}</p></section><p>{PARAGRAPH}</p></article>'
+    assert X.main_text(page(body)) == f"T\n{PARAGRAPH}\n{PARAGRAPH}"
+
+
+def test_sections_of_an_article_in_doubt():
+    def article(section):
+        return page(f"<article><h1>T</h1><p>{PARAGRAPH}</p>{section}</article>")
+
+    prose = f"<h2>Discussion</h2><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p>"
+    assert X.main_text(article(f'<section id="discussion">{prose}</section>')) == f"T\n{PARAGRAPH}\nDiscussion\n{PARAGRAPH}\n{PARAGRAPH}"
+    # readers, links, and no heading
+    readers = f'<h2>2 voices</h2><div><span class="author">Al</span><p>{COMMENT}</p></div><div><span class="author">Bo</span><p>{COMMENT}</p></div>'
+    links = "<h2>Tags</h2>" + "".join(f'<a href="/{i}">a tag that is long enough to be a paragraph of prose, were it not a link</a>' for i in range(4))
+    for section in (f'<section id="discussion">{readers}</section>', f'<section class="tags">{links}</section>', f'<section class="discussion"><p>{COMMENT}</p></section>'):
+        assert X.main_text(article(section)) == f"T\n{PARAGRAPH}"
+
+
+def test_articles_in_an_article_are_comments():
+    inner = f"<article><p>{COMMENT} {COMMENT} {COMMENT}</p><article><p>{COMMENT}</p></article></article>"
+    assert X.main_text(page(f"<article><h1>T</h1><p>{PARAGRAPH}</p>{inner}<p>{PARAGRAPH}</p></article>")) == f"T\n{PARAGRAPH}\n{PARAGRAPH}"
+    # but one in a wrapper is the article
+    assert X.main_text(page(f"<article><h2>News</h2><article><h1>T</h1><p>{PARAGRAPH}</p></article></article>")) == f"T\n{PARAGRAPH}"
+    many = "".join(f"<article><h2>{k}</h2><p>{PARAGRAPH}</p></article>" for k in range(3))
+    assert X.main_text(page(f"<article>{many}</article>")) == "\n".join(f"{k}\n{PARAGRAPH}" for k in range(3))
+
+
+SPLIT = {
+    "classes": '<div class="part"><h1>Title</h1></div><div class="part"><p>short intro</p></div><div class="part"><p>{p}</p><p>{p}</p></div><div class="ad"><p>{c}</p></div><div class="part"><p>{p}</p></div><div class="part"><p>The end.</p></div>',
+    "bare": "<h1>Title</h1><div><p>short intro</p></div><div><p>{p}</p><p>{p}</p></div><div><p>{p}</p></div><div><p>The end.</p></div>",
+    "rows": '<div class="row"><div class="col"><h1>Title</h1></div></div><div class="row"><div class="col"><p>short intro</p></div></div><div class="row"><div class="col"><p>{p}</p><p>{p}</p></div></div><div class="row"><div class="col"><p>{p}</p></div></div><div class="row"><div class="col"><p>The end.</p></div></div>',
+}
+
+
+@pytest.mark.parametrize("name", SPLIT)
+@pytest.mark.parametrize("around", ["{}", "<div>{}</div>", '<div id="page"><div class="nav"><a href="/">Home</a></div>{}</div>'])
+def test_article_over_siblings(name, around):
+    body = around.format(SPLIT[name].format(p=PARAGRAPH, c=COMMENT)) + "<footer>end</footer>"
+    assert X.main_text(page(body)) == f"Title\nshort intro\n{PARAGRAPH}\n{PARAGRAPH}\n{PARAGRAPH}\nThe end."
+
+
+THREADS = {
+    "apart": '<div class="content">{body}</div><div class="thread">' + '<div class="item"><p>{c}</p></div>' * 20 + "</div>",
+    "names": '<div class="wrap">{body}<div class="list">' + '<div class="item"><p>Ann, 3 days ago</p><p>{c}</p></div>' * 20 + "</div></div>",
+    "heading": '<div class="wrap">{body}<h2>Comments (20)</h2><div class="list">' + '<div class="item"><p>{c}</p></div>' * 20 + "</div></div>",
+    "replies": '<div class="wrap">{body}<ul class="list">' + '<li><p>{c}</p><a href="#">Reply</a></li>' * 20 + "</ul></div>",
+    "classes": '<div class="wrap">{body}<div class="stream">' + '<div class="row"><b class="username">x</b><p>{c}</p></div>' * 20 + "</div></div>",
+    "in an article": "<article>{body}<div>" + '<div class="row"><span class="user-name">x</span><p>{c}</p><time>now</time></div>' * 20 + "</div></article>",
+}
+
+
+@pytest.mark.parametrize("name", THREADS)
+def test_comments_under_neutral_names(name):
+    body = f"<h1>T</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p>"
+    assert X.main_text(page(THREADS[name].replace("{body}", body).replace("{c}", COMMENT))) == f"T\n{PARAGRAPH}\n{PARAGRAPH}"
+
+
+def test_sections_of_an_article_are_no_thread():
+    parts = "".join(f'<div class="section"><h2>Part {k}</h2><p>{PARAGRAPH}</p></div>' for k in range(5))
+    expected = "T\n" + "\n".join(f"Part {k}\n{PARAGRAPH}" for k in range(5))
+    assert X.main_text(page(f'<div class="post"><h1>T</h1>{parts}</div>')) == expected
+    assert X.main_text(page(f'<article><h1>T</h1><p class="author">By Ann</p>{parts}</article>')) == expected.replace("T\n", "T\nBy Ann\n", 1)
+    plain = "".join(f'<div class="part"><p>{PARAGRAPH}</p></div>' for _ in range(5))
+    assert X.main_text(page(f'<div class="post"><h1>T</h1><p>{PARAGRAPH}</p>{plain}</div>')).count(PARAGRAPH) == 6

@@ -4,8 +4,11 @@ A page is parsed into blocks of text that hang in a tree of elements.  Each
 paragraph scores points for its length and its commas, and passes them up to its
 ancestors, less the higher it goes.  A container's score is discounted by the
 share of its text that stands in links.  The best container is kept, and with it
-those siblings that score well or read like prose; what belongs to navigation,
-forms, notices, adverts or comments never counts.
+those siblings that score well, read like prose or carry on what do; what belongs
+to navigation, forms, notices, adverts or comments never counts.
+
+What readers wrote is told by more than names: an article inside an article, and
+elements of one shape, side by side, that bear the marks of an author or a reply.
 """
 
 from __future__ import annotations
@@ -39,8 +42,14 @@ UNLIKELY = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget toolbar masthead header footer copyright comment comments commentlist disqus respond reply replies discussion "
     "related recommended share sharing social tags pagination pager skip hidden search complementary contentinfo dialog form".split()
 )
-# Those of them that also name a part of an article; there a section of that name is content.
-AMBIGUOUS = frozenset("discussion notice notices alert alerts search share sharing social tags related recommended copyright promotion menu widget toolbar".split())
+# Those of them that also name what an article is about; there a section of that name is content, if it has a heading and reads like prose.
+AMBIGUOUS = frozenset("discussion search sharing tags copyright widget toolbar".split())
+# Words in class, id, rel or itemprop that mark who wrote something and when.
+MARKS = frozenset("author user username nickname avatar reply replies replied responder timestamp posted karma upvote upvotes downvote likes".split())
+# What stands alone in a block below what a reader wrote, or heads such blocks.
+_REPLY = re.compile(r"(?i)(?:reply|reply to this|report|like|share|permalink|antworten|répondre|responder)(?:\s*[(|\xb7\u00b7]?\s*\d*\)?)?")
+_THREAD_HEAD = re.compile(r"(?i)(?:\d+\s+)?(?:reader |all |user )?(?:comments?|replies|responses|kommentare|commentaires|comentarios|réponses|antworten|respuestas)(?:\s*[(:]?\s*\d*\)?)?")
+HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LIKELY = frozenset("article articlebody post entry content story main body".split())
 # A name with one of these in front tells of the page's layout, not of the element.
 LAYOUT = ("has", "with", "no", "without")
@@ -54,10 +63,15 @@ _SPACE = re.compile(r"[\s\xa0]+")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "dead", "score", "chars", "link_chars", "first", "last", "depth", "likely", "inside", "fresh", "passed")
-
-    def __init__(self, tag: str, parent: _Element | None, dead: bool, first: int, likely: bool = False):
-        self.tag, self.parent, self.dead, self.likely = tag, parent, dead, likely
+    __slots__ = ("tag", "parent", "dead", "score", "chars", "link_chars", "first", "last", "depth", "likely", "inside", "fresh", "passed", "shape", "doubt", "marked", "heads", "longest")
+
+    def __init__(self, tag: str, parent: _Element | None, first: int, name: _Name):
+        self.tag, self.parent, self.likely, self.doubt, self.marked = tag, parent, name.likely, name.doubt, name.marked
+        self.dead = name.dead or parent is not None and parent.dead
+        #: Elements of one shape are made alike: tag and class.
+        self.shape = (tag, name.classes)
+        #: Headings inside, and characters of the longest other block.
+        self.heads = self.longest = 0
         self.score = 0.0
         #: Whether it is an article or main, or inside one.
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
@@ -69,37 +83,47 @@ class _Element:
         self.depth = parent.depth + 1 if parent else 0
 
 
-def _dead(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is boilerplate, and whether its name speaks for content.
+class _Name:
+    """What an element's tag and attributes say of it."""
 
-    Inside an article its own header is content, and so is a section whose name
-    has another meaning there.
-    """
-    if tag in NEVER and not (inside and tag == "header"):
-        return True, False
-    if not attributes or tag in ("html", "body", "main", "article"):
-        return False, tag in ("main", "article")
-    names, hidden = [], False
-    for m in _ATTRIBUTE.finditer(attributes):
-        key = m[1].lower()
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id", "role"):
-            names.append(value)
-        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            hidden = True
-    words = [re.split(r"[_-]+", x) for x in " ".join(names).split()]
-    words = [w for w in words if w[0] not in LAYOUT]
-    bad = UNLIKELY.intersection(x for w in words for x in w)
-    if inside and tag == "section":
-        bad -= AMBIGUOUS
-    elif inside and tag == "header":
-        bad -= {"header", "masthead"}
-    return hidden or bool(bad), any(not LIKELY.isdisjoint(w) for w in words)
+    __slots__ = ("dead", "likely", "doubt", "marked", "classes")
+
+    def __init__(self, tag: str, attributes: str, inside: bool):
+        """Inside an article its own header is content, and a section may have a name that means something else there."""
+        self.dead = tag in NEVER and not (inside and tag == "header")
+        self.likely = tag in ("main", "article")
+        self.doubt, self.marked, self.classes = False, tag == "time" and not inside, ""
+        if self.dead or not attributes:
+            return
+        names, hidden = [], False
+        for m in _ATTRIBUTE.finditer(attributes):
+            key = m[1].lower()
+            value = (m[2] or m[3] or m[4] or "").lower()
+            if key in ("class", "id", "role"):
+                names.append(value)
+                if key == "class":
+                    self.classes = " ".join(sorted(value.split()))
+            elif key in ("rel", "itemprop"):
+                self.marked |= not MARKS.isdisjoint(value.split())
+            elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                hidden = True
+        if tag in ("html", "body", "main", "article"):
+            return
+        words = [re.split(r"[_-]+", x) for x in " ".join(names).split()]
+        self.marked |= any(not MARKS.isdisjoint(w) for w in words)
+        words = [w for w in words if w[0] not in LAYOUT]
+        bad = UNLIKELY.intersection(x for w in words for x in w)
+        if inside and tag == "section":
+            self.doubt = bool(bad) and bad <= AMBIGUOUS
+        elif inside and tag == "header":
+            bad -= {"header", "masthead"}
+        self.dead = hidden or bool(bad) and not self.doubt
+        self.likely = any(not LIKELY.isdisjoint(w) for w in words)
 
 
 class _Page:
     def __init__(self) -> None:
-        self.root = _Element("#root", None, False, 0)
+        self.root = _Element("#root", None, 0, _Name("#root", "", False))
         self.elements = [self.root]
         self.stack = [self.root]
         self.blocks: list[tuple[str, int, _Element]] = []
@@ -136,8 +160,7 @@ class _Page:
         if tag == "a":
             self.links += 1
         parent = self.stack[-1]
-        dead, likely = _dead(tag, attributes, parent.inside)
-        element = _Element(tag, parent, parent.dead or dead, len(self.blocks), likely)
+        element = _Element(tag, parent, len(self.blocks), _Name(tag, attributes, parent.inside))
         self.elements.append(element)
         self.stack.append(element)
         self.opened[tag] += 1
@@ -224,12 +247,91 @@ def parse(page: str) -> _Page:
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+def _measure(page: _Page) -> None:
+    """Characters, headings, and marks of each element with all inside it; in one pass from the last element to the first."""
+    for text, linked, element in page.blocks:
+        element.chars += len(text)
+        element.link_chars += linked
+        if element.tag in HEADS:
+            element.heads += 1
+        else:
+            element.longest = max(element.longest, len(text))
+        if len(text) < 30 and _REPLY.fullmatch(text):
+            element.marked = True
+    for e in reversed(page.elements):
+        if (up := e.parent) is not None:
+            up.chars += e.chars
+            up.link_chars += e.link_chars
+            up.heads += e.heads
+            up.longest = max(up.longest, e.longest)
+            up.marked |= e.marked
+
+
+def _kin(page: _Page) -> dict[tuple[int, tuple[str, str]], list[_Element]]:
+    """Elements with text by their parent and shape."""
+    kin: dict[tuple[int, tuple[str, str]], list[_Element]] = {}
+    for e in page.elements[1:]:
+        if not e.dead and e.first < e.last and e.tag in BLOCK:
+            kin.setdefault((id(e.parent), e.shape), []).append(e)
+    return kin
+
+
+def _byline(page: _Page, e: _Element) -> bool:
+    """Whether an element starts with a name or a date: a short block that is no heading, with a longer one behind it."""
+    if e.last - e.first < 2:
+        return False
+    (head, _, of), (body, _, _) = page.blocks[e.first], page.blocks[e.first + 1]
+    return of.tag not in HEADS and len(head) <= 40 and len(body) > len(head) and head[-1] not in ".!?:;,"
+
+
+def _threads(page: _Page) -> list[_Element]:
+    """What readers wrote, as far as no name tells of it: elements of one shape with marks, or below a heading that says so."""
+    out = []
+    for alike in _kin(page).values():
+        up = alike[0].parent
+        if up.tag in ("tr", "table", "tbody", "ul", "ol", "dl") and alike[0].tag not in ("li", "dd", "dt") or alike[0].tag in ("p", "td", "th", "dt", "dd") or alike[0].tag in HEADS:
+            continue
+        marked = sum(e.marked for e in alike)
+        named = sum(e.heads == 0 and _byline(page, e) for e in alike)
+        before = page.blocks[alike[0].first - 1] if alike[0].first else None
+        headed = before is not None and before[2].tag in HEADS and _THREAD_HEAD.fullmatch(before[0]) is not None
+        if headed or len(alike) > 1 and (3 * marked >= 2 * len(alike) or len(alike) > 2 and 3 * named >= 2 * len(alike)):
+            out += alike
+            if headed:
+                out.append(before[2])
+            # what else the list of them says is a heading or a button
+            rest = up.chars - sum(e.chars for e in alike)
+            if up.tag not in ("#root", "html", "body", "main", "article") and rest < 100 and up.longest <= max(e.longest for e in alike):
+                out.append(up)
+    return out
+
+
+def _unread(page: _Page) -> list[_Element]:
+    """Sections of an article whose name leaves in doubt what they are, unless they have a heading and read like prose."""
+    return [e for e in page.elements if e.doubt and not (e.heads and not e.marked and e.longest >= 80 and e.link_chars < 0.25 * e.chars)]
+
+
+def _cut(page: _Page, elements: list[_Element]) -> None:
+    """Takes elements out of the page with all inside them."""
+    if not elements:
+        return
+    for e in elements:
+        e.dead = True
+    for e in page.elements[1:]:
+        e.dead |= e.parent.dead
+
+
 def _score(page: _Page) -> None:
     """Points go to the nearest container whole, and half as many to each element above.
 
     Elements stand behind those they are in, so one pass from the last to the first hands all of them up.
     """
+    for e in page.elements:
+        e.chars = e.link_chars = 0
+        e.score = e.fresh = e.passed = 0.0
     for text, linked, element in page.blocks:
+        if element.dead:
+            continue
         element.chars += len(text)
         element.link_chars += linked
         if len(text) >= 25:
@@ -247,31 +349,124 @@ def _score(page: _Page) -> None:
             e.score *= (1 - e.link_chars / e.chars) * (1.5 if e.likely else 1)
 
 
+def _best(page: _Page) -> _Element:
+    boxes = (e for e in page.elements if not e.dead and e.chars and (e.tag in BOXES or e is page.root))
+    return max(boxes, key=lambda e: (e.score, -e.depth), default=page.root)
+
+
+def _article(page: _Page, best: _Element) -> _Element | None:
+    """The article that the best container is in, else the main element.
+
+    It is the outermost one, and articles inside it are what readers wrote; but
+    one without a paragraph of its own is a wrapper, and stands for the article
+    in it that is most of its text, or for all of them.
+    """
+    around = []
+    e: _Element | None = best
+    while e is not None:
+        if e.tag in ("article", "main"):
+            around.append(e)
+        e = e.parent
+    if best.tag not in ("article", "main") and not around:
+        return None
+    articles = [e for e in around if e.tag == "article"]
+    top = articles[-1] if articles else around[-1] if around else None
+    if top is None or top.tag == "main":
+        return top
+    inner = [e for e in page.elements if e.tag == "article" and not e.dead and e is not top and _inside(e, top)]
+    while inner:
+        nested = set()
+        for e in inner:
+            nested.update(range(e.first, e.last))
+        if any(i not in nested and len(t) >= 25 and of.tag not in HEADS and not of.dead for i, (t, _, of) in enumerate(page.blocks[top.first : top.last], top.first)):
+            _cut(page, inner)
+            break
+        most = max(inner, key=lambda e: e.chars)
+        if 2 * most.chars <= top.chars:
+            break
+        top = most
+        inner = [e for e in inner if e is not top and _inside(e, top)]
+    return top
+
+
+def _inside(e: _Element, outer: _Element) -> bool:
+    while e is not None and e.depth >= outer.depth:
+        if e is outer:
+            return True
+        e = e.parent
+    return False
+
+
+def _kept(page: _Page, best: _Element) -> list[_Element]:
+    """The best container with those siblings that belong to it."""
+    # a container that is all there is of the one around it has its siblings further up
+    while best.parent is not None and best.parent.tag not in ("body", "html", "#root") and best.parent.chars == best.chars:
+        best = best.parent
+    if best.parent is None or best.tag in ("main", "body", "html"):
+        return [best]
+    limit = max(10.0, best.score * 0.2)
+    siblings = [e for e in page.elements if e.parent is best.parent and not e.dead and e.chars]
+
+    def linked(e: _Element) -> bool:
+        return e.link_chars >= 0.25 * e.chars
+
+    good = [k for k, e in enumerate(siblings) if e is best or e.score >= limit or e.tag == "p" and e.chars > 80 and not linked(e)]
+    shapes = {siblings[k].shape for k in good}
+
+    def goes_on(e: _Element) -> bool:
+        """Whether a short sibling is a part like the good ones: made alike, of headings or paragraphs."""
+        return not linked(e) and (e.tag in HEADS or e.tag == "p" or e.shape in shapes and (e.shape[1] != "" or e.heads > 0 or e in holders))
+
+    holders = {b.parent for _, _, b in page.blocks if b.tag == "p" and not b.dead}
+    first, last = good[0], good[-1]
+    while first > 0 and goes_on(siblings[first - 1]):
+        first -= 1
+    if siblings[first].tag == "p" and siblings[first].chars <= 80 and not any(e.heads for e in siblings[first : good[0] + 1]):
+        # short paragraphs in front are an introduction only below a heading
+        first = next(k for k in range(first, good[0] + 1) if k == good[0] or siblings[k].tag != "p" or siblings[k].chars > 80)
+    while last + 1 < len(siblings) and goes_on(siblings[last + 1]) and siblings[last + 1].tag not in HEADS:
+        last += 1
+    return [e for k, e in enumerate(siblings) if k in good or first <= k <= last and not linked(e)]
+
+
+def _after_body(page: _Page, best: _Element) -> _Element | None:
+    """A list of like elements without a heading that outscores what stands below the page's first heading, apart from it."""
+    head = next((of for _, _, of in page.blocks if of.tag == "h1" and not of.dead), None)
+    if head is None or best.heads:
+        return None
+    box = head.parent
+    while box is not None and not (box.tag in BOXES and box.score >= 2):
+        box = box.parent
+    if box is None or box.chars < 80 or box.last > best.first:
+        return None
+    for thread in (best, best.parent):
+        if thread is None or thread.heads or thread.tag in ("body", "html", "#root") or thread.first < box.last:
+            continue
+        shapes = Counter(e.shape for e in page.elements if e.parent is thread and not e.dead and e.chars and e.tag in BLOCK and e.tag != "p")
+        if shapes and shapes.most_common(1)[0][1] >= 3:
+            return thread
+    return None
+
+
 def main_text(page: str) -> str:
     """The text of the best container and its good siblings, a line per block."""
     tree = parse(page)
     if not tree.blocks:
         return ""
+    _measure(tree)
+    _cut(tree, _unread(tree) + _threads(tree))
     _score(tree)
-    boxes = [e for e in tree.elements if not e.dead and e.first < e.last and (e.tag in BOXES or e is tree.root)]
-    best = max(boxes, key=lambda e: (e.score, -e.depth), default=tree.root)
-    named = [e for e in boxes if e.tag in ("article", "main") and e.first <= best.first and e.last >= best.last]
-    if named:
-        # the best part of an article stands for the whole of it
-        best = max(named, key=lambda e: e.depth)
-    keep = {(best.first, best.last)}
-    if best.parent is not None and best.tag not in ("main", "body", "html"):
-        limit = max(10.0, best.score * 0.2)
-        for e in tree.elements:
-            if e.parent is best.parent and e is not best and not e.dead and e.first < e.last:
-                prose = e.tag == "p" and e.chars > 80 and e.link_chars < 0.25 * e.chars
-                if e.score >= limit or prose:
-                    keep.add((e.first, e.last))
+    best = _best(tree)
+    while (thread := _after_body(tree, best)) is not None:
+        _cut(tree, [thread])
+        _score(tree)
+        best = _best(tree)
+    named = _article(tree, best)
     change = [0] * (len(tree.blocks) + 1)
-    for a, b in keep:
-        change[a] += 1
-        change[b] -= 1
-    return "\n".join(text for (text, _, _), n in zip(tree.blocks, accumulate(change)) if n)
+    for e in [named] if named is not None else _kept(tree, best):
+        change[e.first] += 1
+        change[e.last] -= 1
+    return "\n".join(text for (text, _, of), n in zip(tree.blocks, accumulate(change)) if n and not of.dead)
 
 
 def _run(batches):
