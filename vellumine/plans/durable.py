@@ -12,10 +12,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Paths given out inside each open ``scratch``.
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +34,26 @@ def shared_dir(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
             _own[app] = "file://" + folder
         root = _own[app]
-    return f"{root.rstrip('/')}/vellumine/{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/vellumine/{uuid.uuid4().hex}"
+    for paths in _open:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete at its end every table and folder that operators made inside it.
+
+    A lazy result reads such tables, so it is to be written, or collected, inside too.
+    """
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield paths
+    finally:
+        # by identity, as several may hold the same
+        del _open[next(k for k, x in enumerate(_open) if x is paths)]
+        discard(spark, paths)
 
 
 #: Drops shuffle files at the end of an action, where Spark knows the setting.
@@ -56,6 +79,15 @@ def materialise(df: DataFrame, keep: list[str] | None = None, partition_by: list
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, as a table; of all else that it wrote nothing stays."""
+    with scratch(spark) as paths:
+        kept: list[str] = []
+        out = materialise(make(), kept)
+        paths[:] = [p for p in paths if p not in kept]
+    return out
+
+
 def discard(spark: SparkSession, paths: list[str]) -> None:
     """Delete written tables that no later read needs."""
     jvm = spark.sparkContext._jvm
