@@ -28,8 +28,9 @@ def use_vault(spark: SparkSession, named: str | None = None, default: str = ".")
     return root
 
 
-def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """Every Markdown file under path, whole: (path, text)."""
+def read_markdown(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """Every Markdown file under path, else under the vault that the session names, whole: (path, text)."""
+    path = path or use_vault(spark)
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
@@ -43,8 +44,29 @@ def _field(front: Column, name: str) -> Column:
     return F.when(F.trim(value) == "", None).otherwise(F.regexp_replace(F.trim(value), r"""^(["'])(.*)\1$""", "$2"))
 
 
+def _list_field(front: Column, name: str) -> Column:
+    """The values of a field that is a list, ``[a, b]`` or a line ``- a`` each, or one value; quotes are taken off."""
+    inline = F.regexp_extract(front, rf"(?m)^{name}:[ \t]*\[([^\]\n]*)\][ \t]*$", 1)
+    lines = F.regexp_extract_all(F.regexp_extract(front, rf"(?m)^{name}:[ \t]*\r?\n((?:[ \t]*-[ \t]+.*(?:\r?\n|\z))+)", 1), F.lit(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t\r]*$"), F.lit(1))
+    single = F.when(~F.startswith(_field(front, name), F.lit("[")), F.array(_field(front, name)))
+    values = F.when(inline != "", F.split(inline, ",")).when(F.size(lines) > 0, lines).otherwise(F.coalesce(single, F.array().cast("array<string>")))
+    return F.filter(F.transform(values, lambda v: F.regexp_replace(F.trim(v), r"""^(["'])(.*)\1$""", "$2")), lambda v: v != "")
+
+
+def front_fields(front: Column) -> Column:
+    """All fields of a frontmatter as a map of names to values; of a name that stands twice the first counts.
+
+    A value is what stands behind the colon, without quotes; a field with lines of its own has an empty one.
+    """
+    pattern = r"(?m)^([A-Za-z_][\w-]*):[ \t]*(.*?)[ \t\r]*$"
+    names, values = (F.regexp_extract_all(F.coalesce(front, F.lit("")), F.lit(pattern), F.lit(k)) for k in (1, 2))
+    pairs = F.zip_with(names, values, lambda n, v: F.struct(n.alias("n"), F.regexp_replace(v, r"""^(["'])(.*)\1$""", "$2").alias("v")))
+    firsts = F.filter(pairs, lambda p, i: F.array_position(names, p["n"]) == i + 1)
+    return F.map_from_entries(firsts)
+
+
 def parse_notes(files: DataFrame) -> DataFrame:
-    """``(path, title, type, status, summary, revisit, front, body, body_links, front_links)``.
+    """``(path, title, type, status, summary, revisit, aliases, front, body, body_links, front_links)``.
 
     Frontmatter is what stands between a first line ``---`` and the next one.
     The title falls back to the first heading.
@@ -60,6 +82,7 @@ def parse_notes(files: DataFrame) -> DataFrame:
         F.coalesce(_field(F.col("front"), "title"), F.when(heading != "", heading)).alias("title"),
         *[_field(F.col("front"), name).alias(name) for name in ("type", "status", "summary")],
         F.try_to_date(_field(F.col("front"), "revisit"), "yyyy-MM-dd").alias("revisit"),
+        _list_field(F.col("front"), "aliases").alias("aliases"),
         "front",
         "body",
         wikilinks(F.col("body")).alias("body_links"),
