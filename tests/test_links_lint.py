@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vellumine.operators import lint, links
 from vellumine.operators.components import connected_components
+from vellumine.plans import automata
 from vellumine.sources import vault
 
 
@@ -47,14 +48,19 @@ def test_graph_and_connectivity(notes, resolved, tmp_path, spark):
     assert {r.path: r.distance for r in near.collect()} == {"projects/a.md": 0, "decisions/b.md": 1}
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
+@pytest.mark.parametrize("limit", [4_000_000, 0])
 def test_unlinked_mentions_are_whole_words_and_not_linked(spark, monkeypatch, limit):
-    monkeypatch.setattr(links, "BROADCAST_TITLES", limit)
+    monkeypatch.setattr(automata, "AUTOMATON_CHARS", limit)
     texts = spark.createDataFrame([(1, "The Great Plan, of old"), (2, "the great plan"), (3, "A Great Planet"), (4, "Great-Plan!"), (5, None)], "id long, text string")
     titles = spark.createDataFrame([("t", "Great Plan"), ("u", "The"), ("v", None)], "name string, title string")
     assert {(r.id, r.name) for r in links.unlinked_mentions(texts, titles).collect()} == {(1, "t"), (4, "t")}
     linked = spark.createDataFrame([(1, "t")], "id long, name string")
     assert {r.id for r in links.unlinked_mentions(texts, titles, linked).collect()} == {4}
+    # names of one title are all there, a text that has a title twice once
+    more = spark.createDataFrame([("t", "Great Plan"), ("t2", "great... PLAN"), ("t3", "Great plan"), ("t4", "Great-Plan")], "name string, title string")
+    twice = spark.createDataFrame([(7, "Great Plan Great Plan, great PLAN")], "id long, text string")
+    assert sorted((r.id, r.name) for r in links.unlinked_mentions(twice, more).collect()) == [(7, "t"), (7, "t2"), (7, "t4")]
+    assert links.unlinked_mentions(twice, more.where("false")).count() == 0
 
 
 def brute_components(edges):

@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from vellumine.functions.text import plain
 from vellumine.operators.components import connected_components
+from vellumine.plans import automata
+from vellumine.plans.automata import Strings
 from vellumine.plans.durable import materialise
 
 HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
 
 
-#: Titles, and pairs of a text and a title, that may be broadcast.
-BROADCAST_TITLES = 100_000
-
-
 def note_links(notes: DataFrame) -> DataFrame:
     """``(source, target, origin)``: a row per wikilink, from the body and from the frontmatter."""
     parts = [notes.select(F.col("path").alias("source"), F.explode(f"{origin}_links").alias("target"), F.lit(name).alias("origin")) for origin, name in (("body", "body"), ("front", "frontmatter"))]
@@ -35,17 +33,48 @@ def _name(path: Column) -> Column:
 def resolve(links: DataFrame, notes: DataFrame) -> DataFrame:
     """Adds ``resolved``, the path of the note that a link means, or null.
 
-    A target is a path from the vault's root, or the end of one; of several
-    notes the shortest path is meant, then the first by name.  Case and the
-    extension don't matter.
+    A target is a path from the vault's root, or the end of one, or else one of a
+    note's ``aliases``, if notes have that column; of several notes the shortest
+    path is meant, then the first by name.  Case and the extension don't matter.
     """
     paths = notes.select("path", _name(F.col("path")).alias("name"))
     segments = F.split("name", "/")
-    keys = paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.array_join(F.slice(segments, i, F.size(segments)), "/"))).alias("key"))
-    best = keys.groupBy("key").agg(F.min(F.struct(F.length("path"), F.col("path").alias("path")))["path"].alias("resolved"))
+    keys = paths.select("path", F.lit(0).alias("kind"), F.explode(F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.array_join(F.slice(segments, i, F.size(segments)), "/"))).alias("key"))
+    if "aliases" in notes.columns:
+        keys = keys.unionByName(notes.select("path", F.lit(1).alias("kind"), F.explode(F.transform("aliases", _name)).alias("key")))
+    best = keys.groupBy("key").agg(F.min(F.struct("kind", F.length("path"), F.col("path").alias("path")))["path"].alias("resolved"))
     return links.withColumn("key", _name(F.col("target"))).join(best, "key", "left").drop("key")
 
 
+def _without(name: Column, deletions: int) -> Column:
+    """What is left of a name after up to so many deletions of a character."""
+    out = F.array(name)
+    for _ in range(deletions):
+        shorter = F.flatten(F.transform(out, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.left(x, i - 1), F.substr(x, i + 1)))))
+        out = F.array_distinct(F.concat(out, shorter))
+    return out
+
+
+def link_candidates(broken: DataFrame, names: DataFrame, distance: int = 1) -> DataFrame:
+    """``(target, candidate, distance)``: for each broken target the nearest of the names, within an edit distance.
+
+    ``broken`` (target) and ``names`` (name) are compared in lower case, without
+    the extension.  Two names within d edits have a string in common that each
+    gives by at most d deletions, so both are exploded into those, joined where
+    they are equal, and then measured: no pair is missed, and none is tried that
+    shares no such string.  Ties give all names at that distance; null and empty
+    ones have no candidates.
+    """
+    def index(rows: DataFrame, column: str, key: str) -> DataFrame:
+        distinct = rows.select(column, _name(F.col(column)).alias(key)).where(f"{key} != ''").distinct()
+        return distinct.withColumn("left", F.explode(F.transform(_without(F.col(key), distance), lambda x: F.xxhash64(x))))
+
+    pairs = index(broken, "target", "t").join(index(names.withColumnRenamed("name", "candidate"), "candidate", "n"), "left").select("target", "candidate", "t", "n").distinct()
+    near = pairs.select("target", "candidate", F.levenshtein("t", "n", distance).alias("distance")).where("distance >= 0")
+    best = near.groupBy("target").agg(F.min(F.struct("distance", "candidate"))["distance"].alias("least"), F.collect_list(F.struct("candidate", "distance")).alias("all"))
+    return best.select("target", F.explode(F.filter("all", lambda x: x["distance"] == F.col("least"))).alias("x")).select("target", "x.candidate", "x.distance")
+
+
 def audit(links: DataFrame) -> DataFrame:
     """``(origin, status, n_links, n_targets)`` of resolved links."""
     status = F.when(F.col("resolved").isNull(), "unresolved").otherwise("resolved")
@@ -85,27 +114,55 @@ def connectivity_exit_code(found: DataFrame) -> int:
     return 0 if found.where("isolated").isEmpty() else 2
 
 
+def _mentioned(needles: Strings):
+    """``(id, number)`` of the needles in each text, each once."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        automaton = needles.automaton()
+        for batch in batches:
+            found = [sorted({number for _, number in automaton.iter(hay)}) for hay in batch.column("hay").to_pylist()]
+            rows = pa.array([row for row, numbers in enumerate(found) for _ in numbers], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), pa.array([n for numbers in found for n in numbers], pa.int64())], names=["id", "number"])
+
+    return run
+
+
+def _met_by_automaton(hay: DataFrame, names: DataFrame) -> DataFrame:
+    """``(id, name)`` by one pass over the texts, with all needles at once."""
+    spark = hay.sparkSession
+    needles = sorted(r["needle"] for r in names.select("needle").distinct().collect())
+    if not needles:
+        return hay.join(names, F.lit(False)).select("id", "name")
+    kind = hay.schema["id"].dataType.simpleString()
+    found = hay.mapInArrow(_mentioned(Strings(spark, needles)), f"id {kind}, number long")
+    numbered = spark.createDataFrame(list(enumerate(needles)), "number long, needle string").join(names, "needle").select("number", "name")
+    return found.join(F.broadcast(numbered), "number").select("id", "name")
+
+
+def _met_by_words(hay: DataFrame, names: DataFrame) -> DataFrame:
+    """``(id, name)`` by a join on each name's longest word, which each text holds once, and a look at what met in full."""
+    rank = F.array_max(F.transform(F.split(F.trim("needle"), " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    anchored = names.withColumn("anchor", rank["w"])
+    anchors = F.explode(F.array_distinct(F.split(F.trim("hay"), " "))).alias("anchor")
+    pairs = materialise(hay.select("id", anchors).join(anchored, "anchor").select("id", "name", "needle"))
+    return hay.join(pairs, "id").where(F.contains("hay", "needle")).select("id", "name")
+
+
 def unlinked_mentions(texts: DataFrame, titles: DataFrame, links: DataFrame | None = None, min_words: int = 2) -> DataFrame:
     """``(id, name)``: texts (id, text) with a title (name, title) in them, as whole words, but no link to it.
 
-    Words of texts meet titles on the title's longest word only, which each text
-    holds once; what met is then compared in full with its text, which is never
-    carried along with its words.  Titles under ``min_words`` are
-    too common to tell.  Links (id, name) are taken out by an anti join.
+    Titles under ``min_words`` are too common to tell.  As long as the others are
+    of ``AUTOMATON_CHARS`` characters at most, each text is read once, where it
+    stands, by an automaton of all; more titles meet the words of the texts in a
+    join.  Links (id, name) are taken out by an anti join.
     """
     names = titles.select("name", plain(F.col("title")).alias("needle")).where(F.size(F.split(F.trim("needle"), " ")) >= min_words).distinct()
-    rank = F.array_max(F.transform(F.split(F.trim("needle"), " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    anchored = names.withColumn("anchor", rank["w"])
-    anchored = anchored.select("name", "needle", "anchor")
     hay = texts.select("id", plain(F.col("text")).alias("hay"))
-    anchors = F.explode(F.array_distinct(F.split(F.trim("hay"), " "))).alias("anchor")
-    few = anchored.limit(BROADCAST_TITLES + 1).count() <= BROADCAST_TITLES
-    pairs = materialise(hay.select("id", anchors).join(F.broadcast(anchored) if few else anchored, "anchor").select("id", "name", "needle"))
-    few = pairs.limit(BROADCAST_TITLES + 1).count() <= BROADCAST_TITLES
-    # texts stay where they are, unless very many have a title's word
-    met = hay.join(F.broadcast(pairs) if few else pairs, "id")
-    found = met.where(F.contains("hay", "needle")).select("id", "name").distinct()
-    return found if links is None else found.join(links.select("id", "name"), ["id", "name"], "left_anti")
+    size = names.agg(F.sum(F.length("needle") + F.length("name"))).first()[0] or 0
+    met = (_met_by_automaton if size <= automata.AUTOMATON_CHARS else _met_by_words)(hay, names).distinct()
+    return met if links is None else met.join(links.select("id", "name"), ["id", "name"], "left_anti")
 
 
 def neighbourhood(vertices: DataFrame, edges: DataFrame, keyword: str, hops: int = 1) -> DataFrame:
