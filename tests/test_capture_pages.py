@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellumine.operators import capture, pages
+from vellumine.plans import automata
 from vellumine.sources import vault
 from vellumine.streaming import capture as streaming
 
@@ -61,14 +62,14 @@ def test_writers(spark, tmp_path):
     for form in ("json", "csv", "markdown"):
         pages.write(rows, str(tmp_path / form), form)
     assert spark.read.json(str(tmp_path / "json")).first().text == "a|b\nc"
-    assert [r.value for r in spark.read.text(str(tmp_path / "markdown")).collect()] == ["| 1 | a\\|b c |"]
+    assert [r.value for r in spark.read.text(str(tmp_path / "markdown")).collect()] == ["| id | text |", "| --- | --- |", "| 1 | a\\|b c |"]
 
 
 def test_blocked_terms_short_and_long_lists(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "has SECRET inside"), (2, "fine"), (3, None)], "id long, text string")
     terms = spark.createDataFrame([("secret",), ("other",)], "term string")
     assert sorted(r.id for r in pages.without_blocked(rows, terms, "text").collect()) == [2, 3]
-    monkeypatch.setattr(pages, "PREDICATE_CHARS", 1)
+    monkeypatch.setattr(pages, "PREDICATE_TERMS", 1)
     assert sorted(r.id for r in pages.without_blocked(rows, terms, "text").collect()) == [2, 3]
 
 
@@ -101,16 +102,30 @@ def test_log_stream_appends(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "log")).collect()] == ["## [2025-01-02] lint | ok"]
 
 
-@pytest.mark.parametrize("chars", [64_000, 0])
-def test_blocked_terms_that_are_null_empty_or_in_other_case(spark, monkeypatch, chars):
-    monkeypatch.setattr(pages, "PREDICATE_CHARS", chars)
-    monkeypatch.setattr(pages, "AUTOMATON_CHARS", 4)
+@pytest.mark.parametrize("n", [50, 0])
+def test_blocked_terms_that_are_null_empty_or_in_other_case(spark, monkeypatch, n):
+    monkeypatch.setattr(pages, "PREDICATE_TERMS", n)
+    monkeypatch.setattr(automata, "AUTOMATON_CHARS", 4)
     terms = spark.createDataFrame([(None,), ("",), ("BaD",), ("İx",), ("worse",)], "term string")
     rows = spark.createDataFrame([(1, "so bad it is"), (2, None), (3, ""), (4, "good"), (5, "AİXb"), (6, "wors e")], "id int, text string")
     found = pages.without_blocked(rows, terms, "text")
     assert found.columns == ["id", "text"] and sorted(r.id for r in found.collect()) == [2, 3, 4, 6]
 
 
+@pytest.mark.parametrize("n", [0, 1, 50, 51, 300, 5_000, 100_000])
+def test_blocked_lists_of_any_length(spark, n):
+    terms = spark.range(n).selectExpr("concat('Term', id, '-') as term")
+    rows = spark.createDataFrame([(i, f"some text, TERM{i}- and more") for i in (0, 40, 299, 4_999, 99_999, 100_000)] + [(-1, None), (-2, "term")], "id long, text string")
+    assert sorted(r.id for r in pages.without_blocked(rows, terms, "text").collect()) == sorted([-2, -1] + [i for i in (0, 40, 299, 4_999, 99_999, 100_000) if i >= n])
+
+
+@pytest.mark.parametrize("n", [1, 200])
+def test_blocked_terms_keep_columns_of_any_name(spark, n):
+    terms = spark.range(n).selectExpr("concat('bad', id) as term")
+    rows = spark.createDataFrame([(1, "ok", "KEEP", "X", "T"), (2, "is bad0", "a", "b", "c")], "id int, text string, _lower string, __LOWER string, term string")
+    assert [tuple(r) for r in pages.without_blocked(rows, terms, "text").collect()] == [(1, "ok", "KEEP", "X", "T")]
+
+
 def test_context_of_a_session(spark):
     router = spark.createDataFrame([("B", "index-b"), ("A", "index-a")], "category string, catalog string")
     notes = spark.createDataFrame([("p1", "One", "project", "active", 1), ("p2", "Two", "project", "active", 2), ("p3", "Three", "project", "closed", 3), ("i", "I", "insight", "active", None)], "path string, title string, type string, status string, seen int")
