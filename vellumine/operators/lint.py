@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vellumine.functions.text import fingerprint
-from vellumine.plans.durable import materialise
+from vellumine.plans.durable import discard, materialise
 
 ADVISORY, BLOCK = "advisory", "block"
 
@@ -74,20 +74,21 @@ def superseded_active(notes: DataFrame, superseded: DataFrame) -> DataFrame:
 
 
 def supersedes_loops(successors: DataFrame) -> DataFrame:
-    """Notes on a loop of (path, next), where each path has at most one next; itself counts as a loop.
+    """Notes on a loop of (path, next); itself counts as a loop.  Of several next ones the smallest counts.
 
     Steps are doubled each round.  After as many steps as there are notes only
     loops are left, and every note of a loop is where one of them leads.  A next
     that has no row of its own ends its chain.
     """
-    steps = successors.select("path", "next").where("path is not null and next is not null").dropDuplicates(["path"])
-    known, old = steps.select(F.col("path").alias("next")), []
-    first = steps = materialise(steps.join(known, "next", "left_semi").select("path", "next"), old)
-    n, reach = steps.count(), 1
+    steps = successors.where("path is not null and next is not null").groupBy("path").agg(F.min("next").alias("next"))
+    known = steps.select(F.col("path").alias("next"))
+    first = steps = materialise(steps.join(known, "next", "left_semi").select("path", "next"))
+    n, reach, old = steps.count(), 1, []
     while reach < n:
-        far = steps.select(F.col("path").alias("mid"), F.col("next").alias("far"))
-        steps = materialise(steps.join(far, F.col("next") == F.col("mid")).select("path", F.col("far").alias("next")), old)
-        reach *= 2
+        far, made = steps.select(F.col("path").alias("mid"), F.col("next").alias("far")), []
+        steps = materialise(steps.join(far, F.col("next") == F.col("mid")).select("path", F.col("far").alias("next")), made)
+        discard(steps.sparkSession, old)
+        old, reach = made, 2 * reach
     looped = first.join(steps.select(F.col("next").alias("path")).distinct(), "path", "left_semi")
     return violations(looped, "supersedes-loop", F.col("path"), F.col("next"), ADVISORY)
 
@@ -140,6 +141,19 @@ def gate(found: DataFrame) -> Gate:
     return Gate(row["b"] == 0, row["b"], row["a"])
 
 
+def gated_report(found: DataFrame, path: str) -> Gate:
+    """Writes the violations under path, as JSON lines, and closes the gate over them, in one job.
+
+    The counts are observed as the rows pass on their way to the files, so no rule runs twice.
+    """
+    counts = Observation("gate")
+    blocking = F.col("severity") == BLOCK
+    rows = found.observe(counts, F.count_if(blocking).alias("blocking"), F.count_if(~blocking).alias("advisory"))
+    rows.write.mode("overwrite").json(path)
+    seen = counts.get
+    return Gate(seen["blocking"] == 0, seen["blocking"], seen["advisory"])
+
+
 def changed_only(found: DataFrame, changed: DataFrame) -> DataFrame:
     """Violations of the paths that a write touched: warnings, which undo nothing."""
     return found.join(changed.select("path"), "path", "left_semi")

@@ -25,6 +25,8 @@ class Fields:
     metadata: tuple[str, ...] = ("lang", "source")
     #: A boolean column: the entry's status is terminal.
     stale: str = "stale"
+    #: A map column, all of whose values are metadata too, as ``sources.vault.front_fields`` makes it.
+    fields: str | None = None
 
 
 def terms_of(query: str) -> list[str]:
@@ -33,8 +35,10 @@ def terms_of(query: str) -> list[str]:
 
 
 def with_freshness(docs: DataFrame, statuses: DataFrame, id_column: str, terminal: Column, stale: str = "stale") -> DataFrame:
-    """Adds whether any status row of an entry is terminal; entries without one are fresh."""
-    return docs.join(freshness(statuses, id_column, terminal, stale), id_column, "left").withColumn(stale, F.coalesce(stale, F.lit(False)))
+    """Adds whether any status row of an entry is terminal, in place of a column of that name; entries without one are fresh."""
+    flags = freshness(statuses, id_column, terminal, "_flag").select(F.col(id_column).alias("_of"), "_flag")
+    kept = [docs[c] for c in docs.columns if c != stale]
+    return docs.join(flags, docs[id_column] == F.col("_of"), "left").select(*kept, F.coalesce("_flag", F.lit(False)).alias(stale))
 
 
 def freshness(statuses: DataFrame, id_column: str, terminal: Column, stale: str = "stale") -> DataFrame:
@@ -49,6 +53,25 @@ def _count(conditions: list[Column]) -> Column:
     return out.cast("long")
 
 
+def _looked_at(terms: list[str], fields: Fields) -> Column:
+    """What the terms find in an entry, as one struct.
+
+    The lowered text is the argument of a lambda, so it is made once for all terms,
+    and the struct is exploded from an array of one, so that a filter on it does
+    not write the expression out again.
+    """
+    exact = F.coalesce(F.lower(F.col(fields.id).cast("string")).isin(terms), F.lit(False)) if terms else F.lit(False)
+    meta = _count([F.lower(F.col(m).cast("string")) == t for t in terms for m in fields.metadata])
+    if fields.fields:
+        values = F.transform(F.map_values(fields.fields), lambda v: F.lower(v))
+        meta = meta + F.coalesce(F.size(F.filter(values, lambda v: v.isin(terms))), F.lit(0)) if terms else meta
+
+    def look(low: Column) -> Column:
+        return F.struct(exact.alias("exact"), _count([F.contains(low, F.lit(t)) for t in terms]).alias("text_hits"), meta.alias("meta_hits"))
+
+    return F.explode(F.transform(F.array(F.lower(fields.text)), look))
+
+
 def matches(docs: DataFrame, query: str, fields: Fields = Fields(), flags: DataFrame | None = None) -> DataFrame:
     """All entries that a query finds: (id, exact, stale, text_hits, meta_hits).
 
@@ -56,14 +79,9 @@ def matches(docs: DataFrame, query: str, fields: Fields = Fields(), flags: DataF
     equals it; an identifier is exact if a term equals it.  One scan, no shuffle
     of texts: ``flags``, as ``freshness`` gives them, are joined to what was found.
     """
-    terms = terms_of(query)
-    low = F.lower(fields.text)
-    exact = F.coalesce(F.lower(F.col(fields.id).cast("string")).isin(terms), F.lit(False)) if terms else F.lit(False)
-    text_hits = _count([F.contains(low, F.lit(t)) for t in terms])
-    meta_hits = _count([F.lower(F.col(m).cast("string")) == t for t in terms for m in fields.metadata])
     stale = F.coalesce(F.col(fields.stale), F.lit(False)) if fields.stale in docs.columns else F.lit(False)
-    found = docs.select(F.col(fields.id), exact.alias("exact"), stale.alias("stale"), text_hits.alias("text_hits"), meta_hits.alias("meta_hits"))
-    found = found.where("exact or text_hits > 0 or meta_hits > 0")
+    found = docs.select(F.col(fields.id), stale.alias("stale"), _looked_at(terms_of(query), fields).alias("found"))
+    found = found.select(fields.id, "found.exact", "stale", "found.text_hits", "found.meta_hits").where("exact or text_hits > 0 or meta_hits > 0")
     if flags is None:
         return found
     named = flags.select(fields.id, F.col(fields.stale).alias("_stale"))
