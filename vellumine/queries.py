@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from vellumine.functions.text import plain
 from vellumine.operators import capture, links, lint, pages, search
 from vellumine.operators.components import connected_components
+from vellumine.operators.gram_index import GramIndex
 from vellumine.plans.durable import shared_dir
 from vellumine.sources import vault
 from vellumine.sources.tables import table
 from vellumine.streaming.capture import windowed_counts
+from vellumine.streaming.keyed import ended_sessions
 
 QUERY = "the EN src3 42 tion"
 _HREF = "regexp_extract_all(coalesce(html, ''), '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1)"
@@ -40,6 +42,30 @@ def search_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.matches(docs, QUERY)
 
 
+#: A term that few documents hold.
+RARE = "copyright"
+
+
+def _index(spark: SparkSession, sf_dir: str) -> GramIndex:
+    """Documents in two additions of 50 blocks."""
+    index, docs = GramIndex(spark, shared_dir(spark)), table(spark, sf_dir, "documents")
+    for addition in (0, 1):
+        index.add(docs.where(F.col("doc_id") % 2 == addition), addition, F.col("doc_id") % 100)
+    return index
+
+
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = search.freshness(table(spark, sf_dir, "labels"), "doc_id", F.col("toxic") == 1)
+    return _index(spark, sf_dir).matches(f"{RARE} src7 11", flags)
+
+
+def search_index_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three queries read of all there is: a rare term, an identifier that is one, and a term too short to prune."""
+    index = _index(spark, sf_dir)
+    reports = [index.report(query).select(F.lit(query).alias("query"), "*") for query in (RARE, "17qq", "zz")]
+    return reports[0].unionByName(reports[1]).unionByName(reports[2])
+
+
 def search_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.as_json(_found(spark, sf_dir, 20).select("doc_id", "rank"))
 
@@ -113,6 +139,13 @@ def link_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.connectivity(docs, known)
 
 
+def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages link to notes by names that are mostly wrong by a digit or two."""
+    names = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/n"), (F.col("doc_id") * 37 % 10007).cast("string"), F.lit(".md")).alias("name"))
+    broken = table(spark, sf_dir, "pages").select(F.concat(F.lit("SRC"), (F.col("page_id") % 20).cast("string"), F.lit("/n"), (F.col("page_id") * 91 % 10007).cast("string")).alias("target"))
+    return links.link_candidates(broken, names, 1)
+
+
 def unlinked_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     title = pages.page_title(F.col("html"))
@@ -204,7 +237,7 @@ def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lint_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate over all rules whose findings have fingerprints here."""
     found = lint_status_enum(spark, sf_dir).unionByName(lint_row_count(spark, sf_dir)).unionByName(lint_sources(spark, sf_dir)).unionByName(_drift(spark, sf_dir))
-    gate = lint.gate(found)
+    gate = lint.gated_report(found, shared_dir(spark))
     return spark.createDataFrame([(gate.passed, gate.blocking, gate.advisory)], "passed boolean, blocking long, advisory long")
 
 
@@ -317,6 +350,17 @@ def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(table(spark, sf_dir, "events")).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+def session_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ended_sessions(table(spark, sf_dir, "events"), "user_id", "ts", "30 minutes", measures={"most": F.max("value")})
+    return found.select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("started", "ended")], "n_events", "most")
+
+
+def search_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes by any field of their frontmatter."""
+    notes = vault.parse_notes(_files(spark, sf_dir)).withColumn("fields", vault.front_fields(F.col("front")))
+    return search.matches(notes, "archived PROJECT tion", search.Fields("path", "body", (), fields="fields")).drop("stale")
+
+
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", pages.page_title(F.col("html")).alias("title"))
 
@@ -325,6 +369,15 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_text(table(spark, sf_dir, "pages"))
 
 
+def page_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_content(table(spark, sf_dir, "pages")).drop("markdown")
+
+
+def page_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suffixes = spark.sql("select * from values ('com'), ('org'), ('example.com'), ('*.example.org'), ('!tionble.example.org'), ('nowhere') as t(rule)")
+    return pages.registrable_domains(table(spark, sf_dir, "pages").select("page_id", "url"), suffixes).drop("url")
+
+
 FIELDS = {"heading": r"(?is)<h1[^>]*>(.*?)</h1", "language": r"""(?is)<html[^>]*\blang="([^"]*)\"""", "first_link": r"""(?is)\bhref="([^"]*)\""""}
 
 
@@ -350,6 +403,14 @@ def blocked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.without_blocked(table(spark, sf_dir, "documents"), terms, "text").select("doc_id")
 
 
+def blocked_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without any run of three words of a benchmark item: a list of over a thousand terms."""
+    words = F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), " ")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " "))
+    terms = table(spark, sf_dir, "benchmark").select(words.alias("w")).where(F.size("w") >= 3).select(F.explode(runs).alias("term"))
+    return pages.without_blocked(table(spark, sf_dir, "documents"), terms, "text").select("doc_id")
+
+
 def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents per word: what an identifier or anchor word is chosen by."""
     words = F.explode(F.array_distinct(F.split(F.trim(plain(F.lower("text"))), " "))).alias("word")
@@ -359,12 +420,12 @@ def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        search_topk, search_explain, search_matches, search_json, search_originals, search_envelopes,
-        link_indegree, link_audit, link_unresolved, link_components, link_connectivity, graph_neighbourhood, graph_cached, link_origins, unlinked_mentions,
+        search_topk, search_explain, search_matches, search_indexed, search_index_report, search_fields, search_json, search_originals, search_envelopes,
+        link_indegree, link_audit, link_unresolved, link_candidates, link_components, link_connectivity, graph_neighbourhood, graph_cached, link_origins, unlinked_mentions,
         lint_status_enum, lint_row_count, lint_catalog, lint_archived, lint_revisit, lint_beyond_baseline, lint_gate, lint_canonical_facts, lint_changed, lint_sources, lint_fixtures, lint_changelog, drift_report,
         parsed_notes, parsed_router, parsed_research, parsed_log, session_context, category_pages,
-        transcripts, qualifying_sessions, pending_sessions, promoted, recent_active, catalog_refresh, log_lines, events_hourly,
-        page_title, page_text, page_fields, page_render_status, page_markdown, pending_pages, blocked_terms, word_frequency,
+        transcripts, qualifying_sessions, pending_sessions, promoted, recent_active, catalog_refresh, log_lines, events_hourly, session_ends,
+        page_title, page_text, page_content, page_domains, page_fields, page_render_status, page_markdown, pending_pages, blocked_terms, blocked_phrases, word_frequency,
     )
 }
 
@@ -428,12 +489,31 @@ ORACLE_SQL = {
     "search_explain": f"""{_FOUND} select doc_id, rank, concat_ws(',', case when exact then 'identifier' end, case when text_hits > 0 then 'text:' || text_hits end,
       case when meta_hits > 0 then 'metadata:' || meta_hits end, case when stale then 'terminal-status' end) as reasons from ranked where rank <= 50""",
     "search_matches": f"{_FOUND} select doc_id, exact, stale, text_hits, meta_hits from found",
+    "search_indexed": f"""with status as (select doc_id, max(toxic) = 1 as stale from labels group by doc_id),
+      scored as (select d.doc_id, cast(d.doc_id as varchar) = '11' as exact, coalesce(stale, false) as stale,
+        cast(contains(lower(text), '{RARE}') as bigint) + cast(contains(lower(text), 'src7') as bigint) + cast(contains(lower(text), '11') as bigint) as text_hits, cast(lower(source) = 'src7' as bigint) as meta_hits
+        from documents d left join status s on s.doc_id = d.doc_id)
+      select * from scored where exact or text_hits > 0 or meta_hits > 0""",
+    "search_index_report": f"""with blocks as (select doc_id % 2 as addition, doc_id % 100 as block, cast(sum(octet_length(encode(coalesce(text, '')))) as bigint) as n_bytes,
+        {" and ".join(f"bool_or(contains(lower(text), '{RARE[i : i + 3]}'))" for i in range(len(RARE) - 2))} as rare,
+        bool_or(contains(lower(text), '17q')) and bool_or(contains(lower(text), '7qq')) as odd from documents group by 1, 2),
+      picks as (select '{RARE}' as query, rare as picked, n_bytes from blocks union all select '17qq', odd, n_bytes from blocks union all select 'zz', true, n_bytes from blocks)
+      select query, count(*) as n_blocks, cast(sum(n_bytes) as bigint) as n_bytes, count(*) filter (where picked) as read_blocks, cast(coalesce(sum(n_bytes) filter (where picked), 0) as bigint) as read_bytes
+      from picks group by query""",
+    "search_fields": f"""{_NOTES}, scored as (select path, lower(path) in ('archived', 'project', 'tion') as exact,
+        cast(contains(lower(body), 'archived') as bigint) + cast(contains(lower(body), 'project') as bigint) + cast(contains(lower(body), 'tion') as bigint) as text_hits,
+        cast(status = 'archived' as bigint) + cast(type = 'project' as bigint) as meta_hits from notes)
+      select * from scored where exact or text_hits > 0 or meta_hits > 0""",
     "search_json": f"""{_FOUND} select '{{"doc_id":' || doc_id || ',"rank":' || rank || '}}' as value from ranked where rank <= 20""",
     "search_originals": f"{_FOUND} select rank, doc_id, lang, source, n_chars, text from ranked where rank <= 20",
     "link_indegree": f"{_LINKS} select target, count(*) as n_links, count(distinct source) as n_sources from links group by target",
     "link_audit": f"""{_RESOLVED} select 'body' as origin, case when resolved is null then 'unresolved' else 'resolved' end as status, count(*) as n_links,
       count(distinct target) as n_targets from resolved group by 2""",
     "link_unresolved": f"{_RESOLVED} select distinct 'broken-link' as rule, cast(source as varchar) as path, target as detail, 'block' as severity from resolved where resolved is null",
+    "link_candidates": """with names as (select distinct source || '/n' || (doc_id * 37 % 10007) || '.md' as candidate, source || '/n' || (doc_id * 37 % 10007) as n from documents),
+      broken as (select distinct 'SRC' || (page_id % 20) || '/n' || (page_id * 91 % 10007) as target from pages),
+      near as (select target, candidate, cast(levenshtein(lower(target), n) as int) as distance from broken, names where levenshtein(lower(target), n) <= 1)
+      select * from near qualify distance = min(distance) over (partition by target)""",
     "link_components": f"""with recursive links as (select page_id as source, unnest({_HREF}) as target from pages),
       edges as (select distinct 'page:' || source as a, 'to:' || target as b from links) {_REACH}
       select a as node, min(b) as component from reach group by a""",
@@ -494,15 +574,32 @@ ORACLE_SQL = {
     "catalog_refresh": """select doc_id as link, lang as summary from documents where doc_id not in (select doc_id from labels)
       union all select doc_id, 'quality ' || quality from labels where toxic <> 1""",
     "log_lines": "select '## [' || strftime(ts, '%Y-%m-%d') || '] ' || event_type || ' | event ' || event_id as value from events",
+    "session_ends": """with marked as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 30 minute then 0 else 1 end as opens from events),
+      numbered as (select *, sum(opens) over (partition by user_id order by ts, event_id) as k from marked)
+      select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as started, strftime(max(ts) + interval 30 minute, '%Y-%m-%d %H:%M:%S') as ended, count(*) as n_events, max(value) as most
+      from numbered group by user_id, k""",
     "events_hourly": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n from events group by 1, 2",
     "page_title": f"select page_id, {_TITLE} as title from pages",
     "page_text": f"select page_id, t as text, cast(length(t) as bigint) as n_chars from (select page_id, {_STRIPPED} as t from pages)",
+    "page_content": """with articles as (select page_id, html, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as x from pages),
+      parts as (select page_id, html, list_filter(list_transform(regexp_split_to_array(replace(x, '<b>', ''), '</?(?:p|h1)>'),
+        lambda t: trim(regexp_replace(regexp_replace(replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))), lambda t: t <> '') as found from articles)
+      select page_id, """
+    + _TITLE
+    + """ as title, array_to_string(found, chr(10)) as text, len(found) as n_blocks from parts""",
+    "page_domains": """with urls as (select page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) as host from pages),
+      cut as (select *, string_split(host, '.') as l from urls),
+      sized as (select *, case when host = 'tionble.example.org' or suffix(host, '.tionble.example.org') then 2 when suffix(host, '.example.org') then 3 when host = 'example.com' or suffix(host, '.example.com') then 2 else 1 end as n from cut)
+      select page_id, host, array_to_string(l[-n:], '.') as public_suffix, case when len(l) > n then array_to_string(l[-n - 1:], '.') end as domain from sized""",
     "page_fields": "select page_id, url, " + ", ".join(f"nullif(trim(regexp_extract(coalesce(html, ''), '{p}', 1)), '') as {n}" for n, p in _FIELD.items()) + " from pages",
     "page_render_status": f"""select page_id, case when s then 'render-unavailable' else 'ok' end as status, case when s then 3 else 0 end as exit_code
       from (select page_id, regexp_matches(coalesce(html, ''), '(?i)<script\\b') and length({_STRIPPED}) < 600 as s from pages)""",
     "page_markdown": "select '| ' || page_id || ' | ' || replace(regexp_replace(url, '\\s+', ' ', 'g'), '|', '\\|') || ' |' as value from pages",
     "pending_pages": "select page_id, url from pages where url not in (select url from pages where page_id % 4 = 0)",
     "blocked_terms": "select doc_id from documents where not contains(lower(text), 'license') and not contains(lower(text), 'copyright') and not contains(lower(text), 'ndwhst')",
+    "blocked_phrases": """with items as (select string_split(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' ') as w from benchmark),
+      terms as (select distinct lower(array_to_string(w[i : i + 2], ' ')) as term from items, unnest(range(1, len(w) - 1)) as t(i) where len(w) >= 3)
+      select doc_id from documents where not exists (select 1 from terms where contains(lower(coalesce(text, '')), term))""",
     "word_frequency": """select word, count(*) as n_docs from (
       select unnest(list_distinct(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '))) as word from documents) where word <> '' group by word""",
 }
