@@ -113,3 +113,32 @@ def test_texts_on_demand(spark):
     found = D.scan_contamination(frame, bench, window=5, texts=False)
     assert found.columns == ["doc_id", "n_words", "n_hit", "items", "dropped"]
     assert sorted(map(str, D.digest(found).collect())) == sorted(map(str, D.digest(D.scan_contamination(frame, bench, window=5)).collect()))
+
+
+def test_automaton_is_small():
+    """4 MB of benchmark have to take less than 150 MB of a worker; a quarter of it is measured."""
+    import pickle
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    items, n_bytes = [], 0
+    while n_bytes < 1 << 20:
+        words = rng.integers(0, 50_000, rng.integers(20, 200)).astype(np.uint64)
+        items.append((str(len(items)), words))
+        n_bytes += 6 * len(words)
+    automaton = D.SuffixAutomaton(items, 10)
+    assert len(pickle.dumps(automaton)) < 10 * n_bytes
+    spans, names = automaton.scan(automaton.ids(items[7][1]).tolist(), 100)
+    assert spans == [[100, 100 + len(items[7][1])]] and names == {"7"}
+
+
+def test_a_state_with_many_moves(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(["a", rng.choice(words), "a", rng.choice(words), "b"])) for i in range(80)]
+    texts = [" ".join(rng.choice(["a", "b", *words[:9]]) for _ in range(80)) for _ in range(20)]
+    found = D.scan_contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=3).collect()
+    for r in found:
+        n, hit, names = brute(texts[r.doc_id], items, 3)
+        assert (r.n_words, r.n_hit, r.items) == (n, len(hit), names)

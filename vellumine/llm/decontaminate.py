@@ -14,6 +14,9 @@ documents again.  So what is held is bounded, and each shard costs a scan.
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,81 +27,166 @@ from vellumine.plans.durable import materialise
 
 #: Benchmark text of one automaton, about.
 SHARD_BYTES = 4 << 20
+#: Moves of a state that are looked through one by one while the automaton grows.
+WIDE = 8
 #: Texts with hits that may be broadcast; beyond, the join shuffles.
 BROADCAST_HITS = 20_000
 
 
-class SuffixAutomaton:
-    """All runs of words of several items, with the items in which each occurs."""
+class _Builder:
+    """An automaton that grows word by word, in flat arrays.
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
-        self.window = window
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.len = [-1], [0]
-        words = np.unique(np.concatenate([w for _, w in items])) if items else np.zeros(0, dtype=np.uint64)
-        #: Sorted hashes of the item words; a word's id is its place here.
-        self.words = words
-        items = [(name, np.searchsorted(words, w).tolist()) for name, w in items if len(w)]
-        for _, ids in items:
-            last = 0
-            for c in ids:
-                last = self._extend(last, c)
-        self._name(items)
-        #: Shorter runs of known words can't hold a window.
-        self.shortest = min([window, *(len(ids) for _, ids in items)])
+    The moves of a state are a chain of (word, target), newest first; a state with
+    many has a dictionary of them besides.
+    """
 
-    def _state(self, length: int, link: int, moves: dict[int, int]) -> int:
-        self.next.append(moves)
-        self.link.append(link)
+    def __init__(self) -> None:
+        self.link, self.len, self.head, self.many = array("i"), array("i"), array("i"), array("i")
+        self.source, self.word, self.target, self.older = array("i"), array("i"), array("i"), array("i")
+        self.wide: dict[int, dict[int, int]] = {}
+        self._state(0, -1)
+
+    def _state(self, length: int, link: int) -> int:
         self.len.append(length)
+        self.link.append(link)
+        self.head.append(-1)
+        self.many.append(0)
         return len(self.len) - 1
 
-    def _split(self, p: int, c: int) -> int:
-        """The state for the run of p and c alone, where q also stands for longer ones."""
-        q = self.next[p][c]
+    def _move(self, p: int, c: int) -> int:
+        """The number of the move of state p by word c, or -1."""
+        if self.many[p] > WIDE:
+            return self.wide[p].get(c, -1)
+        t = self.head[p]
+        while t >= 0 and self.word[t] != c:
+            t = self.older[t]
+        return t
+
+    def _chain(self, p: int):
+        t = self.head[p]
+        while t >= 0:
+            yield t
+            t = self.older[t]
+
+    def _add(self, p: int, c: int, target: int) -> None:
+        t = len(self.word)
+        self.source.append(p)
+        self.word.append(c)
+        self.target.append(target)
+        self.older.append(self.head[p])
+        self.head[p] = t
+        self.many[p] += 1
+        if self.many[p] == WIDE + 1:
+            self.wide[p] = {self.word[x]: x for x in self._chain(p)}
+        elif self.many[p] > WIDE:
+            self.wide[p][c] = t
+
+    def _split(self, p: int, c: int, move: int) -> int:
+        """The state for the run of p and c alone, where the move's target also stands for longer ones."""
+        q = self.target[move]
         if self.len[q] == self.len[p] + 1:
             return q
-        clone = self._state(self.len[p] + 1, self.link[q], dict(self.next[q]))
+        clone = self._state(self.len[p] + 1, self.link[q])
+        for t in list(self._chain(q)):
+            self._add(clone, self.word[t], self.target[t])
         self.link[q] = clone
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = clone
+        while p >= 0 and (t := self._move(p, c)) >= 0 and self.target[t] == q:
+            self.target[t] = clone
             p = self.link[p]
         return clone
 
-    def _extend(self, last: int, c: int) -> int:
-        if c in self.next[last]:
-            return self._split(last, c)
-        new = self._state(self.len[last] + 1, 0, {})
-        while last >= 0 and c not in self.next[last]:
-            self.next[last][c] = new
+    def extend(self, last: int, c: int) -> int:
+        move = self._move(last, c)
+        if move >= 0:
+            return self._split(last, c, move)
+        new = self._state(self.len[last] + 1, 0)
+        while last >= 0 and (move := self._move(last, c)) < 0:
+            self._add(last, c, new)
             last = self.link[last]
         if last >= 0:
-            self.link[new] = self._split(last, c)
+            self.link[new] = self._split(last, c, move)
         return new
 
-    def _name(self, items: list[tuple[str, list[int]]]) -> None:
-        """Per state: items with a window that ends there, and items that are one short window."""
-        holds: list[set[str]] = [set() for _ in self.len]
-        short: dict[int, list[tuple[int, str]]] = {}
-        for name, ids in items:
-            state = 0
+
+def _ints(values: np.ndarray) -> array:
+    """As an array whose elements Python reads fast."""
+    return array("i", np.ascontiguousarray(values, dtype=np.int32).tobytes())
+
+
+class SuffixAutomaton:
+    """All runs of words of several items, with the items in which each occurs; in flat arrays of 4 bytes a number.
+
+    ``moves[s]:moves[s + 1]`` are the moves of state s in order of their words.
+    ``held`` and ``short`` name, per state, rows of lists of items: those with a
+    window that ends there, and those that are one short window.
+    """
+
+    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
+        self.window = window
+        words = np.unique(np.concatenate([w for _, w in items])) if items else np.zeros(0, dtype=np.uint64)
+        #: Sorted hashes of the item words; a word's id is its place here.
+        self.words = words
+        items = [(name, np.searchsorted(words, w).tolist()) for name, w in items if len(w)]
+        #: Names of the items that have words.
+        self.names = [name for name, _ in items]
+        grown = _Builder()
+        for _, ids in items:
+            last = 0
             for c in ids:
-                state = self.next[state][c]
-                up = state
-                while up > 0 and self.len[up] >= self.window and name not in holds[up]:
-                    holds[up].add(name)
-                    up = self.link[up]
-            if len(ids) < self.window:
-                short.setdefault(state, []).append((len(ids), name))
-        order = sorted(range(1, len(self.len)), key=self.len.__getitem__)
-        #: Items of the shortest run of at least window words among a state's suffixes.
-        self.items: list[frozenset[str]] = [frozenset() for _ in self.len]
-        self.short: list[tuple[tuple[int, str], ...]] = [() for _ in self.len]
-        for s in order:
-            up = self.link[s]
-            if self.len[s] >= self.window:
-                self.items[s] = self.items[up] if self.len[up] >= self.window else frozenset(holds[s])
-            self.short[s] = (*self.short[up], *short.get(s, ()))
+                last = grown.extend(last, c)
+        source, word, target = (np.frombuffer(x, dtype=np.int32) if len(x) else np.zeros(0, dtype=np.int32) for x in (grown.source, grown.word, grown.target))
+        order = np.lexsort((word, source))
+        self.moves = _ints(np.searchsorted(source[order], np.arange(len(grown.len) + 1)))
+        self.word, self.target = _ints(word[order]), _ints(target[order])
+        self.link, self.len = grown.link, grown.len
+        del grown, source, word, target, order
+        self._name([ids for _, ids in items])
+        #: Shorter runs of known words can't hold a window.
+        self.shortest = min([window, *(len(ids) for _, ids in items)])
+
+    def _step(self, state: int, c: int) -> int:
+        """The state that a word leads to, or -1."""
+        high = self.moves[state + 1]
+        at = bisect_left(self.word, c, self.moves[state], high)
+        return self.target[at] if at < high and self.word[at] == c else -1
+
+    def _name(self, items: list[list[int]]) -> None:
+        n, window = len(self.len), self.window
+        # of a state's suffixes the shortest run of window words or more, which stands for the window itself
+        top = array("i", bytes(4 * n))
+        by_length = np.argsort(np.frombuffer(self.len, dtype=np.int32), kind="stable").tolist()
+        for s in by_length[1:]:
+            if self.len[s] >= window:
+                up = self.link[s]
+                top[s] = top[up] if self.len[up] >= window else s
+        at, of, short = array("i"), array("i"), {}
+        for item, ids in enumerate(items):
+            state = 0
+            for i, c in enumerate(ids, 1):
+                state = self._step(state, c)
+                if i >= window:
+                    at.append(top[state])
+                    of.append(item)
+            if len(ids) < window:
+                short.setdefault(state, []).append(item)
+        pairs = np.unique(np.stack([np.frombuffer(x, dtype=np.int32) if len(x) else np.zeros(0, dtype=np.int32) for x in (at, of)]), axis=1)
+        # rows of equal lists are one
+        lists: dict[tuple[int, ...], int] = {(): 0}
+        held = np.zeros(n, dtype=np.int32)
+        cuts = np.flatnonzero(np.diff(pairs[0], prepend=-1, append=-1)) if pairs.shape[1] else []
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            held[pairs[0, low]] = lists.setdefault(tuple(pairs[1, low:high].tolist()), len(lists))
+        self.held = _ints(held[np.frombuffer(top, dtype=np.int32)])
+        #: Per state the row of short items that end there, of any of its suffixes.
+        ends, rows = array("i", bytes(4 * n)), [()]
+        for s in by_length[1:]:
+            ends[s] = ends[self.link[s]]
+            if s in short:
+                rows.append((*rows[ends[s]], *short[s]))
+                ends[s] = len(rows) - 1
+        self.short = ends
+        self.lists = list(lists)
+        self.short_lists = [tuple((len(items[i]), self.names[i]) for i in row) for row in rows]
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Word ids, -1 for words of no item."""
@@ -112,30 +200,34 @@ class SuffixAutomaton:
         """Hit intervals [first, end) of a run of known words, and the items found."""
         state = length = 0
         spans: list[list[int]] = []
-        found: set[str] = set()
-        moves, link, size, window = self.next, self.link, self.len, self.window
+        found: set[int] = set()
+        names: set[str] = set()
+        step, link, size, window, held, short = self._step, self.link, self.len, self.window, self.held, self.short
         for i, c in enumerate(ids, start):
-            while state and c not in moves[state]:
+            while (to := step(state, c)) < 0 and state:
                 state = link[state]
                 length = size[state]
-            if c not in moves[state]:
+            if to < 0:
                 continue
-            state = moves[state][c]
+            state = to
             length += 1
             hit = 0
             if length >= window:
                 hit = length
-                found |= self.items[state]
-            for w, name in self.short[state]:
-                if w <= length:
-                    hit = max(hit, w)
-                    found.add(name)
+                found.add(held[state])
+            if short[state]:
+                for w, name in self.short_lists[short[state]]:
+                    if w <= length:
+                        hit = max(hit, w)
+                        names.add(name)
             if hit:
                 first = i - hit + 1
                 while spans and first <= spans[-1][1]:
                     first = min(first, spans.pop()[0])
                 spans.append([first, i + 1])
-        return spans, found
+        for row in found:
+            names.update(self.names[item] for item in self.lists[row])
+        return spans, names
 
 
 def _merge(spans: list[list[int]]) -> list[list[int]]:
