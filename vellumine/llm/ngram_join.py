@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 from vellumine.llm import packed, tokens
 from vellumine.operators.components import connected_components
 from vellumine.plans.durable import discard, materialise
+from vellumine.plans.skew import meet
 
 #: Coordinates of a count vector.
 GROUPS = 256
@@ -469,8 +470,8 @@ class _Join:
         lists = met.where("kind = 'block'").select("key", "nodes").dropDuplicates(["key"])
         hot = met.where("kind = 'hot'").select("key", F.col("a").alias("node")).distinct()
         blocks = materialise(lists.select("key", F.explode("nodes").alias("node")).union(hot), self.spent)
-        hubs = hot.groupBy("key").agg(F.min("node").alias("a"))
-        stars = hot.join(hubs, "key").where("a != node").select("a", F.col("node").alias("b"))
+        hubs = hot.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("members"))
+        stars = meet(hot, hubs, ["key"], "members", kept=self.spent).where("a != node").select("a", F.col("node").alias("b"))
         pairs = self.bounded(met.where("kind = 'pair'").select("a", "b").union(stars).distinct())
         discard(spark, old)
         return pairs, blocks
@@ -542,7 +543,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
             labelled = materialise(blocks.join(labels, "node"), old)
             held = labelled.groupBy("key", "label").agg(F.count("*").alias("k"))
             opened = held.groupBy("key").agg(F.sum("k").alias("members"), F.count("*").alias("labels"), (F.sum("k") - F.max("k")).alias("others"), F.max_by("label", "k").alias("largest")).where("labels > 1")
-            live = materialise(labelled.join(opened.drop("labels"), "key"), old)
+            live = materialise(meet(labelled, opened.drop("labels"), ["key"], "members", kept=old), old)
             if live.isEmpty():
                 discard(spark, old)
                 break
@@ -554,13 +555,13 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
             tried = tried.union(pairs)
         if not pairs.isEmpty():
             labels = materialise(_relabel(labels, join.verified(pairs)), join.spent)
-    known = nodes.select("node", "rep").join(labels, "node")
-    lowest = materialise(known.groupBy("label").agg(F.min("rep").alias("component_id")), join.spent)
-    found = materialise(known.join(lowest, "label").select("node", "component_id"), join.read)
+    known = nodes.select("node", "rep", "copies").join(labels, "node")
+    lowest = materialise(known.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("members")), join.spent)
+    found = materialise(meet(known, lowest, ["label"], "members", kept=join.spent).select("node", "component_id", "copies"), join.read)
     discard(spark, join.spent)
+    named = meet(join.sizes, found, ["node"], "copies", "left", join.read)
     if keep is not None:
         keep += join.read
-    named = join.sizes.join(found, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
@@ -580,7 +581,7 @@ def jaccard_links(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     join = _Join(docs, id_column, text_column, width, threshold)
     pairs, blocks = join.candidates(SMALL)
     members = blocks.groupBy("key").agg(F.count("*").alias("members"), F.count("*").alias("others"))
-    alone = blocks.join(members, "key").withColumn("label", F.col("node")).withColumn("largest", F.lit(None).cast("long"))
+    alone = meet(blocks, members, ["key"], "members", kept=join.spent).withColumn("label", F.col("node")).withColumn("largest", F.lit(None).cast("long"))
     found = join.surviving(alone, "all")
     links = join.verified(materialise(pairs.union(found).distinct(), join.spent))
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
