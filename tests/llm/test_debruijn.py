@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import glob
 import hashlib
 import random
 import re
@@ -10,6 +11,7 @@ import pytest
 
 from vellumine.llm import debruijn as B
 from vellumine.llm import queries
+from vellumine.plans import durable, skew
 
 SCHEMA = "doc_id long, text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -75,7 +77,7 @@ def test_nulls_repeats_empty_and_clashing_columns(spark):
 
 
 def test_hot_and_rare_keys(spark, monkeypatch):
-    monkeypatch.setattr(B, "FREQUENT", 3)
+    monkeypatch.setattr(skew, "FREQUENT", 3)
     rng = random.Random(2)
     common = " ".join(f"c{i}" for i in range(45))
     rows = [(i, f"{rng.random()} {common} {rng.random()} " + " ".join(str(rng.randrange(3)) for _ in range(rng.randrange(30)))) for i in range(60)]
@@ -124,5 +126,15 @@ def test_equal_hashes_of_other_words_remove_nothing(spark, monkeypatch):
         assert [r.n_words for r in B._verified(frame, spans).collect()] == [20]
 
 
+def test_little_is_left_behind(spark):
+    made = []
+    with durable.scratch(spark) as paths:
+        frame = B.remove_repeats(spark.createDataFrame(corpus(1, 12), SCHEMA))
+        made += paths
+        assert frame.count() == 12
+        # the spans, which the result reads
+        assert len([p for p in made if glob.glob(p.removeprefix("file://"))]) == 1
+
+
 def test_query(same):
     assert same(queries.op13_substring_dedup, queries.ORACLE_SQL["op13_substring_dedup"]) == 200

@@ -8,6 +8,7 @@ import pytest
 
 from vellumine.llm import lloyd as L
 from vellumine.llm import queries
+from vellumine.plans import skew
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -114,7 +115,7 @@ def test_only_changed_parts_are_sent(spark, monkeypatch):
 
 
 def test_rare_labels_are_joined_too(spark, monkeypatch):
-    monkeypatch.setattr(L, "FREQUENT", 2)
+    monkeypatch.setattr(skew, "FREQUENT", 2)
     rows = vectors(3, 80, 16, labels=(0, 0, 0, 0, 1, 2, 3, None))
     assert run(spark, rows) == brute(rows)
 

@@ -37,12 +37,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.llm import tokens
-from vellumine.plans.durable import discard, materialise
+from vellumine.plans.durable import discard, materialise, settle
+from vellumine.plans.skew import meet
 
 #: Words of the runs among which a k-mer's anchor is chosen.
 INNER = 6
-#: The most frequent keys, which joins broadcast; a row each.
-FREQUENT = 2_000
 #: Spans of a document that are compared together.
 SPANS = 10_000
 
@@ -152,13 +151,6 @@ def _place(prefix: str = "") -> Column:
     return F.struct(*[F.col(prefix + c).alias(c) for c in _PLACE])
 
 
-def _meet(rows: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
-    """An inner join with keyed (on, n_rows, ...), a row per key, whatever a key's share of the rows."""
-    often = materialise(keyed.orderBy(F.desc("n_rows"), *on).limit(FREQUENT))
-    keys = F.broadcast(often.select(*on))
-    return rows.join(F.broadcast(often), on).unionByName(rows.join(keys, on, "left_anti").join(keyed.join(keys, on, "left_anti"), on))
-
-
 def _texts(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
     """``(doc, tag, text)`` of all rows, and of all documents.
 
@@ -174,7 +166,7 @@ def _texts(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame
 
 def _copies(rows: DataFrame, firsts: DataFrame, key: list[str]) -> DataFrame:
     """Occurrences of repeated keys other than the first, each with the place that it copies."""
-    met = _meet(rows, firsts.where("n_rows > 1").select(*key, "n_rows", "first"), key)
+    met = meet(rows, firsts.where("n_rows > 1").select(*key, "n_rows", "first"), key, "n_rows")
     return met.where(_place() != F.col("first")).select(*_PLACE, "n", F.col("first.doc").alias("of_doc"), F.col("first.tag").alias("of_tag"), F.col("first.start").alias("of_start"))
 
 
@@ -186,7 +178,7 @@ def _copied(texts: DataFrame, k: int) -> DataFrame:
     anchors = paths.groupBy("anchor").agg(F.count("*").alias("n_rows"), F.min("path").alias("low"), F.max("path").alias("high"))
     anchors = materialise(anchors.where("n_rows > 1").select("anchor", "n_rows", (F.col("low") != F.col("high")).alias("branches")), old)
     later: list[str] = []
-    met = materialise(_meet(paths, anchors, ["anchor"]).drop("n_rows"), later)
+    met = materialise(meet(paths, anchors, ["anchor"], "n_rows").drop("n_rows"), later)
     discard(spark, old)
     firsts = met.groupBy("anchor", "path").agg(F.count("*").alias("n_rows"), F.min(_place()).alias("first"), F.first("n").alias("n"), F.first("branches").alias("branches"))
     firsts = materialise(firsts, later)
@@ -239,11 +231,12 @@ def _verified(texts: DataFrame, spans: DataFrame) -> DataFrame:
     read = materialise(texts.join(lists.drop("part"), ["doc", "tag"]).mapInArrow(_digests, "doc long, tag long, start int, n_words int, words binary"))
     own = spans.join(read.withColumnRenamed("words", "own"), list(at))
     sources = source.groupBy(*at).agg(F.count("*").alias("n_rows")).join(read, list(at)).select(*[F.col(d).alias(c) for c, d in zip(of, at)], "n_rows", "words")
-    return _meet(own, sources, list(of)).where("own = words").select(*spans.columns)
+    return meet(own, sources, list(of), "n_rows").where("own = words").select(*spans.columns)
 
 
 def _found(texts: DataFrame, k: int) -> DataFrame:
-    return _verified(texts, materialise(_glued(_copied(texts, k), k)))
+    spark = texts.sparkSession
+    return settle(spark, lambda: _verified(texts, settle(spark, lambda: _glued(_copied(texts, k), k))))
 
 
 def repeated_spans(docs: DataFrame, k: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

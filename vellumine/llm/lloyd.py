@@ -23,11 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.plans.durable import discard, materialise
+from vellumine.plans.skew import meet
 
 #: Vectors whose distances are computed together.
 BLOCK = 2048
-#: The most frequent labels, whose errors are broadcast; a row each.
-FREQUENT = 2_000
 
 _STATE = "id long, label {label}, x array<long>, code binary, old binary"
 _DELTA = "slot int, position int, delta long"
@@ -192,17 +191,12 @@ def compress(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
 def with_label_error(codes: DataFrame) -> DataFrame:
     """Adds ``label_error``, the errors of all rows with an equal label; nulls are equal.
 
-    The sums of the most frequent labels are broadcast, so that one label may
-    hold any share of the rows; of the others none has more than a small part.
+    One label may hold any share of the rows.
     """
-    sums = materialise(codes.groupBy("label").agg(F.sum("error").alias("label_error"), F.count("*").alias("n")).withColumnRenamed("label", "of"))
-    frequent = materialise(sums.orderBy(F.desc("n"), "of").limit(FREQUENT))
-    met = codes.join(F.broadcast(frequent), F.col("label").eqNullSafe(F.col("of")), "left").drop("of")
-    rare = sums.join(F.broadcast(frequent.select(F.col("of").alias("known"))), F.col("of").eqNullSafe(F.col("known")), "left_anti")
-    if rare.isEmpty():
-        return met.drop("n")
-    others = met.where("n is null").drop("label_error", "n").join(rare, F.col("label").eqNullSafe(F.col("of"))).select(*codes.columns, "label_error")
-    return met.where("n is not null").select(*codes.columns, "label_error").unionByName(others)
+    sums = codes.groupBy("label").agg(F.sum("error").alias("label_error"), F.count("*").alias("n"))
+    # null is a label like others, but no key of a join
+    keyed = [x.withColumn("_key", F.to_json(F.struct("label"))) for x in (codes, materialise(sums))]
+    return meet(keyed[0], keyed[1].drop("label"), ["_key"], "n").drop("_key", "n")
 
 
 def digest(found: Compressed) -> DataFrame:
