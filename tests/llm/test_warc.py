@@ -117,6 +117,23 @@ def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_many_copies_are_looked_up_by_file(spark, tmp_path, monkeypatch):
+    rows = [(i, f"u{i}", f"page {i % 7}" if i % 3 else f"own {i}") for i in range(200)] + [(None, "n", "page 1"), (5, "again", "page 5"), (300, "z", None), (301, "z", "")]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    pages.repartition(5).write.parquet(str(tmp_path / "pages"))
+    pages.where("page_id is null").write.mode("append").parquet(str(tmp_path / "pages"))
+    read = spark.read.parquet(str(tmp_path / "pages"))
+    want = sorted((tuple(r) for r in warc.round_trip(read).collect()), key=str)
+    assert sum(r[3] == "revisit" for r in want) > 100
+    monkeypatch.setattr(warc, "BROADCAST_REPEATS", 0)
+    spied = []
+    real = warc._write
+    monkeypatch.setattr(warc, "_write", lambda folder, lookup: spied.append(lookup) or real(folder, lookup))
+    assert sorted((tuple(r) for r in warc.round_trip(read).collect()), key=str) == want
+    assert sorted((tuple(r) for r in warc.round_trip(spark.createDataFrame(read.collect(), SCHEMA)).collect()), key=str) == want
+    assert [x is None for x in spied] == [False, True]
+
+
 def test_against_oracle(same):
     same(queries.op8_warc, queries.ORACLE_SQL["op8_warc"])
 

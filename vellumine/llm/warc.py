@@ -18,16 +18,19 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
-from pyarrow import fs
+from pyarrow import dataset, fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.plans.durable import discard, materialise, shared_dir
+from vellumine.plans.skew import meet
 
 #: Bytes of a payload that a chunk row holds.
 CHUNK = 1 << 20
-#: Copies that may be broadcast (about 50 bytes each); beyond, the join shuffles pages.
+#: Copies that may be broadcast (about 50 bytes each); beyond, tasks look them up by the file that they read.
 BROADCAST_REPEATS = 500_000
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -72,10 +75,41 @@ def _store(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
 
 
-def _write(folder: str):
+def _looked_up(batches: Iterator[pa.RecordBatch], lookup: str) -> Iterator[pa.RecordBatch]:
+    """Rows (..., file, row) with ``first`` and ``response``, from what the lookup has for each file; one file's at a time."""
+    store, root = _store(lookup)
+    known, rows, firsts = None, np.zeros(0, dtype=np.int64), pa.nulls(0, pa.int64())
+    for batch in batches:
+        files = batch.column("file").to_pylist()
+        at = 0
+        while at < batch.num_rows:
+            end = at + 1
+            while end < batch.num_rows and files[end] == files[at]:
+                end += 1
+            if files[at] != known:
+                known = files[at]
+                place = f"{root}/at={hashlib.sha1(known.encode()).hexdigest()}"
+                there = store.get_file_info(place).type == fs.FileType.Directory
+                table = dataset.dataset(place, filesystem=store, format="parquet").to_table(columns=["row", "first"]).sort_by("row") if there else pa.table({"row": pa.nulls(0, pa.int64()), "first": pa.nulls(0, pa.int64())})
+                rows, firsts = table["row"].to_numpy(), table["first"].combine_chunks()
+            part = batch.slice(at, end - at)
+            own = part.column("row").to_numpy()
+            found = np.searchsorted(rows, own)
+            hit = np.zeros(len(own), dtype=bool)
+            inside = found < len(rows)
+            hit[inside] = rows[found[inside]] == own[inside]
+            first = firsts.take(pa.array(np.where(hit, found, 0), mask=~hit))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "payload", "digest")), first, first.is_null()], names=["page_id", "url", "payload", "digest", "first", "response"])
+            at = end
+
+
+def _write(folder: str, lookup: str | None = None):
     def run(batches):
         from pyspark import TaskContext
 
+        if lookup is not None:
+            batches = _looked_up(batches, lookup)
+
         store, root = _store(folder)
         task = TaskContext.get()
         # attempts write files of their own, and only those in the returned table count
@@ -103,27 +137,49 @@ def write_warc(pages: DataFrame, folder: str, dedupe_bytes: int = 0) -> DataFram
 
     ``folder`` lies in a store that pyarrow can open.  A task that is run again
     writes another file; those that the table does not name are left-overs.
+
+    Payloads stay where they are read: few copies are broadcast, and many are
+    written by the file and row of their pages, where the tasks that read those
+    files look them up.  Only pages that are no rows of Parquet files are joined.
     """
+    spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     spent: list[str] = []
-    digests = materialise(pages.select("page_id", F.octet_length(payload).alias("bytes"), F.unhex(F.sha1(payload)).alias("sha1")), spent)
-    counted = digests.where(F.col("bytes") >= dedupe_bytes).groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pages, located = _located(pages)
+    place = ("file", "row") if located else ()
+    digests = materialise(pages.select("page_id", *place, F.octet_length(payload).alias("bytes"), F.unhex(F.sha1(payload)).alias("sha1")), spent)
+    counted = digests.where(F.col("bytes") >= dedupe_bytes).groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = materialise(counted, spent)
-    # only copies are joined; no payload is shuffled while they are few enough to broadcast
-    repeats = materialise(digests.join(firsts, ["sha1", "bytes"]).where("page_id is null or page_id != first").select("page_id", "sha1", "first").distinct(), spent)
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.unhex(F.sha1(payload)).alias("sha1"))
-    repeats = repeats.withColumnRenamed("page_id", "own").withColumnRenamed("sha1", "same")
-    if repeats.limit(BROADCAST_REPEATS + 1).count() <= BROADCAST_REPEATS:
-        repeats = F.broadcast(repeats)
-    marked = rows.join(repeats, F.col("page_id").eqNullSafe(F.col("own")) & (F.col("sha1") == F.col("same")), "left")
-    out = marked.select("page_id", "url", "payload", F.col("sha1").alias("digest"), "first", F.col("first").isNull().alias("response"))
+    # one payload may stand on any share of the pages
+    copies = meet(digests, firsts, ["sha1", "bytes"], "n", kept=spent).where("page_id is null or page_id != first")
+    repeats = materialise(copies.select("page_id", "sha1", "first", *place), spent)
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.unhex(F.sha1(payload)).alias("digest"), *place)
+    few = repeats.limit(BROADCAST_REPEATS + 1).count() <= BROADCAST_REPEATS
+    lookup = None
+    if located and not few:
+        lookup = shared_dir(spark)
+        spent.append(lookup)
+        by_file = repeats.select(F.sha1("file").alias("at"), "row", "first")
+        by_file.repartition("at").sortWithinPartitions("at", "row").write.parquet(lookup, partitionBy=["at"])
+    else:
+        own = repeats.select(F.col("page_id").alias("own"), F.col("sha1").alias("same"), "first").distinct()
+        met = rows.join(F.broadcast(own) if few else own, F.col("page_id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("same")), "left")
+        rows = met.select("page_id", "url", "payload", "digest", "first", F.col("first").isNull().alias("response"))
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
-    written = materialise(out.mapInArrow(_write(folder), "path string, records long"))
-    discard(pages.sparkSession, spent)
+    written = materialise(rows.mapInArrow(_write(folder, lookup), "path string, records long"))
+    discard(spark, spent)
     return written
 
 
+def _located(pages: DataFrame) -> tuple[DataFrame, bool]:
+    """``(page_id, url, html, file, row)`` of pages that are rows of Parquet files, and whether they are."""
+    try:
+        return pages.select("page_id", "url", "html", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")), True
+    except AnalysisException:
+        return pages.select("page_id", "url", "html"), False
+
+
 def _reads(stream) -> Iterator[bytes]:
     """The decompressed bytes of a stream of gzip members, in pieces of CHUNK at most however well they were packed."""
     unpack = zlib.decompressobj(31)
