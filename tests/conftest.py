@@ -48,12 +48,25 @@ def rows_of(frame) -> list[tuple]:
     return sorted(tuple("null" if pd.api.types.is_scalar(v) and pd.isna(v) else str(v) for v in row) for row in frame[names].astype(object).itertuples(index=False))
 
 
+def shared_tables(spark) -> set[str]:
+    """What stands in the shared folder."""
+    from vellumine.plans.durable import shared_dir
+
+    root = shared_dir(spark).rsplit("/", 1)[0].removeprefix("file://")
+    return set(os.listdir(root)) if os.path.isdir(root) else set()
+
+
 @pytest.fixture(scope="session")
 def same(spark, duck):
-    """Compares a query with its oracle on the smallest tables."""
+    """Compares a query with its oracle on the smallest tables, and sees that nothing is left of its scratch tables."""
+    from vellumine.plans.durable import scratch
 
     def check(query, sql):
-        mine, theirs = query(spark, DATA).toPandas(), duck.execute(sql).df()
+        before = shared_tables(spark)
+        with scratch(spark):
+            mine = query(spark, DATA).toPandas()
+        assert shared_tables(spark) == before
+        theirs = duck.execute(sql).df()
         assert sorted(mine.columns) == sorted(theirs.columns)
         assert rows_of(mine) == rows_of(theirs)
         return len(mine)

@@ -58,6 +58,17 @@ def test_an_addition_leaves_the_others_alone_and_can_be_repeated(spark, tmp_path
     assert index.matches("needle").count() == 4
 
 
+@pytest.mark.parametrize("query", ["needle web", "zzz"])
+def test_originals_from_their_blocks(built, query):
+    index, rows = built
+    found = search.search(rows, query, 3)
+    mine, theirs = index.originals(found), search.originals(found, rows)
+    assert [tuple(r) for r in mine.select(theirs.columns).collect()] == [tuple(r) for r in theirs.collect()]
+    if query != "zzz":
+        plan = mine._jdf.queryExecution().executedPlan().toString()
+        assert "dynamicpruning" in plan and "PushedFilters: [In(doc_id" in plan
+
+
 def test_other_fields(spark, tmp_path):
     fields = search.Fields("path", "body", ("kind",))
     index = GramIndex(spark, str(tmp_path / "y"), fields)

@@ -60,14 +60,21 @@ class GramIndex:
         if docs.isEmpty():
             return
         dealt = docs.withColumn("block", F.concat_ws("_", F.lit(f"b{addition}"), number.cast("string")))
-        write = {"mode": "overwrite", "partitionBy": ["block"]}
-        dealt.repartition("block").write.parquet(f"{self.path}/texts/addition={addition}", **write)
+        # in order of identifiers, and with a filter on them in each row group, for reads of single entries
+        ordered = dealt.repartition("block").sortWithinPartitions("block", self.fields.id)
+        ordered.write.option(f"parquet.bloom.filter.enabled#{self.fields.id}", "true").parquet(f"{self.path}/texts/addition={addition}", mode="overwrite", partitionBy=["block"])
         held = self.spark.read.option("basePath", f"{self.path}/texts").parquet(f"{self.path}/texts/addition={addition}")
         size = F.octet_length(F.coalesce(F.col(self.fields.text), F.lit("")))
         held.groupBy("block").agg(F.count("*").alias("n_docs"), F.sum(size).alias("n_bytes")).write.parquet(f"{self.path}/blocks/addition={addition}", mode="overwrite")
         postings = held.select("block", F.explode(_keys(self.fields)).alias("key")).distinct().withColumn("bucket", _bucket(F.col("key")))
         postings.repartition("bucket").sortWithinPartitions("bucket", "key").write.parquet(f"{self.path}/postings/addition={addition}", mode="overwrite", partitionBy=["bucket"])
 
+    def _postings(self, keys: list[str]) -> DataFrame:
+        """The postings of some keys, from the buckets that they are in."""
+        # computed as they were when the postings were written
+        buckets = [r[0] for r in self.spark.createDataFrame([(k,) for k in keys], "key string").select(_bucket(F.col("key"))).distinct().collect()]
+        return self._table("postings").where(F.col("bucket").isin(buckets) & F.col("key").isin(keys))
+
     def candidates(self, query: str) -> DataFrame:
         """``(block)``: every block with an entry that the query may find, and others; a row per block at most."""
         groups = []
@@ -79,9 +86,7 @@ class GramIndex:
         wanted = sorted({key for keys in groups for key in keys})
         if not wanted:
             return self._table("blocks").select("block").where("false")
-        # the buckets are computed as they were when the postings were written
-        buckets = [r[0] for r in self.spark.createDataFrame([(k,) for k in wanted], "key string").select(_bucket(F.col("key"))).distinct().collect()]
-        held = self._table("postings").where(F.col("bucket").isin(buckets) & F.col("key").isin(wanted)).groupBy("block").agg(F.collect_set("key").alias("keys"))
+        held = self._postings(wanted).groupBy("block").agg(F.collect_set("key").alias("keys"))
         whole = [F.size(F.array_intersect(F.lit(keys), "keys")) == len(keys) for keys in groups]
         fits = whole[0]
         for other in whole[1:]:
@@ -94,6 +99,20 @@ class GramIndex:
         met = texts.join(F.broadcast(self.candidates(query)), "block", "left_semi")
         return matches(met.drop("block", "addition"), query, self.fields, flags)
 
+    def originals(self, found: DataFrame) -> DataFrame:
+        """The whole entries that a search found (id, rank), in its order; found is as small as the search's limit.
+
+        Their blocks are looked up by identifier; in these, row groups without one of the identifiers are skipped.
+        """
+        name = self.fields.id
+        ranked = found.select(name, "rank").collect()
+        if not ranked:
+            return self._table("texts").drop("block", "addition").withColumn("rank", F.lit(0).cast("long")).where("false")
+        blocks = self._postings(sorted({"i" + str(r[name]).lower() for r in ranked})).select("block").distinct()
+        texts = self._table("texts").where(F.col(name).isin([r[name] for r in ranked])).join(F.broadcast(blocks), "block", "left_semi")
+        places = self.spark.createDataFrame(ranked, found.select(name, "rank").schema)
+        return texts.drop("block", "addition").join(F.broadcast(places), name).orderBy("rank")
+
     def report(self, query: str) -> DataFrame:
         """``(n_blocks, n_bytes, read_blocks, read_bytes)``: what there is, and what the query reads."""
         picked = self.candidates(query).distinct().select(F.col("block").alias("picked"))

@@ -74,6 +74,11 @@ def search_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.originals(_found(spark, sf_dir, 20), table(spark, sf_dir, "documents")).select("rank", "doc_id", "lang", "source", "n_chars", "text")
 
 
+def search_originals_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same entries by point reads."""
+    return _index(spark, sf_dir).originals(_found(spark, sf_dir, 20)).select("rank", "doc_id", "lang", "source", "n_chars", "text")
+
+
 def search_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The envelope of every way that a search can end."""
 
@@ -420,7 +425,7 @@ def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        search_topk, search_explain, search_matches, search_indexed, search_index_report, search_fields, search_json, search_originals, search_envelopes,
+        search_topk, search_explain, search_matches, search_indexed, search_index_report, search_fields, search_json, search_originals, search_originals_indexed, search_envelopes,
         link_indegree, link_audit, link_unresolved, link_candidates, link_components, link_connectivity, graph_neighbourhood, graph_cached, link_origins, unlinked_mentions,
         lint_status_enum, lint_row_count, lint_catalog, lint_archived, lint_revisit, lint_beyond_baseline, lint_gate, lint_canonical_facts, lint_changed, lint_sources, lint_fixtures, lint_changelog, drift_report,
         parsed_notes, parsed_router, parsed_research, parsed_log, session_context, category_pages,
@@ -506,6 +511,7 @@ ORACLE_SQL = {
       select * from scored where exact or text_hits > 0 or meta_hits > 0""",
     "search_json": f"""{_FOUND} select '{{"doc_id":' || doc_id || ',"rank":' || rank || '}}' as value from ranked where rank <= 20""",
     "search_originals": f"{_FOUND} select rank, doc_id, lang, source, n_chars, text from ranked where rank <= 20",
+    "search_originals_indexed": f"{_FOUND} select rank, doc_id, lang, source, n_chars, text from ranked where rank <= 20",
     "link_indegree": f"{_LINKS} select target, count(*) as n_links, count(distinct source) as n_sources from links group by target",
     "link_audit": f"""{_RESOLVED} select 'body' as origin, case when resolved is null then 'unresolved' else 'resolved' end as status, count(*) as n_links,
       count(distinct target) as n_targets from resolved group by 2""",
