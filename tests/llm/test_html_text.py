@@ -169,6 +169,7 @@ THREADS = {
     "heading": '<div class="wrap">{body}<h2>Comments (20)</h2><div class="list">' + '<div class="item"><p>{c}</p></div>' * 20 + "</div></div>",
     "replies": '<div class="wrap">{body}<ul class="list">' + '<li><p>{c}</p><a href="#">Reply</a></li>' * 20 + "</ul></div>",
     "classes": '<div class="wrap">{body}<div class="stream">' + '<div class="row"><b class="username">x</b><p>{c}</p></div>' * 20 + "</div></div>",
+    "headings": '<div class="wrap">{body}<div class="stream">' + '<div class="row"><h4 class="author">x</h4><p>{c}</p></div>' * 20 + "</div></div>",
     "in an article": "<article>{body}<div>" + '<div class="row"><span class="user-name">x</span><p>{c}</p><time>now</time></div>' * 20 + "</div></article>",
 }
 
@@ -179,6 +180,14 @@ def test_comments_under_neutral_names(name):
     assert X.main_text(page(THREADS[name].replace("{body}", body).replace("{c}", COMMENT))) == f"T\n{PARAGRAPH}\n{PARAGRAPH}"
 
 
+def test_lists_of_an_article_are_no_thread():
+    steps = "".join(f'<div class="step"><span>Step {k}</span><p>{PARAGRAPH}</p></div>' for k in range(4))
+    books = "".join(f'<li><span class="author">Ann B.</span> A title of a book, which is long, {k}</li>' for k in range(4))
+    live = "".join(f'<div class="entry"><h3>Event {k}</h3><span class="timestamp">10:3{k}</span><p>{PARAGRAPH}</p></div>' for k in range(4))
+    text = X.main_text(page(f"<article><h1>T</h1><p>{PARAGRAPH}</p>{steps}<ul>{books}</ul>{live}</article>"))
+    assert text.count(PARAGRAPH) == 9 and text.count("Ann B.") == 4 and "Step 3" in text and "10:33" in text
+
+
 def test_sections_of_an_article_are_no_thread():
     parts = "".join(f'<div class="section"><h2>Part {k}</h2><p>{PARAGRAPH}</p></div>' for k in range(5))
     expected = "T\n" + "\n".join(f"Part {k}\n{PARAGRAPH}" for k in range(5))

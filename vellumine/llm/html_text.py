@@ -48,7 +48,9 @@ AMBIGUOUS = frozenset("discussion search sharing tags copyright widget toolbar".
 MARKS = frozenset("author user username nickname avatar reply replies replied responder timestamp posted karma upvote upvotes downvote likes".split())
 # What stands alone in a block below what a reader wrote, or heads such blocks.
 _REPLY = re.compile(r"(?i)(?:reply|reply to this|report|like|share|permalink|antworten|répondre|responder)(?:\s*[(|\xb7\u00b7]?\s*\d*\)?)?")
-_THREAD_HEAD = re.compile(r"(?i)(?:\d+\s+)?(?:reader |all |user )?(?:comments?|replies|responses|kommentare|commentaires|comentarios|réponses|antworten|respuestas)(?:\s*[(:]?\s*\d*\)?)?")
+_THREAD_HEAD = re.compile(r"(?i)(?:(?:\d+\s+)?(?:reader |all |user )?(?:comments?|replies|kommentare|commentaires|comentarios)|\d+\s+(?:responses?|réponses?|antworten|respuestas))(?:\s*[(:]?\s*\d*\)?)?")
+# A line that says who wrote what follows, or when.
+_BYLINE = re.compile(r"(?i)\bago\b|\b(?:says|said|wrote|writes|posted)\b|\b\d{1,2}:\d{2}\b|\b\d{4}-\d\d-\d\d\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.? \d{1,2}\b|^@\w+$")
 HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LIKELY = frozenset("article articlebody post entry content story main body".split())
 # A name with one of these in front tells of the page's layout, not of the element.
@@ -253,7 +255,8 @@ def _measure(page: _Page) -> None:
         element.chars += len(text)
         element.link_chars += linked
         if element.tag in HEADS:
-            element.heads += 1
+            # an author's name is no heading of what follows
+            element.heads += not element.marked
         else:
             element.longest = max(element.longest, len(text))
         if len(text) < 30 and _REPLY.fullmatch(text):
@@ -277,11 +280,11 @@ def _kin(page: _Page) -> dict[tuple[int, tuple[str, str]], list[_Element]]:
 
 
 def _byline(page: _Page, e: _Element) -> bool:
-    """Whether an element starts with a name or a date: a short block that is no heading, with a longer one behind it."""
+    """Whether an element starts with a line that says who wrote it or when: a short block that is no heading, with a longer one behind it."""
     if e.last - e.first < 2:
         return False
     (head, _, of), (body, _, _) = page.blocks[e.first], page.blocks[e.first + 1]
-    return of.tag not in HEADS and len(head) <= 40 and len(body) > len(head) and head[-1] not in ".!?:;,"
+    return of.tag not in HEADS and len(head) <= 40 and len(body) > len(head) and _BYLINE.search(head) is not None
 
 
 def _threads(page: _Page) -> list[_Element]:
@@ -291,7 +294,8 @@ def _threads(page: _Page) -> list[_Element]:
         up = alike[0].parent
         if up.tag in ("tr", "table", "tbody", "ul", "ol", "dl") and alike[0].tag not in ("li", "dd", "dt") or alike[0].tag in ("p", "td", "th", "dt", "dd") or alike[0].tag in HEADS:
             continue
-        marked = sum(e.marked for e in alike)
+        # a mark stands beside what was written; one block with a mark in it is, say, an entry of a bibliography
+        marked = sum(e.marked and e.heads == 0 and e.last - e.first > 1 for e in alike)
         named = sum(e.heads == 0 and _byline(page, e) for e in alike)
         before = page.blocks[alike[0].first - 1] if alike[0].first else None
         headed = before is not None and before[2].tag in HEADS and _THREAD_HEAD.fullmatch(before[0]) is not None
