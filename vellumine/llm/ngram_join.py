@@ -223,6 +223,7 @@ def _meet(t: Fraction, parts: int, small: int):
     p, q = t.numerator, t.denominator
 
     def run(key, table):
+        tokens.release()
         loaded = [packed.load(x.as_buffer()) for x in table.column("payload")]
         keys = np.concatenate([packed.keys(x[0]) for x in loaded])
         nodes, sizes, places = (np.concatenate([x[k] for x in loaded]) for k in (1, 2, 3))
@@ -372,6 +373,7 @@ def _chunk_pairs(t: Fraction, mode: str, few: int):
     """Over partitions sorted by (key, chunk, lane): propose pairs; (key, null) tells that a block is not decided."""
 
     def run(batches):
+        tokens.release()
         held, name, out, size = [], None, [], 0
 
         def flush():

@@ -206,6 +206,7 @@ def _pack_shards(capacity: int):
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
+        tokens.release()
         rows = pa.Table.from_batches(batches).combine_chunks()
         shards = np.asarray(rows.column("shard"))
         for shard in np.unique(shards):

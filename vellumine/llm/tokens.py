@@ -9,6 +9,7 @@ object is made per word.  Work memory is bounded by ``SEGMENT`` bytes of text
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -134,3 +135,14 @@ def parts(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20)
     for batch in batches:
         if batch.num_rows:
             yield from slices(batch, column, limit)
+    release()
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the machine, for its worker stays and waits for the next one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        # another C library has no such call
+        return
