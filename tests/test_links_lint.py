@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from vellumine.operators import lint, links
 from vellumine.operators.components import connected_components
-from vellumine.plans import automata
+from vellumine.plans import automata, phrases
 from vellumine.sources import vault
 
 
@@ -63,6 +64,27 @@ def test_unlinked_mentions_are_whole_words_and_not_linked(spark, monkeypatch, li
     assert links.unlinked_mentions(twice, more.where("false")).count() == 0
 
 
+def test_many_titles_shuffle_no_text(spark, monkeypatch):
+    """Titles of a common word, which each text holds, in parts of long texts that overlap."""
+    rng = random.Random(3)
+    words = ["é", "Plan", "plan", "commonest", "of", "x" * 40]
+    texts = [(i, "".join(rng.choice(words) + rng.choice([" ", ", ", ".\n"]) for _ in range(rng.choice([0, 1, 3, 300])))) for i in range(60)]
+    titles = sorted({"-".join([*(rng.choice(words) for _ in range(rng.choice([1, 2, 5, 9]))), "commonest"]) for _ in range(400)} | {"Plan of", "...", "", "x" * 40 + " plan"})
+    squeezed = {i: " " + " ".join(re.findall(r"\w+", text)) + " " for i, text in texts}
+    frames = spark.createDataFrame([*texts, (99, None)], "id long, text string"), spark.createDataFrame([(t, t) for t in titles], "name string, title string")
+    for segment, at_once in ((1 << 20, 4_000_000), (50, 100)):
+        monkeypatch.setattr(phrases, "SEGMENT", segment)
+        monkeypatch.setattr(phrases, "AT_ONCE", at_once)
+        for least in (1, 2):
+            needles = {t: " " + " ".join(w) + " " for t in titles if len(w := re.findall(r"\w+", t)) >= least}
+            found = links.unlinked_mentions(*frames, min_words=least).collect()
+            assert len(found) == len(set(found))
+            assert {(r.id, r.name) for r in found} == {(i, t) for i, text in squeezed.items() for t, n in needles.items() if n in text}
+    hay = frames[0].select("id", F.col("text").alias("hay"))
+    plan = phrases.find_phrases(hay, frames[1].select(F.lit(" Plan of ").alias("needle")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def brute_components(edges):
     up = {}
 

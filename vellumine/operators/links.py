@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from vellumine.functions.text import plain
 from vellumine.operators.components import connected_components
-from vellumine.plans import automata
-from vellumine.plans.automata import Strings
 from vellumine.plans.durable import materialise
+from vellumine.plans.phrases import find_phrases
+from vellumine.plans.skew import meet
 
 HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
 
@@ -114,54 +114,21 @@ def connectivity_exit_code(found: DataFrame) -> int:
     return 0 if found.where("isolated").isEmpty() else 2
 
 
-def _mentioned(needles: Strings):
-    """``(id, number)`` of the needles in each text, each once."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        automaton = needles.automaton()
-        for batch in batches:
-            found = [sorted({number for _, number in automaton.iter(hay)}) for hay in batch.column("hay").to_pylist()]
-            rows = pa.array([row for row, numbers in enumerate(found) for _ in numbers], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), pa.array([n for numbers in found for n in numbers], pa.int64())], names=["id", "number"])
-
-    return run
-
-
-def _met_by_automaton(hay: DataFrame, names: DataFrame) -> DataFrame:
-    """``(id, name)`` by one pass over the texts, with all needles at once."""
-    spark = hay.sparkSession
-    needles = sorted(r["needle"] for r in names.select("needle").distinct().collect())
-    if not needles:
-        return hay.join(names, F.lit(False)).select("id", "name")
-    kind = hay.schema["id"].dataType.simpleString()
-    found = hay.mapInArrow(_mentioned(Strings(spark, needles)), f"id {kind}, number long")
-    numbered = spark.createDataFrame(list(enumerate(needles)), "number long, needle string").join(names, "needle").select("number", "name")
-    return found.join(F.broadcast(numbered), "number").select("id", "name")
-
-
-def _met_by_words(hay: DataFrame, names: DataFrame) -> DataFrame:
-    """``(id, name)`` by a join on each name's longest word, which each text holds once, and a look at what met in full."""
-    rank = F.array_max(F.transform(F.split(F.trim("needle"), " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    anchored = names.withColumn("anchor", rank["w"])
-    anchors = F.explode(F.array_distinct(F.split(F.trim("hay"), " "))).alias("anchor")
-    pairs = materialise(hay.select("id", anchors).join(anchored, "anchor").select("id", "name", "needle"))
-    return hay.join(pairs, "id").where(F.contains("hay", "needle")).select("id", "name")
-
-
 def unlinked_mentions(texts: DataFrame, titles: DataFrame, links: DataFrame | None = None, min_words: int = 2) -> DataFrame:
     """``(id, name)``: texts (id, text) with a title (name, title) in them, as whole words, but no link to it.
 
-    Titles under ``min_words`` are too common to tell.  As long as the others are
-    of ``AUTOMATON_CHARS`` characters at most, each text is read once, where it
-    stands, by an automaton of all; more titles meet the words of the texts in a
-    join.  Links (id, name) are taken out by an anti join.
+    Titles under ``min_words``, and those without a word, are too common to tell.
+    Each text is read where it stands, for all titles at once, and only what it
+    mentions meets the titles in a join.  Links (id, name) are taken out by an
+    anti join.
     """
-    names = titles.select("name", plain(F.col("title")).alias("needle")).where(F.size(F.split(F.trim("needle"), " ")) >= min_words).distinct()
-    hay = texts.select("id", plain(F.col("text")).alias("hay"))
-    size = names.agg(F.sum(F.length("needle") + F.length("name"))).first()[0] or 0
-    met = (_met_by_automaton if size <= automata.AUTOMATON_CHARS else _met_by_words)(hay, names).distinct()
+    needle = plain(F.col("title"))
+    long_enough = (F.trim("needle") != "") & (F.size(F.split(F.trim("needle"), " ")) >= min_words)
+    names = materialise(titles.select("name", needle.alias("needle")).where(long_enough).distinct())
+    found = materialise(find_phrases(texts.select("id", plain(F.col("text")).alias("hay")), names.select("needle").distinct()))
+    counts = found.groupBy("needle").agg(F.count("*").alias("n_found"))
+    keyed = counts.join(names.groupBy("needle").agg(F.collect_list("name").alias("names")), "needle")
+    met = meet(found, keyed, ["needle"], "n_found").select("id", F.explode("names").alias("name")).distinct()
     return met if links is None else met.join(links.select("id", "name"), ["id", "name"], "left_anti")
 
 
