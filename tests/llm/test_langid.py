@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -105,3 +106,24 @@ def test_the_fit_takes_a_bounded_number_of_windows(spark, monkeypatch):
     monkeypatch.setattr(langid.ByteNet, "fit", lambda self, x, y: seen.append((x.shape, np.bincount(y).tolist())))
     net = langid.fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert net.labels == ["A", "B"] and seen == [((2 * langid.SAMPLE_WINDOWS, langid.WINDOW), [langid.SAMPLE_WINDOWS] * 2)]
+
+
+def test_the_limit_is_set_from_every_held_out_row(spark):
+    rng = random.Random(4)
+    net = langid.ByteNet(["a", "b"])
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(30)), rng.choice("ab")) for i in range(40_000)]
+    docs = spark.createDataFrame([*rows, (None, "abc", "a"), (-1, None, "a"), (-2, "abc", None)], "doc_id long, text string, lang string")
+    found = langid.predict_language(docs, net).join(docs, "doc_id").where("held_out and lang = lang_pred and text is not null").toPandas()["score"].to_numpy()
+    assert len(found) > 3500
+    wanted = 0.5 + langid.LIMIT_PART * max(0.0, np.quantile(found, langid.LIMIT_SHARE) - 0.5)
+    assert abs(langid.least_score(docs, net) - wanted) < 1e-12
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(6)
+    for values in ([0.3], [0.2, 0.9], [1.0] * 50, [0.0, 1.0, 1.0], 1 - rng.random(3000) * 1e-9, np.repeat(rng.random(40), 30), [0.5, np.nextafter(0.5, 1), np.nextafter(0.5, 0)] * 5):
+        frame = spark.createDataFrame([(float(v),) for v in values], "score double")
+        for share in (0.0, 0.001, 0.34, 1.0):
+            number, quantile = langid._low_quantile(frame, share)
+            assert number == len(values) and abs(quantile - np.quantile(values, share)) < 1e-15
+    assert langid._low_quantile(frame.where("false"), 0.001) == (0, 0.0)

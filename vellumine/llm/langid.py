@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.llm import tokens
+from vellumine.plans.durable import discard, materialise
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -27,10 +28,10 @@ FILTERS = 12
 SAMPLE_ROWS = 400
 #: Windows of each language that the fit takes at most, spread over its texts.
 SAMPLE_WINDOWS = 3000
-#: Held-out labelled rows that the score limit is set from, about, by a hash of their id.
-LIMIT_ROWS = 4000
-#: Share of these that may score less, and how far from chance to their score the limit lies.
+#: Share of held-out labelled rows that may score less, and how far from chance to their score the limit lies.
 LIMIT_SHARE, LIMIT_PART = 0.001, 0.75
+#: Parts that a range of scores is counted in.
+_PARTS = 1024
 _RANGE = 1 << 40
 STEPS, BATCH, RATE = 500, 128, 0.02
 
@@ -261,23 +262,51 @@ def _right(net):
     return run
 
 
+def _low_quantile(scores: DataFrame, share: float) -> tuple[int, float]:
+    """The number of scores, from 0 to 1, and their exact quantile, interpolated between its neighbours.
+
+    The part of the range that holds the wanted rank is counted again in finer
+    parts until one value is left, so that no task or driver sees all scores.
+    """
+    score, low, high, number = F.col("score"), 0.0, 1.0, None
+    while number is None or low < high:
+        part = F.least(F.lit(_PARTS - 1), F.floor((score - low) / (high - low) * _PARTS))
+        parts = scores.where(score.between(low, high)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min(score).alias("low"), F.max(score).alias("high")).orderBy("part").collect()
+        if number is None:
+            number = sum(p["n"] for p in parts)
+            if not number:
+                return 0, 0.0
+            place = share * (number - 1)
+            rank = left = int(place)
+        for p in parts:
+            if left < p["n"]:
+                low, high = p["low"], p["high"]
+                break
+            left -= p["n"]
+    upto, above = scores.agg(F.count(F.when(score <= low, 1)), F.min(F.when(score > low, score))).first()
+    return number, low if upto > rank + 1 or above is None else low + (place - rank) * (above - low)
+
+
 def least_score(docs: DataFrame, net: ByteNet) -> float:
     """A limit under the scores of nearly all held-out labelled rows that are named rightly.
 
-    It lies between chance and the score that all but ``LIMIT_SHARE`` of them
-    reach, so that few rows set it safely; zero if there are none of them.  Where
-    they are too few to show that share, the gap to a score of one is carried on
-    as that of an exponential tail, which grows with the logarithm of the number.
+    All of them are scored.  The limit lies between chance and the score that all
+    but ``LIMIT_SHARE`` of them reach, so that few rows set it safely; zero if there
+    are none of them.  Where they are too few to show that share, the gap to a
+    score of one is carried on as that of an exponential tail, which grows with
+    the logarithm of the number.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & held_out(F.col("doc_id")))
-    share = min(_RANGE, LIMIT_ROWS * _RANGE // max(1, usable.count()) + 1)
-    some = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(_RANGE)) < share).select("lang", "text")
-    scores = some.mapInArrow(_right(docs.sparkSession.sparkContext.broadcast(net)), "score double").toPandas()["score"].to_numpy()
-    chance = 1 / len(net.labels)
-    if len(net.labels) < 2 or not len(scores):
+    if len(net.labels) < 2:
+        return 0.0
+    spark, written = docs.sparkSession, []
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & held_out(F.col("doc_id"))).select("lang", "text")
+    number, quantile = _low_quantile(materialise(usable.mapInArrow(_right(spark.sparkContext.broadcast(net)), "score double"), written), LIMIT_SHARE)
+    discard(spark, written)
+    if not number:
         return 0.0
-    tail = max(1.0, np.log(1 / LIMIT_SHARE) / np.log(1 + len(scores)))
-    reached = 1 - tail * (1 - np.quantile(scores, LIMIT_SHARE))
+    chance = 1 / len(net.labels)
+    tail = max(1.0, np.log(1 / LIMIT_SHARE) / np.log(1 + number))
+    reached = 1 - tail * (1 - quantile)
     return float(chance + LIMIT_PART * max(0.0, reached - chance))
 
 
